@@ -6,6 +6,7 @@ import importlib
 
 #: Query name, module of this subpackage, function there.
 _QUERIES = {
+    "op1_quality_divergence": ("quality", "op1"),
     "op6_mix_sources": ("mixing", "op6"),
     "op9_png_media": ("png", "op9"),
     "op10_best_fit_packing": ("packing", "op10"),
@@ -21,6 +22,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from epochweave.llm import mixing
+    from epochweave.llm import mixing, quality
 
-    return {"op6_mix_sources": mixing.SQL}
+    return {"op1_quality_divergence": quality.SQL, "op6_mix_sources": mixing.SQL}
