@@ -17,6 +17,8 @@ pieces of their own. Texts of any length work: a worker holds one at a time.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,42 +35,54 @@ from epochweave.session import materialize
 CAPACITY, END = 1024, 2
 SALTS = 64
 #: Token ids of so many distinct words are kept per worker before the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
+#: White space other than single spaces and single line ends: such texts are encoded whole.
+ODD_SPACE = re.compile(r"[^\S \n]|\n[\n ]| \n|^\n")
 _encoders: dict[str, WordStore] = {}
 
 
 class WordStore(dict):
-    """Token ids, as little-endian bytes, of a space and the word after it.
+    """Token ids, as little-endian bytes, of words cut at single spaces or before single line ends.
 
-    Byte-level pre-tokens never reach over a single space between two
-    non-spaces, so such words can be encoded apart.
+    A key is a word, encoded with a space before it, or a line end and the word
+    after it. Byte-level pre-tokens never reach over such a place, nor from
+    letters into punctuation after them, so these parts can be encoded apart.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def tail(self, marks: str) -> bytes:
+        got = self.tails.get(marks)
+        if got is None:
+            got = self.ids(marks)
+            if len(marks) < 8:
+                self.tails[marks] = got
+        return got
+
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 2 and word[-1] in ".," and word[:-1].isalpha():
-            got = self[word[:-1]] + self.ids(word[-1])
+        stem = word.rstrip(string.punctuation)
+        if len(stem) < len(word) and stem.lstrip("\n").isalpha():
+            got = self[stem] + self.tail(word[len(stem) :])
         else:
-            got = self.ids(" " + word)
+            got = self.ids(word if word[0] == "\n" else " " + word)
         if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        if len(words) == 1 or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
+        if "  " in text or text[-1:].isspace() or ODD_SPACE.search(text):
             return self.ids(text)
+        words = text.replace("\n", " \n").split(" ")
         return self.ids(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
