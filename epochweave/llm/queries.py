@@ -8,6 +8,8 @@ import importlib
 _QUERIES = {
     "op1_quality_divergence": ("quality", "op1"),
     "op6_mix_sources": ("mixing", "op6"),
+    "op7_rlz_substrings": ("rlz", "op7"),
+    "op8_interval_repeats": ("repeats", "op8"),
     "op9_png_media": ("png", "op9"),
     "op10_best_fit_packing": ("packing", "op10"),
 }
