@@ -7,6 +7,7 @@ import importlib
 #: Query name, module of this subpackage, function there.
 _QUERIES = {
     "op1_quality_divergence": ("quality", "op1"),
+    "op2_jaccard_join": ("jaccard", "op2"),
     "op6_mix_sources": ("mixing", "op6"),
     "op7_rlz_substrings": ("rlz", "op7"),
     "op8_interval_repeats": ("repeats", "op8"),
