@@ -199,6 +199,16 @@ def _bucket(column: str, n: int):
     return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(n)).cast("int")
 
 
+def member_blobs(rows: list[tuple], sets: list[np.ndarray], n: int) -> pa.Table:
+    """Blobs by cluster task from (leader, first part, second part, side, node, size) and the sets."""
+    if not rows:
+        return pa.Table.from_batches([], A.BLOB_SCHEMA)
+    leader, one, two, side, node, size = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    group = (k.mix(leader.astype(np.uint64) + (one * 65537 + two).astype(np.uint64)) % k.U64(n)).astype(np.int64)
+    flat = lambda m: A.squeeze(np.concatenate([sets[i] for i in m]))
+    return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), (size, A.squeeze), (np.arange(len(rows)), flat)])), A.BLOB_SCHEMA)
+
+
 def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int) -> DataFrame:
     """Blobs by cluster task: leader, first and second part, side, node, set size, set."""
 
@@ -217,11 +227,7 @@ def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int) -> DataFrame
                     for other in range(parts):
                         rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, int(bounds[i + 1] - bounds[i])))
                         sets.append(grams[bounds[i] : bounds[i + 1]])
-        if not rows:
-            return pa.Table.from_batches([], A.BLOB_SCHEMA)
-        leader, one, two, side, node, size = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        group = (k.mix(leader.astype(np.uint64) + (one * 65537 + two).astype(np.uint64)) % k.U64(n)).astype(np.int64)
-        return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), (size, A.squeeze), (np.arange(len(rows)), lambda m: A.squeeze(np.concatenate([sets[i] for i in m])))])), A.BLOB_SCHEMA)
+        return member_blobs(rows, sets, n)
 
     return docs.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
 

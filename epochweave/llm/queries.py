@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_quality_divergence": ("quality", "op1"),
     "op2_jaccard_join": ("jaccard", "op2"),
+    "op3_fuzzy_lines": ("lines", "op3"),
     "op6_mix_sources": ("mixing", "op6"),
     "op7_rlz_substrings": ("rlz", "op7"),
     "op8_interval_repeats": ("repeats", "op8"),
