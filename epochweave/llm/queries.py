@@ -9,6 +9,8 @@ _QUERIES = {
     "op1_quality_divergence": ("quality", "op1"),
     "op2_jaccard_join": ("jaccard", "op2"),
     "op3_fuzzy_lines": ("lines", "op3"),
+    "op4_semi_markov_pii": ("pii", "op4"),
+    "op5_warc_derivatives": ("warc", "op5"),
     "op6_mix_sources": ("mixing", "op6"),
     "op7_rlz_substrings": ("rlz", "op7"),
     "op8_interval_repeats": ("repeats", "op8"),
