@@ -43,8 +43,8 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("packet", F.floor(F.col("event_id") / PACKET)).withColumn("pivot", F.col("event_type") == "purchase")
 
 
-_B = "WITH b AS (SELECT *, event_id // 2000 AS packet, event_type = 'purchase' AS pivot FROM events)"
-_E = _B + """, e AS (SELECT *, first_value(CASE WHEN pivot THEN event_id END IGNORE NULLS) OVER (PARTITION BY packet ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS epoch FROM b)"""
+_B = "WITH b AS (SELECT *, event_id // 2000 AS packet, event_type = 'purchase' AS is_pivot FROM events)"
+_E = _B + """, e AS (SELECT *, first_value(CASE WHEN is_pivot THEN event_id END IGNORE NULLS) OVER (PARTITION BY packet ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS epoch FROM b)"""
 
 
 @query(_E + " SELECT event_id, epoch FROM e")
@@ -63,8 +63,8 @@ def block_numbers(spark, d):
     return epochs.number_blocks(blocks(spark, d), F.col("packet") * 10000, "event_id").select("event_id", "block_number")
 
 
-@query("""WITH g AS (SELECT event_id // 10 AS epoch, event_id, event_type = 'error' AS skipped, event_id = max(event_id) OVER (PARTITION BY event_id // 10) AS pivot FROM events),
-o AS (SELECT *, CASE WHEN pivot THEN 2 WHEN skipped THEN 1 ELSE 0 END AS class FROM g)
+@query("""WITH g AS (SELECT event_id // 10 AS epoch, event_id, event_type = 'error' AS skipped, event_id = max(event_id) OVER (PARTITION BY event_id // 10) AS is_pivot FROM events),
+o AS (SELECT *, CASE WHEN is_pivot THEN 2 WHEN skipped THEN 1 ELSE 0 END AS class FROM g)
 SELECT epoch, class, CASE WHEN class = 2 THEN 0 ELSE row_number() OVER (PARTITION BY epoch, class ORDER BY event_id) - 1 END::BIGINT AS pos, event_id AS hash FROM o""")
 def block_order(spark, d):
     e = table(spark, d, "events").select(F.floor(F.col("event_id") / 10).alias("epoch"), "event_id", "event_type")
@@ -246,7 +246,7 @@ def finalized_offset(spark, d):
     return epochs.finalized_offset(o, committed, headers, "o_orderkey").select("o_orderkey", "finalized_offset")
 
 
-@query(_B + ", l AS (SELECT packet, max(event_id) AS last FROM b WHERE pivot GROUP BY packet) SELECT p.packet, max(l.last) AS boundary FROM (SELECT DISTINCT packet FROM b) p LEFT JOIN l ON l.packet < p.packet GROUP BY p.packet")
+@query(_B + ", l AS (SELECT packet, max(event_id) AS last FROM b WHERE is_pivot GROUP BY packet) SELECT p.packet, max(l.last) AS boundary FROM (SELECT DISTINCT packet FROM b) p LEFT JOIN l ON l.packet < p.packet GROUP BY p.packet")
 def previous_boundary(spark, d):
     b = blocks(spark, d).withColumn("last", F.when(F.col("pivot"), F.col("event_id")))
     return epochs.last_of_previous(b, "last", "event_id", "packet").select("packet", F.col("last").alias("boundary"))
@@ -399,7 +399,7 @@ def patch_summary(spark, d):
     return checks.patch_summary(_patched(spark, d))
 
 
-@query(_E + " SELECT e.event_id, coalesce(len(r.l), 0)::INTEGER AS n_rewards, r.l[1] AS first_reward FROM e LEFT JOIN (SELECT o_orderkey // 4 AS epoch, list(o_custkey ORDER BY o_custkey) AS l FROM orders GROUP BY 1) r ON r.epoch = e.epoch AND e.pivot")
+@query(_E + " SELECT e.event_id, coalesce(len(r.l), 0)::INTEGER AS n_rewards, r.l[1] AS first_reward FROM e LEFT JOIN (SELECT o_orderkey // 4 AS epoch, list(o_custkey ORDER BY o_custkey) AS l FROM orders GROUP BY 1) r ON r.epoch = e.epoch AND e.is_pivot")
 def reward_inject(spark, d):
     b = epochs.assign_epochs(blocks(spark, d), "event_id", "pivot", "event_id").withColumn("rewards", F.expr("cast(array() as array<struct<event:bigint,execution_hash:bigint>>)"))
     events = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("epoch"), F.col("o_custkey").alias("event"))
