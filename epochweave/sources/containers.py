@@ -132,7 +132,7 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
             return pa.Table.from_pylist([], pa.schema([("start_epoch", pa.int64()), ("epochs", pa.int64()), ("n_blocks", pa.int64()), ("packet", pa.binary())]))
         for r in rows:
             for c in ("transactions", "transaction_refs", "pos_rewards", "unlock_events"):
-                r[c] = r[c] or []
+                r[c] = r.get(c) or []
         data = packets.encode(rows, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"])
         packets.verify(data)
         epochs = {r["epoch"] for r in rows}
