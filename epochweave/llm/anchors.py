@@ -16,6 +16,7 @@ its id and a tag of its text, so that repeated ids with other texts stay apart.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ class Rule:
 
 
 def buckets(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -105,9 +106,9 @@ def row_ids(part: pa.RecordBatch) -> np.ndarray:
     return np.asarray(ids.fill_null(int(NULL_ID)), dtype=np.int64)
 
 
-def row_tags(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    sums = k.prefix(k.byte_values(data)) if sums is None else sums
-    return (k.spans(sums, offsets[:-1], offsets[1:]) >> k.U64(48)).astype(np.uint16)
+def row_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.array([zlib.crc32(raw[a:b]) & 0xFFFF for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint16)
 
 
 def home(ids: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
@@ -130,8 +131,7 @@ def find(rule: Rule, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     if m <= 0 or len(values) < rule.window:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = k.prefix(values)
-    at = np.arange(m)
-    grams = k.spans(sums, at, at + rule.seed)
+    grams = k.sliding(sums, rule.seed)
     least = k.window_minima(grams, rule.left + 1)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: len(least)]
     chosen = np.zeros(m, bool)
@@ -216,23 +216,21 @@ def by_home(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DOC)
 
 
-def address(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """One sortable value per document; ids and tags side by side."""
-    out = np.empty(len(ids), [("id", np.int64), ("tag", np.uint16)])
-    out["id"], out["tag"] = ids, tags
-    return out
+class Wanted:
+    """Addresses (id and tag), sorted once, to be looked up for many slices of documents."""
 
+    def __init__(self, ids: np.ndarray, tags: np.ndarray):
+        self.order = np.lexsort((tags, ids))
+        self.ids, self.tags = ids[self.order], tags[self.order]
 
-def rows_for(ids: np.ndarray, tags: np.ndarray, want_ids: np.ndarray, want_tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (row, wanted) of equal addresses; repeated rows all get what is wanted."""
-    both = np.concatenate([address(ids, tags), address(want_ids, want_tags)])
-    _, code = np.unique(both, return_inverse=True)
-    rows, wanted = code[: len(ids)], code[len(ids) :]
-    order = np.argsort(wanted, kind="stable")
-    low, high = np.searchsorted(wanted[order], rows, "left"), np.searchsorted(wanted[order], rows, "right")
-    n = high - low
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(np.arange(len(rows)), n), order[np.repeat(low, n) + inner]
+    def rows(self, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (row, wanted) of equal addresses, by row; repeated rows all get what is wanted."""
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        n = high - low
+        row = np.repeat(np.arange(len(ids)), n)
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = self.tags[at] == tags[row]
+        return row[same], self.order[at[same]]
 
 
 def covered(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -250,7 +248,7 @@ def each_slice(table: pa.Table, most: int = 1 << 20):
 
 
 def contexts(rule: Rule, docs: DataFrame, kept: DataFrame, n: int, by_key: int) -> DataFrame:
-    """Blobs by key: keys, ids, tags, starts, kinds-and-lengths, symbols of the contexts of kinds 2 and 3.
+    """Blobs by key: keys, ids, tags, starts, (length, anchor, kind), symbols of the contexts of kinds 2 and 3.
 
     ``docs`` is (doc_id, text, bucket), ``kept`` the blobs of ``sort_out``.
     """
@@ -261,35 +259,36 @@ def contexts(rule: Rule, docs: DataFrame, kept: DataFrame, n: int, by_key: int)
         ids, tags, at, kinds = (x[some] for x in (ids, tags, at, kinds))
         found: list[list] = [[] for _ in range(6)]
         seen: set = set()
+        index = Wanted(ids, tags)
         if len(some):
             for part, data, offsets in each_slice(left):
                 mine, my_tags = row_ids(part), row_tags(data, offsets)
                 fresh = np.array([(x := (int(i), int(t))) not in seen and not seen.add(x) for i, t in zip(mine, my_tags, strict=True)], bool)
-                rows, wanted = rows_for(mine, my_tags, ids, tags)
+                rows, wanted = index.rows(mine, my_tags)
                 rows, wanted = rows[fresh[rows]], wanted[fresh[rows]]
                 if not len(rows):
                     continue
-                values, bounds = symbols(rule, data, offsets)
+                values, bounds = (data, offsets) if rule.unit == "byte" else symbols(rule, data, offsets)
                 place = bounds[rows] + at[wanted]
                 low, high = np.maximum(place - rule.left, bounds[rows]), np.minimum(place + rule.window, bounds[rows + 1])
-                sums = k.prefix(values)
-                source = data if rule.unit == "byte" else values
                 n_each = high - low
-                flat = np.repeat(low, n_each) + np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each)
-                found[0].append(k.spans(sums, place, place + rule.seed))
+                begin = np.cumsum(n_each) - n_each
+                flat = values[np.repeat(low - begin, n_each) + np.arange(n_each.sum())]
+                seed = begin + place - low
+                found[0].append(k.spans(k.prefix(k.byte_values(flat) if rule.unit == "byte" else flat), seed, seed + rule.seed))
                 found[1].append(ids[wanted])
                 found[2].append(tags[wanted])
                 found[3].append(low - bounds[rows])
-                found[4].append((high - low) * 4 + kinds[wanted])
-                found[5].append(source[flat])
+                found[4].append((n_each << 16) + ((place - low) << 2) + kinds[wanted])
+                found[5].append(flat)
         if not found[0]:
             return pa.Table.from_batches([], BLOB_SCHEMA)
         keys, ids, tags, starts, sizes, flat = map(np.concatenate, found)
-        begin = np.cumsum(sizes // 4) - sizes // 4
+        begin = np.cumsum(sizes >> 16) - (sizes >> 16)
         group = (keys >> k.U64(40)) % k.U64(by_key)
 
         def cut(mine: np.ndarray) -> bytes:
-            size = sizes[mine] // 4
+            size = sizes[mine] >> 16
             return squeeze(flat[np.repeat(begin[mine], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
 
         return pa.Table.from_batches(list(deal(group, [(keys, squeeze), (ids, squeeze), (tags, squeeze), (starts.astype(np.int32), squeeze), (sizes.astype(np.int32), squeeze), (np.arange(len(keys)), cut)])), BLOB_SCHEMA)
@@ -302,10 +301,10 @@ def spans_by_home(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: n
     return pa.Table.from_batches(list(out), BLOB_SCHEMA)
 
 
-def removed(rule: Rule, docs: DataFrame, match) -> tuple[DataFrame, DataFrame]:
+def removed(rule: Rule, docs: DataFrame, match, most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(documents by home, blobs by home) for ``finish``.
 
-    ``match(keys, ids, tags, starts, kinds, sizes, symbols)`` gets the differing
+    ``match(ids, tags, starts, anchors, kinds, sizes, symbols)`` gets all differing
     contexts of some keys and returns (ids, tags, starts, ends) of the spans
     that repeat. The blobs of kind-1 anchors and of these spans stand side by
     side: the last column tells them apart.
@@ -317,7 +316,19 @@ def removed(rule: Rule, docs: DataFrame, match) -> tuple[DataFrame, DataFrame]:
 
     def run(key, table):
         keys, ids, tags, starts, sizes, flat = gather(table, [expand] * 6)
-        return spans_by_home(*match(keys, ids, tags, starts.astype(np.int64), sizes % 4, (sizes // 4).astype(np.int64), flat), n)
+        starts, kinds, anchors, sizes = starts.astype(np.int64), sizes & 3, sizes >> 2 & 0x3FFF, sizes.astype(np.int64) >> 16
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(keys, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(keys[order], prepend=~keys[:1]) != 0) if len(keys) else [], len(keys)).astype(np.int64)
+        out, low = [], 0
+        while low < len(keys):  # whole keys, about ``most`` contexts at a time
+            high = int(edges[min(np.searchsorted(edges, low + most), len(edges) - 1)])
+            mine = order[low:high]
+            size = sizes[mine]
+            at = np.cumsum(size) - size
+            out.append(match(ids[mine], tags[mine], starts[mine], anchors[mine], kinds[mine], size, flat[np.repeat(begin[mine] - at, size) + np.arange(size.sum())]))
+            low = high
+        return spans_by_home(*map(np.concatenate, zip(*out, strict=True)), n) if out else pa.Table.from_batches([], BLOB_SCHEMA)
 
     more = contexts(rule, homed, kept, n, n).groupBy("bucket").applyInArrow(run, BLOB)
     return homed, kept.withColumn("c5", F.lit(b"a")).unionByName(more.withColumn("c5", F.lit(b"s")))
@@ -339,9 +350,10 @@ def finish(rule: Rule, homed: DataFrame, blobs: DataFrame, row, schema: str) ->
             for out, x in zip(lists, (ids, tags, a, b), strict=True):
                 out.append(x.astype(out[0].dtype))
         ids, tags, a, b = map(np.concatenate, lists)
+        index = Wanted(ids, tags)
         out: list[list] = [[] for _ in range(len(names) + 1)]
         for part, data, offsets in each_slice(left):
-            rows, wanted = rows_for(row_ids(part), row_tags(data, offsets), ids, tags)
+            rows, wanted = index.rows(row_ids(part), row_tags(data, offsets))
             low, high = np.searchsorted(rows, np.arange(part.num_rows), "left"), np.searchsorted(rows, np.arange(part.num_rows), "right")
             out[0].extend(part.column(0).to_pylist())
             for i in range(part.num_rows):

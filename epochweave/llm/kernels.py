@@ -56,6 +56,12 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def sliding(sums: np.ndarray, width: int) -> np.ndarray:
+    """``spans`` of all windows of ``width`` neighbours."""
+    m = len(sums) - width
+    return mix((sums[width:] - sums[:m]) * powers(len(sums))[1][:m])
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -105,18 +111,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost least value in each window of ``width`` neighbours."""
-    n = len(values) - width + 1
-    if n <= 0:
+    """Position of the leftmost least value in each window of ``width`` neighbours.
+
+    Values are compared by their high digits; positions take the low ones.
+    """
+    n = len(values)
+    if n < width:
         return np.zeros(0, np.int64)
-    at = np.arange(len(values), dtype=np.int64)
+    digits = U64(n.bit_length())
+    least = values >> digits << digits | np.arange(n, dtype=np.uint64)
     reach = 1
-    while reach * 2 <= width:  # at[i]: leftmost least of [i, i + reach)
-        left, right = at[:-reach], at[reach:]
-        at = np.where(values[right] < values[left], right, left)
+    while reach * 2 <= width:
+        least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
-    left, right = at[:n], at[width - reach : width - reach + n]
-    return np.where(values[right] < values[left], right, left)
+    if reach < width:
+        least = np.minimum(least[: reach - width], least[width - reach :])
+    return (least & ((U64(1) << digits) - U64(1))).astype(np.int64)
 
 
 def rows_of(bounds: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from epochweave.llm import anchors as A
+from epochweave.llm import kernels as k
 
 WINDOW, SEED = 50, 20
 
@@ -63,19 +64,45 @@ def maximal_repeats(flat: np.ndarray, bounds: np.ndarray, least: int) -> list[tu
     return out
 
 
-def _matcher(window: int):
-    def match(keys, ids, tags, starts, kinds, sizes, flat):
+def promising(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Which contexts may share a window with another one.
+
+    A window reaches either half of the way to the left of its anchor or more
+    (then it holds that half and the seed), or less (then it holds the anchor
+    and all that a window with half on the left has on its right).
+    """
+    half = (window - seed) // 2
+    sums = k.prefix(k.byte_values(flat))
+    keep = np.zeros(len(sizes), bool)
+    for low, high in ((anchors - half, anchors + seed), (anchors, anchors + window - half)):
+        fits = np.flatnonzero((low >= 0) & (high <= sizes))
+        part = k.spans(sums, begin[fits] + low[fits], begin[fits] + high[fits])
+        _, group, times = np.unique(part, return_inverse=True, return_counts=True)
+        keep[fits[times[group] > 1]] = True
+    return keep
+
+
+def _matcher(window: int, seed: int):
+    def match(ids, tags, starts, anchors, kinds, sizes, flat):
+        begin = np.cumsum(sizes) - sizes
+        mine = np.flatnonzero(promising(flat, begin, sizes, anchors, window, seed))
+        ids, tags, starts, begin, sizes = ids[mine], tags[mine], starts[mine], begin[mine], sizes[mine]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
+        flat = flat[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
         none = np.zeros(0, np.int64)
-        found_ids, found_tags, lows, highs = [none], [none.astype(np.uint16)], [none], [none]
+        texts, lows, spans = [none], [none], [none]
         for size, at in maximal_repeats(flat, bounds, window):
-            text = np.searchsorted(bounds, at, "right") - 1
-            later = ids[text] > ids[text].min()
-            text, at = text[later], at[later]
-            low = starts[text] + at - bounds[text]
-            for out, x in zip((found_ids, found_tags, lows, highs), (ids[text], tags[text], low, low + size), strict=True):
-                out.append(x)
-        return tuple(map(np.concatenate, (found_ids, found_tags, lows, highs)))
+            text = text_of[at]
+            mine = ids[text]
+            later = mine > mine.min()
+            if later.any():
+                texts.append(text[later])
+                lows.append(at[later])
+                spans.append(np.full(int(later.sum()), size))
+        text, at, size = map(np.concatenate, (texts, lows, spans))
+        low = starts[text] + at - bounds[:-1][text]
+        return ids[text], tags[text], low, low + size
 
     return match
 
@@ -83,7 +110,7 @@ def _matcher(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[A.Rule, DataFrame, DataFrame]:
     """The rule, the documents by home, and the blobs of repeated spans for ``anchors.finish``."""
     rule = A.Rule(window, seed, "byte", True)
-    return rule, *A.removed(rule, docs, _matcher(window))
+    return rule, *A.removed(rule, docs, _matcher(window, seed))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

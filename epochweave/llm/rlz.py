@@ -81,7 +81,7 @@ def parse(values: np.ndarray, bounds: np.ndarray, places: np.ndarray, twice: np.
 
 
 def _matcher(window: int):
-    def match(keys, ids, tags, starts, kinds, sizes, flat):
+    def match(ids, tags, starts, anchors, kinds, sizes, flat):
         places = np.empty(len(ids), [("id", np.int64), ("tag", np.uint16), ("at", np.int64)])
         places["id"], places["tag"], places["at"] = ids, tags, starts
         bounds = np.concatenate([[0], np.cumsum(sizes)])
