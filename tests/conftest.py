@@ -2,11 +2,15 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
+settings.register_profile("shared", deadline=None)
+settings.load_profile("shared")
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
