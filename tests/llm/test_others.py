@@ -1,0 +1,231 @@
+import gzip
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from epochweave.llm import mixing, packing, pii, png, quality, queries, warc
+from tests.conftest import SF, rows_of
+from tests.llm import brute
+from tests.llm.conftest import document
+
+EDGES = [document(1, "the of and " * 30, "a"), document(1, "the of and " * 30, "a"), document(2, None, None, None), document(None, "x y", "b", "xx"), document(3, "", "c"), document(4, "word " * 20000, "c"), document(5, "a\nb c d e f g h i\nb c d e f g h i\nz", None, "de")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, duck, name):
+    got = queries.queries()[name](spark, SF)
+    cursor = duck.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op5_warc_derivatives"}))
+def test_edge_cases_and_empty_tables(spark, write, name):
+    query = queries.queries()[name]
+    ids = sorted(str(r["doc_id"]) for r in query(spark, write(EDGES)).select("doc_id").collect())
+    assert set(ids) == {"1", "2", "3", "4", "5", "None"}
+    if name != "op10_best_fit_packing":
+        assert len(ids) == len(EDGES)
+    assert query(spark, write([])).count() == 0
+
+
+def test_quality_counts(spark, write):
+    got = {r["doc_id"]: r for r in quality.op1(spark, write(EDGES)).collect()}
+    assert (got[2]["n_words"], got[2]["kept"]) == (0, False)
+    assert got[1]["n_repeat_words"] == 90 and got[1]["base_failed"]
+    assert got[5]["n_dup_lines"] == 1 and got[5]["n_repeat_words"] == 16
+
+
+def test_quality_keeps_columns(spark, write):
+    docs = spark.read.parquet(f"{write(EDGES)}/documents.parquet").withColumn("q_n_words", F.lit("theirs")).withColumn("kept", F.lit(3))
+    assert quality.judge(docs.drop("kept")).count() == len(EDGES)
+
+
+def test_mixing_targets_and_copies(spark, write):
+    r = random.Random(1)
+    rows = [document(i, "w " * r.randint(1, 60), r.choice(["a", "a", "a", "b", None, "z"])) for i in range(400)]
+    out = mixing.op6(spark, write(rows)).collect()
+    sizes, targets = {}, {}
+    for row, x in zip(sorted(out, key=lambda x: x["doc_id"]), rows, strict=True):
+        sizes[x[3]] = sizes.get(x[3], 0) + row["size"]
+        targets[x[3]] = row["target"]
+        assert row["taken"] in (0, row["size"], 2 * row["size"])
+    weights = dict(zip(sorted((s for s in sizes if s), key=lambda s: s.encode()) + [None], [5, 2, 1, 5], strict=True))
+    share, left, open_sources = {}, 1.5 * sum(sizes.values()), dict(weights)
+    while open_sources:
+        level = left / sum(open_sources.values())
+        full = {s for s, w in open_sources.items() if level * w > 2 * sizes[s]}
+        if not full:
+            share |= {s: level * w for s, w in open_sources.items()}
+            break
+        for s in full:
+            share[s] = 2 * sizes[s]
+            left -= share[s]
+            del open_sources[s]
+    assert targets == pytest.approx(share)
+    docs = spark.read.parquet(f"{write(rows)}/documents.parquet")
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(x["taken"] for x in out)
+
+
+@given(st.dictionaries(st.integers(1, 1024), st.integers(1, 40), max_size=40))
+def test_packing_patterns(counts):
+    patterns = packing.pack_lengths(counts)
+    placed = {}
+    for pattern, times in patterns:
+        assert sum(pattern) <= 1024 and sum(3 * n > 1024 for n in pattern) <= 2
+        for n in pattern:
+            placed[n] = placed.get(n, 0) + times
+    assert placed == counts
+    least = -(-sum(n * c for n, c in counts.items()) // 1024)
+    assert sum(t for _, t in patterns) <= max(least * 1.5 + 1, sum(c for n, c in counts.items() if 2 * n > 1024) + least)
+
+
+def test_packed_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = packing.op10(spark, SF).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == set(texts)
+    for d, text in texts.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        mine = sorted(pieces[d], key=lambda r: r["piece"])
+        assert [r["piece"] for r in mine] == list(range(len(mine))) and all(r["length"] == 1024 for r in mine[1:])
+        at = 0
+        for r in mine:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for found in sequences.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= 1.05 * sum(r["length"] for r in rows) / 1024 + 2
+
+
+@given(st.text("ab .,'\n\t 1é#<|>", max_size=60))
+def test_word_store_equals_the_tokenizer(text):
+    import public_tokenizers
+
+    store = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert store.encode(text) == store.ids(text)
+
+
+def test_png_round_trip(spark):
+    for row in png.op9(spark, SF).limit(50).collect():
+        assert row["payload_bytes"] % 192 == 0
+    raw, n = png.payload("héllo\n" * 100)
+    stored = png.encode(raw)
+    assert n == 700 and png.decode(stored).tobytes() == raw and png.payload(None) == (b" " * 192, 0)
+    with pytest.raises(ValueError):
+        png.decode(stored[:60] + bytes([stored[60] ^ 1]) + stored[61:])
+    with pytest.raises(ValueError):
+        png.decode(b"no picture")
+
+
+@given(st.binary(min_size=24, max_size=24), st.lists(st.integers(0, 4), min_size=2, max_size=2))
+def test_png_filters(raw, kinds):
+    """Each filter type, applied by its definition, is undone."""
+    rows = np.frombuffer(raw, np.uint8).reshape(2, 12)
+    out = []
+    for y, kind in enumerate(kinds):
+        line = [kind]
+        for x in range(12):
+            a = int(rows[y, x - 3]) if x >= 3 else 0
+            b = int(rows[y - 1, x]) if y else 0
+            c = int(rows[y - 1, x - 3]) if y and x >= 3 else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((int(rows[y, x]) - [0, a, b, (a + b) // 2, paeth][kind]) & 255)
+        out.append(line)
+    assert np.array_equal(png._unfilter(np.array(out, np.uint8), 3), rows)
+
+
+@given(st.text("a1.@+ -(25)", max_size=60))
+def test_base_patterns(text):
+    assert pii.base_spans(text) == brute.personal(text)
+
+
+def test_base_patterns_on_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in pii.op4(spark, SF).collect()}
+    for r in rows:
+        base = brute.personal(r["text"])
+        assert got[r["doc_id"]]["base_sha256"] == brute.sha(pii.written(base).encode())
+        assert got[r["doc_id"]]["n_email"] == sum(k == 0 for _, k, _ in base)
+        assert {pii.written([s]) for s in base} <= set(got[r["doc_id"]]["spans"].split(",")) | ({""} if not base else set())
+
+
+def test_field_on_held_out_snippets():
+    r, field = random.Random(77), pii.trained()
+    right = found = wanted = 0
+    for _ in range(150):
+        words, gold = pii._snippet(r)
+        got = field.decode(words)
+        right += len(set(got) & set(gold))
+        found += len(got)
+        wanted += len(gold)
+    assert right / found > 0.95 and right / wanted > 0.95
+    assert [y for *_, y in field.decode('so the token = "5f367f08b1a810c7777ad785b0be42018bfcbf49" leon'.split())] == [5]
+
+
+def test_long_digit_runs_take_linear_time():
+    pii.base_spans("1" * 300_000 + " " + "1." * 100_000)
+
+
+def test_warc_derivatives(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = warc.op5(spark, SF).collect()
+    assert len(rows) == pages.count() and all(r["linked"] for r in rows)
+    url, page = "http://x.org/a", "<html lang=en><head><title>T &amp; U</title></head><body><script>no</script><p>One<br>two <a href='/l'>three</a></p><!-- gone --></body></html>"
+    source = warc.response(url, page.encode())
+    meta, text = warc.derivatives(source)
+    (sh, _), (mh, mb), (th, tb) = (next(warc.parse(x)) for x in (source, meta, text))
+    assert mh["WARC-Refers-To"] == th["WARC-Refers-To"] == sh["WARC-Record-ID"] and th["WARC-Payload-Digest"] == sh["WARC-Payload-Digest"] == warc.digest(page.encode())
+    assert tb == b"One\ntwo three" and b"title: T & U\r\n" in mb and b"outlink: /l\r\n" in mb
+    with pytest.raises(ValueError):
+        next(warc.parse(text.replace(b"One", b"Two")))
+
+
+def test_warc_nulls_and_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://y", "<p>a")], "page_id bigint, url string, html string")
+    derived = warc.derive(warc.to_responses(pages)).collect()
+    assert len(derived) == 3
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(bytes(r[c]) for r in derived for c in ("metadata", "conversion")))
+    read = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r["type"] for r in read) == ["conversion"] * 3 + ["metadata"] * 3
+    assert gzip.decompress(bytes(derived[0]["metadata"])).startswith(b"WARC/1.1")
+
+
+def test_pipeline_stages(spark):
+    """The last stage packs exactly what the mix emitted; every other stage keeps the columns of documents."""
+    import corpus_pipeline
+    from epochweave.session import materialize
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, texts = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        if name in ("quality_rules", "near_duplicates"):
+            assert docs.count() < texts
+        texts = docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    firsts = packed.where("piece = 0").count()
+    assert firsts == docs.count() and not re.search("limit", " ".join(packed.columns))
