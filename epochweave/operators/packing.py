@@ -43,7 +43,7 @@ def running_offsets(df: DataFrame, group: str, order: str, size: str) -> DataFra
     return df.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
 
 
-def container_files(names: DataFrame, path: str = "path", suffix: str = r"\.cfxpack(\.zst)?") -> DataFrame:
+def container_files(names: DataFrame, path: str = "path", suffix: str = r"\.pack(\.zst)?") -> DataFrame:
     """(start, end, path, compressed): one file per start epoch, compressed ones first; names end in _<start>_<end>."""
     parsed = names.withColumn("start", F.regexp_extract(path, rf"_(\d+)_(\d+){suffix}$", 1)).withColumn("end", F.regexp_extract(path, rf"_(\d+)_(\d+){suffix}$", 2))
     found = parsed.where("start <> ''").select(F.col("start").cast("long"), F.col("end").cast("long"), F.col(path).alias("path"), F.col(path).endswith(".zst").alias("compressed"))

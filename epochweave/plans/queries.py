@@ -370,13 +370,13 @@ def replay_report(spark, d):
     return checks.replay_report(e, "epoch", "event_id", ["user_id", "event_type"], F.col("user_id") % 2 == 1)
 
 
-_NAMES = """WITH n AS (SELECT 'dir/epochs_' || (page_id // 2) * 2000 || '_' || ((page_id // 2) * 2000 + 1999) || CASE WHEN page_id % 2 = 1 THEN '.cfxpack.zst' ELSE '.cfxpack' END AS path, page_id // 2 * 2000 AS start, page_id % 2 = 1 AS compressed FROM pages)"""
+_NAMES = """WITH n AS (SELECT 'dir/epochs_' || (page_id // 2) * 2000 || '_' || ((page_id // 2) * 2000 + 1999) || CASE WHEN page_id % 2 = 1 THEN '.pack.zst' ELSE '.pack' END AS path, page_id // 2 * 2000 AS start, page_id % 2 = 1 AS compressed FROM pages)"""
 
 
 @query(_NAMES + ' SELECT start, start + 1999 AS "end", path, compressed FROM n QUALIFY row_number() OVER (PARTITION BY start ORDER BY compressed DESC) = 1')
 def file_prefer_compressed(spark, d):
     low = F.floor(F.col("page_id") / 2) * PACKET
-    name = F.concat(F.lit("dir/epochs_"), low.cast("string"), F.lit("_"), (low + 1999).cast("string"), F.when(F.col("page_id") % 2 == 1, ".cfxpack.zst").otherwise(".cfxpack"))
+    name = F.concat(F.lit("dir/epochs_"), low.cast("string"), F.lit("_"), (low + 1999).cast("string"), F.when(F.col("page_id") % 2 == 1, ".pack.zst").otherwise(".pack"))
     return packing.container_files(table(spark, d, "pages").select(name.alias("path"))).select("start", "end", "path", "compressed")
 
 

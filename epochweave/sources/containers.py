@@ -83,7 +83,7 @@ def block_rows(start: int, payload: bytes, pos_from: int) -> Iterator[dict]:
 def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
     """Block rows of all containers in a folder of any store that Spark reads; ``pos_from`` is required, as the schema hangs on it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}*").load(path)
-    best = container_files(files.select("path"))
+    best = container_files(files.select("path"), suffix=rf"{re.escape(SUFFIX)}(\.zst)?")
     chosen = files.join(best.select("path"), "path", "left_semi")
 
     def groups(batches):
