@@ -10,8 +10,10 @@ signature tree: nodes hold the OR of their members' token bitmaps, the range
 of their sizes and the greatest number of tokens that share a bit. Two tree
 nodes are taken further only if the bits they share, plus that slack, allow
 the overlap that their sizes need, and if they are not one component already.
-Overlaps of leaves are counted exactly. A cluster of more than ``BLOCK``
-members is cut into blocks, and each pair of blocks is a task of its own.
+A first search sees signatures alone; the components of what may link are the
+clusters of a second search, which counts the overlaps of leaves exactly. A
+cluster of more than ``BLOCK`` members is cut into blocks, and each pair of
+blocks is a task of its own.
 
 Nulls: null texts and texts without words have empty sets and link with
 nothing; a null id keeps its row with a null component unless a copy has an
@@ -152,42 +154,76 @@ def may_link(x: tuple, y: tuple, percent: int) -> bool:
     return most * (100 + percent) >= percent * (x[1] + y[1])
 
 
-def link_cluster(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Index pairs of linked sets that together join each component. With two ``sides``, only pairs across count (each side has its own task)."""
-    sizes = np.array([len(s) for s in sets])
-    width = 1 << int(np.clip(np.ceil(np.log2(4 * sizes.max())), 8, 16))
-    bits = np.zeros((len(sets), width // 64), np.uint64)
-    row = np.repeat(np.arange(len(sets)), sizes)
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """One row of ``width`` bits a set: the bit of each token's low digits."""
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     place = (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)
-    np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    np.bitwise_or.at(out, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return out
+
+
+def traverse(bits: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: int, forest: Forest, names: list, test=None) -> list[tuple[int, int]]:
+    """Pairs that together join each component of pairs that may link (and pass ``test``), by dual traversal.
+
+    Pairs whose ``names`` are one component in ``forest`` already are skipped.
+    With two ``sides``, only pairs across them count: each has its own task.
+    """
     slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    order = np.lexsort(([int(s[0]) for s in sets], sizes))
-    forest, out = Forest(), []
+    order = np.lexsort((bits[:, 0], sizes))
     trees = [Tree(order[sides[order] == s], bits, sizes, slack).root for s in np.unique(sides)]
-    stack = [(trees[0], trees[-1])]
+    out, stack = [], [(trees[0], trees[-1])]
     while stack:
         x, y = stack.pop()
         if not may_link(x, y, percent):
             continue
-        if len({forest.find(int(i)) for i in x[4]} | {forest.find(int(i)) for i in y[4]}) == 1:
+        if len({forest.find(names[i]) for i in x[4]} | {forest.find(names[i]) for i in y[4]}) == 1:
             continue
         if x[5] or y[5]:
             left, right = x[5] or (x,), y[5] or (y,)
             stack.extend((a, b) for i, a in enumerate(left) for j, b in enumerate(right) if x is not y or i <= j)
             continue
         for i in x[4].tolist():
-            for j in y[4].tolist():
-                if (x is y and i >= j) or i == j or forest.find(i) == forest.find(j):
+            common = np.bitwise_count(bits[i] & bits[y[4]]).sum(axis=1).astype(np.int64) + np.minimum(slack[i], slack[y[4]])
+            most = np.minimum(common, np.minimum(sizes[i], sizes[y[4]]))
+            for j in y[4][most * (100 + percent) >= percent * (sizes[i] + sizes[y[4]])].tolist():
+                if (x is y and i >= j) or names[i] == names[j] or forest.find(names[i]) == forest.find(names[j]):
                     continue
-                a, b = len(sets[i]), len(sets[j])
-                if 100 * min(a, b) < percent * max(a, b) or (int(np.bitwise_count(bits[i] & bits[j]).sum()) + int(min(slack[i], slack[j]))) * (100 + percent) < percent * (a + b):
-                    continue
-                if sorted_overlap(sets[i], sets[j]) * (100 + percent) >= percent * (a + b):
-                    forest.join(i, j)
+                if test is None or test(i, j):
+                    forest.join(names[i], names[j])
                     out.append((i, j))
     return out
 
 
+def link_cluster(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that together join each component; overlaps are counted exactly."""
+    sizes = np.array([len(s) for s in sets])
+    width = 1 << int(np.clip(np.ceil(np.log2(4 * sizes.max())), 8, 16))
+    exact = lambda i, j: sorted_overlap(sets[i], sets[j]) * (100 + percent) >= percent * (sizes[i] + sizes[j])
+    return traverse(bitmaps(sets, width), sizes, sides, percent, Forest(), list(range(len(sets))), exact)
+
+
+def signature_width(size: int) -> int:
+    """Bits of a set's signature: two to four times its size, so at most twice as many for one that it can link with."""
+    return 1 << max(8, (2 * size - 1).bit_length())
+
+
+def candidate_pairs(maps: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, nodes: list, percent: int) -> list[tuple[int, int]]:
+    """Index pairs that together join each component of sets that may link by their signatures.
+
+    Sets that can link have widths that differ by a factor of 2 at most; the wider one is folded.
+    """
+    widths = np.array([len(m) for m in maps])
+    forest, out = Forest(), []
+    for w in np.unique(widths).tolist():
+        mine = np.flatnonzero((widths == w) | (widths == 2 * w))
+        if len(mine) < 2 or len(np.unique(sides[mine])) < len(np.unique(sides)):
+            continue
+        bits = np.stack([maps[i] if widths[i] == w else maps[i][:w] | maps[i][w:] for i in mine])
+        out += [(int(mine[i]), int(mine[j])) for i, j in traverse(bits, sizes[mine], sides[mine], percent, forest, [nodes[i] for i in mine])]
+    return out
+
+
 def _tasks(clusters: DataFrame, n: int) -> DataFrame:
     """(node, leader, part, parts, bucket by node): large clusters in parts."""
     many = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
@@ -200,17 +236,17 @@ def _bucket(column: str, n: int):
 
 
 def member_blobs(rows: list[tuple], sets: list[np.ndarray], n: int) -> pa.Table:
-    """Blobs by cluster task from (leader, first part, second part, side, node, size) and the sets."""
+    """Blobs by cluster task from (leader, first part, second part, side, node, set size, array length) and the arrays."""
     if not rows:
         return pa.Table.from_batches([], A.BLOB_SCHEMA)
-    leader, one, two, side, node, size = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    leader, one, two, side, node, size, length = (np.array(c, np.int64) for c in zip(*rows, strict=True))
     group = (k.mix(leader.astype(np.uint64) + (one * 65537 + two).astype(np.uint64)) % k.U64(n)).astype(np.int64)
     flat = lambda m: A.squeeze(np.concatenate([sets[i] for i in m]))
-    return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), (size, A.squeeze), (np.arange(len(rows)), flat)])), A.BLOB_SCHEMA)
+    return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), ((size << 32) | length, A.squeeze), (np.arange(len(rows)), flat)])), A.BLOB_SCHEMA)
 
 
-def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int) -> DataFrame:
-    """Blobs by cluster task: leader, first and second part, side, node, set size, set."""
+def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int, signatures: bool = False) -> DataFrame:
+    """Blobs by cluster task: leader, first and second part, side, node, set size, set or its signature."""
 
     def run(key, left, right):
         want = defaultdict(list)
@@ -219,36 +255,53 @@ def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int) -> DataFrame
         rows, sets = [], []
         for part, data, offsets in A.each_slice(left):
             nodes = part.column(part.schema.get_field_index("node")).to_pylist()
-            grams, bounds = None, None
-            for i, node in enumerate(nodes):
-                for leader, mine, parts in want.pop(node, ()):
-                    if grams is None:
-                        grams, bounds = shingle_sets(part, data, offsets, words)
+            wanted = [i for i, node in enumerate(nodes) if node in want]
+            if not wanted:
+                continue
+            grams, bounds = shingle_sets(part, data, offsets, words)
+            for i in wanted:
+                tasks_of = want.pop(nodes[i], None)
+                if tasks_of is None:
+                    continue
+                mine = grams[bounds[i] : bounds[i + 1]].copy()
+                size = len(mine)
+                if signatures:
+                    mine = bitmaps([mine], signature_width(size))[0]
+                for leader, own, parts in tasks_of:
                     for other in range(parts):
-                        rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, int(bounds[i + 1] - bounds[i])))
-                        sets.append(grams[bounds[i] : bounds[i + 1]])
+                        rows.append((leader, min(own, other), max(own, other), int(own > other), nodes[i], size, len(mine)))
+                        sets.append(mine)
         return member_blobs(rows, sets, n)
 
     return docs.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
 
 
-def _links(blobs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the nodes of each cluster task."""
+def _each_task(table: pa.Table):
+    """(nodes, sizes, sides, parts of the flat column) of each cluster task in a group."""
+    leader, parts, side, node, size, flat = A.gather(table, [A.expand] * 6)
+    if not len(leader):
+        return
+    size, length = size >> 32, size & 0xFFFFFFFF
+    begin = np.cumsum(length) - length
+    order = np.lexsort((parts, leader))
+    cut = np.flatnonzero(np.concatenate([[True], (leader[order][1:] != leader[order][:-1]) | (parts[order][1:] != parts[order][:-1])]))
+    for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True):
+        mine = order[lo:hi]
+        one_part = (parts[mine[0]] >> 32) == (parts[mine[0]] & 0xFFFFFFFF)
+        sides = np.zeros(len(mine), np.int8) if one_part else side[mine]
+        if len(mine) > 1 and (one_part or len(np.unique(sides)) == 2):
+            yield node[mine].tolist(), size[mine], sides, [flat[begin[m] : begin[m] + length[m]] for m in mine]
+
+
+def _links(blobs: DataFrame, percent: int, exact: bool = True) -> DataFrame:
+    """(a, b): pairs that join the nodes of each cluster task that link (or, by signatures, may link)."""
 
     def run(key, table):
-        leader, parts, side, node, size, flat = A.gather(table, [A.expand] * 6)
-        begin = np.cumsum(size) - size
-        order = np.lexsort((parts, leader))
-        cut = np.flatnonzero(np.concatenate([[True], (leader[order][1:] != leader[order][:-1]) | (parts[order][1:] != parts[order][:-1])])) if len(order) else []
         a, b = [], []
-        for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True):
-            mine = order[lo:hi]
-            sides = side[mine]
-            if (parts[mine[0]] >> 32) == (parts[mine[0]] & 0xFFFFFFFF):
-                sides = np.zeros(len(mine), np.int8)
-            for i, j in link_cluster([flat[begin[m] : begin[m] + size[m]] for m in mine], sides, percent):
-                a.append(int(node[mine[i]]))
-                b.append(int(node[mine[j]]))
+        for nodes, sizes, sides, sets in _each_task(table):
+            for i, j in link_cluster(sets, sides, percent) if exact else candidate_pairs(sets, sizes, sides, nodes, percent):
+                a.append(nodes[i])
+                b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blobs.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
@@ -266,8 +319,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     crowd = np.where(crowd > 2 * np.median(crowd), crowd, 0)
     clusters = materialize(_clusters(_filed(noded, crowd, words, percent, n), percent), "clusters")
     homed = noded.select("node", "text", _bucket("node", n).alias("bucket"))
-    links = _links(_members(homed, _tasks(clusters, n), words, n), percent)
-    roots = components(links)
+    # Signatures first: what may link makes clusters that do not overlap, so each whole set travels once.
+    hopeful = components(_links(_members(homed, _tasks(clusters, n), words, n, signatures=True), percent, exact=False))
+    close = hopeful.select(F.col("root").alias("leader"), "node")
+    roots = components(_links(_members(homed, _tasks(close, n), words, n), percent))
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

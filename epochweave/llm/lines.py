@@ -173,7 +173,7 @@ def _members(texts: DataFrame, tasks: DataFrame, chars: int, n: int) -> DataFram
                 grams = np.unique(shingles([line], chars)[0])
                 for leader, mine, parts in want[node]:
                     for other in range(parts):
-                        rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, len(grams)))
+                        rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, len(grams), len(grams)))
                         sets.append(grams)
         return J.member_blobs(rows, sets, n)
 
