@@ -34,9 +34,10 @@ from epochweave.session import materialize
 
 LEAST, CHARS, PERCENT = 40, 8, 80
 BANDS, ROWS = 16, 5
+#: Characters of distinct lines that a task holds before it passes them on.
+HELD = 6 << 20
 _random = np.random.default_rng(20240301)
 _FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_ADDENDS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def normal_lines(text: str, least: int):
@@ -67,18 +68,29 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, least: int, n: int) -> DataFrame:
-    """Blobs by line: line ids, byte lengths, bytes; equal lines of a batch once."""
+    """Blobs by line: line ids, byte lengths, bytes; equal lines that a task holds go once."""
+
+    def blobs(found: dict[int, bytes]):
+        ids, raw = np.fromiter(found, np.int64, len(found)), list(found.values())
+        size = np.fromiter(map(len, raw), np.int32, len(raw))
+        return A.deal(_home(ids, n), [(ids, A.squeeze), (size, A.squeeze), (np.arange(len(raw)), lambda m: A.squeeze(np.frombuffer(b"".join(raw[i] for i in m), np.uint8)))])
 
     def run(batches):
+        found: dict[int, bytes] = {}
+        held = 0
         for batch in batches:
-            found: dict[int, bytes] = {}
             for text in batch.column(0):
                 for _, line in normal_lines(text.as_py() or "", least):
-                    found.setdefault(line_id(line), line.encode())
-            if found:
-                ids, raw = np.fromiter(found, np.int64, len(found)), list(found.values())
-                size = np.fromiter(map(len, raw), np.int32, len(raw))
-                yield from A.deal(_home(ids, n), [(ids, A.squeeze), (size, A.squeeze), (np.arange(len(raw)), lambda m: A.squeeze(np.frombuffer(b"".join(raw[i] for i in m), np.uint8)))])
+                    key = line_id(line)
+                    if key not in found:
+                        found[key] = line.encode()
+                        held += len(line)
+                if held > HELD:
+                    yield from blobs(found)
+                    found, held = {}, 0
+            pa.default_memory_pool().release_unused()
+        if found:
+            yield from blobs(found)
 
     return docs.select("text").mapInArrow(run, A.BLOB)
 
@@ -115,15 +127,14 @@ def shingles(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(line, band) keys from least values of permuted shingle hashes."""
+    """(line, band) keys from least values of permuted shingle hashes; odd factors permute 32-bit hashes."""
     low = (grams >> k.U64(32)).astype(np.uint32)
     out = np.empty((len(bounds) - 1, BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(bounds) - 1, band + 1, np.uint64)
         for j in range(band * ROWS, band * ROWS + ROWS):
-            v = low * _FACTORS[j] + _ADDENDS[j]
-            v ^= v >> np.uint32(15)
-            key = k.mix(key * k.U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, bounds[:-1]))
+            least = np.minimum.reduceat(low * _FACTORS[j], bounds[:-1])
+            key = k.mix(key * k.U64(0x9E3779B97F4A7C15) + least)
         out[:, band] = key
     return out
 
