@@ -35,7 +35,7 @@ from epochweave.session import materialize
 CAPACITY, END = 1024, 2
 SALTS = 64
 #: Token ids of so many distinct words are kept per worker before the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: White space other than single spaces and single line ends: such texts are encoded whole.
 ODD_SPACE = re.compile(r"[^\S \n]|\n[\n ]| \n|^\n")
 _encoders: dict[str, WordStore] = {}
