@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash.
 
-Lines of at least ``least`` characters (small letters, trimmed) are sets of
-character shingles. Equal lines are one node. MinHash signatures are cut into
+Lines that are not blank (small letters, trimmed) are nodes, and equal lines
+are one node, however short. Those of at least ``least`` characters are also
+compared with others: they are sets of character shingles. MinHash signatures are cut into
 bands; nodes that share a band form a cluster named after its least node, in
 which similarities are counted exactly (by the search of ``jaccard``); links
 make components by distributed union-find. Of each component, and of each
 repeated line, only the first occurrence stays: least document id, then least
-line. Shorter lines always stay.
+line. Blank lines always stay.
 
 With 16 bands of 5 rows, a pair at the threshold of 0.8 becomes a candidate
 with probability 0.998.
@@ -41,7 +42,7 @@ _FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint
 
 
 def normal_lines(text: str, least: int):
-    """(line number, normalised line) of the lines that are long enough to be judged."""
+    """(line number, normalised line) of the lines of at least ``least`` characters."""
     for i, line in enumerate(text.split("\n")):
         line = line.strip().lower()
         if len(line) >= least:
@@ -52,12 +53,12 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, nodes, numbers, lines = [], [], [], []
             for doc_id, text, node in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for i, line in normal_lines(text.as_py() or "", least):
+                for i, line in normal_lines(text.as_py() or "", 1):
                     ids.append(doc_id)
                     nodes.append(node)
                     numbers.append(i)
@@ -195,7 +196,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, perce
     """(doc_id, node, gone): the line numbers that go, for each document (id and text hash) that loses any."""
     n = A.buckets(docs.sparkSession)
     noded = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-    seen = materialize(_occurrences(noded, least), "lines")
+    seen = materialize(_occurrences(noded), "lines")
     texts = _texts(noded, least, n)
     clusters = materialize(_clusters(_bands(texts, chars, n)), "bands")
     roots = components(J._links(_members(texts, _tasks(clusters, n), chars, n), percent))
