@@ -195,11 +195,18 @@ def traverse(bits: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: in
     return out
 
 
-def link_cluster(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Index pairs of linked sets that together join each component; overlaps are counted exactly."""
+def link_cluster(sets: list[np.ndarray], sides: np.ndarray, percent: int, edit: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that together join each component; overlaps are counted exactly.
+
+    With ``edit``, at most so many items of the larger set may be missing in the other.
+    """
     sizes = np.array([len(s) for s in sets])
     width = 1 << int(np.clip(np.ceil(np.log2(4 * sizes.max())), 8, 16))
-    exact = lambda i, j: sorted_overlap(sets[i], sets[j]) * (100 + percent) >= percent * (sizes[i] + sizes[j])
+
+    def exact(i: int, j: int) -> bool:
+        common = sorted_overlap(sets[i], sets[j])
+        return common * (100 + percent) >= percent * (sizes[i] + sizes[j]) and (edit is None or max(sizes[i], sizes[j]) - common <= edit)
+
     return traverse(bitmaps(sets, width), sizes, sides, percent, Forest(), list(range(len(sets))), exact)
 
 
@@ -276,8 +283,8 @@ def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int, signatures:
     return docs.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
 
 
-def _each_task(table: pa.Table):
-    """(nodes, sizes, sides, parts of the flat column) of each cluster task in a group."""
+def each_task(table: pa.Table):
+    """(leader, nodes, sizes, sides, parts of the flat column) of each cluster task in a group."""
     leader, parts, side, node, size, flat = A.gather(table, [A.expand] * 6)
     if not len(leader):
         return
@@ -290,7 +297,7 @@ def _each_task(table: pa.Table):
         one_part = (parts[mine[0]] >> 32) == (parts[mine[0]] & 0xFFFFFFFF)
         sides = np.zeros(len(mine), np.int8) if one_part else side[mine]
         if len(mine) > 1 and (one_part or len(np.unique(sides)) == 2):
-            yield node[mine].tolist(), size[mine], sides, [flat[begin[m] : begin[m] + length[m]] for m in mine]
+            yield int(leader[mine[0]]), node[mine].tolist(), size[mine], sides, [flat[begin[m] : begin[m] + length[m]] for m in mine]
 
 
 def _links(blobs: DataFrame, percent: int, exact: bool = True) -> DataFrame:
@@ -298,7 +305,7 @@ def _links(blobs: DataFrame, percent: int, exact: bool = True) -> DataFrame:
 
     def run(key, table):
         a, b = [], []
-        for nodes, sizes, sides, sets in _each_task(table):
+        for _, nodes, sizes, sides, sets in each_task(table):
             for i, j in link_cluster(sets, sides, percent) if exact else candidate_pairs(sets, sizes, sides, nodes, percent):
                 a.append(nodes[i])
                 b.append(nodes[j])

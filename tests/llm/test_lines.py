@@ -1,5 +1,7 @@
 """Lines that the fuzzy operator must judge whatever its parameters are."""
 
+import random
+
 from epochweave.llm import lines
 from tests.llm.conftest import document
 
@@ -13,3 +15,33 @@ def test_short_lines_repeat(spark, write):
     """Exact repeats go however short they are; blank lines stay."""
     rows = [(1, "Read more\n\nx\nonly here"), (2, " read MORE \n\ny\nx"), (3, "z\n \t\nRead more\nz"), (4, None), (None, "y\nonly there")]
     assert left(spark, write, rows) == {1: "Read more\n\nx\nonly here", 2: "\ny", 3: "z\n \t", 4: None, None: "only there"}
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_one_edited_word_in_short_lines(spark, write):
+    """Nearly all lines of 40 to 78 characters that differ in one word of up to seven letters are found, and no line that is far from all others goes."""
+    r = random.Random(11)
+    word = lambda least, most: "".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(least, most)))
+    pairs = []
+    while len(pairs) < 300:
+        words = [word(2, 7) for _ in range(r.randint(7, 13))]
+        other = list(words)
+        other[r.randrange(len(other))] = word(2, 7)
+        a, b = " ".join(words), " ".join(other)
+        if 40 <= min(len(a), len(b)) and max(len(a), len(b)) <= 78 and 1 <= distance(a, b) <= 7:
+            pairs.append((a, b))
+    alone = [a for a in (" ".join(word(2, 7) for _ in range(9)) for _ in range(100)) if 40 <= len(a) <= 78 and all(distance(a, x) > 20 for p in pairs for x in p)]
+    assert len(alone) > 30
+    rows = [(i, x) for i, x in enumerate([*(a for a, _ in pairs), *(b for _, b in pairs), *alone])]
+    got = left(spark, write, rows)
+    assert sum(got[300 + i] == "" for i in range(300)) >= 294
+    assert all(got[i] == rows[i][1] for i in [*range(300), *range(600, len(rows))])
