@@ -1,13 +1,19 @@
-"""Session defaults, table reading and materialisation."""
+"""Session defaults, table reading and intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files of a shuffle go as soon as the query that made it has ended, instead of when the driver collects its garbage.
+_BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
+
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "epochweave") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own settings."""
@@ -30,21 +36,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where all tasks run on this machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(_BRIEF, None)
+    spark.conf.set(_BRIEF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BRIEF)
+        else:
+            spark.conf.set(_BRIEF, before)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and lost executors lose nothing."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and lost executors lose nothing.
+
+    The table stays until ``discard``, or until ``release`` of the scope it was made in.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/epochweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    with brief_shuffles(spark):
+        df.write.parquet(path)
+    for tables in _open:
+        tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch)
+
+
+@contextmanager
+def scope(tables: list[str]) -> Iterator[None]:
+    """Collects in ``tables`` the folders of all intermediate tables made inside."""
+    _open.append(tables)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def release(spark: SparkSession, tables: list[str], reads: DataFrame | None = None) -> None:
+    """Delete the collected tables, but for those that ``reads`` is made of."""
+    used = {f.rsplit("/", 1)[0] for f in reads.inputFiles()} if reads is not None and tables else set()
+    stay = [p for p in tables if any(u.endswith(p.split("://")[-1].lstrip("/")) for u in used)]
+    for path in tables:
+        if path not in stay:
+            _delete(spark, path)
+    tables[:] = stay
 
 
 def repo_root() -> str:
