@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochweave.session import materialize
+from epochweave.session import discard, materialize
 
 EDGE = "a bigint, b bigint"
 
@@ -68,7 +68,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         lows = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lows, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(lows.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.distinct(), "edges")
+        last, now = now, materialize(small.distinct(), "edges")
+        discard(last)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break

@@ -39,7 +39,8 @@ from epochweave.llm import anchors as A
 from epochweave.llm import jaccard as J
 from epochweave.llm import kernels as k
 from epochweave.llm.components import components
-from epochweave.session import materialize
+from epochweave.llm.names import quoted, unused
+from epochweave.session import discard, materialize
 
 LEAST, CHARS, PERCENT = 40, 8, 80
 BANDS, ROWS = 16, 5
@@ -47,6 +48,8 @@ BANDS, ROWS = 16, 5
 SHORT, LONG = 128, 80
 SHORT_CHARS, SHORT_PERCENT, SHORT_EDIT = 4, 55, 12
 SHORT_BANDS, SHORT_ROWS = 16, 6
+#: Parts in which the lines of a component look up their first line.
+SALTS = 32
 #: Characters of distinct lines that a task holds before it passes them on.
 HELD = 6 << 20
 _random = np.random.default_rng(20240301)
@@ -81,30 +84,33 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, line_no int, line_id bigint")
 
 
-def _texts(docs: DataFrame, least: int, n: int) -> DataFrame:
-    """Blobs by line: line ids, byte lengths, bytes; equal lines that a task holds go once."""
+def fresh_lines(batches, least: int):
+    """Blocks {line id: line} of the lines of a task; equal lines of a block go once."""
+    found: dict[int, str] = {}
+    held = 0
+    for batch in batches:
+        for text in batch.column(0):
+            for _, line in normal_lines(text.as_py() or "", least):
+                key = line_id(line)
+                if key not in found:
+                    found[key] = line
+                    held += len(line)
+            if held > HELD:
+                yield found
+                found, held = {}, 0
+    if found:
+        yield found
+
 
-    def blobs(found: dict[int, bytes]):
-        ids, raw = np.fromiter(found, np.int64, len(found)), list(found.values())
-        size = np.fromiter(map(len, raw), np.int32, len(raw))
-        return A.deal(_home(ids, n), [(ids, A.squeeze), (size, A.squeeze), (np.arange(len(raw)), lambda m: A.squeeze(np.frombuffer(b"".join(raw[i] for i in m), np.uint8)))])
+def _texts(docs: DataFrame, least: int, n: int) -> DataFrame:
+    """Blobs by line: line ids, byte lengths, bytes."""
 
     def run(batches):
-        found: dict[int, bytes] = {}
-        held = 0
-        for batch in batches:
-            for text in batch.column(0):
-                for _, line in normal_lines(text.as_py() or "", least):
-                    key = line_id(line)
-                    if key not in found:
-                        found[key] = line.encode()
-                        held += len(line)
-                if held > HELD:
-                    yield from blobs(found)
-                    found, held = {}, 0
+        for found in fresh_lines(batches, least):
+            ids, raw = np.fromiter(found, np.int64, len(found)), [x.encode() for x in found.values()]
+            size = np.fromiter(map(len, raw), np.int32, len(raw))
+            yield from A.deal(_home(ids, n), [(ids, A.squeeze), (size, A.squeeze), (np.arange(len(raw)), lambda m, raw=raw: A.squeeze(np.frombuffer(b"".join(raw[i] for i in m), np.uint8)))])
             pa.default_memory_pool().release_unused()
-        if found:
-            yield from blobs(found)
 
     return docs.select("text").mapInArrow(run, A.BLOB)
 
@@ -113,19 +119,16 @@ def _home(ids: np.ndarray, n: int) -> np.ndarray:
     return (k.mix(ids.astype(np.uint64)) % k.U64(n)).astype(np.int64)
 
 
-def _unique_lines(table: pa.Table):
-    """Line id and text of each line of a group, once, in pieces."""
+def _wanted_lines(table: pa.Table, want: dict):
+    """Line id and bytes of each wanted line of a group, once."""
     seen: set[int] = set()
-    for row in table.to_pylist():
-        ids, size, flat = (A.expand(row[f"c{i}"]) for i in range(3))
-        raw, end = flat.tobytes(), np.cumsum(size)
-        out = []
-        for x, a, b in zip(ids.tolist(), (end - size).tolist(), end.tolist(), strict=True):
-            if x not in seen:
-                seen.add(x)
-                out.append((x, raw[a:b].decode()))
-        if out:
-            yield out
+    for row in table.select(["c0", "c1", "c2"]).to_batches(1):
+        ids, size = (A.expand(row.column(i)[0].as_py()) for i in range(2))
+        mine = [i for i, x in enumerate(ids.tolist()) if x in want and x not in seen and not seen.add(x)]
+        if mine:
+            flat, end = A.expand(row.column(2)[0].as_py()), np.cumsum(size)
+            for i in mine:
+                yield int(ids[i]), flat[end[i] - size[i] : end[i]]
 
 
 def shingles(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,18 +168,17 @@ def word_keys(lines: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids, np.int64), np.array(keys, np.uint64)
 
 
-def _bands(texts: DataFrame, chars: int, n: int) -> DataFrame:
+def _bands(docs: DataFrame, least: int, chars: int, n: int) -> DataFrame:
     """Blobs by band or word key: keys and line ids; the last bit of a key is 1 under the rule of short lines."""
     rules = [(chars, BANDS, ROWS, _FACTORS, lambda x: len(x) >= LONG), (SHORT_CHARS, SHORT_BANDS, SHORT_ROWS, _SHORT_FACTORS, lambda x: len(x) < SHORT)]
 
-    def run(key, table):
-        ids, keys = [], []
-        for lines in _unique_lines(table):
-            for a in range(0, len(lines), 4000):
-                for kind, (width, bands, rows, factors, judged) in enumerate(rules):
-                    part = [line for line in lines[a : a + 4000] if judged(line[1])]
-                    if not part:
-                        continue
+    def run(batches):
+        for found in fresh_lines(batches, least):
+            ids, keys = [], []
+            for kind, (width, bands, rows, factors, judged) in enumerate(rules):
+                mine = [x for x in found.items() if judged(x[1])]
+                for at in range(0, len(mine), 2000):
+                    part = mine[at : at + 2000]
                     grams, bounds = shingles([x for _, x in part], width)
                     keys.append(band_keys(grams, bounds, bands, rows, factors).ravel() & ~k.U64(1) | k.U64(kind))
                     ids.append(np.repeat(np.array([i for i, _ in part], np.int64), bands))
@@ -184,12 +186,11 @@ def _bands(texts: DataFrame, chars: int, n: int) -> DataFrame:
                         nodes, near = word_keys(part)
                         keys.append(near | k.U64(1))
                         ids.append(nodes)
-        if not ids:
-            return pa.Table.from_batches([], A.BLOB_SCHEMA)
-        ids, keys = np.concatenate(ids), np.concatenate(keys)
-        return pa.Table.from_batches(list(A.deal((keys >> k.U64(40)) % k.U64(n), [(keys, lambda x: A.squeeze(A.narrow(x, A.KEY))), (ids, A.squeeze)])), A.BLOB_SCHEMA)
+            if ids:
+                ids, keys = np.concatenate(ids), np.concatenate(keys)
+                yield from A.deal((keys >> k.U64(40)) % k.U64(n), [(keys, lambda x: A.squeeze(A.narrow(x, A.KEY))), (ids, A.squeeze)])
 
-    return texts.groupBy("bucket").applyInArrow(run, A.BLOB)
+    return docs.select("text").mapInArrow(run, A.BLOB)
 
 
 def _clusters(bands: DataFrame) -> DataFrame:
@@ -210,34 +211,34 @@ def _clusters(bands: DataFrame) -> DataFrame:
     return bands.groupBy("bucket").applyInArrow(run, "leader bigint, node bigint").distinct()
 
 
-def _members(texts: DataFrame, tasks: DataFrame, chars: int, n: int) -> DataFrame:
+def _members(texts: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
+    """Blobs by cluster task, as ``jaccard.member_blobs`` has them, with the bytes of the lines."""
+
     def run(key, left, right):
         want = defaultdict(list)
         for node, leader, part, parts in zip(*(right.column(c).to_pylist() for c in ("node", "leader", "part", "parts")), strict=True):
             want[node].append((leader, part, parts))
-        rows, sets = [], []
-        for lines in _unique_lines(left) if want else ():
-            for node, line in lines:
-                if node not in want:
-                    continue
-                grams = [np.unique(shingles([line], width)[0]) for width in (chars, SHORT_CHARS)]
-                for leader, mine, parts in want[node]:
-                    own = grams[leader & 1]
-                    for other in range(parts):
-                        rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, len(own), len(own)))
-                        sets.append(own)
-        return J.member_blobs(rows, sets, n)
+        rows, raws = [], []
+        for node, raw in _wanted_lines(left, want) if want else ():
+            for leader, mine, parts in want[node]:
+                for other in range(parts):
+                    rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, len(raw), len(raw)))
+                    raws.append(raw)
+        return J.member_blobs(rows, raws, n)
 
     return texts.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
 
 
-def _links(blobs: DataFrame, percent: int) -> DataFrame:
+def _links(blobs: DataFrame, chars: int, percent: int) -> DataFrame:
     """(a, b): pairs that join the lines of each cluster task that link by their cluster's rule."""
 
     def run(key, table):
         a, b = [], []
-        for leader, nodes, _, sides, sets in J.each_task(table):
-            for i, j in J.link_cluster(sets, sides, SHORT_PERCENT, SHORT_EDIT) if leader & 1 else J.link_cluster(sets, sides, percent):
+        for leader, nodes, _, sides, raws in J.each_task(table):
+            short = bool(leader & 1)
+            grams, bounds = shingles([x.tobytes().decode() for x in raws], SHORT_CHARS if short else chars)
+            sets = [np.unique(grams[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            for i, j in J.link_cluster(sets, sides, SHORT_PERCENT, SHORT_EDIT) if short else J.link_cluster(sets, sides, percent):
                 a.append(nodes[i])
                 b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -249,15 +250,19 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, perce
     """(doc_id, node, gone): the line numbers that go, for each document (id and text hash) that loses any."""
     n = A.buckets(docs.sparkSession)
     noded = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    clusters = materialize(_clusters(_bands(noded, least, chars, n)), "bands")
+    links = materialize(_links(_members(_texts(noded, least, n), _tasks(clusters, n), n), chars, percent), "links")
+    roots = components(links)
+    discard(clusters, links)
     seen = materialize(_occurrences(noded), "lines")
-    texts = _texts(noded, least, n)
-    clusters = materialize(_clusters(_bands(texts, chars, n)), "bands")
-    roots = components(_links(_members(texts, _tasks(clusters, n), chars, n), percent))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "line_no")
     lines = seen.withColumn("at", order).groupBy("line_id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     placed = lines.join(roots, lines["line_id"] == roots["node"], "left").select("line_id", "first", "n", "root")
-    firsts = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("root_first"))
-    judged = placed.where("n > 1 or root is not null").join(firsts, "root", "left").select("line_id", F.coalesce("root_first", "first").alias("stays"))
+    alone = placed.where("root is null and n > 1").select("line_id", F.col("first").alias("stays"))
+    # One component may hold a third of all lines: its first line is found by partial minima and met by salted keys.
+    grouped = placed.where("root is not null").withColumn("salt", F.pmod("line_id", F.lit(SALTS)))
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("stays")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    judged = alone.unionByName(grouped.join(firsts, ["root", "salt"]).select("line_id", "stays"))
     gone = seen.withColumn("at", order).join(judged, "line_id").where(~F.col("at").eqNullSafe(F.col("stays")))
     return gone.groupBy("doc_id", "node").agg(F.collect_set("line_no").alias("gone"))
 
@@ -273,16 +278,22 @@ def _tasks(clusters: DataFrame, n: int) -> DataFrame:
     return J._tasks(clusters, n).mapInArrow(run, "node bigint, leader bigint, part int, parts int, bucket int")
 
 
-def drop_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with texts that have lost their repeated lines, n_chars made to fit where it is there, and n_lines_gone."""
-    gone = dropped_lines(docs, least, chars, percent).select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"), "gone")
-    noded = docs.drop("n_lines_gone").withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = noded.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__node") == F.col("gone_node")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    out = both.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+def drop_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, percent: int = PERCENT, count: str | None = "n_lines_gone") -> DataFrame:
+    """``docs`` with texts that have lost their repeated lines, n_chars made to fit where it is there, and the lines gone.
+
+    These are counted in a column ``count``, which takes the place of one of that name; None: no such column.
+    """
+    gone_id, gone_node, node, lost = unused(docs, "gone_id", "gone_node", "node", "lost")
+    gone = dropped_lines(docs, least, chars, percent).select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node), F.col("gone").alias(lost))
+    noded = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = noded.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
+    same = F.col(lost).isNull()
+    out = both.withColumn("text", F.when(same, F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[c for c in docs.columns if c != "n_lines_gone"], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_gone"))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    found = [] if count is None else [F.when(same, F.lit(0)).otherwise(F.size(lost)).cast("long").alias(count)]
+    return out.select(*[quoted(c) for c in docs.columns if c != count], *found)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -290,4 +301,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_lines(docs)
-    return out.select("doc_id", F.coalesce(F.size(F.split("text", "\n")).cast("long"), F.lit(0)).alias("n_lines_kept"), F.col("n_lines_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    kept = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", kept.cast("long").alias("n_lines_kept"), F.col("n_lines_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

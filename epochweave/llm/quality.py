@@ -98,7 +98,7 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    count = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).cast("double")
+    count = lambda pattern: F.length(F.regexp_replace(text, f"[{pattern[2:-1]}]+" if pattern[1] == "^" else f"[^{pattern[1:-1]}]+", "")).cast("double")
     known = sorted({v for ws in COMMON.values() for w in ws for v in (w, w.capitalize())})
     held = docs.withColumn("q_words", words).withColumn("q_found", F.transform(F.filter("q_words", lambda w: w.isin(known)), F.lower)).withColumn("q_lines", lines)
     held = held.select(
