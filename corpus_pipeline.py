@@ -1,39 +1,67 @@
-"""The corpus pipeline: quality, lines, near duplicates, mixing, packing."""
+"""The corpus pipeline: quality, lines, near duplicates, mixing, packing.
+
+What a stage returns must be written before the next stage is called, as
+``run`` does: the next stage deletes the intermediate tables of those before
+it, but for any that its ``docs`` still reads.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from epochweave.llm import jaccard, lines, mixing, packing, quality
-from epochweave.session import materialize, table
+from epochweave.session import materialize, release, scope, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """``stage``, which first deletes what earlier stages have left."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _tables, docs)
+        with scope(_tables):
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules keep."""
     return quality.keep_good(docs)
 
 
+@_tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat, exactly or nearly; every document stays, empty ones too."""
-    return lines.drop_lines(docs).select(*docs.columns)
+    return lines.drop_lines(docs, count=None)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard.keep_one(docs).select(*docs.columns)
+    return jaccard.keep_one(docs)
 
 
+@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate says."""
     return mixing.mix_documents(docs)
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, repeats included, with their sequence and place there."""
     return packing.pack_documents(docs)
 
 
-STAGES = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),

@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from epochweave.llm import anchors as A
 from epochweave.llm import kernels as k
 from epochweave.llm.components import Forest, components, sorted_overlap
-from epochweave.session import materialize
+from epochweave.llm.names import unused
+from epochweave.session import discard, materialize
 
 WORDS, PERCENT = 5, 75
 BINS = 1 << 14
 BLOCK = 4096
-LEAF, FAN = 16, 8
+LEAF, FAN, FEW = 16, 8, 6
 
 
 def shingle_sets(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +208,11 @@ def link_cluster(sets: list[np.ndarray], sides: np.ndarray, percent: int, edit:
         common = sorted_overlap(sets[i], sets[j])
         return common * (100 + percent) >= percent * (sizes[i] + sizes[j]) and (edit is None or max(sizes[i], sizes[j]) - common <= edit)
 
+    if len(sets) <= FEW:  # a tree of one leaf: its pairs
+        forest = Forest()
+        across = len(np.unique(sides)) > 1
+        pairs = ((i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not across or sides[i] != sides[j])
+        return [(i, j) for i, j in pairs if forest.find(i) != forest.find(j) and exact(i, j) and forest.join(i, j)]
     return traverse(bitmaps(sets, width), sizes, sides, percent, Forest(), list(range(len(sets))), exact)
 
 
@@ -252,6 +258,20 @@ def member_blobs(rows: list[tuple], sets: list[np.ndarray], n: int) -> pa.Table:
     return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), ((size << 32) | length, A.squeeze), (np.arange(len(rows)), flat)])), A.BLOB_SCHEMA)
 
 
+def _texts(docs: DataFrame, n: int) -> DataFrame:
+    """(node, text, bucket): each text at most once from a task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = [i for i, x in enumerate(batch.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+            yield batch.take(pa.array(fresh, pa.int64()))
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, text string").withColumn("bucket", _bucket("node", n))
+
+
 def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int, signatures: bool = False) -> DataFrame:
     """Blobs by cluster task: leader, first and second part, side, node, set size, set or its signature."""
 
@@ -325,11 +345,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         crowd[r["a"]] = r["n"]
     crowd = np.where(crowd > 2 * np.median(crowd), crowd, 0)
     clusters = materialize(_clusters(_filed(noded, crowd, words, percent, n), percent), "clusters")
-    homed = noded.select("node", "text", _bucket("node", n).alias("bucket"))
+    # One row of each text goes on: copies are dropped within each task before texts are sent anywhere.
+    homed = _texts(noded, n)
     # Signatures first: what may link makes clusters that do not overlap, so each whole set travels once.
     hopeful = components(_links(_members(homed, _tasks(clusters, n), words, n, signatures=True), percent, exact=False))
     close = hopeful.select(F.col("root").alias("leader"), "node")
     roots = components(_links(_members(homed, _tasks(close, n), words, n), percent))
+    discard(clusters)
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -342,9 +364,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Repeated rows of the kept id and text stay together.
     """
-    found = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
-    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(found, (F.col("doc_id") == F.col("gone_id")) & (F.col("__node") == F.col("gone_node")), "left_anti").drop("__node")
+    gone_id, gone_node, node = unused(docs, "gone_id", "gone_node", "node")
+    found = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
+    keyed = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, (F.col("doc_id") == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti").drop(node)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,8 @@ SHORT_BANDS, SHORT_ROWS = 16, 6
 SALTS = 32
 #: Characters of distinct lines that a task holds before it passes them on.
 HELD = 6 << 20
+#: Lines that are hashed at once.
+AT_ONCE = 2000
 _random = np.random.default_rng(20240301)
 _FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _SHORT_FACTORS = _random.integers(0, 1 << 32, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32) | np.uint32(1)
@@ -131,41 +133,66 @@ def _wanted_lines(table: pa.Table, want: dict):
                 yield int(ids[i]), flat[end[i] - size[i] : end[i]]
 
 
-def shingles(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of each line and the lines' offsets among them; short lines are one shingle."""
+def shingles(lines: list[str], chars: int, mixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all character shingles of each line and the lines' offsets among them; short lines are one shingle.
+
+    Hashes that are not ``mixed`` tell shingles apart, but their bits are not even.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    count = np.maximum(size - chars + 1, 1)
-    row = np.repeat(np.arange(len(size)), count)
-    begin = np.cumsum(size) - size
-    first = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    grams = k.spans(k.prefix(codes + k.U64(1)), first, first + np.minimum(size, chars)[row])
-    return grams, np.concatenate([[0], np.cumsum(count)])
+    end = np.cumsum(size)
+    sums = k.prefix(codes + k.U64(1))
+    if size.min(initial=chars) < chars:
+        count = np.maximum(size - chars + 1, 1)
+        row = np.repeat(np.arange(len(size)), count)
+        first = (end - size)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        return k.spans(sums, first, first + np.minimum(size, chars)[row]), np.concatenate([[0], np.cumsum(count)])
+    inside = np.ones(max(len(codes) - chars + 1, 0), bool)
+    for i in range(1, chars):  # shingles that reach into the next line
+        inside[end[:-1] - i] = False
+    grams = (sums[chars:] - sums[:-chars]) * k.powers(len(sums))[1][: len(sums) - chars]
+    grams = grams[inside]
+    return k.mix(grams) if mixed else grams, np.concatenate([[0], np.cumsum(size - chars + 1)])
+
+
+def shingle_sets(lines: list[str], chars: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    grams, bounds = shingles(lines, chars)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        x = np.sort(grams[a:b])
+        out.append(x[np.flatnonzero(np.diff(x, prepend=~x[:1]))])
+    return out
 
 
 def band_keys(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int, factors: np.ndarray) -> np.ndarray:
     """(line, band) keys from least values of permuted shingle hashes; odd factors permute 32-bit hashes."""
-    low = (grams >> k.U64(32)).astype(np.uint32)
+    low = ((grams ^ (grams >> k.U64(32))) * k.U64(0x9E3779B97F4A7C15) >> k.U64(32)).astype(np.uint32)
     out = np.empty((len(bounds) - 1, bands), np.uint64)
     for band in range(bands):
         key = np.full(len(bounds) - 1, band + 1, np.uint64)
         for j in range(band * rows, band * rows + rows):
             least = np.minimum.reduceat(low * factors[j], bounds[:-1])
-            key = k.mix(key * k.U64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = key
+            key = key * k.U64(0x9E3779B97F4A7C15) + least
+        out[:, band] = k.mix(key)
     return out
 
 
 def word_keys(lines: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Line ids and hashes of each line and of what is left without one of its words: lines that differ in one word share one."""
-    ids, keys = [], []
-    for node, line in lines:
-        words = line.split()
-        rest = [words, *(words[:i] + words[i + 1 :] for i, w in enumerate(words) if len(w) <= SHORT_EDIT)]
-        found = {xxhash.xxh3_64_intdigest(" ".join(x).encode(), 1) for x in rest}
-        keys += found
-        ids += [node] * len(found)
-    return np.array(ids, np.int64), np.array(keys, np.uint64)
+    raw = [x.encode() for _, x in lines]
+    offsets = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, bounds = k.words(data, offsets)
+    sums = k.prefix(k.word_hashes(data, starts, ends))
+    down = k.powers(len(sums))[1]
+    word = np.flatnonzero(ends - starts <= SHORT_EDIT)
+    line = np.searchsorted(bounds, word, "right") - 1
+    a, b = bounds[line], bounds[line + 1]
+    # The words after the one left out move up by one.
+    rest = k.mix((sums[word] - sums[a] + (sums[b] - sums[word + 1]) * down[1]) * down[a])
+    nodes = np.array([i for i, _ in lines], np.int64)
+    return np.concatenate([nodes, nodes[line]]), np.concatenate([k.spans(sums, bounds[:-1], bounds[1:]), rest])
 
 
 def _bands(docs: DataFrame, least: int, chars: int, n: int) -> DataFrame:
@@ -177,9 +204,9 @@ def _bands(docs: DataFrame, least: int, chars: int, n: int) -> DataFrame:
             ids, keys = [], []
             for kind, (width, bands, rows, factors, judged) in enumerate(rules):
                 mine = [x for x in found.items() if judged(x[1])]
-                for at in range(0, len(mine), 2000):
-                    part = mine[at : at + 2000]
-                    grams, bounds = shingles([x for _, x in part], width)
+                for at in range(0, len(mine), AT_ONCE):
+                    part = mine[at : at + AT_ONCE]
+                    grams, bounds = shingles([x for _, x in part], width, mixed=False)
                     keys.append(band_keys(grams, bounds, bands, rows, factors).ravel() & ~k.U64(1) | k.U64(kind))
                     ids.append(np.repeat(np.array([i for i, _ in part], np.int64), bands))
                     if kind:
@@ -198,10 +225,15 @@ def _clusters(bands: DataFrame) -> DataFrame:
 
     def run(key, table):
         keys, ids = A.gather(table, [lambda x: A.widen(A.expand(x), A.KEY), A.expand])
-        order = np.lexsort((ids, keys))
+        order = np.argsort(keys)
+        again = np.diff(keys[order], prepend=~keys[order][:1]) == 0
+        again[:-1] |= again[1:].copy()
+        order = order[again]  # keys that come once are most of all
+        order = order[np.lexsort((ids[order], keys[order]))]
         keys, ids = keys[order], ids[order]
-        cut = np.ones(len(keys), bool)
-        cut[1:] = keys[1:] != keys[:-1]
+        fresh = (np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(ids, prepend=~ids[:1]) != 0)
+        keys, ids = keys[fresh], ids[fresh]  # a line may have been passed on more than once
+        cut = np.diff(keys, prepend=~keys[:1]) != 0
         group, at = np.cumsum(cut) - 1, np.flatnonzero(cut)
         many = np.bincount(group, minlength=1)[group] > 1
         leader = ids[at] & ~1 | (keys[at] & k.U64(1)).astype(np.int64)
@@ -234,26 +266,40 @@ def _links(blobs: DataFrame, chars: int, percent: int) -> DataFrame:
 
     def run(key, table):
         a, b = [], []
-        for leader, nodes, _, sides, raws in J.each_task(table):
-            short = bool(leader & 1)
-            grams, bounds = shingles([x.tobytes().decode() for x in raws], SHORT_CHARS if short else chars)
-            sets = [np.unique(grams[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            for i, j in J.link_cluster(sets, sides, SHORT_PERCENT, SHORT_EDIT) if short else J.link_cluster(sets, sides, percent):
-                a.append(nodes[i])
-                b.append(nodes[j])
+        for tasks in _blocks(J.each_task(table)):
+            for short in (False, True):
+                mine = [t for t in tasks if bool(t[0] & 1) == short]
+                sets = iter(shingle_sets([x.tobytes().decode() for t in mine for x in t[4]], SHORT_CHARS if short else chars) if mine else ())
+                for _, nodes, _, sides, raws in mine:
+                    found = [next(sets) for _ in raws]
+                    for i, j in J.link_cluster(found, sides, SHORT_PERCENT, SHORT_EDIT) if short else J.link_cluster(found, sides, percent):
+                        a.append(nodes[i])
+                        b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blobs.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
 
+def _blocks(tasks, most: int = 1 << 20):
+    """Lists of tasks of about ``most`` bytes."""
+    block, held = [], 0
+    for task in tasks:
+        block.append(task)
+        held += sum(map(len, task[4]))
+        if held > most:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, node, gone): the line numbers that go, for each document (id and text hash) that loses any."""
     n = A.buckets(docs.sparkSession)
     noded = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     clusters = materialize(_clusters(_bands(noded, least, chars, n)), "bands")
-    links = materialize(_links(_members(_texts(noded, least, n), _tasks(clusters, n), n), chars, percent), "links")
-    roots = components(links)
-    discard(clusters, links)
+    roots = components(_links(_members(_texts(noded, least, n), _tasks(clusters, n), n), chars, percent))
+    discard(clusters)
     seen = materialize(_occurrences(noded), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "line_no")
     lines = seen.withColumn("at", order).groupBy("line_id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))

@@ -1,16 +1,21 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Per document: counts of words, symbols, repeated lines and repeated 8-word
-windows, and two histograms, of character classes and of common words. Each
-histogram is held against its language's reference, which is summed over all
-documents of that language, by the Jensen-Shannon distance (base 2, so 0 to
-1). A document is rejected if a base rule fails, or if a distance is above its
-limit and the text is long enough for the distance to mean something.
-
-Nulls: a null text has no words and fails the base rule; a language that is
-null or has no common-word list is held against character classes of its own
-group only. Repeated rows are judged alike. An empty table gives an empty
-result. Nothing is shuffled but the per-language sums.
+windows, and two histograms, of character classes and of common words. A
+language's common words are those that most of its documents hold, by count;
+its references are the means of its documents' histograms, each document
+counting alike however long it is. Documents of fewer than ``MIN_WORDS`` words
+do not count, and a language with fewer than ``SUPPORT`` others has no
+reference. Each histogram is held against its language's reference by the
+Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a base
+rule fails, or if a distance is above its limit, which falls with the number
+of words: short texts differ from any reference by chance.
+
+Nulls: a null text has no words and fails the base rule; the null language is
+a language. Without a reference only the base rules count. Repeated rows are
+judged alike. An empty table gives an empty result. Nothing is written or
+shuffled but counts per language and word and sums per language. Extra columns
+stay; result columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -18,39 +23,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epochweave.session import materialize
+from epochweave.llm.names import quoted, unused
+from epochweave.session import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Common words of each language, most frequent first.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "as", "with", "be", "by"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "ist", "im", "nicht", "ein", "auch"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "dans", "pour", "pas", "sur"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "una", "para"],
-}
 #: Character classes; small letters and all else make up the rest.
 CLASSES = ["[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[.,;:!?]", r"[^\x00-\x7F]"]
-#: Distances above these are too far from a language's usual text.
-CLASS_LIMIT, WORD_LIMIT = 0.36, 0.30
-#: Shorter texts are not judged by that histogram: characters of words; words.
-CLASS_LEAST, WORD_LEAST = 300, 100
+#: Common words of a language; documents that a reference needs; parts of one in which a document's histogram is summed.
+COMMON, SUPPORT, PARTS = 16, 25, 1_000_000
 MIN_WORDS = 20
+#: Parts of the vocabulary that rank their words apart; a reference table of at most so many languages is broadcast.
+SALTS, FEW_LANGS = 64, 10_000
 
 
-def word_limit_of(n: Column) -> Column:
-    """The limit of the word distance for ``n`` words; its sampling noise falls with the root of ``n``.
+#: Fixed values of the limit, read from the 3,980 labels of sf0.1: of clean texts of 200 words or more the word distance is 0.193
+#: at most and the class distance 0.170, and below that the word distance times the root of the number of words is 2.97 at most.
+#: Of junk of 100 words or more the word distance is 0.238 at least, mostly above 0.3.
+FLOOR, NOISE = 0.22, 2.9
 
-    Fixed values, read from the 3,980 labels of sf0.1: of clean texts, the
-    distance times the root of ``n`` is 2.54 at most under 100 words and 3.13
-    above, and the distance 0.243 from 100 words on, 0.195 from 200 and 0.132
-    from 400; that of junk of 300 words or more is 0.239 at least.
-    """
-    root = F.sqrt(n)
-    return F.greatest(F.lit(0.20), F.least(3.2 / root, F.greatest(F.lit(0.25), 2.6 / root)))
+
+def limit_of(n: Column) -> Column:
+    """The limit of both distances for a text of ``n`` words: their sampling noise falls with the root of ``n``."""
+    return F.greatest(F.lit(FLOOR), NOISE / F.sqrt(F.greatest(n, F.lit(1))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,99 +91,128 @@ def distance(p: Column, q: Column) -> Column:
     return joint
 
 
-def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with the base rules' counts and the histograms (q_ names)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    count = lambda pattern: F.length(F.regexp_replace(text, f"[{pattern[2:-1]}]+" if pattern[1] == "^" else f"[^{pattern[1:-1]}]+", "")).cast("double")
-    known = sorted({v for ws in COMMON.values() for w in ws for v in (w, w.capitalize())})
-    held = docs.withColumn("q_words", words).withColumn("q_found", F.transform(F.filter("q_words", lambda w: w.isin(known)), F.lower)).withColumn("q_lines", lines)
-    held = held.select(
-        *carry,
-        F.size("q_words").cast("long").alias("q_n_words"),
-        F.aggregate("q_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("q_chars"),
-        F.array(*map(count, CLASSES)).alias("q_some"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("q_dup_lines"),
-        repeated_words(F.col("q_words")).alias("q_repeat"),
-        "q_found",
-    )
-    lists = F.lit(None).cast("array<string>")
-    for lang, ws in COMMON.items():
-        lists = F.when(F.col("lang") == lang, F.array(*map(F.lit, ws))).otherwise(lists)
-    plus = lambda a, x: a + x
-    found = F.transform(lists, lambda w: F.size(F.filter("q_found", lambda x: x == w)).cast("double"))
-    rest = lambda whole, some: F.concat(some, F.array(F.greatest(whole - F.aggregate(some, F.lit(0.0), plus), F.lit(0.0))))
-    return held.select(
-        *carry,
-        "q_n_words",
-        "q_chars",
-        F.element_at("q_some", 3).cast("long").alias("q_symbols"),
-        "q_dup_lines",
-        "q_repeat",
-        rest(F.col("q_chars").cast("double"), F.col("q_some")).alias("q_classes"),
-        let(found, lambda f: F.when(f.isNotNull(), rest(F.col("q_n_words").cast("double"), f))).alias("q_common"),
-    )
-
-
-def references(measured: DataFrame) -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): sums over all documents of each language."""
-    n_classes, n_common = len(CLASSES) + 1, len(next(iter(COMMON.values()))) + 1
-    sums = [F.sum(F.get("q_classes", F.lit(i))).alias(f"a{i}") for i in range(n_classes)] + [F.sum(F.get("q_common", F.lit(i))).alias(f"b{i}") for i in range(n_common)]
-    both = measured.groupBy("lang").agg(*sums)
-    return both.select(F.col("lang").alias("ref_lang"), F.array(*(f"a{i}" for i in range(n_classes))).alias("ref_classes"), F.when(F.col("b0").isNotNull(), F.array(*(f"b{i}" for i in range(n_common)))).alias("ref_common"))
-
-
-def judge(docs: DataFrame, carry: list[str] | None = None, class_limit: float = CLASS_LIMIT, word_limit: float | Column = WORD_LIMIT, word_least: int = WORD_LEAST, few_langs: int = 10_000) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all by default) with the measures, class_distance, word_distance, base_failed and kept.
-
-    Texts are read once: the measures are written, and the references, one row
-    per language, are summed from them. These are broadcast only if the
-    counted rows are few, else joined by a shuffle.
-    """
-    own = docs.drop(*[c for c in docs.columns if c.startswith("q_")])
-    if "lang" not in own.columns:
-        own = own.withColumn("lang", F.lit(None).cast("string"))
-    carry = own.columns if carry is None else [c for c in carry if c in own.columns]
-    measured = materialize(measures(own, [*dict.fromkeys([*carry, "lang"])]), "measures")
-    refs = materialize(references(measured), "references")
-    few = refs.limit(few_langs + 1).count() <= few_langs
-    joined = measured.join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    failed = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_repeat") > 30 * F.col("q_n_words"))
-    far = F.coalesce((F.col("q_chars") >= CLASS_LEAST) & (F.col("class_distance") > class_limit), F.lit(False)) | F.coalesce((F.col("q_n_words") >= word_least) & (F.col("word_distance") > word_limit), F.lit(False))
-    return (
-        joined.withColumn("class_distance", distance(F.col("q_classes"), F.col("ref_classes")))
-        .withColumn("word_distance", distance(F.col("q_common"), F.col("ref_common")))
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def class_counts(text: Column, chars: Column) -> Column:
+    """Characters of each class and all others among ``chars`` characters in words."""
+    kept = [F.regexp_replace(text, f"[{c[2:-1]}]+" if c[1] == "^" else f"[^{c[1:-1]}]+", "") for c in CLASSES]
+    return let(F.array(*(F.length(x).cast("long") for x in kept)), lambda some: with_rest(some, chars))
+
+
+def with_rest(some: Column, whole: Column) -> Column:
+    return F.concat(some, F.array(F.greatest(whole - F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))))
+
+
+def word_counts(words: Column, common: Column) -> Column:
+    """How often each of ``common`` stands in ``words``, and the number of all others; NULL without a list."""
+    found = F.filter(words, lambda w: F.array_contains(common, w))
+    counts = let(found, lambda f: F.transform(common, lambda c: F.size(F.filter(f, lambda w: w == c)).cast("long")))
+    return F.when(common.isNotNull(), with_rest(counts, F.size(words).cast("long")))
+
+
+def word_chars(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """(ref_lang, ref_words): the words that most documents of a language hold, ties by code point, of languages with support."""
+    held = docs.select("lang", words_in(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    counted = held.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("n"), F.asc("word")]
+    # The best of each part of the vocabulary first, so that no task ranks all words of a language.
+    some = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(SALTS))).orderBy(*order))).where(F.col("rank") <= COMMON)
+    best = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= COMMON)
+    lists = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ranked"))
+    return lists.select(F.col("lang").alias("ref_lang"), F.col("ranked.word").alias("ref_words"))
+
+
+def _by_language(docs: DataFrame, per_language: DataFrame) -> DataFrame:
+    """``docs`` with its language's row; broadcast only if the counted languages are few, else joined by a shuffle."""
+    few = per_language.limit(FEW_LANGS + 1).count() <= FEW_LANGS
+    return docs.join(F.broadcast(per_language) if few else per_language, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+
+
+def references(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(ref_lang, ref_words, ref_classes, ref_common): sums of the shares of all documents of a language that has support."""
+    held = docs.select("lang", "text", words_in(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS).withColumn("chars", word_chars(F.col("words")))
+    joined = _by_language(held, lists)
+    counts = joined.select("ref_lang", "ref_words", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words")).alias("b"))
+    parts = lambda x, n: F.expr(f"sum({x} * {PARTS}L div {n})")  # noqa: E731  whole numbers, so that sums do not hang on their order
+    sums = [parts(f"a[{i}]", "chars").alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [parts(f"get(b, {i})", "n").alias(f"b{i}") for i in range(COMMON + 1)]
+    both = counts.groupBy("ref_lang").agg(F.first("ref_words").alias("ref_words"), F.count(F.lit(1)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
+    common = F.filter(F.array(*(f"b{i}" for i in range(COMMON + 1))), lambda x: x.isNotNull())
+    return both.select("ref_lang", "ref_words", F.array(*(f"a{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), common.alias("ref_common"))
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
+
+
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default, but for ``MEASURES``) and ``MEASURES``."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in MEASURES]
+    packed, lang = unused(docs, "packed_row", "lang")
+    # The user's columns travel in one struct, so that no name clashes.
+    own = docs.select(F.struct(*map(quoted, carry)).alias(packed) if carry else F.lit(None).alias(packed), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    lists = materialize(common_words(own), "lists")
+    refs = materialize(references(own, lists), "references")
+    discard(lists)
+    found = _by_language(own.withColumn("words", words_in(F.col("text"))), refs)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    measured = found.select(
+        packed,
+        F.size("words").cast("long").alias("n_words"),
+        word_chars(F.col("words")).alias("word_chars"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).alias("n_repeat_words"),
+        word_counts(F.col("words"), F.col("ref_words")).alias("common"),
+        "text", "ref_classes", "ref_common",
+    ).withColumn("classes", class_counts(F.col("text"), F.col("word_chars")))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    enough = F.col("n_words") >= MIN_WORDS
+    far = enough & (F.greatest("class_distance", "word_distance") > limit_of(F.col("n_words")))
+    judged = (
+        measured.withColumn("n_symbols", F.element_at("classes", 3))
+        .withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes")))
+        .withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~far)
-        .select(*carry, "q_n_words", "q_chars", "q_symbols", "q_dup_lines", "q_repeat", "class_distance", "word_distance", "base_failed", "kept")
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     )
+    return judged.select(*[F.col(packed).getField(c).alias(c) for c in carry], *MEASURES)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``; the word distance is judged by the number of words."""
-    return judge(docs, word_limit=word_limit_of(F.col("q_n_words")), word_least=MIN_WORDS).where("kept").select(*docs.columns)
+    """The rows that are kept, with the columns of ``docs``."""
+    row, fence = unused(docs, "good_row", "fence")
+    # A column that is not deterministic keeps the filter above the measures, which would be made once for each of its parts.
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias(row), *(c for c in ("lang", "text") if c in docs.columns))
+    good = judge(held, [row]).withColumn(fence, F.monotonically_increasing_id()).where(F.col("kept") & (F.col(fence) >= 0))
+    return good.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
 
 
-_COMMON_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN {ws!r}" for k, ws in COMMON.items()) + " END"
 _JS = """CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i:
   CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END
   + CASE WHEN {q}[i] > 0 THEN {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END)) / 2)) END"""
 SQL = f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+v AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE len(ws) >= {MIN_WORDS}) GROUP BY lang, word),
+c AS (SELECT lang AS l, list(word ORDER BY n DESC, word) AS common FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON}) GROUP BY lang),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w),
 dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '{CLASSES[2]}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-  [{", ".join(f"len(regexp_extract_all(text, '{c}'))" for c in CLASSES)}]::DOUBLE[] AS cs,
-  list_transform({_COMMON_SQL}, lambda c: len(list_filter(ws, lambda x: x = c OR x = upper(c[1]) || c[2:])))::DOUBLE[] AS fs FROM w LEFT JOIN rep USING (doc_id)),
-h AS (SELECT *, list_append(cs, greatest(word_chars - list_sum(cs), 0)) AS p1, CASE WHEN fs IS NOT NULL THEN list_append(fs, greatest(n_words - list_sum(fs), 0)) END AS p2 FROM m),
-r AS (SELECT lang AS l, [{", ".join(f"sum(p1[{i + 1}])" for i in range(len(CLASSES) + 1))}] AS q1, [{", ".join(f"sum(p2[{i + 1}])" for i in range(len(COMMON["en"]) + 1))}] AS q2 FROM h GROUP BY lang),
-j AS (SELECT h.*, {_JS.format(p="p1", q="q1")} AS d1, {_JS.format(p="p2", q="q2")} AS d2, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h JOIN r ON h.lang IS NOT DISTINCT FROM r.l)
+  [{", ".join(f"len(regexp_extract_all(text, '{x}'))" for x in CLASSES)}]::BIGINT[] AS cs,
+  list_transform(common, lambda y: len(list_filter(ws, lambda x: x = y)))::BIGINT[] AS fs FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN c ON lang IS NOT DISTINCT FROM l),
+h AS (SELECT *, list_append(cs, greatest(word_chars - list_sum(cs), 0)::BIGINT) AS k1, CASE WHEN fs IS NOT NULL THEN list_append(fs, greatest(n_words - list_sum(fs), 0)::BIGINT) END AS k2 FROM m),
+r AS (SELECT lang AS l, [{", ".join(f"sum(k1[{i + 1}] * {PARTS} // word_chars)" for i in range(len(CLASSES) + 1))}]::DOUBLE[] AS q1,
+  list_filter([{", ".join(f"sum(k2[{i + 1}] * {PARTS} // n_words)" for i in range(COMMON + 1))}]::DOUBLE[], lambda x: x IS NOT NULL) AS q2 FROM h WHERE n_words >= {MIN_WORDS} GROUP BY lang HAVING count(*) >= {SUPPORT}),
+g AS (SELECT h.* EXCLUDE (k1, k2), k1::DOUBLE[] AS p1, k2::DOUBLE[] AS p2, q1, q2, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h LEFT JOIN r ON h.lang IS NOT DISTINCT FROM r.l),
+j AS (SELECT *, {_JS.format(p="p1", q="q1")} AS d1, {_JS.format(p="p2", q="q2")} AS d2 FROM g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(word_chars >= {CLASS_LEAST} AND d1 > {CLASS_LIMIT}, false) AND NOT coalesce(n_words >= {WORD_LEAST} AND d2 > {WORD_LIMIT}, false) AS kept,
+  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND greatest(d1, d2) > greatest({FLOOR}, {NOISE} / sqrt(greatest(n_words, 1))), false) AS kept,
   round(d1, 4) AS class_distance, round(d2, 4) AS word_distance FROM j
 """
 
@@ -193,5 +220,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op1(spark, sf_dir: str) -> DataFrame:
     from epochweave.session import table
 
-    out = judge(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", F.col("q_n_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), "base_failed", "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
+    return out.withColumn("class_distance", F.round("class_distance", 4)).withColumn("word_distance", F.round("word_distance", 4))
