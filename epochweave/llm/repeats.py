@@ -1,17 +1,20 @@
 """Suffix-array dedup by common-prefix intervals.
 
-Bytes that stand in a smaller document already go. Occurrences of equal
-contexts of content-chosen anchors (``anchors``) share one entry, the smallest
-document's; where contexts differ under a key, all their suffixes of at least
+Bytes that stand in a smaller document already go. The distinct pieces under
+some anchor keys (``anchors``) make up a block; their suffixes of at least
 ``window`` bytes form an enhanced suffix array: sorted suffixes and the common
-prefix of neighbours. A stack scan lists the common-prefix intervals; an
-interval whose suffixes follow different bytes cannot be extended to the left,
-so it is a maximal repeat, and it is given with all its occurrences.
+prefix of neighbours. A stack scan lists its common-prefix intervals; one
+whose suffixes follow different bytes cannot be extended to the left, so it is
+a maximal repeat of the block, and it is given with all its occurrences. A
+piece that stands in several places is a suffix with several occurrences, so
+its leaf is a repeat as well. Of each repeat group the least document keeps
+its bytes; the groups' spans hold for all documents that have their pieces.
 
 Nulls: a null text is empty; a null id counts as larger than all others.
 Repeated rows: equal ids are not smaller than each other, so nothing goes from
 one for the other's sake. Empty tables give empty results. Long texts: a
-worker holds one whole document at a time.
+worker holds one whole document at a time. Only doc_id (a whole number) and
+text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,95 +25,61 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from epochweave.llm import anchors as A
-from epochweave.llm import kernels as k
 
 WINDOW, SEED = 50, 20
 
 
-def maximal_repeats(flat: np.ndarray, bounds: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
-    """(length, starts in ``flat``) of the maximal repeats of at least ``least`` bytes, each with all occurrences."""
-    sizes = np.diff(bounds)
-    longest = int(sizes.max(initial=0))
-    if longest < least:
-        return []
-    starts = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    rest = np.repeat(bounds[1:], np.maximum(sizes - least + 1, 0)) - starts
-    first = np.isin(starts, bounds[:-1])
-    padded = np.concatenate([flat, np.zeros(longest, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, longest)[starts]
-    rows[np.arange(longest) >= rest[:, None]] = 0
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{longest}").ravel(), kind="stable")
-    rows, starts, rest = rows[order], starts[order], rest[order]
-    before = np.where(first[order], -1 - np.arange(len(starts)), flat[np.maximum(starts - 1, 0)].astype(np.int64))
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
-    lcp = np.minimum(lcp, np.minimum(rest[1:], rest[:-1]))
+def maximal_repeats(rule: A.Rule, block: A.Block) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, pieces, starts) of the maximal repeats of a block of at least a window, each with all occurrences."""
+    # Alone under its key or not, a piece that stands in several places repeats as a whole; nothing longer is in the block.
+    out = [(int(block.size[i]), np.array([i]), np.zeros(1, np.int64)) for i in np.flatnonzero((block.times > 1) & (block.size >= rule.window)).tolist()]
+    some = A.promising(rule, block)
+    chosen = block.take(some)
+    piece, start, _, common = A.suffixes(rule, chosen)
+    if not len(piece):
+        return out
+    begin = chosen.bounds[:-1][piece] + start
+    before = np.where(start == 0, -1 - np.arange(len(start)), chosen.flat[np.maximum(begin - 1, 0)].astype(np.int64))
     # How far back the byte before stays the same: an interval is diverse if it reaches further.
     alike = np.concatenate([[0], np.where(before[1:] == before[:-1], 0, np.arange(1, len(before)))])
     since = np.maximum.accumulate(alike)
-    out: list[tuple[int, np.ndarray]] = []
     stack: list[tuple[int, int]] = []
-    close = lcp >= least
+    close = common >= rule.window
     edges = np.flatnonzero(np.diff(np.concatenate([[False], close, [False]])))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # suffixes a .. b share the least length
-        for i, height in enumerate([*lcp[a:b].tolist(), 0], a):
+        for i, height in enumerate([*common[a:b].tolist(), 0], a):
             left = i
             while stack and stack[-1][0] > height:
                 size, left = stack.pop()
                 if since[i] > left:
-                    out.append((size, starts[left : i + 1]))
+                    out.append((size, some[piece[left : i + 1]], start[left : i + 1]))
             if height and (not stack or stack[-1][0] < height):
                 stack.append((height, left))
     return out
 
 
-def promising(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """Which contexts may share a window with another one.
-
-    A window reaches either half of the way to the left of its anchor or more
-    (then it holds that half and the seed), or less (then it holds the anchor
-    and all that a window with half on the left has on its right).
-    """
-    half = (window - seed) // 2
-    sums = k.prefix(k.byte_values(flat))
-    keep = np.zeros(len(sizes), bool)
-    for low, high in ((anchors - half, anchors + seed), (anchors, anchors + window - half)):
-        fits = np.flatnonzero((low >= 0) & (high <= sizes))
-        part = k.spans(sums, begin[fits] + low[fits], begin[fits] + high[fits])
-        _, group, times = np.unique(part, return_inverse=True, return_counts=True)
-        keep[fits[times[group] > 1]] = True
-    return keep
-
-
-def _matcher(window: int, seed: int):
-    def match(ids, tags, starts, anchors, kinds, sizes, flat):
-        begin = np.cumsum(sizes) - sizes
-        mine = np.flatnonzero(promising(flat, begin, sizes, anchors, window, seed))
-        ids, tags, starts, begin, sizes = ids[mine], tags[mine], starts[mine], begin[mine], sizes[mine]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        flat = flat[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[-1])]
-        text_of = np.repeat(np.arange(len(sizes)), sizes)
+def _matcher(rule: A.Rule, every: bool = False):
+    def match(block: A.Block):
         none = np.zeros(0, np.int64)
-        texts, lows, spans = [none], [none], [none]
-        for size, at in maximal_repeats(flat, bounds, window):
-            text = text_of[at]
-            mine = ids[text]
-            later = mine > mine.min()
-            if later.any():
-                texts.append(text[later])
-                lows.append(at[later])
-                spans.append(np.full(int(later.sum()), size))
-        text, at, size = map(np.concatenate, (texts, lows, spans))
-        low = starts[text] + at - bounds[:-1][text]
-        return ids[text], tags[text], low, low + size
+        pieces, starts, ends, later = [none], [none], [none], [np.zeros(0, bool)]
+        for size, piece, start in maximal_repeats(rule, block):
+            least = block.least[piece]
+            first = least == least.min()
+            # The least document keeps its bytes, but other documents may have its piece.
+            goes = ~first | (block.times[piece] > 1) | every
+            pieces.append(piece[goes])
+            starts.append(start[goes])
+            ends.append(start[goes] + size)
+            later.append(first[goes])
+        return tuple(map(np.concatenate, (pieces, starts, ends, later)))
 
     return match
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[A.Rule, DataFrame, DataFrame]:
-    """The rule, the documents by home, and the blobs of repeated spans for ``anchors.finish``."""
+def repeat_groups(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, start, size, repeat): all occurrences, in bytes, of the repeats that are maximal within their pieces; one ``repeat`` is one group."""
     rule = A.Rule(window, seed, "byte", True)
-    return rule, *A.removed(rule, docs, _matcher(window, seed))
+    return A.occurrences(rule, docs, _matcher(rule, every=True))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -119,8 +88,8 @@ def op8(spark, sf_dir: str) -> DataFrame:
     def row(data, starts, ends):
         if not len(starts):
             return len(data), 0, 0, hashlib.sha256(data).hexdigest()
-        gone = A.covered(len(data), starts, np.minimum(ends, len(data)))
+        gone = A.covered(len(data), starts, ends)
         return len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(data[~gone]).hexdigest()
 
-    rule, homed, blobs = repeated_spans(table(spark, sf_dir, "documents"))
-    return A.finish(rule, homed, blobs, row, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rule = A.Rule(WINDOW, SEED, "byte", True)
+    return A.repeated(rule, table(spark, sf_dir, "documents"), _matcher(rule), row, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")

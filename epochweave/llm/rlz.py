@@ -1,17 +1,22 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is parsed against the whole corpus as reference. The reference
-is indexed in blocks: the contexts of content-chosen anchors (``anchors``),
-dealt by key, so that equal passages meet in one block wherever they stand.
-A context that the index holds more than once is one long factor. Contexts
-that only share a key are factored greedily, word by word, against their
-block: from each place the longest match with an indexed window is taken, and
-at its end the parse steps back to the first window that reaches over the
-factor's boundary. Factors of at least ``window`` words are repeats.
+The corpus is the reference, indexed in blocks: a block holds the distinct
+pieces of documents under some anchor keys (``anchors``), so that equal
+passages meet in one block wherever they stand, and its suffix array tells for
+each place the longest match that the block has elsewhere. A document goes to
+a block by the pieces that its anchors name, and these are factored greedily:
+from each place the longest match is taken, and at its end the parse steps
+back to the first window that reaches over the factor's boundary, so that no
+window is missed between two factors. Factors of at least ``window`` words are
+repeats; all else are literals. A piece that the corpus holds more than once is
+matched by its other occurrences. Each piece is parsed once, and its factors
+hold for all documents that have it.
 
 Nulls: a null text has no words; a null id is kept. Repeated rows are copies
-of each other, so their long passages go from each. Empty tables give empty
-results. Long texts: a worker holds one whole document at a time.
+of each other, so their long passages go from each, and so are rows that share
+an id or have none. Empty tables give empty results. Long texts: a worker
+holds one whole document at a time. Only doc_id (a whole number) and text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,74 +32,53 @@ from epochweave.llm import kernels as k
 WINDOW, SEED = 35, 8
 
 
-def parse(values: np.ndarray, bounds: np.ndarray, places: np.ndarray, twice: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of the greedy factors of at least ``window`` symbols.
-
-    ``bounds`` are the offsets of the texts in ``values``; ``places`` tells
-    where in the corpus a text starts, so that overlapping texts do not count
-    as copies of themselves; ``twice`` marks texts that stand in for copies.
-    """
-    m = len(values) - window + 1
-    none = np.zeros(0, np.int64)
-    if m <= 0:
-        return none, none, none
-    at = np.arange(m)
-    text = k.rows_of(bounds)[:m]
-    inside = at + window <= bounds[1:][text]
-    at, text = at[inside], text[inside]
-    if not len(at):
-        return none, none, none
-    hashes = k.spans(k.prefix(values), at, at + window)
-    where = places[text].copy()
-    where["at"] += at - bounds[text]
-    order = np.lexsort((where["at"], where["tag"], where["id"], hashes))
-    same = hashes[order][1:] == hashes[order][:-1]
-    fresh = np.concatenate([[True], ~same | (where[order][1:] != where[order][:-1])])
-    group = np.cumsum(np.concatenate([[True], ~same])) - 1
-    times = np.bincount(group, weights=fresh) + (np.bincount(group, weights=twice[text[order]]) > 0)
-    first = order[np.flatnonzero(np.concatenate([[True], ~same]))]
-    last = order[np.append(np.flatnonzero(~same), len(order) - 1)]
-    found = np.empty(len(at), bool)
-    source = np.empty(len(at), np.int64)
-    found[order] = (times > 1)[group]
-    source[order] = np.where(where[first[group]] == where[order], last[group], first[group])
-    own = where[source] == where  # nothing but a stand-in's copies to match with
-    index = np.full(len(values) + 1, -1, np.int64)
-    index[at] = np.arange(len(at))
-    jump = np.append(np.flatnonzero(found), len(at))
+def longest_matches(rule: A.Rule, block: A.Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a block, piece by piece: the longest match that stands elsewhere (0: shorter than a window), and the windows' offsets by piece."""
+    count = np.maximum(block.size - rule.window + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    best = np.zeros(bounds[-1], np.int64)
+    some = A.promising(rule, block)
+    piece, start, _, common = A.suffixes(rule, block.take(some))
+    near = np.zeros(len(piece) + 1, np.int64)
+    near[1:-1] = common
+    best[bounds[some[piece]] + start] = np.maximum(near[:-1], near[1:])
+    best[best < rule.window] = 0
+    # Other occurrences of the same piece match up to its end.
+    of = np.repeat(np.arange(len(count)), count)
+    rest = block.size[of] - (np.arange(len(of)) - bounds[of])
+    return np.where(block.times[of] > 1, rest, best), bounds
+
+
+def parse(rule: A.Rule, block: A.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of the greedy factors of at least a window."""
+    best, bounds = longest_matches(rule, block)
+    long = np.append(np.flatnonzero(best), len(best))
+    piece = np.searchsorted(bounds, long, "right") - 1
     out: list[tuple[int, int, int]] = []
     i = 0
-    while True:
-        i = int(jump[np.searchsorted(jump, i)])
-        if i >= len(at):
-            break
-        a, t = int(at[i]), int(text[i])
-        b, u = int(at[source[i]]), int(text[source[i]])
-        most = int(min(bounds[t + 1] - a, bounds[u + 1] - b)) if twice[u] or not own[i] else window
-        differ = np.flatnonzero(values[a + window : a + most] != values[b + window : b + most])
-        size = int(differ[0]) + window if len(differ) else most
-        out.append((t, a - int(bounds[t]), a - int(bounds[t]) + size))
-        after = int(index[a + size - window + 1])
-        i = after if after >= 0 and after > i else int(np.searchsorted(at, a + size - window + 1))
-    t, a, b = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (none, none, none)
-    return t, a, b
-
-
-def _matcher(window: int):
-    def match(ids, tags, starts, anchors, kinds, sizes, flat):
-        places = np.empty(len(ids), [("id", np.int64), ("tag", np.uint16), ("at", np.int64)])
-        places["id"], places["tag"], places["at"] = ids, tags, starts
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        t, a, b = parse(flat, bounds, places, kinds == 3, window)
-        return ids[t], tags[t], starts[t] + a, starts[t] + b
+    while i < len(long) - 1:
+        at, p = int(long[i]), int(piece[i])
+        start = at - int(bounds[p])
+        end = start + int(best[at])
+        out.append((p, start, end))
+        # The first window over the boundary, but at least one step; a later piece starts anew.
+        i = max(i + 1, int(np.searchsorted(long, min(int(bounds[p]) + end - rule.window + 1, int(bounds[p + 1])))))
+    none = np.zeros(0, np.int64)
+    found = tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (none, none, none)
+    return found
+
+
+def _matcher(rule: A.Rule):
+    def match(block: A.Block):
+        piece, start, end = parse(rule, block)
+        return piece, start, end, np.zeros(len(piece), bool)
 
     return match
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[A.Rule, DataFrame, DataFrame]:
-    """The rule, the documents by home, and the blobs of duplicate spans for ``anchors.finish``."""
+def _repeated(docs: DataFrame, window: int, seed: int, row, schema: str) -> DataFrame:
     rule = A.Rule(window, seed, "word", False)
-    return rule, *A.removed(rule, docs, _matcher(window))
+    return A.repeated(rule, docs, _matcher(rule), row, schema)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -102,24 +86,21 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
 
     def row(data, starts, ends):
         ws, we, _ = k.words(data, np.array([0, len(data)]))
-        gone = A.covered(len(ws), starts, np.minimum(ends, len(ws)))
+        gone = A.covered(len(ws), starts, ends)
         raw = data.tobytes()
         return len(ws), int(gone.sum()), b" ".join(raw[a:b] for a, b, g in zip(ws.tolist(), we.tolist(), gone.tolist(), strict=True) if not g).decode()
 
-    rule, homed, blobs = duplicate_spans(docs, window, seed)
-    return A.finish(rule, homed, blobs, row, "n_words long, n_removed long, kept string")
+    return _repeated(docs, window, seed, row, "n_words long, n_removed long, kept string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     from epochweave.session import table
 
     def row(data, starts, ends):
-        raw = data.tobytes()
-        found = raw.split()
+        found = data.tobytes().split()
         if not len(starts):
             return len(found), 0, hashlib.sha256(b" ".join(found)).hexdigest()
-        gone = A.covered(len(found), starts, np.minimum(ends, len(found)))
+        gone = A.covered(len(found), starts, ends)
         return len(found), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(found, gone.tolist(), strict=True) if not g)).hexdigest()
 
-    rule, homed, blobs = duplicate_spans(table(spark, sf_dir, "documents"))
-    return A.finish(rule, homed, blobs, row, "n_words long, n_removed long, kept_sha256 string")
+    return _repeated(table(spark, sf_dir, "documents"), WINDOW, SEED, row, "n_words long, n_removed long, kept_sha256 string")

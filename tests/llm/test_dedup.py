@@ -116,8 +116,68 @@ def test_components(spark):
 def test_maximal_repeats_have_all_occurrences():
     import numpy as np
 
-    texts = [b"xxabcdefyy", b"zzabcdefww", b"abcdefyy", b"q"]
+    from epochweave.llm import anchors
+
+    texts = [b"xxabcdefyy", b"zzabcdefww", b"abcdefyy", b"qqqq"]
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    found = {(bytes(flat[a : a + size]), len(at)) for size, at in repeats.maximal_repeats(flat, bounds, 4) for a in at[:1]}
-    assert found == {(b"abcdef", 3), (b"abcdefyy", 2)}
+    block = anchors.Block(np.zeros(4, np.uint64), np.arange(4), np.array([1, 1, 1, 2]), np.array([len(t) for t in texts]), np.array([5, 5, 3, 0]), flat)
+    found = {(texts[p[0]][s[0] : s[0] + size], len(p)) for size, p, s in repeats.maximal_repeats(anchors.Rule(4, 1, "byte", True), block)}
+    assert found == {(b"abcdef", 3), (b"abcdefyy", 2), (b"qqqq", 1)}
+
+
+def test_factors_cover_every_repeated_window():
+    import numpy as np
+
+    from epochweave.llm import anchors
+
+    words = lambda text: [ord(c) for c in text]
+    texts = ["uabcdefv", "wabcdxyz", "cdefgh", "solo"]
+    block = anchors.Block(np.zeros(4, np.uint64), np.zeros(4, np.int64), np.array([1, 1, 1, 2]), np.array(list(map(len, texts))), np.array([3, 3, 0, 0]), np.array(words("".join(texts)), np.uint64))
+    rule = anchors.Rule(3, 1, "word", False)
+    factors = {(texts[p][a:b], p) for p, a, b in zip(*map(np.ndarray.tolist, rlz.parse(rule, block)), strict=True)}
+    assert factors == {("abcd", 0), ("cdef", 0), ("abcd", 1), ("cdef", 2), ("solo", 3)}
+
+
+@pytest.mark.parametrize(("query", "plain"), [(rlz.op7, brute.rlz), (repeats.op8, brute.repeats)])
+def test_shared_and_missing_ids(spark, write, query, plain):
+    """Many documents without an id or with the same one are told apart by their texts."""
+    rows = [(None if d % 3 else 7, t) for d, t in [*generated(5, 250), *generated(6, 250)]]
+    check(query, plain, spark, write([document(*r) for r in rows]), rows)
+
+
+@pytest.mark.parametrize(("query", "plain"), [(rlz.op7, brute.rlz), (repeats.op8, brute.repeats)])
+def test_crowded_keys(spark, write, monkeypatch, query, plain):
+    """Keys of more than a few pieces are searched window by window, with the same result."""
+    from epochweave.llm import anchors
+
+    monkeypatch.setattr(anchors, "CROWD", 3)
+    monkeypatch.setattr(anchors, "AT_ONCE", 5)
+    rows = edge_cases(generated(8, 120))
+    check(query, plain, spark, write([document(*r) for r in rows]), rows)
+
+
+@pytest.mark.parametrize(("module", "name", "query"), [(rlz, "parse", rlz.op7), (repeats, "maximal_repeats", repeats.op8)])
+def test_the_method_decides(spark, write, monkeypatch, module, name, query):
+    """Without factors or intervals nothing goes."""
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(module, name, lambda *_: (none, none, none) if module is rlz else [])
+    rows = [(1, "one two three " * 40), (2, "one two three " * 40)]
+    assert {r["n_removed"] for r in query(spark, write([document(*r) for r in rows])).collect()} == {0}
+
+
+def test_repeat_groups(spark, write):
+    """Every group holds one string, at all places where a window of it stands."""
+    rows = generated(9, 40)
+    docs = spark.read.parquet(f"{write([document(*r) for r in rows])}/documents.parquet")
+    texts = {d: t.encode() for d, t in rows}
+    groups = {}
+    for r in repeats.repeat_groups(docs).collect():
+        groups.setdefault(r["repeat"], set()).add((r["doc_id"], r["start"], r["size"]))
+    assert groups
+    for places in groups.values():
+        assert len({texts[d][a : a + n] for d, a, n in places}) == 1 and len(places) > 1
+        some, size = next((texts[d][a : a + n], n) for d, a, n in places)
+        everywhere = {(d, i, size) for d, t in texts.items() for i in range(len(t) - size + 1) if t[i : i + size] == some}
+        assert places <= everywhere
