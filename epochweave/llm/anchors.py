@@ -205,7 +205,7 @@ def by_home(docs: DataFrame, n: int) -> DataFrame:
                 where = k.mix(row_ids(part).astype(np.uint64) * k.U64(0x9E3779B97F4A7C15) + tags) % k.U64(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(where.astype(np.int32))], ["doc_id", "text", "bucket"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DOC)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DOC)
 
 
 def each_slice(table: pa.Table, most: int = 1 << 20):

@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, node, n_shingles, component_id): ``node`` is the text's hash, ``component_id`` the least id reachable by links."""
     spark = docs.sparkSession
     n = A.buckets(spark)
-    noded = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    noded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     survey = materialize(_survey(noded, words), "survey")
     crowd = np.zeros(BINS, np.int64)
     for r in survey.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).collect():  # at most BINS rows

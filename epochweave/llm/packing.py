@@ -3,16 +3,20 @@
 Token pieces are counted per length; the packing is solved on that histogram
 (at most ``capacity`` numbers, however many documents there are) and gives
 bin patterns with multiplicities. Each piece then finds its place by its rank
-among the pieces of its length. Ranks are counted within (length, salt), so
-that a length that a third of all pieces share is ranked in many tasks.
+among the pieces of its length. Ranks are counted within (length, salt), with
+as many salts as the pieces of a length need, so that a length that a third of
+all pieces share is ranked in many tasks.
 
 Large-item matching: no bin holds more than two pieces above a third of its
 capacity; such pieces are paired, largest first, each with the largest partner
 that fits, at most twice per bin. Smaller pieces, largest first, then go to
 the fullest bin that still takes them.
 
-Nulls: a null text is empty and yields the end token alone. Repeated rows are
-pieces of their own. Texts of any length work: a worker holds one at a time.
+Nulls: a null text is empty and yields the end token alone; a null id is kept.
+Repeated rows are pieces of their own. Texts of any length work: a worker
+holds one at a time. An empty table gives an empty result. Only doc_id (a
+whole number) and text are read, so other columns cannot clash. A special
+string of the tokenizer in a text is one token, as ``tokenizers`` has it.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from epochweave.session import materialize
 
 CAPACITY, END = 1024, 2
-SALTS = 64
+#: Pieces of one length that a task ranks, and more only where that makes more than ``GROUPS`` groups.
+RANKED, GROUPS = 20_000, 65_536
 #: Token ids of so many distinct words are kept per worker before the store starts anew.
 KEPT_WORDS = 500_000
 #: White space other than single spaces and single line ends: such texts are encoded whole.
@@ -54,7 +59,7 @@ class WordStore(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -80,7 +85,7 @@ class WordStore(dict):
         return got
 
     def encode(self, text: str) -> bytes:
-        if "  " in text or text[-1:].isspace() or ODD_SPACE.search(text):
+        if "  " in text or text[-1:].isspace() or ODD_SPACE.search(text) or any(x in text for x in self.special):
             return self.ids(text)
         words = text.replace("\n", " \n").split(" ")
         return self.ids(words[0]) + b"".join(map(self.__getitem__, words[1:]))
@@ -113,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                     crcs.append(zlib.crc32(got[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -190,8 +195,11 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset. ``pieces`` is read twice: pass a written table."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)))
-    # At most capacity * SALTS groups, whatever the number of documents.
+    by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    ranked = max(RANKED, -(-sum(by_length.values()) // GROUPS))
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // ranked)) for n, c in by_length.items()], "length bigint, salts bigint"))
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("salts"))).drop("salts")
+    # At most capacity + GROUPS groups, whatever the number of documents.
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
     counts: Counter[int] = Counter()
     bases = []
@@ -205,14 +213,14 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = defaultdict(list)
     for run in runs:
         table[run[0]].append(run)
-    by_length = {n: np.array(sorted(rs), np.int64) for n, rs in table.items()}
+    slots_of = {n: np.array(sorted(rs), np.int64) for n, rs in table.items()}
 
     def place(batches):
         for batch in batches:
             length, rank = (np.asarray(batch.column(batch.schema.get_field_index(c)), dtype=np.int64) for c in ("length", "rank"))
             bins, offsets = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for n in np.unique(length):
-                mine, runs_n = np.flatnonzero(length == n), by_length[int(n)]
+                mine, runs_n = np.flatnonzero(length == n), slots_of[int(n)]
                 run = runs_n[np.searchsorted(runs_n[:, 1], rank[mine], "right") - 1]
                 inner = rank[mine] - run[:, 1]
                 bins[mine] = run[:, 3] + inner // run[:, 4]

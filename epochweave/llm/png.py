@@ -8,7 +8,10 @@ the constant one) of the grey picture, averaged down to 32 x 32, as 16 hex
 digits.
 
 Null or empty text: 192 spaces. Any length works; equal texts give equal
-values. A damaged file raises ValueError.
+values. A null id is kept, repeated rows are stored alike, and an empty table
+gives an empty result. Extra columns stay, whatever their type; ``media`` and
+media_n_bytes take the place of columns of the same name. A damaged file
+raises ValueError.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, PIXEL = 64, 3
@@ -137,7 +142,8 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``docs`` with its texts stored as PNG in the binary column ``media`` and their unpadded bytes in ``media_n_bytes``."""
-    schema = f"{docs.drop(media, 'media_n_bytes')._jdf.schema().toDDL()}, `{media}` binary, media_n_bytes bigint"
+    rest = docs.drop(media, "media_n_bytes")
+    schema = StructType([*rest.schema.fields, StructField(media, BinaryType()), StructField("media_n_bytes", LongType())])
 
     def store(batches):
         for batch in batches:
@@ -147,7 +153,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
                 cols = [part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([encode(x) for x, _ in raw], pa.binary()), pa.array([n for _, n in raw], pa.int64())], [*part.schema.names, media, "media_n_bytes"])
 
-    return docs.drop(media, "media_n_bytes").mapInArrow(store, schema)
+    return rest.mapInArrow(store, schema)
 
 
 def media_features(stored: DataFrame, id_column: str = "doc_id", media: str = "media") -> DataFrame:
@@ -166,7 +172,7 @@ def media_features(stored: DataFrame, id_column: str = "doc_id", media: str = "m
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select(id_column, media, "media_n_bytes").mapInArrow(read, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return stored.select(F.col(id_column).cast("long").alias("doc_id"), media, "media_n_bytes").mapInArrow(read, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Per document: counts of words, symbols, repeated lines and repeated 8-word
 windows, and two histograms, of character classes and of common words. A
-language's common words are those that most of its documents hold, by count;
+language's common words are those that most of its documents hold, by count,
+and at least ``HELD`` of them;
 its references are the means of its documents' histograms, each document
 counting alike however long it is. Documents of fewer than ``MIN_WORDS`` words
 do not count, and a language with fewer than ``SUPPORT`` others has no
@@ -33,8 +34,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 #: Character classes; small letters and all else make up the rest.
 CLASSES = ["[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[.,;:!?]", r"[^\x00-\x7F]"]
-#: Common words of a language; documents that a reference needs; parts of one in which a document's histogram is summed.
-COMMON, SUPPORT, PARTS = 16, 25, 1_000_000
+#: Common words of a language; documents that each must be in; documents that a reference needs; parts of one in which a document's histogram is summed.
+COMMON, HELD, SUPPORT, PARTS = 16, 8, 25, 1_000_000
 MIN_WORDS = 20
 #: Parts of the vocabulary that rank their words apart; a reference table of at most so many languages is broadcast.
 SALTS, FEW_LANGS = 64, 10_000
@@ -92,13 +93,17 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def words_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Runs of anything but space and the five ASCII white-space controls; split at single spaces, which takes no pattern."""
+    for control in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(control), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def class_counts(text: Column, chars: Column) -> Column:
     """Characters of each class and all others among ``chars`` characters in words."""
-    kept = [F.regexp_replace(text, f"[{c[2:-1]}]+" if c[1] == "^" else f"[^{c[1:-1]}]+", "") for c in CLASSES]
-    return let(F.array(*(F.length(x).cast("long") for x in kept)), lambda some: with_rest(some, chars))
+    rare = F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")  # no class has these, and they are nearly all
+    kept = lambda t: [F.regexp_replace(t, f"[{c[2:-1]}]+" if c[1] == "^" else f"[^{c[1:-1]}]+", "") for c in CLASSES]
+    return let(let(rare, lambda t: F.array(*(F.length(x).cast("long") for x in kept(t)))), lambda some: with_rest(some, chars))
 
 
 def with_rest(some: Column, whole: Column) -> Column:
@@ -109,7 +114,7 @@ def word_counts(words: Column, common: Column) -> Column:
     """How often each of ``common`` stands in ``words``, and the number of all others; NULL without a list."""
     found = F.filter(words, lambda w: F.array_contains(common, w))
     counts = let(found, lambda f: F.transform(common, lambda c: F.size(F.filter(f, lambda w: w == c)).cast("long")))
-    return F.when(common.isNotNull(), with_rest(counts, F.size(words).cast("long")))
+    return F.when(common.isNotNull(), let(counts, lambda some: with_rest(some, F.size(words).cast("long"))))
 
 
 def word_chars(words: Column) -> Column:
@@ -118,8 +123,8 @@ def word_chars(words: Column) -> Column:
 
 def common_words(docs: DataFrame) -> DataFrame:
     """(ref_lang, ref_words): the words that most documents of a language hold, ties by code point, of languages with support."""
-    held = docs.select("lang", words_in(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    counted = held.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    held = docs.select("lang", words_in(F.col("text")).alias("words"))
+    counted = held.select("lang", F.explode(F.when(F.size("words") >= MIN_WORDS, F.array_distinct("words"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HELD)
     order = [F.desc("n"), F.asc("word")]
     # The best of each part of the vocabulary first, so that no task ranks all words of a language.
     some = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(SALTS))).orderBy(*order))).where(F.col("rank") <= COMMON)
@@ -136,14 +141,15 @@ def _by_language(docs: DataFrame, per_language: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """(ref_lang, ref_words, ref_classes, ref_common): sums of the shares of all documents of a language that has support."""
-    held = docs.select("lang", "text", words_in(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS).withColumn("chars", word_chars(F.col("words")))
-    joined = _by_language(held, lists)
-    counts = joined.select("ref_lang", "ref_words", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words")).alias("b"))
-    parts = lambda x, n: F.expr(f"sum({x} * {PARTS}L div {n})")  # noqa: E731  whole numbers, so that sums do not hang on their order
+    # Short texts count nothing, rather than being filtered: a filter would cut their words apart twice.
+    held = _by_language(docs.select("lang", "text", words_in(F.col("text")).alias("words")).withColumn("chars", word_chars(F.col("words"))), lists)
+    counts = held.select("ref_lang", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words")).alias("b"))
+    parts = lambda x, n: F.expr(f"sum(if(n >= {MIN_WORDS}, {x} * {PARTS}L div greatest({n}, 1), 0L))")  # noqa: E731  whole numbers, so that sums do not hang on their order
     sums = [parts(f"a[{i}]", "chars").alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [parts(f"get(b, {i})", "n").alias(f"b{i}") for i in range(COMMON + 1)]
-    both = counts.groupBy("ref_lang").agg(F.first("ref_words").alias("ref_words"), F.count(F.lit(1)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
+    both = counts.groupBy("ref_lang").agg(F.sum(F.when(F.col("n") >= MIN_WORDS, 1).otherwise(0)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
     common = F.filter(F.array(*(f"b{i}" for i in range(COMMON + 1))), lambda x: x.isNotNull())
-    return both.select("ref_lang", "ref_words", F.array(*(f"a{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), common.alias("ref_common"))
+    found = both.select(F.col("ref_lang").alias("lang"), F.array(*(f"a{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), common.alias("ref_common"))
+    return found.join(lists, F.col("lang").eqNullSafe(F.col("ref_lang"))).select("ref_lang", "ref_words", "ref_classes", "ref_common")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
@@ -167,7 +173,9 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         word_counts(F.col("words"), F.col("ref_words")).alias("common"),
-        "text", "ref_classes", "ref_common",
+        "text",
+        "ref_classes",
+        "ref_common",
     ).withColumn("classes", class_counts(F.col("text"), F.col("word_chars")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = F.col("n_words") >= MIN_WORDS
@@ -197,7 +205,7 @@ _JS = """CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0,
 SQL = f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
-v AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE len(ws) >= {MIN_WORDS}) GROUP BY lang, word),
+v AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE len(ws) >= {MIN_WORDS}) GROUP BY lang, word HAVING count(*) >= {HELD}),
 c AS (SELECT lang AS l, list(word ORDER BY n DESC, word) AS common FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON}) GROUP BY lang),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w),
 dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) > 1),

@@ -7,8 +7,11 @@ WARC-Refers-To, repeat its target, date and payload digest, and carry block
 digests of their own. Record ids derive from the contents, so reruns agree.
 
 Nulls: a null URL or body is empty; a null page id is kept. Repeated rows give
-equal records with equal ids. Empty tables give empty results. A record that
-breaks the format, or fails its digest, raises ValueError when it is read.
+equal records with equal ids. Empty tables give empty results. Pages of any
+length and form are read in linear time; a worker holds one at a time. Only
+page_id (a whole number), url and html are read, so other columns cannot
+clash. A record that breaks the format, or fails its digest, raises ValueError
+when it is read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
+#: No pattern reads on beyond the next tag that begins, unless it takes what it has read: time is linear in the page.
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|blockquote|pre|body)\b)[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+_BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|blockquote|pre|body)\b)[^<>]*>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title", re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -76,6 +81,12 @@ def response(url: str, body: bytes) -> bytes:
     return record("response", headers, block)
 
 
+def title_of(page: str) -> str:
+    begin = _TITLE.search(page)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return " ".join(entities.unescape(page[begin.end() : end.start()]).split()) if end else ""
+
+
 def plain_text(page: str) -> str:
     """Text of an HTML page: no scripts, styles or head; block elements end lines."""
     text = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page))))
@@ -91,9 +102,9 @@ def derivatives(stored: bytes) -> tuple[bytes, bytes]:
     if headers.get("WARC-Payload-Digest", digest(body)) != digest(body):
         raise ValueError("a payload fails its digest")
     page = body.decode("utf-8", "replace")
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    lang = _LANG.search(page)
     links = [entities.unescape(a or b) for a, b in _LINK.findall(page)]
-    fields = [("title", " ".join(entities.unescape(title.group(1)).split()) if title else ""), ("languages-html", lang.group(1) if lang else ""), ("n-outlinks", str(len(links)))]
+    fields = [("title", title_of(page)), ("languages-html", lang.group(1) if lang else ""), ("n-outlinks", str(len(links)))]
     fields += [("outlink", " ".join(x.split())) for x in links]
     fields += [(f"http-{name.lower()}", value) for name, value in (x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if ": " in x)]
     source = headers["WARC-Record-ID"]
@@ -115,7 +126,7 @@ def to_responses(pages: DataFrame) -> DataFrame:
                 made = [gzip.compress(response(u.as_py() or "", (h.as_py() or "").encode()), 1, mtime=0) for u, h in zip(part.column(1), part.column(2), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["page_id", "response"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, response binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, response binary")
 
 
 def derive(responses: DataFrame) -> DataFrame:
