@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.operators import checks
-from epochweave.plans.extract import Chain, extract_blocks
-from epochweave.sources import containers
+from epochweave.operators.epochs import contiguity_violations, missing_epochs
+from epochweave.plans.extract import Chain, extract_blocks, packet_heads
+from epochweave.session import materialize
+from epochweave.sources import containers, records
 
-TABLES = ("epochs", "headers", "bodies", "rewards", "committed", "pos_rewards", "unlocks")
+TABLES = ("epochs", "headers", "bodies", "rewards", "committed", "pos_rewards", "unlocks", "contexts")
 
 
 def _session() -> SparkSession:
@@ -22,36 +24,55 @@ def _session() -> SparkSession:
 
 
 def _packets(spark: SparkSession, path: str):
-    """(start_epoch, packet) rows of a folder of containers or of single-packet shards."""
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", f"*{containers.SHARD_SUFFIX}").load(path)
-    start = F.regexp_extract("path", rf"(\d+)-(\d+)\{containers.SHARD_SUFFIX}$", 1).cast("long")
-    return shards.select(start.alias("start_epoch"), F.col("content").alias("packet")).where("start_epoch is not null")
+    """(start_epoch, packet) rows of a folder of containers or of single-packet shards; neither is an error."""
+    shards = records.read_shards(spark, path).select("start_epoch", "packet")
+    return containers.read_groups(spark, path).select("start_epoch", "packet") if shards.isEmpty() else shards
 
 
 def extract(args) -> None:
     """Landed tables to containers: blocks, packets per group, containers per job."""
     spark, chain = _session(), Chain.from_toml(args.config) if args.config else Chain()
     tables = {t: spark.read.parquet(f"{args.tables}/{t}") for t in TABLES}
-    blocks = extract_blocks(tables, chain, args.start, args.end, args.group)
-    first = blocks.groupBy("packet").agg(F.min("epoch").alias("low"))
-    heads = first.select("packet", F.lit(bytes(32)).alias("prev_last_hash"), F.lit(bytes(32)).alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
-    packed = containers.encode_packets(blocks, "packet", heads)
+    high = min(args.end, (tables["epochs"].agg(F.max("epoch")).first()[0] or 0) + 1)
+    lost = missing_epochs(tables["epochs"], args.start, high).first()
+    if lost:
+        raise SystemExit(f"epoch {lost['epoch']} is missing")
+    blocks = extract_blocks(tables, chain, args.start, high, args.group)
+    packed = materialize(containers.encode_packets(blocks, "packet", packet_heads(blocks, tables)), "packets")
     jobs = packed.withColumn("job", F.floor((F.col("start_epoch") - args.start) / args.group / max(1, args.groups_per_job)))
-    containers.build_containers(jobs, target=args.target).write.format("epochpack").mode("append").save(args.output)
+    if args.shards:
+        records.shard_files(packed).write.format("epochpack").mode("append").save(args.output)
+    else:
+        containers.build_containers(jobs, target=args.target).write.format("epochpack").mode("append").save(args.output)
 
 
 def verify(args) -> None:
+    """Structure of all packets of containers or shards, and groups that do not start where another ends."""
     spark = _session()
     containers.verify_packets(_packets(spark, args.path)).orderBy("start_epoch").show(args.rows, truncate=False)
+    if records.read_shards(spark, args.path).isEmpty():
+        contiguity_violations(containers.read_groups(spark, args.path).select("start_epoch", "epochs"), "start_epoch", "epochs").show(args.rows)
+
+
+def inspect(args) -> None:
+    """Block rows of containers or shards, first ones first; with --output all of them as Parquet."""
+    blocks = containers.decode_packets(_packets(_session(), args.path), args.pos_from)
+    if args.output:
+        blocks.write.parquet(args.output)
+    blocks.where((F.col("epoch") >= args.start) & (F.col("epoch") < args.end)).orderBy("start_epoch", "index").select("start_epoch", "index", "epoch", "height", "flags", F.hex("hash").alias("hash"), F.size("transactions").alias("txs")).show(args.rows, truncate=False)
+
+
+def roundtrip(args) -> None:
+    """Packets whose decoded blocks do not encode to the same bytes: none means all are equal."""
+    records.roundtrip(_packets(_session(), args.path), args.pos_from).where("not equal").show(args.rows)
 
 
 def replay(args) -> None:
-    """Counts that a replay of the containers would meet, and blocks that break a rule."""
-    spark = _session()
-    blocks = containers.read_containers(spark, args.path, args.pos_from)
-    txs = containers.transactions(blocks)
-    checks.replay_report(txs, "epoch", "block_index", ["sender", "nonce", "space"], F.col("space") == "ethereum").show(truncate=False)
-    checks.packet_violations(blocks, "start_epoch").show(args.rows, truncate=False)
+    """Counts that a replay of the packets would meet, and blocks that break a rule."""
+    blocks = containers.decode_packets(_packets(_session(), args.path), args.pos_from)
+    counts = checks.replay_counts(blocks)
+    counts.agg(F.count(F.lit(1)).alias("packets"), *(F.sum(c).alias(c) for c in counts.columns[1:])).show(truncate=False)
+    checks.replay_problems(blocks).show(args.rows, truncate=False)
 
 
 def bench_decode(args) -> None:
@@ -65,9 +86,9 @@ def bench_decode(args) -> None:
 def flag(args) -> None:
     """Zero-reward flags from a rewards table: what would change, or the patched blocks as Parquet."""
     spark = _session()
-    blocks = containers.read_containers(spark, args.path, args.pos_from)
+    blocks = containers.decode_packets(_packets(spark, args.path), args.pos_from)
     patched = checks.patch_zero_reward(blocks, spark.read.parquet(args.rewards), "hash", height="height", low=args.start, high=args.end)
-    if args.output:
+    if args.output and not args.dry_run:
         patched.drop("changed").write.parquet(args.output)
     checks.patch_summary(patched).show()
 
@@ -92,11 +113,14 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--config")
     c.add_argument("--group", type=int, default=containers.EPOCHS)
     c.add_argument("--groups-per-job", type=int, default=64)
+    c.add_argument("--shards", action="store_true")
     c.add_argument("--target", type=int, default=containers.TARGET)
     command(verify, "path")
     command(replay, "path")
     command(bench_decode, "path")
-    command(flag, "path", "rewards")
+    command(inspect, "path")
+    command(roundtrip, "path")
+    command(flag, "path", "rewards").add_argument("--dry-run", action="store_true")
     args = p.parse_args(argv)
     args.run(args)
 

@@ -28,6 +28,24 @@ def structural_counts(blocks: DataFrame, items: str, packet: str) -> DataFrame:
     return blocks.groupBy(packet).agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col(items) > 0).alias("tx_blocks"), F.sum(items).cast("long").alias("tx_items"))
 
 
+def replay_counts(blocks: DataFrame, packet: str = "start_epoch") -> DataFrame:
+    """(packet, epochs, blocks, txs, duplicates, native, espace) of block rows, blocks without transactions included.
+
+    A transaction that refers to an earlier one of its packet is a duplicate.
+    """
+    space = lambda name: F.coalesce(F.size(F.filter("transactions", lambda t: t["space"] == name)), F.lit(0))
+    again = F.coalesce(F.size(F.filter("transaction_refs", lambda r: r.isNotNull())), F.lit(0))
+    counted = blocks.select(packet, "epoch", F.when(F.col("transactions").isNull(), 0).otherwise(F.size("transactions")).alias("n"), F.greatest(again, F.lit(0)).alias("again"), F.greatest(space("native"), F.lit(0)).alias("native"), F.greatest(space("ethereum"), F.lit(0)).alias("espace"))
+    sums = [F.sum(c).cast("long").alias(a) for c, a in (("n", "txs"), ("again", "duplicates"), ("native", "native"), ("espace", "espace"))]
+    return counted.groupBy(packet).agg(F.countDistinct("epoch").alias("epochs"), F.count(F.lit(1)).alias("blocks"), *sums)
+
+
+def replay_problems(blocks: DataFrame, packet: str = "start_epoch") -> DataFrame:
+    """(packet, index, problem): ``packet_violations`` with blocks that hold transactions without the flag for it."""
+    bare = blocks.where((F.size("transactions") > 0) & ~has_flag(F.col("flags"), "has_transactions"))
+    return packet_violations(blocks, packet).unionByName(bare.select(packet, F.col("index").cast("long").alias("index"), F.lit("transaction flag").alias("problem")))
+
+
 def replay_report(txs: DataFrame, epoch: str, block: str, identity: list[str], espace: Column) -> DataFrame:
     """One row: epochs, blocks, txs, duplicates, native and espace counts, block range."""
     return txs.agg(

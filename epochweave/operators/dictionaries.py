@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochweave.functions.codec import uleb_length
+from epochweave.session import materialize
 
 
 def frequency_table(df: DataFrame, value: str, order: str, packet: str | None = None, more_than: int = 0, most: int | None = None) -> DataFrame:
@@ -16,19 +17,32 @@ def frequency_table(df: DataFrame, value: str, order: str, packet: str | None =
 
     Only the distinct values of a packet are ranked. ``more_than`` drops values
     that are not seen more often; ``most`` keeps the first ones. Without a
-    packet and with ``most``, a top-k replaces the ranking of all values.
+    packet and with ``most``, a top-k replaces the ranking of all values; else
+    these are dealt out by ranges of rank, and each range counts on from those
+    before it.
     """
     by = [packet] if packet else []
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
     if more_than:
         counted = counted.where(F.col("n") > more_than)
     rank = (F.desc("n"), F.asc("first_seen"))
-    if not packet and most:
+    if not packet and not most:
+        return _ranked(counted, rank)
+    if not packet:
         counted = counted.orderBy(*rank).limit(most)
     ranked = counted.withColumn("index", (F.row_number().over((W.partitionBy(packet) if packet else W.partitionBy()).orderBy(*rank)) - 1).cast("long"))
     return ranked.where(F.col("index") < most) if most and packet else ranked
 
 
+def _ranked(counted: DataFrame, rank: tuple) -> DataFrame:
+    """``counted`` with index: the place of each row in the order ``rank``, without a window over all rows."""
+    dealt = materialize(counted.repartitionByRange(*rank).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*rank)) - 1
+    return dealt.join(before, "__part").withColumn("index", (F.col("__before") + place).cast("long")).drop("__part", "__before")
+
+
 def combined(df: DataFrame, columns: list[str], order: str, keep: list[str] = ()) -> DataFrame:
     """(*keep, value, order): several columns as one, in their order within a row."""
     parts = [df.select(*keep, F.col(c).alias("value"), (F.col(order) * len(columns) + i).alias(order)) for i, c in enumerate(columns)]

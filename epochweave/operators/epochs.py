@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 def assign_epochs(blocks: DataFrame, order: str = "index", pivot: str = "pivot", height: str = "height", packet: str = "packet") -> DataFrame:
     """``blocks`` with ``epoch``: the height of the next pivot at or after each block of its packet; NULL after the last pivot."""
-    ahead = W.partitionBy(packet).orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    return blocks.withColumn("epoch", F.first(F.when(F.col(pivot), F.col(height)), ignorenulls=True).over(ahead))
+    # From the end of the packet, so that the frame only grows and each row is read once.
+    ahead = W.partitionBy(packet).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return blocks.withColumn("epoch", F.last(F.when(F.col(pivot), F.col(height)), ignorenulls=True).over(ahead))
 
 
 def number_blocks(blocks: DataFrame, first: Column, order: str = "index", packet: str = "packet") -> DataFrame:
@@ -93,19 +94,23 @@ def range_join(intervals: DataFrame, points: DataFrame, low: str, high: str, poi
     return spread.join(points.withColumn("__b", F.floor(F.col(point) / width)), "__b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__b")
 
 
-def contiguity_violations(groups: DataFrame, start: str, count: str, width: int) -> DataFrame:
+def contiguity_violations(groups: DataFrame, start: str, count: str) -> DataFrame:
     """Groups that do not start where the one before ends.
 
     The end is looked up by an equi-join on the previous group's end, so no
     global window is needed: a group is in order if some group ends at its
-    start, or if it is the first of all. ``width`` is unused by callers that
-    have exact ends; it stays for ragged last groups.
+    start, or if it is the first of all.
     """
     ends = groups.select((F.col(start) + F.col(count)).alias("__end")).distinct()
     first = groups.agg(F.min(start).alias("__first"))
     return groups.join(ends, F.col(start) == F.col("__end"), "left_anti").crossJoin(F.broadcast(first)).where(F.col(start) > F.col("__first")).drop("__first")
 
 
+def missing_epochs(epochs: DataFrame, low: int, high: int, epoch: str = "epoch") -> DataFrame:
+    """(epoch): those of [low, high) that are not there."""
+    return epochs.sparkSession.range(low, high).withColumnRenamed("id", epoch).join(epochs.select(epoch), epoch, "left_anti")
+
+
 def index_violations(blocks: DataFrame, order: str, packet: str) -> DataFrame:
     """(packet, order, expected): blocks whose index is not their place in the packet."""
     place = F.row_number().over(W.partitionBy(packet).orderBy(order)) - 1

@@ -5,7 +5,8 @@ skipped), headers (hash, height, adaptive, author, timestamp, difficulty,
 gas_limit, base_price_core, base_price_espace, blame, deferred roots, pos_ref),
 bodies (hash, transactions), rewards (hash, total_reward, base_reward),
 committed (pos_ref, pivot_decision, view, version), pos_rewards (execution_hash,
-pos_epoch, account_rewards), unlocks (version, identifier, unlocked).
+pos_epoch, account_rewards), unlocks (version, identifier, unlocked), contexts
+(hash, start_block_number).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Chain:
 
 
 def required(column: str, what: str):
-    return F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{what} is missing"))).otherwise(F.col(column))
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"{what} is missing")))
 
 
 def extract_blocks(tables: dict[str, DataFrame], chain: Chain, low: int, high: int, group: int = EPOCHS) -> DataFrame:
@@ -46,7 +47,7 @@ def extract_blocks(tables: dict[str, DataFrame], chain: Chain, low: int, high: i
 
     Missing headers are an error, missing bodies are empty, missing rewards are zero.
     """
-    chosen = tables["epochs"].where((F.col("epoch") >= low) & (F.col("epoch") < high))
+    chosen = tables["epochs"].where((F.col("epoch") >= low) & (F.col("epoch") < high)).withColumn("pivot_hash", required("pivot_hash", "a pivot")).withColumn("executed", required("executed", "an executed set"))
     order = epochs.ordered_blocks(chosen).withColumn("skipped_block", F.col("class") == 1).withColumn("is_pivot", F.col("class") == 2)
     headers = tables["headers"].withColumn("__known", F.lit(True))
     b = order.join(headers, "hash", "left").withColumn("height", F.when(F.col("__known").isNull(), F.raise_error(F.lit("a header is missing")).cast("long")).otherwise(F.col("height"))).drop("__known")
@@ -54,6 +55,10 @@ def extract_blocks(tables: dict[str, DataFrame], chain: Chain, low: int, high: i
     b = b.withColumn("flags", block_flags(F.col("adaptive"), F.col("is_pivot"), F.col("height"), chain.evm_transaction_block_ratio, F.col("skipped_block"), F.col("total_reward")))
     b = b.withColumn("base_reward", F.coalesce("base_reward", F.lit(0)).cast("decimal(26,0)"))
     b = b.withColumn("pos_ref", epochs.effective_reference(F.col("height"), F.col("pos_ref"), chain.pos_reference_enable_height))
+    known = tables["committed"].select(F.col("pos_ref").alias("__ref")).distinct()
+    b = b.join(known, F.col("pos_ref") == F.col("__ref"), "left")
+    lost = F.col("pos_ref").isNotNull() & F.col("__ref").isNull()
+    b = b.withColumn("pos_ref", F.when(lost, F.raise_error(F.lit("a committed block is missing")).cast("binary")).otherwise(F.col("pos_ref"))).drop("__ref")
     b = epochs.finalized_offset(b, tables["committed"].select("pos_ref", "pivot_decision"), tables["headers"]).withColumnRenamed("finalized_offset", "finalized_epoch")
     b = b.join(tables["committed"].select("pos_ref", F.col("view").alias("pos_view"), F.col("version")), "pos_ref", "left")
     b = b.withColumn("packet", F.floor((F.col("epoch") - low) / group))
@@ -63,6 +68,23 @@ def extract_blocks(tables: dict[str, DataFrame], chain: Chain, low: int, high: i
     return b.drop("class", "pos", "skipped_block", "is_pivot", "adaptive", "version")
 
 
+def packet_heads(blocks: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(packet, prev_last_hash, prev_last_deferred_state_root, first_block_number): what stands before each group.
+
+    The pivot of the epoch before (of epoch 0 for the first) and its header,
+    and the start number in the context of the group's first pivot, from
+    ``tables["contexts"]`` (hash, start_block_number). Anything missing is an error.
+    """
+    first = blocks.groupBy("packet").agg(F.min("epoch").alias("first_epoch")).withColumn("previous_epoch", F.greatest(F.col("first_epoch") - 1, F.lit(0)))
+    pivots = tables["epochs"].select("epoch", "pivot_hash")
+    heads = first.join(pivots.select(F.col("epoch").alias("previous_epoch"), F.col("pivot_hash").alias("prev_last_hash")), "previous_epoch", "left")
+    heads = heads.join(tables["headers"].select(F.col("hash").alias("prev_last_hash"), F.col("deferred_state_root").alias("prev_last_deferred_state_root")), "prev_last_hash", "left")
+    heads = heads.join(pivots.select(F.col("epoch").alias("first_epoch"), F.col("pivot_hash").alias("first_pivot")), "first_epoch", "left")
+    heads = heads.join(tables["contexts"].select(F.col("hash").alias("first_pivot"), F.col("start_block_number").alias("first_block_number")), "first_pivot", "left")
+    whole = lambda c, kind, what: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{what} is missing")).cast(kind)).otherwise(F.col(c)).alias(c)
+    return heads.select("packet", whole("prev_last_hash", "binary", "the previous pivot"), whole("prev_last_deferred_state_root", "binary", "the previous pivot's header"), whole("first_block_number", "long", "the first pivot's epoch context"))
+
+
 def _with_pos_rewards(b: DataFrame, rewards: DataFrame) -> DataFrame:
     """PoS reward events of executed pivots; of several for one hash the last PoS epoch wins."""
     events = rewards.select(F.col("execution_hash").alias("hash"), "pos_epoch", "account_rewards")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from epochweave.functions import codec
 from epochweave.operators import checks, dictionaries, epochs, packing
-from epochweave.session import table
+from epochweave.session import materialize, table
 from epochweave.state import layers, merkle
 from epochweave.state.keys import canonical_key
 
@@ -340,7 +340,7 @@ def prefix_size_choice(spark, d):
 @query("""WITH g AS (SELECT o_orderkey * 10 AS start, 10 AS n FROM orders WHERE o_orderkey % 37 <> 5) SELECT start FROM g WHERE start - 10 NOT IN (SELECT start FROM g) AND start > (SELECT min(start) FROM g)""")
 def contiguity_violations(spark, d):
     g = table(spark, d, "orders").where("o_orderkey % 37 <> 5").select((F.col("o_orderkey") * 10).alias("start"), F.lit(10).alias("n"))
-    return epochs.contiguity_violations(g, "start", "n", 10).select("start")
+    return epochs.contiguity_violations(g, "start", "n").select("start")
 
 
 @query("""WITH b AS (SELECT event_id // 2000 AS packet, event_id AS idx FROM events WHERE event_id % 999 <> 7), e AS (SELECT *, min(idx) OVER (PARTITION BY packet) + row_number() OVER (PARTITION BY packet ORDER BY idx) - 1 AS expected FROM b)
@@ -456,7 +456,7 @@ def merkle_root_sha256(spark, d):
 def merkle_incremental(spark, d):
     """Root after 1 % of the values changed, from cached shard cores."""
     kv = _state_kv(spark, d)
-    cached = merkle.shard_cores(kv)
+    cached = materialize(merkle.shard_cores(kv), "cores")
     changed = kv.where(F.pmod(F.crc32("key"), F.lit(100)) == 0).select("key")
     after = kv.join(changed.withColumn("hit", F.lit(True)), "key", "left").withColumn("value", F.when(F.col("hit"), F.concat("value", F.lit(b"!"))).otherwise(F.col("value"))).drop("hit")
     return merkle.fold_cores(merkle.update_cores(cached, after, changed)).select(F.lower(F.hex("root")).alias("root"))

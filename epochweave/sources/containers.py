@@ -80,11 +80,17 @@ def block_rows(start: int, payload: bytes, pos_from: int) -> Iterator[dict]:
         yield {"start_epoch": start} | b
 
 
-def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
-    """Block rows of all containers in a folder of any store that Spark reads; ``pos_from`` is required, as the schema hangs on it."""
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(start_epoch, epochs, packet) of all containers in a folder of any store that Spark reads; none is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}*").load(path)
     best = container_files(files.select("path"), suffix=rf"{re.escape(SUFFIX)}(\.zst)?")
-    chosen = files.join(best.select("path"), "path", "left_semi")
+    if best.isEmpty():
+        raise FileNotFoundError("no container files")
+    return _groups(files.join(best.select("path"), "path", "left_semi"))
+
+
+def _groups(files: DataFrame) -> DataFrame:
+    """(start_epoch, epochs, packet) of all groups of container files."""
 
     def groups(batches):
         for batch in batches:
@@ -93,7 +99,12 @@ def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
                 for start, count, at, n in directory(data):
                     yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([count]), pa.array([data[at : at + n]], pa.binary())], ["start_epoch", "epochs", "packet"])
 
-    return decode_packets(chosen.select("path", "content").mapInArrow(groups, "start_epoch bigint, epochs bigint, packet binary"), pos_from)
+    return files.select("path", "content").mapInArrow(groups, "start_epoch bigint, epochs bigint, packet binary")
+
+
+def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
+    """Block rows of all containers in a folder; ``pos_from`` is required, as the schema hangs on it."""
+    return decode_packets(read_groups(spark, path), pos_from)
 
 
 def decode_packets(groups: DataFrame, pos_from: int) -> DataFrame:
@@ -122,6 +133,7 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
     """(start_epoch, epochs, n_blocks, packet) of each group of block rows (with the columns of ``packets.BLOCK``).
 
     ``heads`` is (group, prev_last_hash, prev_last_deferred_state_root, first_block_number). A group is a bounded number of epochs.
+    Where the blocks have a column pos_ref, its values and their views make up the packet's PoS lookup table.
     """
     schema = "start_epoch bigint, epochs bigint, n_blocks bigint, packet binary"
 
@@ -133,7 +145,7 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
         for r in rows:
             for c in ("transactions", "transaction_refs", "pos_rewards", "unlock_events"):
                 r[c] = r.get(c) or []
-        data = packets.encode(rows, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"])
+        data = packets.encode(rows, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], packets.pos_lookup(rows))
         packets.verify(data)
         epochs = {r["epoch"] for r in rows}
         return pa.Table.from_pylist([{"start_epoch": min(epochs), "epochs": len(epochs), "n_blocks": len(rows), "packet": data}])

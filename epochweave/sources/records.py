@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.functions.codec import little_endian
 from epochweave.sources import packets
 from epochweave.sources.containers import SHARD_SUFFIX
 
-REWARD_FIELDS = "address string, identifier string, reward string"
+REWARD_FIELDS = "address string, pos_identifier string, reward string"
 
 
 def point_get(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
@@ -42,11 +44,29 @@ def unlock_events(events: DataFrame, event_key: bytes, low: int, high: int) -> D
 
 
 def read_reward_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(address, pos_identifier, reward) from JSON lines with hex or decimal strings."""
-    raw = spark.read.schema(REWARD_FIELDS).json(path)
-    bare = lambda c: F.regexp_replace(c, "^0x", "")
-    number = F.when(F.col("reward").startswith("0x"), F.lpad(bare("reward"), 64, "0")).otherwise(F.lpad(F.hex(F.col("reward").cast("decimal(38,0)").cast("long")), 64, "0"))
-    return raw.select(F.unhex(bare("address")).alias("address"), F.unhex(bare("identifier")).alias("pos_identifier"), F.unhex(number).alias("reward"))
+    """(execution_epoch_hash, account_rewards) of JSON files, one object a file with any layout of lines.
+
+    account_rewards is an array of (address, pos_identifier, reward): hex
+    strings with or without 0x become bytes, decimal rewards of up to 38 digits
+    32 bytes; a longer or malformed number is an error.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    bare = lambda c: F.unhex(F.regexp_replace(c, "^0x", ""))
+    found = F.regexp_extract_all("value", F.lit(r'\{[^{}]*"address"[^{}]*\}'), F.lit(0))
+    account = lambda x: F.struct(bare(x["address"]).alias("address"), bare(x["pos_identifier"]).alias("pos_identifier"), decimal_bytes(x["reward"]).alias("reward"))
+    rewards = F.transform(F.transform(found, lambda x: F.from_json(x, REWARD_FIELDS)), account)
+    return raw.select(bare(F.regexp_extract("value", r'"execution_epoch_hash"\s*:\s*"([^"]*)"', 1)).alias("execution_epoch_hash"), rewards.alias("account_rewards"))
+
+
+def decimal_bytes(digits: Column) -> Column:
+    """A string of up to 38 decimal digits as 32 bytes, big-endian."""
+    value, base = digits.cast("decimal(38,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    high = F.call_function("div", value, base)
+    low = value - high.cast("decimal(38,0)") * base
+    middle = F.call_function("div", low, F.lit(1 << 32).cast("decimal(20,0)"))
+    last = low - middle.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(20,0)")
+    part = lambda x, n: F.lpad(F.hex(x.cast("long")), n, "0")
+    return F.unhex(F.concat(F.lit("0" * 32), part(high, 16), part(middle, 8), part(last, 8)))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -1,22 +1,28 @@
 """Merkle roots of sorted key-value maps.
 
-A root is exact under sharding by leading nibbles: the children of the root
-compress their paths apart from each other. Subtrees go to tasks by the first
-two nibbles as unwrapped cores, and only these (256 at most) meet in a last
-small group. The hash is a parameter: Keccak-256, or SHA-256 to compare with SQL.
+A root is exact under sharding by leading nibbles: the children of a node
+compress their paths apart from each other. Subtrees go to tasks by their
+first two nibbles as unwrapped cores. A shard of more than ``CROWD`` keys is
+split at the node where its keys part, and its parts again, so that a long
+common prefix, such as one contract's, does not gather a map in one task. The
+cores of a split node's parts (16 at most, and the key that ends there) make
+its own, level by level, and 257 at most meet in the last small group. The
+hash is a parameter: Keccak-256, or SHA-256 to compare with SQL.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.functions.keccak import keccak, keccak_many
+from epochweave.session import materialize
 
-SHARD = 2
+SHARD, CROWD = 2, 5000
 
 
 def _sha_many(messages: list[bytes]) -> list[bytes]:
@@ -128,30 +134,92 @@ def merkle_root(kv: DataFrame, key: str = "key", value: str = "value", hash_name
     return fold_cores(shards, hash_name, by)
 
 
-def shard_cores(kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", by: list[str] = ()) -> DataFrame:
+_CORE = "shard string, first string, depth int, core binary, value binary, short boolean"
+_CHAIN = "array<struct<parent:string,at:int>>"
+
+
+def _kinds(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+
+
+def _split(now: DataFrame, by: list[str], crowd: int) -> tuple[DataFrame, int]:
+    """``now`` (*by, k, v, shard, chain) with crowded shards split where their keys part, and the number of splits on the way of any key.
+
+    ``chain`` holds the shards that a key's shard was split from, and the depth
+    of the node there. Each round reads the sizes of the shards of the last one.
+    """
+    common = F.aggregate(F.sequence(F.lit(1), F.least(F.length("low"), F.length("high"))), F.lit(0), lambda a, i: F.when(F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i), i).otherwise(a))
+    rounds = 0
+    while True:
+        start = F.coalesce(F.get("chain", F.size("chain") - 1)["at"] + 1, F.lit(SHARD))  # shorter ones are keys that end above
+        sizes = now.where(F.length("shard") >= start).groupBy(*by, "shard").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+        many = materialize(sizes.where(F.col("n") > crowd).select(*by, F.col("shard").alias("parent"), common.alias("at")), "crowded")
+        if many.isEmpty():
+            return now, rounds
+        same = [F.col(f"now.{c}").eqNullSafe(F.col(f"many.{c}")) for c in by]
+        both = now.alias("now").join(many.alias("many"), reduce(lambda x, y: x & y, [*same, F.col("now.shard") == F.col("many.parent")]), "left")
+        hit = F.col("many.parent").isNotNull()
+        now = both.select(
+            *(F.col(f"now.{c}").alias(c) for c in by),
+            "k",
+            "v",
+            F.when(hit, F.substring(F.col("k"), F.lit(1), F.col("at") + 1)).otherwise(F.col("shard")).alias("shard"),
+            F.when(hit, F.concat("chain", F.array(F.struct("parent", "at")))).otherwise(F.col("chain")).alias("chain"),
+        )
+        rounds += 1
+
+
+def shard_cores(kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", by: list[str] = (), crowd: int = CROWD) -> DataFrame:
     """(*by, shard, first, depth, core, value): a core per two leading nibbles; keys of under one byte carry their value instead."""
-    nibbled = kv.select(*by, F.lower(F.hex(key)).alias("k"), F.col(value).cast("binary").alias("v")).withColumn("shard", F.substring("k", 1, SHARD))
-    kinds = ", ".join(f"{c} {kv.schema[c].dataType.simpleString()}" for c in by)
-    schema = (kinds + ", " if kinds else "") + "shard string, first string, depth int, core binary, value binary, short boolean"
+    by = list(by)
+    nibbled = kv.select(*by, F.lower(F.hex(key)).alias("k"), F.col(value).cast("binary").alias("v")).withColumn("shard", F.substring("k", 1, SHARD)).withColumn("chain", F.expr(f"cast(array() as {_CHAIN})"))
+    dealt, rounds = _split(nibbled, by, crowd)
+    schema = f"{_kinds(kv, by)}{_CORE}, chain {_CHAIN}"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         many = HASHES[hash_name]
         pdf = pdf.sort_values("k", kind="stable")
-        shard, keys = pdf["shard"].iloc[0], pdf["k"].tolist()
+        shard, keys, chain = pdf["shard"].iloc[0], pdf["k"].tolist(), [dict(c) if isinstance(c, dict) else c.asDict() for c in pdf["chain"].iloc[0]]
         values = [None if v is None else bytes(v) for v in pdf["v"]]
+        head, start = {c: [pdf[c].iloc[0]] for c in by}, chain[-1]["at"] + 1 if chain else SHARD
+        if len(shard) < start:  # the key that ends above
+            return pd.DataFrame(head | {"shard": [shard], "first": [shard], "depth": [len(shard)], "core": [None], "value": [values[0]], "short": [True], "chain": [chain]})
+        first, depth, core = cores(keys, values, start, many, many([b""])[0])
+        return pd.DataFrame(head | {"shard": [shard], "first": [first], "depth": [depth], "core": [core], "value": [None], "short": [False], "chain": [chain]})
+
+    rows = dealt.groupBy(*by, "shard").applyInPandas(fold, schema)
+    for left in range(rounds, 0, -1):
+        deep = rows.where(F.size("chain") == left).withColumn("parent", F.element_at("chain", -1)["parent"])
+        rows = rows.where(F.size("chain") < left).unionByName(_join_parts(deep, by, schema, hash_name))
+    return rows.drop("chain")
+
+
+def _join_parts(deep: DataFrame, by: list[str], schema: str, hash_name: str) -> DataFrame:
+    """The cores of split shards from those of their parts: at most 17 rows a group."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        many = HASHES[hash_name]
+        null = many([b""])[0]
+        rows = pdf.sort_values("shard").to_dict("records")
+        chain = [dict(c) if isinstance(c, dict) else c.asDict() for c in rows[0]["chain"]]
+        at = chain[-1]["at"]
+        children = {}
+        for r in rows:
+            if not r["short"]:
+                path, core = r["first"][at + 1 : int(r["depth"])], bytes(r["core"])
+                children[int(r["first"][at], 16)] = many([path_bytes(path, at + 1) + core])[0] if path else core
+        own = next((r for r in rows if r["short"]), None)
+        value = bytes(own["value"]) if own and own["value"] is not None else None
+        core = many([node_message(children, value, own is not None, null)])[0]
         head = {c: [pdf[c].iloc[0]] for c in by}
-        if len(shard) < SHARD:
-            return pd.DataFrame(head | {"shard": [shard], "first": [shard], "depth": [len(shard)], "core": [None], "value": [values[0]], "short": [True]})
-        first, depth, core = cores(keys, values, SHARD, many, many([b""])[0])
-        return pd.DataFrame(head | {"shard": [shard], "first": [first], "depth": [depth], "core": [core], "value": [None], "short": [False]})
+        return pd.DataFrame(head | {"shard": [chain[-1]["parent"]], "first": [rows[0]["first"]], "depth": [at], "core": [core], "value": [None], "short": [False], "chain": [chain[:-1]]})
 
-    return nibbled.groupBy(*by, "shard").applyInPandas(fold, schema)
+    return deep.groupBy(*by, "parent").applyInPandas(fold, schema)
 
 
 def fold_cores(shards: DataFrame, hash_name: str = "keccak", by: list[str] = ()) -> DataFrame:
     """(*by, root) from shard cores: at most 257 rows a group."""
-    kinds = ", ".join(f"{c} {shards.schema[c].dataType.simpleString()}" for c in by)
-    schema = (kinds + ", " if kinds else "") + "root binary"
+    schema = f"{_kinds(shards, by)}root binary"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         many = HASHES[hash_name]

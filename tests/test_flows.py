@@ -1,10 +1,11 @@
 import os
 import time
 
-from pyspark.sql import functions as F
+import pytest
 
+from epochweave import cli
 from epochweave.functions.keccak import EMPTY
-from epochweave.plans.extract import Chain, extract_blocks
+from epochweave.plans.extract import Chain, extract_blocks, packet_heads
 from epochweave.sources import containers, packets
 from epochweave.state.manager import MemoryStore, StateManager
 from epochweave.streaming import periods
@@ -12,9 +13,12 @@ from epochweave.streaming import periods
 H = lambda n: n.to_bytes(32, "big")
 
 
-def test_extraction_to_packets(spark, tmp_path):
-    """Landed tables of 12 epochs of 3 blocks become packets of 6 epochs that read back the same."""
-    n = 12
+N = 12
+
+
+def landed(spark):
+    """Landed tables of 12 epochs of 3 blocks."""
+    n = N
     epochs = spark.createDataFrame([(e, H(3 * e + 2), [H(3 * e), H(3 * e + 2)], [H(3 * e + 1)]) for e in range(n)], "epoch bigint, pivot_hash binary, executed array<binary>, skipped array<binary>")
     headers = spark.createDataFrame([(H(i), i // 3, i % 2 == 0, bytes([i % 4]) * 20, 1000 + i, H(5), 30_000_000, 0, 0, 0, bytes(32), bytes(32), bytes(32), H(900 + i // 3) if i >= 15 else None) for i in range(3 * n)], "hash binary, height bigint, adaptive boolean, author binary, timestamp bigint, difficulty binary, gas_limit bigint, base_price_core bigint, base_price_espace bigint, blame bigint, deferred_state_root binary, deferred_receipts_root binary, deferred_logs_bloom_hash binary, pos_ref binary")
     bodies = spark.createDataFrame([], f"hash binary, transactions array<{packets.TX}>")
@@ -22,7 +26,13 @@ def test_extraction_to_packets(spark, tmp_path):
     committed = spark.createDataFrame([(H(900 + k), H(3 * max(k - 3, 0) + 2), 50 + k, 10 * k) for k in range(n)], "pos_ref binary, pivot_decision binary, view bigint, version bigint")
     pos = spark.createDataFrame([(H(3 * 7 + 2), 1, [(bytes(20), H(1), H(2))]), (H(3 * 7 + 2), 2, [(bytes(20), H(1), H(3))]), (H(999), 1, [(bytes(20), H(1), H(4))])], "execution_hash binary, pos_epoch bigint, account_rewards array<struct<address:binary,pos_identifier:binary,reward:binary>>")
     unlocks = spark.createDataFrame([(v, H(v), v) for v in (49, 50, 61, 70, 200)], "version bigint, identifier binary, unlocked bigint")
-    tables = {"epochs": epochs, "headers": headers, "bodies": bodies, "rewards": rewards, "committed": committed, "pos_rewards": pos, "unlocks": unlocks}
+    contexts = spark.createDataFrame([(H(3 * e + 2), 500 + 3 * e) for e in range(n)], "hash binary, start_block_number bigint")
+    return {"epochs": epochs, "headers": headers, "bodies": bodies, "rewards": rewards, "committed": committed, "pos_rewards": pos, "unlocks": unlocks, "contexts": contexts}
+
+
+def test_extraction_to_packets(spark, tmp_path):
+    """The tables become packets of 6 epochs that read back the same."""
+    n, tables = N, landed(spark)
     blocks = extract_blocks(tables, Chain(pos_reference_enable_height=6), 0, n, 6).cache()
     got = {(r["packet"], r["index"]): r for r in blocks.collect()}
     assert len(got) == 36 and [got[0, i]["hash"] for i in range(3)] == [H(0), H(1), H(2)]
@@ -31,12 +41,44 @@ def test_extraction_to_packets(spark, tmp_path):
     assert [x["account_rewards"][0]["reward"] for x in pivot["pos_rewards"]] == [H(3)]
     assert [u["unlocked"] for u in pivot["unlock_events"]] == [61]
     assert got[0, 1]["flags"] & 32 and got[0, 2]["flags"] & 6 == 6 and got[1, 17]["flags"] & 64
-    heads = blocks.select("packet").distinct().select("packet", F.lit(bytes(32)).alias("prev_last_hash"), F.lit(bytes(32)).alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
+    heads = packet_heads(blocks, tables)
+    assert {(r["packet"], bytes(r["prev_last_hash"]), r["first_block_number"]) for r in heads.collect()} == {(0, H(2), 500), (1, H(17), 518)}
+    with pytest.raises(Exception, match="context is missing"):
+        packet_heads(blocks, tables | {"contexts": tables["contexts"].limit(0)}).collect()
     packed = containers.encode_packets(blocks, "packet", heads)
+    entries = [packets.decode(bytes(r["packet"]), 6)[0]["pos_entries"] for r in packed.orderBy("start_epoch").collect()]
+    assert entries == [[], [(H(906 + i), i) for i in range(6)]]
     back = containers.decode_packets(packed, 6).collect()
     assert len(back) == 36 and {(r["hash"], r["epoch"], r["flags"], r["pos_view"]) for r in back} == {(r["hash"], r["epoch"], r["flags"] | (8 if r["pos_rewards"] or r["unlock_events"] else 0), r["pos_view"]) for r in got.values()}
 
 
+def test_commands(spark, tmp_path, capsys):
+    """Tables to containers and shards by the command line, then verify, inspect, round trip and replay of both."""
+    config = tmp_path / "chain.toml"
+    config.write_text("pos_reference_enable_height = 6\n")
+    for name, df in landed(spark).items():
+        df.write.parquet(f"{tmp_path}/tables/{name}")
+    for out, more in (("containers", []), ("shards", ["--shards"])):
+        folder = f"{tmp_path}/{out}"
+        cli.main(["extract", f"{tmp_path}/tables", "--config", str(config), "--group", "6", "--output", folder, *more])
+        capsys.readouterr()
+        cli.main(["verify", folder])
+        seen = capsys.readouterr().out
+        assert "|0          |18" in seen and "|6          |18" in seen
+        cli.main(["replay", folder, "--pos-from", "6"])
+        seen = capsys.readouterr().out.splitlines()
+        assert seen[3].replace(" ", "") == "|2|12|36|0|0|0|0|" and seen[9].startswith("+")
+        cli.main(["roundtrip", folder, "--pos-from", "6"])
+        assert len(capsys.readouterr().out.splitlines()) == 5
+        cli.main(["inspect", folder, "--pos-from", "6", "--start", "7", "--end", "8"])
+        assert capsys.readouterr().out.count("|6") == 3
+    with pytest.raises(SystemExit, match="epoch 12 is missing"):
+        spark.createDataFrame([(20, H(1), [H(1)], [])], "epoch bigint, pivot_hash binary, executed array<binary>, skipped array<binary>").write.mode("append").parquet(f"{tmp_path}/tables/epochs")
+        cli.main(["extract", f"{tmp_path}/tables", "--output", f"{tmp_path}/none"])
+    with pytest.raises(FileNotFoundError):
+        cli.main(["verify", f"{tmp_path}/tables"])
+
+
 def test_stream_of_layers(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, schema = f"{tmp_path}/in", "key string, height bigint, value bigint"

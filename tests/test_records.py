@@ -9,9 +9,12 @@ def test_unlocks_and_rewards(spark, tmp_path):
     raw = [(5, key, b"\1" * 32 + (7).to_bytes(8, "little")), (6, b"x" * 40, b"\1" * 40), (9, key, b"\2" * 40), (7, key, b"short")]
     events = spark.createDataFrame(raw, "version bigint, key binary, data binary")
     assert [tuple(r) for r in records.unlock_events(events, key, 5, 9).collect()] == [(5, b"\1" * 32, 7)]
-    (tmp_path / "r.json").write_text('{"address": "0x%s", "identifier": "%s", "reward": "0xff"}\n{"address": "%s", "identifier": "0x%s", "reward": "300"}\n' % ("aa" * 20, "bb" * 32, "cc" * 20, "dd" * 32))
-    rows = records.read_reward_lists(spark, str(tmp_path / "r.json")).collect()
-    assert [int.from_bytes(r["reward"], "big") for r in rows] == [255, 300] and bytes(rows[0]["address"]) == b"\xaa" * 20
+    big = 12345678901234567890123456789
+    (tmp_path / "r.json").write_text('{\n  "execution_epoch_hash": "0x%s",\n  "account_rewards": [\n    {"address": "0x%s", "pos_identifier": "%s", "reward": "%d"},\n    {"address": "%s", "pos_identifier": "0x%s", "reward": "300"}\n  ]\n}\n' % ("ee" * 32, "aa" * 20, "bb" * 32, big, "cc" * 20, "dd" * 32))
+    (row,) = records.read_reward_lists(spark, str(tmp_path / "r.json")).collect()
+    accounts = row["account_rewards"]
+    assert [int.from_bytes(r["reward"], "big") for r in accounts] == [big, 300] and {len(r["reward"]) for r in accounts} == {32}
+    assert bytes(accounts[0]["address"]) == b"\xaa" * 20 and bytes(accounts[1]["pos_identifier"]) == b"\xdd" * 32 and bytes(row["execution_epoch_hash"]) == b"\xee" * 32
     pivots = spark.createDataFrame([(b"h",)], "hash binary")
     found = records.latest_rewards(spark.createDataFrame([(b"h", 1, "a"), (b"h", 3, "c"), (b"o", 9, "z")], "execution_hash binary, pos_epoch bigint, x string"), pivots)
     assert [tuple(r) for r in found.collect()] == [(b"h", 3, "c")]

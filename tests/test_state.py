@@ -52,6 +52,18 @@ def test_distributed_root(spark):
     assert merkle.root({}) == EMPTY
 
 
+def test_crowded_shards(spark):
+    """Keys with a long common prefix, and keys that are prefixes of others, are split into parts with the same root."""
+    r = random.Random(4)
+    entries = {b"\0\0\1" + r.randbytes(r.choice([0, 1, 2, 2, 3])): r.randbytes(3) for _ in range(150)} | {b"\0": b"a", b"\0\0": b"b", b"": b"c", b"\xab\xcd": None}
+    kv = spark.createDataFrame(list(entries.items()), "key binary, value binary")
+    shards = merkle.shard_cores(kv, crowd=30)
+    assert bytes(merkle.fold_cores(shards).first()["root"]) == merkle.root(entries)
+    twice = kv.withColumn("map", F.lit(1)).unionByName(kv.limit(60).withColumn("map", F.lit(2)))
+    found = {x["map"]: bytes(x["root"]) for x in merkle.fold_cores(merkle.shard_cores(twice, by=["map"], crowd=30), by=["map"]).collect()}
+    assert found[1] == merkle.root(entries) and found[1] != found[2]
+
+
 def test_key_shapes(spark):
     kinds = ["account", "storage_root", "storage", "code_root", "code", "deposit", "vote"]
     rows = [(k, b"\x07" * 20, b"\x55" * 32 if k in ("storage", "code") else None, s) for k in kinds for s in ("native", "ethereum")]
