@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,19 +36,13 @@ class Forest:
         return x != y
 
 
-def _thin(edges: DataFrame) -> DataFrame:
-    """A forest with the same components in each partition, as stars: never more edges, mostly far fewer."""
-
-    def run(batches):
-        forest = Forest()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forest.join(a, b)
-        stars = [(x, forest.find(x)) for x in list(forest.up)]
-        a, b = zip(*stars, strict=True) if stars else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, EDGE)
+def stars(pairs: Iterable[tuple[int, int]]) -> pa.Table:
+    """(a, b): a forest with the components of ``pairs``, as stars: never more edges, mostly far fewer."""
+    forest = Forest()
+    for a, b in pairs:
+        forest.join(a, b)
+    found = [(x, forest.find(x)) for x in list(forest.up)]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -60,7 +56,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     least = F.least("u", F.min("v")).alias("m")
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(_thin(now).distinct(), "edges")
+    now = materialize(now.distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -12,8 +12,8 @@ nodes are taken further only if the bits they share, plus that slack, allow
 the overlap that their sizes need, and if they are not one component already.
 A first search sees signatures alone; the components of what may link are the
 clusters of a second search, which counts the overlaps of leaves exactly. A
-cluster of more than ``BLOCK`` members is cut into blocks, and each pair of
-blocks is a task of its own.
+cluster of more than ``BLOCK`` members is cut into parts that are searched
+first; then only members outside its largest component meet all others.
 
 Nulls: null texts and texts without words have empty sets and link with
 nothing; a null id keeps its row with a null component unless a copy has an
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from epochweave.llm import anchors as A
 from epochweave.llm import kernels as k
-from epochweave.llm.components import Forest, components, sorted_overlap
+from epochweave.llm.components import Forest, components, sorted_overlap, stars
 from epochweave.llm.names import unused
 from epochweave.session import discard, materialize
 
@@ -237,17 +237,58 @@ def candidate_pairs(maps: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray
     return out
 
 
-def _tasks(clusters: DataFrame, n: int) -> DataFrame:
-    """(node, leader, part, parts, bucket by node): large clusters in parts."""
+#: What is added to the second part of a task that compares two sides.
+_ACROSS = 1 << 30
+TASK = "node bigint, leader bigint, one int, two int, side int"
+
+
+def within_parts(clusters: DataFrame) -> DataFrame:
+    """``TASK`` rows of (leader, node): each part of a cluster is one task, and each member is in one of them."""
     many = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    return clusters.join(many, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), parts.alias("parts"), _bucket("node", n).alias("bucket"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    return clusters.join(many, "leader").select("node", "leader", part.alias("one"), part.alias("two"), F.lit(0).alias("side"))
+
+
+def across_parts(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """``TASK`` rows of the pairs that ``within_parts`` has not seen and that may join components.
+
+    Of a cluster of several parts, the members outside its largest component
+    (by ``roots``) meet all members; a cluster that is one component, as a
+    group of near copies soon is, needs nothing more.
+    """
+    many = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
+    large = clusters.join(many, "leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = large.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = by_root.groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"))
+    placed = large.join(main, "leader").where(F.col("n_main") < F.col("members")).withColumn("rest", F.ceil((F.col("members") - F.col("n_main")) / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    apart = placed.where(F.col("root") != F.col("main")).select("node", "leader", F.pmod(F.xxhash64("node", F.lit(1)), "rest").cast("int").alias("one"), spread("parts").alias("two"), F.lit(1).alias("side"))
+    whole = placed.select("node", "leader", spread("rest").alias("one"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("two"), F.lit(0).alias("side"))
+    return apart.unionByName(whole).withColumn("two", F.col("two") + _ACROSS)
+
+
+def linked_roots(clusters: DataFrame, links) -> DataFrame:
+    """(node, root) of the components of all links within clusters; ``links(tasks)`` finds those of ``TASK`` rows."""
+    roots = components(links(within_parts(clusters)))
+    more = materialize(across_parts(clusters, roots), "across")
+    if more.isEmpty():
+        discard(more)
+        return roots
+    return components(links(more).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _bucket(column: str, n: int):
     return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(n)).cast("int")
 
 
+def wanted_by(table: pa.Table) -> dict[int, list[tuple[int, int, int, int]]]:
+    """The tasks (leader, one, two, side) of each node of ``TASK`` rows."""
+    want = defaultdict(list)
+    for node, *task in zip(*(table.column(c).to_pylist() for c in ("node", "leader", "one", "two", "side")), strict=True):
+        want[node].append(tuple(task))
+    return want
+
+
 def member_blobs(rows: list[tuple], sets: list[np.ndarray], n: int) -> pa.Table:
     """Blobs by cluster task from (leader, first part, second part, side, node, set size, array length) and the arrays."""
     if not rows:
@@ -276,9 +317,7 @@ def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int, signatures:
     """Blobs by cluster task: leader, first and second part, side, node, set size, set or its signature."""
 
     def run(key, left, right):
-        want = defaultdict(list)
-        for node, leader, part, parts in zip(*(right.column(c).to_pylist() for c in ("node", "leader", "part", "parts")), strict=True):
-            want[node].append((leader, part, parts))
+        want = wanted_by(right)
         rows, sets = [], []
         for part, data, offsets in A.each_slice(left):
             nodes = part.column(part.schema.get_field_index("node")).to_pylist()
@@ -294,10 +333,9 @@ def _members(docs: DataFrame, tasks: DataFrame, words: int, n: int, signatures:
                 size = len(mine)
                 if signatures:
                     mine = bitmaps([mine], signature_width(size))[0]
-                for leader, own, parts in tasks_of:
-                    for other in range(parts):
-                        rows.append((leader, min(own, other), max(own, other), int(own > other), nodes[i], size, len(mine)))
-                        sets.append(mine)
+                for leader, one, two, side in tasks_of:
+                    rows.append((leader, one, two, side, nodes[i], size, len(mine)))
+                    sets.append(mine)
         return member_blobs(rows, sets, n)
 
     return docs.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
@@ -314,7 +352,7 @@ def each_task(table: pa.Table):
     cut = np.flatnonzero(np.concatenate([[True], (leader[order][1:] != leader[order][:-1]) | (parts[order][1:] != parts[order][:-1])]))
     for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True):
         mine = order[lo:hi]
-        one_part = (parts[mine[0]] >> 32) == (parts[mine[0]] & 0xFFFFFFFF)
+        one_part = (parts[mine[0]] & 0xFFFFFFFF) < _ACROSS
         sides = np.zeros(len(mine), np.int8) if one_part else side[mine]
         if len(mine) > 1 and (one_part or len(np.unique(sides)) == 2):
             yield int(leader[mine[0]]), node[mine].tolist(), size[mine], sides, [flat[begin[m] : begin[m] + length[m]] for m in mine]
@@ -324,12 +362,11 @@ def _links(blobs: DataFrame, percent: int, exact: bool = True) -> DataFrame:
     """(a, b): pairs that join the nodes of each cluster task that link (or, by signatures, may link)."""
 
     def run(key, table):
-        a, b = [], []
+        pairs = []
         for _, nodes, sizes, sides, sets in each_task(table):
-            for i, j in link_cluster(sets, sides, percent) if exact else candidate_pairs(sets, sizes, sides, nodes, percent):
-                a.append(nodes[i])
-                b.append(nodes[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found = link_cluster(sets, sides, percent) if exact else candidate_pairs(sets, sizes, sides, nodes, percent)
+            pairs += [(nodes[i], nodes[j]) for i, j in found]
+        return stars(pairs)
 
     return blobs.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
@@ -348,9 +385,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # One row of each text goes on: copies are dropped within each task before texts are sent anywhere.
     homed = _texts(noded, n)
     # Signatures first: what may link makes clusters that do not overlap, so each whole set travels once.
-    hopeful = components(_links(_members(homed, _tasks(clusters, n), words, n, signatures=True), percent, exact=False))
+    dealt = lambda tasks: tasks.withColumn("bucket", _bucket("node", n))
+    hopeful = linked_roots(clusters, lambda tasks: _links(_members(homed, dealt(tasks), words, n, signatures=True), percent, exact=False))
     close = hopeful.select(F.col("root").alias("leader"), "node")
-    roots = components(_links(_members(homed, _tasks(close, n), words, n), percent))
+    roots = linked_roots(close, lambda tasks: _links(_members(homed, dealt(tasks), words, n), percent))
     discard(clusters)
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

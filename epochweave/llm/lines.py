@@ -27,8 +27,6 @@ their lines together. Empty tables give empty results. Extra columns stay.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from epochweave.llm import anchors as A
 from epochweave.llm import jaccard as J
 from epochweave.llm import kernels as k
-from epochweave.llm.components import components
+from epochweave.llm.components import stars
 from epochweave.llm.names import quoted, unused
 from epochweave.session import discard, materialize
 
@@ -118,7 +116,8 @@ def _texts(docs: DataFrame, least: int, n: int) -> DataFrame:
 
 
 def _home(ids: np.ndarray, n: int) -> np.ndarray:
-    return (k.mix(ids.astype(np.uint64)) % k.U64(n)).astype(np.int64)
+    """The bucket of lines by their ids, as ``pmod`` has it."""
+    return ids % n
 
 
 def _wanted_lines(table: pa.Table, want: dict):
@@ -247,15 +246,12 @@ def _members(texts: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
     """Blobs by cluster task, as ``jaccard.member_blobs`` has them, with the bytes of the lines."""
 
     def run(key, left, right):
-        want = defaultdict(list)
-        for node, leader, part, parts in zip(*(right.column(c).to_pylist() for c in ("node", "leader", "part", "parts")), strict=True):
-            want[node].append((leader, part, parts))
+        want = J.wanted_by(right)
         rows, raws = [], []
         for node, raw in _wanted_lines(left, want) if want else ():
-            for leader, mine, parts in want[node]:
-                for other in range(parts):
-                    rows.append((leader, min(mine, other), max(mine, other), int(mine > other), node, len(raw), len(raw)))
-                    raws.append(raw)
+            for leader, one, two, side in want[node]:
+                rows.append((leader, one, two, side, node, len(raw), len(raw)))
+                raws.append(raw)
         return J.member_blobs(rows, raws, n)
 
     return texts.groupBy("bucket").cogroup(tasks.groupBy("bucket")).applyInArrow(run, A.BLOB)
@@ -265,17 +261,17 @@ def _links(blobs: DataFrame, chars: int, percent: int) -> DataFrame:
     """(a, b): pairs that join the lines of each cluster task that link by their cluster's rule."""
 
     def run(key, table):
-        a, b = [], []
+        pairs = []
         for tasks in _blocks(J.each_task(table)):
             for short in (False, True):
                 mine = [t for t in tasks if bool(t[0] & 1) == short]
                 sets = iter(shingle_sets([x.tobytes().decode() for t in mine for x in t[4]], SHORT_CHARS if short else chars) if mine else ())
                 for _, nodes, _, sides, raws in mine:
                     found = [next(sets) for _ in raws]
-                    for i, j in J.link_cluster(found, sides, SHORT_PERCENT, SHORT_EDIT) if short else J.link_cluster(found, sides, percent):
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    links = J.link_cluster(found, sides, SHORT_PERCENT, SHORT_EDIT) if short else J.link_cluster(found, sides, percent)
+                    pairs += [(nodes[i], nodes[j]) for i, j in links]
+            pa.default_memory_pool().release_unused()
+        return stars(pairs)
 
     return blobs.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
@@ -298,7 +294,8 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, perce
     n = A.buckets(docs.sparkSession)
     noded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     clusters = materialize(_clusters(_bands(noded, least, chars, n)), "bands")
-    roots = components(_links(_members(_texts(noded, least, n), _tasks(clusters, n), n), chars, percent))
+    texts = _texts(noded, least, n)
+    roots = J.linked_roots(clusters, lambda tasks: _links(_members(texts, tasks.withColumn("bucket", F.pmod("node", F.lit(n)).cast("int")), n), chars, percent))
     discard(clusters)
     seen = materialize(_occurrences(noded), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "line_no")
@@ -313,17 +310,6 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, perce
     return gone.groupBy("doc_id", "node").agg(F.collect_set("line_no").alias("gone"))
 
 
-def _tasks(clusters: DataFrame, n: int) -> DataFrame:
-    """``jaccard._tasks`` dealt by the line's home."""
-
-    def run(batches):
-        for batch in batches:
-            where = _home(np.asarray(batch.column(0), dtype=np.int64), n).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(where)], ["node", "leader", "part", "parts", "bucket"])
-
-    return J._tasks(clusters, n).mapInArrow(run, "node bigint, leader bigint, part int, parts int, bucket int")
-
-
 def drop_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, percent: int = PERCENT, count: str | None = "n_lines_gone") -> DataFrame:
     """``docs`` with texts that have lost their repeated lines, n_chars made to fit where it is there, and the lines gone.
 

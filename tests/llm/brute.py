@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import re
+import uuid
+import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 SMALL = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -81,29 +86,160 @@ def repeats(rows, window=50):
     return out
 
 
-def lines(rows, least=40, chars=8, percent=80):
-    """(doc_id, lines kept, lines gone, digest); rows of one id and text are one document."""
+def line_groups(texts: list[str], least: int = 40):
+    """Groups of lines: 8-character shingles from 80 characters on, 4-character ones under 128; shorter ones than ``least`` stand alone."""
+    groups = Groups(len(texts))
+    for low, high, chars, test in ((80, 1 << 60, 8, lambda x, y, n: 100 * n >= 80 * (x + y - n)), (least, 128, 4, lambda x, y, n: 100 * n >= 55 * (x + y - n) and max(x, y) - n <= 12)):
+        where = defaultdict(list)
+        sets = {i: {x[j : j + chars] for j in range(len(x) - chars + 1)} for i, x in enumerate(texts) if max(low, least) <= len(x) < high}
+        for i, own in sets.items():
+            for j, n in Counter(j for x in own for j in where[x]).items():
+                if test(len(own), len(sets[j]), n):
+                    groups.join(i, j)
+            for x in own:
+                where[x].append(i)
+    return groups
+
+
+def left_lines(rows, least=40):
+    """The lines of each row's text that do not repeat; rows of one id and text are one document."""
     spots = defaultdict(list)
     for no_id, d, t in sorted({(d is None, d or 0, t) for d, t in rows if t is not None}):
         for i, line in enumerate(t.split("\n")):
-            line = line.strip().lower()
-            if len(line) >= least:
-                spots[line].append((no_id, d, i, t))
+            if line.strip():
+                spots[line.strip().lower()].append((no_id, d, i, t))
     texts = list(spots)
-    groups = linked([{x[i : i + chars] for i in range(len(x) - chars + 1)} for x in texts], percent)
+    groups = line_groups(texts, least)
     stays = {}
     for i, x in enumerate(texts):
         g = groups.find(i)
         stays[g] = min([*spots[x], *([stays[g]] if g in stays else [])], key=lambda s: s[:3])
     keep = set(stays.values())
-    out = []
-    for d, t in rows:
+    return [None if t is None else [line for i, line in enumerate(t.split("\n")) if not line.strip() or (d is None, d or 0, i, t) in keep] for d, t in rows]
+
+
+def same_lines(rows, got, recall=0.98, least=40):
+    """Whether the texts ``got`` lack no line that stays, and nearly all that go: bands find links by chance."""
+    gone = missed = 0
+    for (_, t), text, left in zip(rows, got, left_lines(rows, least), strict=True):
         if t is None:
-            out.append((d, 0, 0, sha(b"")))
+            assert text is None
             continue
-        kept = [line for i, line in enumerate(t.split("\n")) if len(line.strip().lower()) < least or (d is None, d or 0, i, t) in keep]
-        text = "\n".join(kept)
-        out.append((d, len(text.split("\n")), len(t.split("\n")) - len(kept), sha(text.encode())))
+        whole, kept = t.split("\n"), iter(text.split("\n"))
+        rest = iter([*text.split("\n"), *[""] * (text == "" and "" not in whole)])
+        assert all(any(x == y for y in rest) for x in left), "a line is gone that stays"
+        rest = iter(whole)
+        assert text == "" or all(any(x == y for y in rest) for x in kept), "a line that was not there"
+        stay = len(text.split("\n")) if text or "" in whole else 0
+        gone += len(whole) - len(left)
+        missed += stay - len(left)
+    assert missed <= (1 - recall) * gone, (missed, gone)
+    return gone
+
+
+class Page(HTMLParser):
+    """Title, language, links and text of a page, tag by tag."""
+
+    HIDDEN = {"script", "style", "head", "template", "noscript", "svg"}
+    BREAKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav blockquote pre body".split())
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.lang = [], [], None, ""
+        self.hidden, self.in_title = 0, False
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        found = dict(attrs)
+        if tag == "html":
+            self.lang = found.get("lang") or ""
+        if tag == "a" and "href" in found:
+            self.links.append(found["href"] or "")
+        if tag == "title" and self.title is None:
+            self.title, self.in_title = "", True
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif not self.hidden and tag in self.BREAKS:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.in_title = False
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+            self.text.append(" ")
+        elif not self.hidden and tag in self.BREAKS:
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        if not self.hidden:
+            self.text.append(data)
+
+
+def warc(page_id, url, html):
+    """All columns of a page's derivatives, from the format's definition."""
+    url, body = url or "", (html or "").encode()
+    page = Page(html or "")
+    b32 = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+    def name(kind, *parts):
+        raw = hashlib.sha256(kind.encode() + b"\0" + b"\0".join(hashlib.sha256(p).digest() for p in parts)).digest()[:16]
+        return f"<urn:uuid:{uuid.UUID(bytes=raw, version=4)}>"
+
+    source = name("response", url.encode(), body)
+    text = "\n".join(x for x in (re.sub(r"[ \t\r\f\v]+", " ", line).strip(" ") for line in "".join(page.text).split("\n")) if x).strip().encode()
+    fields = [("title", " ".join((page.title or "").split())), ("languages-html", page.lang), ("n-outlinks", str(len(page.links))), *(("outlink", " ".join(x.split())) for x in page.links)]
+    fields += [("http-content-type", "text/html; charset=utf-8"), ("http-content-length", str(len(body)))]
+    meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+    return (page_id, source, name("metadata", source.encode(), meta), name("conversion", source.encode(), text), True, " ".join(url.split()), b32(body), b32(meta), b32(text), len(text), sha(meta), sha(text))
+
+
+def media(doc_id, text, stored):
+    """All columns of a stored picture, read chunk by chunk and sample by sample."""
+    raw = (text or "").encode()
+    payload = raw + b" " * (192 - len(raw) if not raw else -len(raw) % 192)
+    at, packed = 8, b""
+    while at < len(stored):
+        size = int.from_bytes(stored[at : at + 4], "big")
+        kind, body = stored[at + 4 : at + 8], stored[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body).to_bytes(4, "big") == stored[at + 8 + size : at + 12 + size]
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 2, 0, 0, 0])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + size
+    flat, rows, above = zlib.decompress(packed), [], bytes(3 * width)
+    for y in range(height):
+        line = flat[y * (3 * width + 1) :][: 3 * width + 1]
+        assert line[0] in (0, 2)
+        above = bytes((v + (u if line[0] == 2 else 0)) & 255 for v, u in zip(line[1:], above, strict=True))
+        rows.append(above)
+    assert b"".join(rows) == payload
+    grey = [[sum(r[3 * x : 3 * x + 3]) for x in range(width)] for r in rows]
+    if height < 32:
+        grey = [grey[y * height // 32] for y in range(32)]
+    cuts = [y * len(grey) // 32 for y in range(33)]
+    cell = [[sum(grey[y][x] for y in range(a, b) for x in range(2 * c, 2 * c + 2)) / (2 * (b - a)) for c in range(32)] for a, b in zip(cuts, cuts[1:], strict=False)]
+    wave = [[math.cos(math.pi * (2 * i + 1) * u / 64) * math.sqrt((1 if u == 0 else 2) / 32) for i in range(32)] for u in range(8)]
+    half = [[sum(wave[u][y] * cell[y][x] for y in range(32)) for x in range(32)] for u in range(8)]
+    low = [round(sum(half[u][x] * wave[v][x] for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "".join("1" if i and v > middle else "0" for i, v in enumerate(low))
+    return (doc_id, len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(stored), sha(stored), f"{int(bits, 2):016x}")
+
+
+def pieces(rows, tokenizer, end=2, capacity=1024):
+    """(doc_id, piece, start, length, checksum) of documents cut by an untouched tokenizer."""
+    out = []
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]
+        first = len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out.append((d, i, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))))
     return out
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from epochweave.llm import components, jaccard, lines, repeats, rlz
 from tests.conftest import SF
@@ -61,7 +62,7 @@ def test_passages(spark, write, query, plain):
     check(query, plain, spark, write([document(*r) for r in rows]), rows)
 
 
-@pytest.mark.parametrize(("query", "plain"), [(jaccard.op2, brute.jaccard), (lines.op3, brute.lines), (rlz.op7, brute.rlz), (repeats.op8, brute.repeats)])
+@pytest.mark.parametrize(("query", "plain"), [(jaccard.op2, brute.jaccard), (rlz.op7, brute.rlz), (repeats.op8, brute.repeats)])
 def test_given_documents(spark, query, plain):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check(query, plain, spark, SF, rows)
@@ -84,7 +85,21 @@ def test_fuzzy_lines(spark, write):
     base = [" ".join(f"word{r.randrange(50)}" for _ in range(12)) for _ in range(15)]
     vary = lambda x: x if r.random() < 0.5 else x[: (i := r.randrange(len(x)))] + "x" + x[i + 1 :]
     rows = edge_cases([(d, "\n".join([*(vary(r.choice(base)) for _ in range(4)), "short line", ""])) for d in range(60)])
-    check(lines.op3, brute.lines, spark, write([document(*r) for r in rows]), rows)
+    assert check_lines(spark, write([document(*r) for r in rows])) > 150
+
+
+def check_lines(spark, folder):
+    """``drop_lines`` against its plain version, and the columns of op3 against its texts."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").withColumn("before", F.col("text"))
+    got = [tuple(r) for r in lines.drop_lines(docs).collect()]
+    gone = brute.same_lines([(d, t) for d, _, t, _ in got], [x for _, x, _, _ in got])
+    columns = [(d, 0 if x is None else len(x.split("\n")), n, brute.sha((x or "").encode())) for d, x, _, n in got]
+    assert sorted(map(tuple, lines.op3(spark, folder).collect()), key=repr) == sorted(columns, key=repr)
+    return gone
+
+
+def test_fuzzy_lines_of_given_documents(spark):
+    assert check_lines(spark, SF) > 100
 
 
 def test_empty_tables(spark, write):
