@@ -39,6 +39,8 @@ COMMON, HELD, SUPPORT, PARTS = 16, 8, 25, 1_000_000
 MIN_WORDS = 20
 #: Parts of the vocabulary that rank their words apart; a reference table of at most so many languages is broadcast.
 SALTS, FEW_LANGS = 64, 10_000
+#: Lists of at most so many languages are looked up as one set first.
+LISTED = 64
 
 
 #: Fixed values of the limit, read from the 3,980 labels of sf0.1: of clean texts of 200 words or more the word distance is 0.193
@@ -110,13 +112,22 @@ def with_rest(some: Column, whole: Column) -> Column:
     return F.concat(some, F.array(F.greatest(whole - F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))))
 
 
-def word_counts(words: Column, common: Column) -> Column:
-    """How often each of ``common`` stands in ``words``, and the number of all others; NULL without a list."""
-    found = F.filter(words, lambda w: F.array_contains(common, w))
-    counts = let(found, lambda f: F.transform(common, lambda c: F.size(F.filter(f, lambda w: w == c)).cast("long")))
+def word_counts(words: Column, common: Column, known: list[str]) -> Column:
+    """How often each of ``common`` stands in ``words``, and the number of all others; NULL without a list.
+
+    ``known``, if any, are the common words of all languages: nearly all other words go by one lookup.
+    """
+    found = F.filter(words, lambda w: w.isin(known)) if known else words
+    counts = let(found, lambda f: F.transform(common, lambda c: (F.size(f) - F.size(F.array_remove(f, c))).cast("long")))
     return F.when(common.isNotNull(), let(counts, lambda some: with_rest(some, F.size(words).cast("long"))))
 
 
+def known_words(lists: DataFrame) -> list[str]:
+    """All words of ``lists`` if these are at most ``LISTED``, else none."""
+    some = lists.limit(LISTED + 1).collect()
+    return sorted({w for r in some for w in r["ref_words"]}) if len(some) <= LISTED else []
+
+
 def word_chars(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
 
@@ -139,11 +150,11 @@ def _by_language(docs: DataFrame, per_language: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(per_language) if few else per_language, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
 
 
-def references(docs: DataFrame, lists: DataFrame) -> DataFrame:
+def references(docs: DataFrame, lists: DataFrame, known: list[str]) -> DataFrame:
     """(ref_lang, ref_words, ref_classes, ref_common): sums of the shares of all documents of a language that has support."""
     # Short texts count nothing, rather than being filtered: a filter would cut their words apart twice.
     held = _by_language(docs.select("lang", "text", words_in(F.col("text")).alias("words")).withColumn("chars", word_chars(F.col("words"))), lists)
-    counts = held.select("ref_lang", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words")).alias("b"))
+    counts = held.select("ref_lang", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words"), known).alias("b"))
     parts = lambda x, n: F.expr(f"sum(if(n >= {MIN_WORDS}, {x} * {PARTS}L div greatest({n}, 1), 0L))")  # noqa: E731  whole numbers, so that sums do not hang on their order
     sums = [parts(f"a[{i}]", "chars").alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [parts(f"get(b, {i})", "n").alias(f"b{i}") for i in range(COMMON + 1)]
     both = counts.groupBy("ref_lang").agg(F.sum(F.when(F.col("n") >= MIN_WORDS, 1).otherwise(0)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
@@ -162,7 +173,8 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     # The user's columns travel in one struct, so that no name clashes.
     own = docs.select(F.struct(*map(quoted, carry)).alias(packed) if carry else F.lit(None).alias(packed), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     lists = materialize(common_words(own), "lists")
-    refs = materialize(references(own, lists), "references")
+    known = known_words(lists)
+    refs = materialize(references(own, lists, known), "references")
     discard(lists)
     found = _by_language(own.withColumn("words", words_in(F.col("text"))), refs)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
@@ -172,7 +184,7 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         word_chars(F.col("words")).alias("word_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        word_counts(F.col("words"), F.col("ref_words")).alias("common"),
+        word_counts(F.col("words"), F.col("ref_words"), known).alias("common"),
         "text",
         "ref_classes",
         "ref_common",
