@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from epochweave.operators.packing import container_files
+from epochweave.operators.packing import container_files, pack_containers
 from epochweave.sources import packets
 
 # Fixed values of the format.
@@ -156,36 +156,32 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
 
 
 def build_containers(groups: DataFrame, job: str = "job", target: int = TARGET, prefix: str = "epochs") -> DataFrame:
-    """(name, content): packets of a job in order of start, each container closed by the packet that reaches ``target``."""
+    """(name, content): packets of a job in order of start, each container closed by the packet that reaches ``target``.
+
+    Containers are numbered from the packets' sizes alone; then each is built
+    in a task of its own, which holds about ``target`` bytes.
+    """
+    sized = groups.select(job, "start_epoch", F.length("packet").cast("long").alias("bytes"))
+    numbered = pack_containers(sized, job, "start_epoch", "bytes", target).select(job, "start_epoch", "container")
 
     def run(table: pa.Table) -> pa.Table:
-        out, open_groups, filled = [], [], 0
         rows = table.select(["start_epoch", "epochs", "packet"]).sort_by("start_epoch")
+        mine = [(start.as_py(), count.as_py(), payload.as_py()) for start, count, payload in zip(*rows.columns, strict=True)]
+        first, last = mine[0][0], mine[-1][0] + mine[-1][1] - 1
+        return pa.table({"name": pa.array([f"{prefix}_{first}_{last}{SUFFIX}"]), "content": pa.array([pack(mine)], pa.binary())})
 
-        def close():
-            first, last = open_groups[0][0], open_groups[-1][0] + open_groups[-1][1] - 1
-            out.append({"name": f"{prefix}_{first}_{last}{SUFFIX}", "content": pack(open_groups)})
-
-        for start, count, payload in zip(*(rows.column(i) for i in range(3)), strict=True):
-            open_groups.append((start.as_py(), count.as_py(), payload.as_py()))
-            filled += len(open_groups[-1][2])
-            if filled >= target:
-                close()
-                open_groups, filled = [], 0
-        if open_groups:
-            close()
-        return pa.Table.from_pylist(out, pa.schema([("name", pa.string()), ("content", pa.binary())]))
-
-    return groups.groupBy(job).applyInArrow(run, "name string, content binary")
+    return groups.join(numbered, [job, "start_epoch"]).groupBy(job, "container").applyInArrow(run, "name string, content binary")
 
 
 class GroupPartition(InputPartition):
-    def __init__(self, name: str, start: int, at: int, size: int):
+    """One group of a container, or, without a place in it, a whole compressed file."""
+
+    def __init__(self, name: str, start: int = 0, at: int = -1, size: int = 0):
         self.name, self.start, self.at, self.size = name, start, at, size
 
 
 class _Reader(DataSourceReader):
-    """One partition per group: tasks seek to their packet through the directory."""
+    """One partition per group: tasks seek to their packet through the directory. A compressed file is inflated once, by its own task."""
 
     def __init__(self, options):
         self.path, self.pos_from = options["path"], int(options["posFrom"])
@@ -195,26 +191,30 @@ class _Reader(DataSourceReader):
         out = []
         for name in preferred(glob.glob(os.path.join(self.path, "*"))):
             if name.endswith(".zst"):
-                with open(name, "rb") as f:
-                    entries = directory(inflate(name, f.read()))
-            else:
-                with open(name, "rb") as f:
-                    head = f.read(HEADER)
-                    head += f.read(ENTRY * int.from_bytes(head[12:16], "little"))
-                entries = directory(head, os.path.getsize(name))
-            out += [GroupPartition(name, s, at, n) for s, c, at, n in entries if s < self.high and s + c > self.low]
+                out.append(GroupPartition(name))
+                continue
+            with open(name, "rb") as f:
+                head = f.read(HEADER)
+                head += f.read(ENTRY * int.from_bytes(head[12:16], "little"))
+            out += [GroupPartition(name, *e) for e in self._wanted(directory(head, os.path.getsize(name)))]
         return out
 
+    def _wanted(self, entries):
+        """(start, offset, length) of the groups that hold any epoch asked for."""
+        return [(s, at, n) for s, c, at, n in entries if s < self.high and s + c > self.low]
+
     def read(self, partition):
         with open(partition.name, "rb") as f:
-            if partition.name.endswith(".zst"):
-                data = inflate(partition.name, f.read())[partition.at : partition.at + partition.size]
+            if partition.at < 0:
+                data = inflate(partition.name, f.read())
+                groups = ((s, data[at : at + n]) for s, at, n in self._wanted(directory(data)))
             else:
                 f.seek(partition.at)
-                data = f.read(partition.size)
-        for r in block_rows(partition.start, data, self.pos_from):
-            r["base_reward"] = _decimal(r["base_reward"])
-            yield tuple(r.values())
+                groups = [(partition.start, f.read(partition.size))]
+        for start, data in groups:
+            for r in block_rows(start, data, self.pos_from):
+                r["base_reward"] = _decimal(r["base_reward"])
+                yield tuple(r.values())
 
 
 class _Message(WriterCommitMessage):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +42,18 @@ class StateStore(Protocol):
 
 
 class LayeredState:
-    """Three layers of key-value rows.
+    """Three layers of key-value rows, a table each.
 
     Writes come in batches (a DataFrame of kind, address, suffix, space, value
-    and an order column); each batch is one upsert into the delta. Lineage is
-    cut at every batch.
+    and an order column); each batch is one upsert into the delta, and only the
+    delta is written anew. Lineage is cut at every batch. ``batch`` is the
+    last micro-batch of a stream that the state holds, -1 for none.
     """
 
-    def __init__(self, spark: SparkSession, period: int, rows: DataFrame | None = None, height: int = 0, delta_padding: bytes | None = None, intermediate_padding: bytes | None = None):
-        self.spark, self.period, self.height = spark, period, height
-        self.rows = rows if rows is not None else spark.createDataFrame([], ROW)
+    def __init__(self, spark: SparkSession, period: int, rows: DataFrame | None = None, height: int = 0, delta_padding: bytes | None = None, intermediate_padding: bytes | None = None, batch: int = -1):
+        self.spark, self.period, self.height, self.batch = spark, period, height, batch
+        whole = rows if rows is not None else spark.createDataFrame([], ROW)
+        self.tables = {layer: whole.where(F.col("layer") == layer) for layer in (layers.DELTA, layers.INTERMEDIATE, layers.SNAPSHOT)}
         self.delta_padding = delta_padding or keys.period_padding()
         self.intermediate_padding = intermediate_padding or keys.period_padding()
         # Roots of layers that stand still are kept; those of loaded rows are made anew, not trusted.
@@ -66,8 +69,16 @@ class LayeredState:
         state.delta_padding = keys.period_padding(state.snapshot_root, EMPTY)
         return state
 
+    @property
+    def rows(self) -> DataFrame:
+        """All layers in one table."""
+        return reduce(DataFrame.unionByName, self.tables.values())
+
+    def _write_delta(self, rows: DataFrame) -> None:
+        self.tables[layers.DELTA] = materialize(rows, "delta")
+
     def _root(self, layer: int) -> bytes:
-        kv = self.rows.where(F.col("layer") == layer).select(F.col("raw_key").alias("key"), F.when(~F.col("is_tombstone"), F.col("value")).alias("value"))
+        kv = self.tables[layer].select(F.col("raw_key").alias("key"), F.when(~F.col("is_tombstone"), F.col("value")).alias("value"))
         found = merkle.merkle_root(kv).first()
         return bytes(found["root"]) if found else EMPTY
 
@@ -78,8 +89,8 @@ class LayeredState:
         keyed = keys.with_delta_keys(last, self.delta_padding)
         fresh = keyed.select(F.lit(layers.DELTA).alias("layer"), "kind", "address", "suffix", "space", "key", F.col("delta_key").alias("raw_key"), "value", (F.col("value").isNull() | (F.length("value") == 0)).alias("is_tombstone"))
         fresh = fresh.withColumn("value", F.when(~F.col("is_tombstone"), F.col("value")))
-        old = self.rows.join(fresh.select("key").withColumn("__new", F.lit(True)), "key", "left").where((F.col("layer") != layers.DELTA) | F.col("__new").isNull()).drop("__new")
-        self.rows = materialize(old.select(*fresh.columns).unionByName(fresh), "state")
+        old = self.tables[layers.DELTA].join(fresh.select("key"), "key", "left_anti")
+        self._write_delta(old.select(*fresh.columns).unionByName(fresh))
 
     def get(self, wanted: DataFrame) -> DataFrame:
         """(key, value) of live keys among (kind, address, suffix, space) rows."""
@@ -117,12 +128,9 @@ class LayeredState:
         top = layers.visible(below).select("key")
         named = below.join(top, "key", "left_semi").dropDuplicates(["key"]).select("kind", "address", "suffix", "space", "key")
         stones = keys.with_delta_keys(named, self.delta_padding).select(F.lit(layers.DELTA).alias("layer"), "kind", "address", "suffix", "space", "key", F.col("delta_key").alias("raw_key"), F.lit(None).cast("binary").alias("value"), F.lit(True).alias("is_tombstone"))
-        if compat and kind in ("address_prefix", "empty"):
-            rest = self.rows.where(F.col("layer") != layers.DELTA)
-        else:
-            gone = hit.where(F.col("layer") == layers.DELTA).select("key").withColumn("__gone", F.lit(True))
-            rest = self.rows.join(gone, "key", "left").where((F.col("layer") != layers.DELTA) | F.col("__gone").isNull()).drop("__gone")
-        self.rows = materialize(rest.select(*stones.columns).unionByName(stones), "state")
+        whole = compat and kind in ("address_prefix", "empty")
+        rest = [] if whole else [self.tables[layers.DELTA].join(hit.where(F.col("layer") == layers.DELTA).select("key"), "key", "left_anti")]
+        self._write_delta(reduce(DataFrame.unionByName, rest, stones))
         return removed
 
     def commit(self) -> CommitRoot:
@@ -134,12 +142,13 @@ class LayeredState:
         return root
 
     def _rotate(self, delta_root: bytes) -> None:
-        below = self.rows.where(F.col("layer") != layers.DELTA)
-        rest = [c for c in self.rows.columns if c != "key"]
+        below = self.tables[layers.INTERMEDIATE].unionByName(self.tables[layers.SNAPSHOT])
+        rest = [c for c in below.columns if c != "key"]
         top = below.groupBy("key").agg(F.min_by(F.struct(*rest), "layer").alias("t")).select("key", "t.*").where(~F.col("is_tombstone"))
-        snapshot = top.withColumn("layer", F.lit(layers.SNAPSHOT)).withColumn("raw_key", F.col("key"))
-        moved = self.rows.where(F.col("layer") == layers.DELTA).withColumn("layer", F.lit(layers.INTERMEDIATE))
-        self.rows = materialize(snapshot.select(*self.rows.columns).unionByName(moved), "state")
+        snapshot = top.withColumn("layer", F.lit(layers.SNAPSHOT)).withColumn("raw_key", F.col("key")).select(*below.columns)
+        self.tables[layers.SNAPSHOT] = materialize(snapshot, "snapshot")
+        self.tables[layers.INTERMEDIATE] = self.tables[layers.DELTA].withColumn("layer", F.lit(layers.INTERMEDIATE))
+        self.tables[layers.DELTA] = self.spark.createDataFrame([], ROW)
         self.snapshot_root, self.intermediate_root = self._root(layers.SNAPSHOT), delta_root
         self.intermediate_padding, self.delta_padding = self.delta_padding, keys.period_padding(self.snapshot_root, self.intermediate_root)
 
@@ -151,11 +160,11 @@ class MemoryStore:
         self._state: LayeredState | None = None
 
     def save_latest(self, state: LayeredState) -> None:
-        self._state = LayeredState(state.spark, state.period, state.rows, state.height, state.delta_padding, state.intermediate_padding)
+        self._state = LayeredState(state.spark, state.period, state.rows, state.height, state.delta_padding, state.intermediate_padding, state.batch)
 
     def load_latest(self, spark: SparkSession) -> LayeredState | None:
         s = self._state
-        return s and LayeredState(spark, s.period, s.rows, s.height, s.delta_padding, s.intermediate_padding)
+        return s and LayeredState(spark, s.period, s.rows, s.height, s.delta_padding, s.intermediate_padding, s.batch)
 
 
 class ParquetStore:
@@ -167,7 +176,7 @@ class ParquetStore:
     def save_latest(self, state: LayeredState) -> None:
         name = f"v-{state.height:012d}-{uuid.uuid4().hex}"
         state.rows.write.parquet(f"{self.path}/{name}")
-        meta = {"name": name, "period": state.period, "height": state.height, "delta_padding": state.delta_padding.hex(), "intermediate_padding": state.intermediate_padding.hex()}
+        meta = {"name": name, "period": state.period, "height": state.height, "delta_padding": state.delta_padding.hex(), "intermediate_padding": state.intermediate_padding.hex(), "batch": state.batch}
         state.spark.createDataFrame([(state.height, json.dumps(meta))], "height bigint, meta string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
     def load_latest(self, spark: SparkSession) -> LayeredState | None:
@@ -181,7 +190,7 @@ class ParquetStore:
             raise
         meta = json.loads(found["meta"])
         rows = spark.read.schema(ROW).parquet(f"{self.path}/{meta['name']}")
-        return LayeredState(spark, meta["period"], rows, meta["height"], bytes.fromhex(meta["delta_padding"]), bytes.fromhex(meta["intermediate_padding"]))
+        return LayeredState(spark, meta["period"], rows, meta["height"], bytes.fromhex(meta["delta_padding"]), bytes.fromhex(meta["intermediate_padding"]), meta["batch"])
 
 
 class StateManager:
@@ -194,8 +203,10 @@ class StateManager:
     def __getattr__(self, name: str):
         return getattr(self.state, name)
 
-    def commit(self) -> CommitRoot:
+    def commit(self, batch: int | None = None) -> CommitRoot:
+        """Commit and save; ``batch`` is the micro-batch that the version holds."""
         root = self.state.commit()
+        self.state.batch = self.state.batch if batch is None else batch
         self.store.save_latest(self.state)
         return root
 

@@ -46,15 +46,17 @@ def rotate_stream(ops: DataFrame, period: int) -> DataFrame:
 
 
 def commit_batches(manager: StateManager, each: Callable | None = None):
-    """A ``foreachBatch`` sink: every micro-batch of operations is one write and one commit; a batch that comes again is skipped."""
-    done = {"batch": -1}
+    """A ``foreachBatch`` sink: every micro-batch of operations is one write and one commit.
+
+    The batch's number is saved with the version that holds it, so a batch that
+    comes again, even after a restart, is skipped.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= done["batch"]:
+        if batch_id <= manager.state.batch:
             return
         manager.set(batch)
-        root = manager.commit()
-        done["batch"] = batch_id
+        root = manager.commit(batch_id)
         if each:
             each(batch_id, root)
 
