@@ -14,9 +14,9 @@ of words: short texts differ from any reference by chance.
 
 Nulls: a null text has no words and fails the base rule; the null language is
 a language. Without a reference only the base rules count. Repeated rows are
-judged alike. An empty table gives an empty result. Nothing is written or
-shuffled but counts per language and word and sums per language. Extra columns
-stay; result columns take the place of columns of the same name.
+judged alike. An empty table gives an empty result. Nothing is shuffled but
+counts per language and word and sums per language. Extra columns stay; result
+columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochweave.llm.names import quoted, unused
-from epochweave.session import discard, materialize
+from epochweave.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
@@ -44,14 +44,14 @@ LISTED = 64
 
 
 #: Fixed values of the limit, read from the 3,980 labels of sf0.1: of clean texts of 200 words or more the word distance is 0.193
-#: at most and the class distance 0.170, and below that the word distance times the root of the number of words is 2.97 at most.
-#: Of junk of 100 words or more the word distance is 0.238 at least, mostly above 0.3.
-FLOOR, NOISE = 0.22, 2.9
+#: at most and the class distance 0.170, from 150 words on 0.214; below that the word distance times the root of the number of words
+#: is 2.63 at most from 100 words on, and 2.75 under 100. Of junk of 100 words or more the word distance is 0.238 at least, mostly above 0.3.
+FLOOR, NOISE, SHORT, SHORT_NOISE = 0.22, 2.6, 100, 2.9
 
 
 def limit_of(n: Column) -> Column:
     """The limit of both distances for a text of ``n`` words: their sampling noise falls with the root of ``n``."""
-    return F.greatest(F.lit(FLOOR), NOISE / F.sqrt(F.greatest(n, F.lit(1))))
+    return F.greatest(F.lit(FLOOR), F.when(n < SHORT, SHORT_NOISE).otherwise(NOISE) / F.sqrt(F.greatest(n, F.lit(1))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -150,50 +150,52 @@ def _by_language(docs: DataFrame, per_language: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(per_language) if few else per_language, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
 
 
-def references(docs: DataFrame, lists: DataFrame, known: list[str]) -> DataFrame:
-    """(ref_lang, ref_words, ref_classes, ref_common): sums of the shares of all documents of a language that has support."""
+def references(measured: DataFrame) -> DataFrame:
+    """(ref_lang, ref_classes, ref_common): sums of the shares of all documents of a language that has support."""
     # Short texts count nothing, rather than being filtered: a filter would cut their words apart twice.
-    held = _by_language(docs.select("lang", "text", words_in(F.col("text")).alias("words")).withColumn("chars", word_chars(F.col("words"))), lists)
-    counts = held.select("ref_lang", "chars", F.size("words").alias("n"), class_counts(F.col("text"), F.col("chars")).alias("a"), word_counts(F.col("words"), F.col("ref_words"), known).alias("b"))
-    parts = lambda x, n: F.expr(f"sum(if(n >= {MIN_WORDS}, {x} * {PARTS}L div greatest({n}, 1), 0L))")  # noqa: E731  whole numbers, so that sums do not hang on their order
-    sums = [parts(f"a[{i}]", "chars").alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [parts(f"get(b, {i})", "n").alias(f"b{i}") for i in range(COMMON + 1)]
-    both = counts.groupBy("ref_lang").agg(F.sum(F.when(F.col("n") >= MIN_WORDS, 1).otherwise(0)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
+    parts = lambda x, n: F.expr(f"sum(if(n_words >= {MIN_WORDS}, {x} * {PARTS}L div greatest({n}, 1), 0L))")  # noqa: E731  whole numbers, so that sums do not hang on their order
+    sums = [parts(f"classes[{i}]", "word_chars").alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [parts(f"get(common, {i})", "n_words").alias(f"b{i}") for i in range(COMMON + 1)]
+    both = measured.groupBy("lang").agg(F.sum(F.when(F.col("n_words") >= MIN_WORDS, 1).otherwise(0)).alias("support"), *sums).where(F.col("support") >= SUPPORT)
     common = F.filter(F.array(*(f"b{i}" for i in range(COMMON + 1))), lambda x: x.isNotNull())
-    found = both.select(F.col("ref_lang").alias("lang"), F.array(*(f"a{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), common.alias("ref_common"))
-    return found.join(lists, F.col("lang").eqNullSafe(F.col("ref_lang"))).select("ref_lang", "ref_words", "ref_classes", "ref_common")
+    return both.select(F.col("lang").alias("ref_lang"), F.array(*(f"a{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), common.alias("ref_common"))
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
 
 
-def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all by default, but for ``MEASURES``) and ``MEASURES``."""
+def judge(docs: DataFrame, carry: list[str] | None = None, write: bool = False) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default, but for ``MEASURES``) and ``MEASURES``.
+
+    ``write``: the measures are written with ``carry`` and summed from there,
+    for few and narrow columns; else texts are measured once for the references
+    and once for the result, and nothing of a document is written.
+    """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in MEASURES]
-    packed, lang = unused(docs, "packed_row", "lang")
+    (packed,) = unused(docs, "packed_row")
     # The user's columns travel in one struct, so that no name clashes.
     own = docs.select(F.struct(*map(quoted, carry)).alias(packed) if carry else F.lit(None).alias(packed), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     lists = materialize(common_words(own), "lists")
-    known = known_words(lists)
-    refs = materialize(references(own, lists, known), "references")
-    discard(lists)
-    found = _by_language(own.withColumn("words", words_in(F.col("text"))), refs)
+    found = _by_language(own.withColumn("words", words_in(F.col("text"))), lists)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     measured = found.select(
         packed,
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         word_chars(F.col("words")).alias("word_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        word_counts(F.col("words"), F.col("ref_words"), known).alias("common"),
+        word_counts(F.col("words"), F.col("ref_words"), known_words(lists)).alias("common"),
         "text",
-        "ref_classes",
-        "ref_common",
     ).withColumn("classes", class_counts(F.col("text"), F.col("word_chars")))
+    measured = measured.drop("text")
+    measured = materialize(measured, "measures") if write else measured
+    refs = materialize(references(measured), "references")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = F.col("n_words") >= MIN_WORDS
     far = enough & (F.greatest("class_distance", "word_distance") > limit_of(F.col("n_words")))
     judged = (
-        measured.withColumn("n_symbols", F.element_at("classes", 3))
+        _by_language(measured, refs)
+        .withColumn("n_symbols", F.element_at("classes", 3))
         .withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes")))
         .withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
         .withColumn("base_failed", failed)
@@ -232,7 +234,7 @@ r AS (SELECT lang AS l, [{", ".join(f"sum(k1[{i + 1}] * {PARTS} // word_chars)"
 g AS (SELECT h.* EXCLUDE (k1, k2), k1::DOUBLE[] AS p1, k2::DOUBLE[] AS p2, q1, q2, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h LEFT JOIN r ON h.lang IS NOT DISTINCT FROM r.l),
 j AS (SELECT *, {_JS.format(p="p1", q="q1")} AS d1, {_JS.format(p="p2", q="q2")} AS d2 FROM g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND greatest(d1, d2) > greatest({FLOOR}, {NOISE} / sqrt(greatest(n_words, 1))), false) AS kept,
+  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND greatest(d1, d2) > greatest({FLOOR}, CASE WHEN n_words < {SHORT} THEN {SHORT_NOISE} ELSE {NOISE} END / sqrt(greatest(n_words, 1))), false) AS kept,
   round(d1, 4) AS class_distance, round(d2, 4) AS word_distance FROM j
 """
 
@@ -240,5 +242,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op1(spark, sf_dir: str) -> DataFrame:
     from epochweave.session import table
 
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"], write=True)
     return out.withColumn("class_distance", F.round("class_distance", 4)).withColumn("word_distance", F.round("word_distance", 4))
