@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 75
 BINS = 1 << 14
 BLOCK = 4096
 LEAF, FAN, FEW = 16, 8, 6
+#: Parts in which the texts of a component look up their least id.
+SALTS = 32
 
 
 def shingle_sets(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +246,9 @@ TASK = "node bigint, leader bigint, one int, two int, side int"
 
 def within_parts(clusters: DataFrame) -> DataFrame:
     """``TASK`` rows of (leader, node): each part of a cluster is one task, and each member is in one of them."""
-    many = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int")
-    return clusters.join(many, "leader").select("node", "leader", part.alias("one"), part.alias("two"), F.lit(0).alias("side"))
+    many = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)), F.lit(0)).cast("int")
+    return clusters.join(many, "leader", "left").select("node", "leader", part.alias("one"), part.alias("two"), F.lit(0).alias("side"))
 
 
 def across_parts(clusters: DataFrame, roots: DataFrame) -> DataFrame:
@@ -391,10 +393,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     roots = linked_roots(close, lambda tasks: _links(_members(homed, dealt(tasks), words, n), percent))
     discard(clusters)
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
-    placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    joined = placed.join(least, "root", "left")
-    return joined.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # By text, then by component: partial minima, and salted keys where the texts of one component look theirs up.
+    texts = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    linked = texts.join(roots, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", salts)
+    named = linked.join(lowest, ["root", "salt"]).select("node", "component_id")
+    # Written, so that the last join is of two plain tables, whose crowded keys Spark may split.
+    components_of = materialize(texts.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "components")
+    joined = known.join(components_of, "node", "left")
+    return joined.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

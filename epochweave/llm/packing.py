@@ -38,7 +38,7 @@ from epochweave.session import materialize
 
 CAPACITY, END = 1024, 2
 #: Pieces of one length that a task ranks, and more only where that makes more than ``GROUPS`` groups.
-RANKED, GROUPS = 20_000, 65_536
+RANKED, GROUPS = 1000, 65_536
 #: Token ids of so many distinct words are kept per worker before the store starts anew.
 KEPT_WORDS = 500_000
 #: White space other than single spaces and single line ends: such texts are encoded whole.
