@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_interval_repeats": ("repeats", "op8"),
     "op9_png_media": ("png", "op9"),
     "op10_best_fit_packing": ("packing", "op10"),
+    "op12_golay_simhash": ("simhash", "op12"),
     "op13_merkle_manifest": ("manifest", "op13"),
 }
 

@@ -257,3 +257,63 @@ def personal(text: str):
             out.append((m.start(), 2, m.end()))
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
     return sorted(out)
+
+
+def simhash(rows):
+    """(doc_id, fingerprint, least id of the component) by all pairs of fingerprints."""
+    import xxhash
+
+    prints = []
+    for _, t in rows:
+        w = (t or "").translate(SMALL).encode().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed=42) for i in range(max(len(w) - 2, 1))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    distinct = sorted(set(prints))
+    groups = Groups(len(distinct))
+    for i, x in enumerate(distinct):
+        for j in range(i):
+            if (x ^ distinct[j]).bit_count() <= 3:
+                groups.join(i, j)
+    of = {x: groups.find(i) for i, x in enumerate(distinct)}
+    ids = defaultdict(list)
+    for (d, _), x in zip(rows, prints, strict=True):
+        ids[of[x]].append(d)
+    return [(d, f"{x:016x}", min((i for i in ids[of[x]] if i is not None), default=None)) for (d, _), x in zip(rows, prints, strict=True)]
+
+
+def manifest(rows, run=3):
+    """All columns of op13 for documents (doc_id, text, lang, source, n_chars), each proof walked from its leaf."""
+    digest = lambda *parts: sha("".join(parts).encode())
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda d, t, lang, source, n: digest(*map(field, (d, source, lang, n, t)))
+    by_source = defaultdict(list)
+    for r in rows:
+        touched = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
+        by_source[r[3]].append((r[0], leaf(*r), leaf(r[0], r[1].replace("\n", "") if touched and r[1] is not None else r[1], *r[2:])))
+
+    def climb(nodes, place, own=None):
+        """The top of the tree over ``nodes`` and the siblings of the node at ``place``, which may be another one than was built with."""
+        siblings = []
+        while len(nodes) > 1:
+            low = place - place % run
+            others = nodes[low : low + run]
+            siblings += others[: place - low] + others[place - low + 1 :]
+            if own is not None:
+                own = digest(*others[: place - low], own, *others[place - low + 1 :])
+            nodes = [digest(*nodes[i : i + run]) for i in range(0, len(nodes), run)]
+            place //= run
+        return nodes[0], siblings, own
+
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        by_source[s].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    subroots = [climb([x[1] for x in by_source[s]], 0)[0] for s in sources]
+    out = []
+    for g, s in enumerate(sources):
+        leaves = [x[1] for x in by_source[s]]
+        root, above, _ = climb(subroots, g)
+        for i, (d, own, shown) in enumerate(by_source[s]):
+            subroot, below, top = climb(leaves, i, shown)
+            end = climb(subroots, g, top)[2]
+            out.append((d, own, subroot, root, sha("".join(below + above).encode()), end, end == root))
+    return out
