@@ -1,4 +1,10 @@
-"""Vectorised kernels over Arrow text columns: words, rolling hashes, window minima."""
+"""Vectorised kernels over Arrow text columns: words, hashes of words and of their spans, window minima.
+
+Words are hashed by tables of random values, one for each place and byte, so
+no arithmetic of their bytes makes two of them equal. Spans of such values, or
+of bytes, are polynomials modulo 2**64: fit for spans of up to some hundred
+symbols, as shingles and windows are, and not for longer ones.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: A word is a run of anything but space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +25,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+#: Bytes of a word that have tables of their own; longer words are hashed one by one.
+TABLED = 48
+_TABLES = np.random.default_rng(20240515).integers(0, 1 << 64, TABLED * 256, dtype=np.uint64)
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
@@ -82,12 +92,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the offsets of each row's words; no word crosses a row."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the offsets of each row's words; no word crosses a row, or holds a byte that is marked in ``between``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.ones(n + 1, bool)
     edge[1:n] = space[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -107,18 +117,37 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefix(byte_values(data)), starts, ends)
+    """A hash of each word, by its bytes and their places; words do not overlap and stand in order."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    first = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(first, size)
+    long = size > TABLED
+    if long.any():
+        place = np.minimum(place, TABLED - 1)
+    out = mix(np.add.reduceat(_TABLES[place << 8 | data[at]], first) + size.astype(U64))
+    if long.any():
+        raw = memoryview(np.ascontiguousarray(data))
+        some = np.flatnonzero(long)
+        out[some] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+    return out
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost least value in each window of ``width`` neighbours.
 
-    Values are compared by their high digits; positions take the low ones.
+    Values are compared by their high 32 bits; positions take the low ones, so
+    a window's answer hangs on its own values alone.
     """
     n = len(values)
     if n < width:
         return np.zeros(0, np.int64)
-    digits = U64(n.bit_length())
+    digits = U64(32)
     least = values >> digits << digits | np.arange(n, dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:
