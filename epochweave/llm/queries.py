@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_interval_repeats": ("repeats", "op8"),
     "op9_png_media": ("png", "op9"),
     "op10_best_fit_packing": ("packing", "op10"),
+    "op11_phrase_collocations": ("phrases", "op11"),
     "op12_golay_simhash": ("simhash", "op12"),
     "op13_merkle_manifest": ("manifest", "op13"),
 }
@@ -30,6 +31,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from epochweave.llm import manifest, mixing, quality
+    from epochweave.llm import manifest, mixing, phrases, quality
 
-    return {"op1_quality_divergence": quality.SQL, "op6_mix_sources": mixing.SQL, "op13_merkle_manifest": manifest.SQL}
+    return {"op1_quality_divergence": quality.SQL, "op6_mix_sources": mixing.SQL, "op11_phrase_collocations": phrases.SQL, "op13_merkle_manifest": manifest.SQL}

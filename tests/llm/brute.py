@@ -317,3 +317,31 @@ def manifest(rows, run=3):
             end = climb(subroots, g, top)[2]
             out.append((d, own, subroot, root, sha("".join(below + above).encode()), end, end == root))
     return out
+
+
+def phrase_counts(rows, longest=5):
+    """{(lang, words): frequency} of all phrases, and {lang: words}."""
+    counted, totals = Counter(), Counter()
+    for t, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (t or "").translate(SMALL)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            totals[lang] += len(w)
+            counted.update((lang, tuple(w[i : i + n])) for n in range(1, longest + 1) for i in range(len(w) - n + 1))
+    return counted, {x: c for x, c in totals.items() if c}
+
+
+def collocations(rows, least=100, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) by the definition."""
+    counted, totals = phrase_counts(rows)
+    frequent = {p: f for p, f in counted.items() if f >= least}
+    held = set()
+    for (lang, w), f in frequent.items():
+        held |= {(lang, w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1) if j - i < len(w) and f >= frequent[lang, w[i:j]]}
+    out = defaultdict(list)
+    for (lang, w), a in frequent.items():
+        if len(w) < 2 or (lang, w) in held:
+            continue
+        score, cut = min((1000 * a * totals[lang] // (frequent[lang, w[:k]] * frequent[lang, w[k:]]), k) for k in range(1, len(w)))
+        out[lang].append((-score, -a, " ".join(w).encode(), frequent[lang, w[:cut]], frequent[lang, w[cut:]]))
+    return [(lang, i, p.decode(), -a, x, y, totals[lang], -s) for lang, found in out.items() for i, (s, a, p, x, y) in enumerate(sorted(found)[:top], 1)]
