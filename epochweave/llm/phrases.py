@@ -29,6 +29,7 @@ bytes. Only lang and text are read, so other columns cannot clash. Keys are
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -56,7 +57,7 @@ _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
 
 LISTS, TALLY, WORDS, FOUND = range(4)
-LIST_COLUMNS = 8
+LIST_COLUMNS = 9
 ROW = "kind int, home bigint, bucket int, " + ", ".join(f"c{i} binary" for i in range(LIST_COLUMNS)) + ", lang string, phrase string, size int, f bigint"
 SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("bucket", pa.int32()), *((f"c{i}", pa.binary()) for i in range(LIST_COLUMNS)), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 TOLD = "home bigint, codes binary, spoken binary, times binary"
@@ -163,7 +164,7 @@ def _listed(docs: DataFrame, n: int) -> DataFrame:
                 text = data[np.repeat(starts[some], size) + steps(size)]
                 different = sorted(set(names))
                 lang = np.array([different.index(x) for x in names], np.uint32)[of[some]]
-                yield from rows_table([row(LISTS, home=home(), c0=A.squeeze(found), c1=A.squeeze(times.astype(np.uint32)), c2=pack_lists(positions, times), c3=A.squeeze(text), c4=A.squeeze(size.astype(np.uint32)), c5=A.squeeze(lang), lang="\0".join(different))]).to_batches()
+                yield from rows_table([row(LISTS, home=home(), c0=A.squeeze(found), c1=A.squeeze(times.astype(np.uint32)), c2=pack_lists(positions, times), c3=A.squeeze(text), c4=A.squeeze(size.astype(np.uint32)), c5=A.squeeze(lang), lang=json.dumps(different))]).to_batches()
                 codes.append(found)
                 counts.append(times)
                 held += len(data)
@@ -221,13 +222,10 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
         for r in left.to_pylist() if len(frequent) else ():
             words, word_counts = A.expand(r["c0"]), A.expand(r["c1"]).astype(np.int64)
             postings, text, lengths, lang = unpack_lists(r["c2"], word_counts), A.expand(r["c3"]), A.expand(r["c4"]).astype(np.int64), A.expand(r["c5"])
-            code, times_of = (words, word_counts) if size == 1 else (A.expand(r["c6"]), None)
+            code, times_of, positions = words, word_counts, postings
             if size > 1:
-                packed = A.expand(r["c7"][8 : 8 + int.from_bytes(r["c7"][:8], "little")]).astype(np.int64)
-                positions = unpack_lists(r["c7"][8 + int.from_bytes(r["c7"][:8], "little") :], packed)
-                times_of = packed
-            else:
-                positions = postings
+                code, times_of = A.expand(r["c6"]), A.expand(r["c7"]).astype(np.int64)
+                positions = unpack_lists(r["c8"], times_of)
             stays = met(frequent, code) >= 0
             positions, code, times_of = positions[np.repeat(stays, times_of)], code[stays], times_of[stays]
             if not len(code):
@@ -246,13 +244,14 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
                 postings = positions
             words, word_counts, lengths, lang = words[stand], word_counts[stand], lengths[stand], lang[stand]
             speaks = met(spoken, code)
-            fresh = np.flatnonzero((speaks >= 0) & ~said[speaks])
+            fresh = np.flatnonzero(speaks >= 0)
+            fresh = fresh[~said[speaks[fresh]]]
             if len(fresh):
                 said[speaks[fresh]] = True
                 at, word = by_position(word_counts, postings)
                 where = (np.cumsum(times_of) - times_of)[fresh]
                 spelt = word[met(at, (positions[where][:, None] + np.arange(size)).ravel())].reshape(-1, size)
-                cut, raw, names = np.cumsum(lengths) - lengths, text.tobytes(), r["lang"].split("\0")
+                cut, raw, names = np.cumsum(lengths) - lengths, text.tobytes(), json.loads(r["lang"])
                 spelling = [raw[a : a + b].decode("utf-8", "replace") for a, b in zip(cut.tolist(), lengths.tolist(), strict=True)]
                 out += [row(FOUND, lang=names[lang[ids[0]]], phrase=" ".join(spelling[i] for i in ids), size=size, f=f) for ids, f in zip(spelt.tolist(), times[speaks[fresh]].tolist(), strict=True)]
             if last:
@@ -261,8 +260,7 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
             if not len(longer):
                 continue
             found, numbers, places, _ = lists(longer, begin)
-            packed = A.squeeze(numbers.astype(np.uint32))
-            out.append(row(LISTS, home=r["home"], c0=A.squeeze(words), c1=A.squeeze(word_counts.astype(np.uint32)), c2=pack_lists(postings, word_counts), c3=A.squeeze(text), c4=A.squeeze(lengths.astype(np.uint32)), c5=A.squeeze(lang), c6=A.squeeze(found), c7=len(packed).to_bytes(8, "little") + packed + pack_lists(places, numbers), lang=r["lang"]))
+            out.append(row(LISTS, home=r["home"], c0=A.squeeze(words), c1=A.squeeze(word_counts.astype(np.uint32)), c2=pack_lists(postings, word_counts), c3=A.squeeze(text), c4=A.squeeze(lengths.astype(np.uint32)), c5=A.squeeze(lang), c6=A.squeeze(found), c7=A.squeeze(numbers.astype(np.uint32)), c8=pack_lists(places, numbers), lang=r["lang"]))
             codes.append(found)
             counts.append(numbers)
         return rows_table(out + tally_rows(key[0].as_py(), codes, counts, n))
