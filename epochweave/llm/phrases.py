@@ -30,6 +30,7 @@ bytes. Only lang and text are read, so other columns cannot clash. Keys are
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -46,7 +47,7 @@ from epochweave.session import discard, materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose lists are one row, or one home; and that a bucket of keys stands for.
-LISTED, HOME, BUCKET = 1 << 20, 16 << 20, 32 << 20
+LISTED, HOME, BUCKET = 2 << 20, 16 << 20, 32 << 20
 #: Parts in which a language's best phrases are found first.
 SALTS = 32
 #: Bytes that end a word, and those of them that end a piece.
@@ -57,7 +58,7 @@ _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
 
 LISTS, TALLY, WORDS, FOUND = range(4)
-LIST_COLUMNS = 9
+LIST_COLUMNS = 8
 ROW = "kind int, home bigint, bucket int, " + ", ".join(f"c{i} binary" for i in range(LIST_COLUMNS)) + ", lang string, phrase string, size int, f bigint"
 SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("bucket", pa.int32()), *((f"c{i}", pa.binary()) for i in range(LIST_COLUMNS)), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 TOLD = "home bigint, codes binary, spoken binary, times binary"
@@ -154,17 +155,19 @@ def _listed(docs: DataFrame, n: int) -> DataFrame:
                 apart = (breaks[starts[1:]] != breaks[ends[:-1]]) | (of[1:] != of[:-1])
                 places = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(apart)])
                 names = [x if x is not None else "und" for x in part.column(0).to_pylist()]
-                own = np.array([language_code(x) for x in names], np.uint64)
+                tags = np.array([language_code(x) for x in names], np.uint64)
                 for x, c in zip(names, np.diff(bounds).tolist(), strict=True):
                     words[x] = words.get(x, 0) + c
-                code = k.mix(k.word_hashes(data, starts, ends) + own[of])
+                code = k.mix(k.word_hashes(data, starts, ends) + tags[of])
                 found, times, positions, order = lists(code, places)
                 some = order[np.cumsum(times) - times]  # one occurrence of each word
                 size = (ends - starts)[some]
                 text = data[np.repeat(starts[some], size) + steps(size)]
                 different = sorted(set(names))
                 lang = np.array([different.index(x) for x in names], np.uint32)[of[some]]
-                yield from rows_table([row(LISTS, home=home(), c0=A.squeeze(found), c1=A.squeeze(times.astype(np.uint32)), c2=pack_lists(positions, times), c3=A.squeeze(text), c4=A.squeeze(size.astype(np.uint32)), c5=A.squeeze(lang), lang=json.dumps(different))]).to_batches()
+                none = np.zeros(0, np.int64)
+                own = Lists(different, text, size, lang, times, positions, none, none, none)
+                yield from rows_table([own.row(home())]).to_batches()
                 codes.append(found)
                 counts.append(times)
                 held += len(data)
@@ -209,8 +212,79 @@ def extend(size: int, code: np.ndarray, counts: np.ndarray, positions: np.ndarra
     return k.mix(code[of[goes]] * k.U64(0x9E3779B97F4A7C15) + k.mix(words[word[next_word[goes]]] + k.U64(size))), begin[goes]
 
 
+@dataclass
+class Lists:
+    """The lists of a row: words (bytes one after the other, lengths, languages, postings), and phrases that begin somewhere among them."""
+
+    names: list[str]
+    text: np.ndarray
+    lengths: np.ndarray
+    lang: np.ndarray
+    counts: np.ndarray
+    postings: np.ndarray
+    phrases: np.ndarray
+    phrase_counts: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, r: dict) -> Lists:
+        counts, own = A.expand(r["c0"]).astype(np.int64), A.expand(r["c5"]).astype(np.int64)
+        return cls(json.loads(r["lang"]), A.expand(r["c2"]), A.expand(r["c3"]).astype(np.int64), A.expand(r["c4"]).astype(np.int64), counts, unpack_lists(r["c1"], counts), A.expand(r["c6"]), own, unpack_lists(r["c7"], own))
+
+    def row(self, home: int) -> dict:
+        narrow = lambda x: A.squeeze(x.astype(np.uint32))
+        return row(LISTS, home=home, c0=narrow(self.counts), c1=pack_lists(self.postings, self.counts), c2=A.squeeze(self.text), c3=narrow(self.lengths), c4=narrow(self.lang), c5=narrow(self.phrase_counts), c6=A.squeeze(self.phrases), c7=pack_lists(self.begins, self.phrase_counts), lang=json.dumps(self.names))
+
+    def codes(self) -> np.ndarray:
+        """The key of each word."""
+        ends = np.cumsum(self.lengths)
+        own = np.array([language_code(x) for x in self.names], np.uint64)
+        return k.mix(k.word_hashes(self.text, ends - self.lengths, ends) + own[self.lang])
+
+    def keep(self, stands: np.ndarray) -> None:
+        """Words that ``stands`` marks stay."""
+        cut = (np.cumsum(self.lengths) - self.lengths)[stands]
+        self.text = self.text[np.repeat(cut, self.lengths[stands]) + steps(self.lengths[stands])]
+        self.postings = self.postings[np.repeat(stands, self.counts)]
+        self.lengths, self.lang, self.counts = self.lengths[stands], self.lang[stands], self.counts[stands]
+
+    def grow(self, size: int) -> None:
+        """The phrases of ``size`` words that begin where those of one word less do, or, for 1, the words."""
+        if size == 1:
+            self.phrases, self.phrase_counts, self.begins = self.codes(), self.counts, self.postings
+        else:
+            longer, begin = extend(size - 1, self.phrases, self.phrase_counts, self.begins, self.codes(), self.counts, self.postings)
+            self.phrases, self.phrase_counts, self.begins, _ = lists(longer, begin)
+
+    def only(self, frequent: np.ndarray, size: int) -> None:
+        """Phrases that are frequent stay, and the postings that lie in them."""
+        stays = met(frequent, self.phrases) >= 0
+        self.begins = self.begins[np.repeat(stays, self.phrase_counts)]
+        self.phrases, self.phrase_counts = self.phrases[stays], self.phrase_counts[stays]
+        covered = np.unique((self.begins[:, None] + np.arange(size)).ravel())
+        hit = met(covered, self.postings) >= 0
+        of = np.repeat(np.arange(len(self.counts)), self.counts)[hit]
+        whole = np.bincount(of, minlength=len(self.counts))
+        self.postings = self.postings[hit]
+        stands = whole > 0
+        self.counts = whole
+        self.keep(stands)
+
+    def spelt(self, some: np.ndarray, size: int) -> list[tuple[str, str]]:
+        """(language, words) of the phrases ``some``, from the first place of each."""
+        at, word = by_position(self.counts, self.postings)
+        first = (np.cumsum(self.phrase_counts) - self.phrase_counts)[some]
+        ids = word[met(at, (self.begins[first][:, None] + np.arange(size)).ravel())].reshape(-1, size).tolist()
+        ends, raw = np.cumsum(self.lengths).tolist(), self.text.tobytes()
+        word_of = lambda i: raw[ends[i] - int(self.lengths[i]) : ends[i]].decode("utf-8", "replace")
+        return [(self.names[self.lang[x[0]]], " ".join(map(word_of, x))) for x in ids]
+
+
 def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) -> DataFrame:
-    """``ROW``s from lists of phrases of ``size`` words and what is frequent of them: those, spelt out, and the lists and their lengths one word further on."""
+    """``ROW``s from the lists of phrases of one word less and what is frequent at ``size`` words: its phrases, spelt out, its lists, and the lengths of those one word further on.
+
+    What is not known to be frequent yet is made again from the lists before, and not kept.
+    """
 
     def run(key, left, right):
         unpacked = lambda c: np.concatenate([A.expand(x.as_py()) for x in right.column(c)]) if right.num_rows else np.zeros(0, np.uint64)
@@ -219,50 +293,24 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
         order = np.argsort(spoken)
         spoken, times, said = spoken[order], times[order], np.zeros(len(spoken), bool)
         out, codes, counts = [], [], []
-        for r in left.to_pylist() if len(frequent) else ():
-            words, word_counts = A.expand(r["c0"]), A.expand(r["c1"]).astype(np.int64)
-            postings, text, lengths, lang = unpack_lists(r["c2"], word_counts), A.expand(r["c3"]), A.expand(r["c4"]).astype(np.int64), A.expand(r["c5"])
-            code, times_of, positions = words, word_counts, postings
-            if size > 1:
-                code, times_of = A.expand(r["c6"]), A.expand(r["c7"]).astype(np.int64)
-                positions = unpack_lists(r["c8"], times_of)
-            stays = met(frequent, code) >= 0
-            positions, code, times_of = positions[np.repeat(stays, times_of)], code[stays], times_of[stays]
-            if not len(code):
+        for batch in left.to_batches(1) if len(frequent) else ():
+            own = Lists.of(batch.to_pylist()[0])
+            own.grow(size)
+            own.only(frequent, size)
+            if not len(own.phrases):
                 continue
-            if size == 1:
-                stand = stays
-            else:  # words that a phrase still needs
-                covered = np.unique((positions[:, None] + np.arange(size)).ravel())
-                hit = met(covered, postings) >= 0
-                of = np.repeat(np.arange(len(words)), word_counts)[hit]
-                postings, word_counts = postings[hit], np.bincount(of, minlength=len(words))
-                stand = word_counts > 0
-            begins = np.cumsum(lengths) - lengths
-            text = text[np.repeat(begins[stand], lengths[stand]) + steps(lengths[stand])]
-            if size == 1:
-                postings = positions
-            words, word_counts, lengths, lang = words[stand], word_counts[stand], lengths[stand], lang[stand]
-            speaks = met(spoken, code)
+            speaks = met(spoken, own.phrases)
             fresh = np.flatnonzero(speaks >= 0)
             fresh = fresh[~said[speaks[fresh]]]
             if len(fresh):
                 said[speaks[fresh]] = True
-                at, word = by_position(word_counts, postings)
-                where = (np.cumsum(times_of) - times_of)[fresh]
-                spelt = word[met(at, (positions[where][:, None] + np.arange(size)).ravel())].reshape(-1, size)
-                cut, raw, names = np.cumsum(lengths) - lengths, text.tobytes(), json.loads(r["lang"])
-                spelling = [raw[a : a + b].decode("utf-8", "replace") for a, b in zip(cut.tolist(), lengths.tolist(), strict=True)]
-                out += [row(FOUND, lang=names[lang[ids[0]]], phrase=" ".join(spelling[i] for i in ids), size=size, f=f) for ids, f in zip(spelt.tolist(), times[speaks[fresh]].tolist(), strict=True)]
+                out += [row(FOUND, lang=x, phrase=p, size=size, f=f) for (x, p), f in zip(own.spelt(fresh, size), times[speaks[fresh]].tolist(), strict=True)]
             if last:
                 continue
-            longer, begin = extend(size, code, times_of, positions, words, word_counts, postings)
-            if not len(longer):
-                continue
-            found, numbers, places, _ = lists(longer, begin)
-            out.append(row(LISTS, home=r["home"], c0=A.squeeze(words), c1=A.squeeze(word_counts.astype(np.uint32)), c2=pack_lists(postings, word_counts), c3=A.squeeze(text), c4=A.squeeze(lengths.astype(np.uint32)), c5=A.squeeze(lang), c6=A.squeeze(found), c7=A.squeeze(numbers.astype(np.uint32)), c8=pack_lists(places, numbers), lang=r["lang"]))
-            codes.append(found)
-            counts.append(numbers)
+            out.append(own.row(key[0].as_py()))
+            own.grow(size + 1)
+            codes.append(own.phrases)
+            counts.append(own.phrase_counts)
         return rows_table(out + tally_rows(key[0].as_py(), codes, counts, n))
 
     return state.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, ROW)
