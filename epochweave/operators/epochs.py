@@ -56,11 +56,15 @@ def effective_reference(height: Column, reference: Column, enabled_from: int) ->
 def finalized_offset(blocks: DataFrame, committed: DataFrame, headers: DataFrame, epoch: str = "epoch", reference: str = "pos_ref") -> DataFrame:
     """``blocks`` with finalized_offset: epochs since the reference's decided pivot, at least 0; 0 without a reference.
 
-    ``committed`` is (pos_ref, pivot_decision), ``headers`` (hash, height).
+    ``committed`` is (pos_ref, pivot_decision), ``headers`` (hash, height). A
+    reference without its committed block, or without the header of the pivot
+    that it decided, is an error.
     """
     decided = committed.join(headers.select(F.col("hash").alias("pivot_decision"), F.col("height").alias("decided_height")), "pivot_decision")
     joined = blocks.join(decided.select(F.col("pos_ref").alias(reference), "decided_height"), reference, "left")
-    return joined.withColumn("finalized_offset", F.when(F.col("decided_height").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col(epoch) - F.col("decided_height"))).cast("long")).drop("decided_height")
+    lost = F.raise_error(F.lit("a PoS reference has no committed block, or its decided pivot no header")).cast("long")
+    offset = F.when(F.col(reference).isNull(), F.lit(0).cast("long")).when(F.col("decided_height").isNull(), lost).otherwise(F.greatest(F.lit(0), F.col(epoch) - F.col("decided_height")).cast("long"))
+    return joined.withColumn("finalized_offset", offset).drop("decided_height")
 
 
 def attach_rewards(pivots: DataFrame, rewards: DataFrame, key: str, latest_by: str) -> DataFrame:

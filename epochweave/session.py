@@ -77,15 +77,27 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or a folder of any store that Spark writes to."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store; none where there is no such folder."""
+    at, files = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df.scratch)
+        delete(df.sparkSession, df.scratch)
 
 
 @contextmanager
@@ -104,7 +116,7 @@ def release(spark: SparkSession, tables: list[str], reads: DataFrame | None = No
     stay = [p for p in tables if any(u.endswith(p.split("://")[-1].lstrip("/")) for u in used)]
     for path in tables:
         if path not in stay:
-            _delete(spark, path)
+            delete(spark, path)
     tables[:] = stay
 
 

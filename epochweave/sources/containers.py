@@ -206,13 +206,13 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         with open(partition.name, "rb") as f:
             if partition.at < 0:
-                data = inflate(partition.name, f.read())
-                groups = ((s, data[at : at + n]) for s, at, n in self._wanted(directory(data)))
+                whole = inflate(partition.name, f.read())
+                groups = ((s, whole[at : at + n]) for s, at, n in self._wanted(directory(whole)))
             else:
                 f.seek(partition.at)
                 groups = [(partition.start, f.read(partition.size))]
-        for start, data in groups:
-            for r in block_rows(start, data, self.pos_from):
+        for start, payload in groups:
+            for r in block_rows(start, payload, self.pos_from):
                 r["base_reward"] = _decimal(r["base_reward"])
                 yield tuple(r.values())
 
@@ -282,7 +282,7 @@ def verify_packets(groups: DataFrame) -> DataFrame:
             for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     rows.append({"start_epoch": start} | packets.verify(value.as_py()) | {"problem": None})
-                except (ValueError, IndexError) as e:
+                except ValueError as e:
                     rows.append({"start_epoch": start, "blocks": None, "tx_blocks": None, "tx_items": None, "transactions": None, "problem": str(e)})
             kinds = [("start_epoch", pa.int64()), ("blocks", pa.int64()), ("tx_blocks", pa.int64()), ("tx_items", pa.int64()), ("transactions", pa.int64()), ("problem", pa.string())]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))

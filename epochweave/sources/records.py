@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,14 +57,27 @@ def read_reward_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decimal_bytes(digits: Column) -> Column:
-    """A string of up to 38 decimal digits as 32 bytes, big-endian."""
-    value, base = digits.cast("decimal(38,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
-    high = F.call_function("div", value, base)
-    low = value - high.cast("decimal(38,0)") * base
-    middle = F.call_function("div", low, F.lit(1 << 32).cast("decimal(20,0)"))
-    last = low - middle.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(20,0)")
-    part = lambda x, n: F.lpad(F.hex(x.cast("long")), n, "0")
-    return F.unhex(F.concat(F.lit("0" * 32), part(high, 16), part(middle, 8), part(last, 8)))
+    """A string of decimal digits below 2**256 as 32 bytes, big-endian; anything else but null is an error.
+
+    Digits are taken 9 at a time into words of 32 bits, least first: every word
+    is multiplied by 10**9 and passes what is over to the next.
+    """
+    padded = F.lpad(digits, 81, "0")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("long"))
+    word, over = F.lit(1 << 32), F.lit(10**9)
+    zero = F.expr("cast(array_repeat(0L, 8) as array<bigint>)")
+
+    def more(words: Column, part: Column) -> Column:
+        """``words`` times 10**9 plus ``part``."""
+        step = lambda done, w: F.struct(F.array_append(done["words"], F.pmod(w * over + done["carry"], word)).alias("words"), F.call_function("div", w * over + done["carry"], word).alias("carry"))
+        start = F.struct(F.expr("cast(array() as array<bigint>)").alias("words"), part.alias("carry"))
+        too_large = F.raise_error(F.lit("a number of more than 256 bits")).cast("array<bigint>")
+        return F.aggregate(words, start, step, lambda d: F.when(d["carry"] > 0, too_large).otherwise(d["words"]))
+
+    words = F.aggregate(parts, zero, more)
+    raw = F.unhex(F.array_join(F.transform(F.reverse(words), lambda w: F.lpad(F.hex(w), 8, "0")), ""))
+    wrong = F.raise_error(F.concat(F.lit("not a decimal number: "), digits)).cast("binary")
+    return F.when(digits.isNull(), F.lit(None).cast("binary")).when(~digits.rlike("^0*[0-9]{1,78}$"), wrong).otherwise(raw)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -1,28 +1,42 @@
-"""Merkle roots of sorted key-value maps.
-
-A root is exact under sharding by leading nibbles: the children of a node
-compress their paths apart from each other. Subtrees go to tasks by their
-first two nibbles as unwrapped cores. A shard of more than ``CROWD`` keys is
-split at the node where its keys part, and its parts again, so that a long
-common prefix, such as one contract's, does not gather a map in one task. The
-cores of a split node's parts (16 at most, and the key that ends there) make
-its own, level by level, and 257 at most meet in the last small group. The
-hash is a parameter: Keccak-256, or SHA-256 to compare with SQL.
+"""Merkle roots of sorted key-value maps, cold and incremental.
+
+A node of the trie is a path of nibbles where keys part (or end), with up to
+16 kids below and, where a key ends there, that key. A kid is a key with its
+value or the core of a subtree; its path up to its parent is hashed on top of
+its core, so a core hangs on nothing above it.
+
+Cold: items (keys, later subtrees) are sorted by ranges. Each task makes the
+nodes that lie wholly within its range, all but those on its two edges, and
+passes on what hangs on the edges as items of the next round. A round leaves
+some dozens of items a task, whatever prefixes the keys share, so two or three
+rounds make any map. Every node is written as a row with its kids.
+
+Incremental (``Index``): the nodes on the way of a changed key are found by
+joins on their paths. Their other kids, as they stand, and the changed keys
+make up a small map of items, whose nodes replace them: work follows the
+number of changes times the depth. An index is a log of such tables; the last
+row of a path counts. The hash is a parameter: Keccak-256, or SHA-256 to
+compare with SQL.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.functions.keccak import keccak, keccak_many
 from epochweave.session import materialize
 
-SHARD, CROWD = 2, 5000
+#: Items that a task folds at most on average.
+CROWD = 20_000
+#: Tables of an index before they are made one.
+MOST_TABLES = 8
 
 
 def _sha_many(messages: list[bytes]) -> list[bytes]:
@@ -30,6 +44,10 @@ def _sha_many(messages: list[bytes]) -> list[bytes]:
 
 
 HASHES = {"keccak": keccak_many, "sha256": _sha_many}
+KID = pa.struct([("path", pa.string()), ("leaf", pa.bool_()), ("core", pa.binary()), ("value", pa.binary())])
+_KID = "path string, leaf boolean, core binary, value binary"
+_ROW = f"path string, node boolean, leaf boolean, core binary, value binary, kids array<struct<{_KID.replace(' ', ':').replace(',:', ',')}>>"
+NODE = f"path string, core binary, kids array<struct<{_KID.replace(' ', ':').replace(',:', ',')}>>, at int"
 
 
 def path_bytes(path: str, depth: int) -> bytes:
@@ -44,198 +62,246 @@ def node_message(children: dict[int, bytes], value: bytes | None, has_value: boo
     return b"n" + b"".join(children.get(i, null) for i in range(16)) + (b"v" + (value or b"") if has_value else b"")
 
 
-def _common(first: str, last: str, start: int) -> int:
-    n = start
-    while n < min(len(first), len(last)) and first[n] == last[n]:
+def common(x: str, y: str) -> int:
+    """Nibbles that two paths share at their start."""
+    if y.startswith(x):
+        return len(x)
+    n = 0
+    for a, b in zip(x, y, strict=False):
+        if a != b:
+            break
         n += 1
     return n
 
 
-def cores(keys: list[str], values: list[bytes | None], start: int, many, null: bytes) -> tuple[str, int, bytes]:
-    """(first key, node depth, core hash) of the subtree of sorted hex keys below ``start`` nibbles.
+@dataclass
+class Item:
+    """A key (``leaf``) or a subtree, by its path. A core is None until it is hashed; a null value of a key is a tombstone."""
 
-    Nodes are laid out first and then hashed level by level, deepest first, so
-    that each level is one batch.
+    path: str
+    leaf: bool
+    core: bytes | None
+    value: bytes | None
+    kids: list[Item] = field(default_factory=list)
+    height: int = 0
+
+    def row(self, node: bool) -> dict:
+        return {"path": self.path, "node": node, "leaf": self.leaf, "core": self.core, "value": self.value, "kids": [{"path": k.path, "leaf": k.leaf, "core": k.core, "value": k.value} for k in self.kids] if node else None}
+
+
+def branches(items: list[Item], whole: bool) -> tuple[list[Item], list[Item]]:
+    """(nodes, items that are passed on) of sorted items: the trie's nodes, or those of them that no item outside can belong to.
+
+    Such a node has neither the first nor the last item below it. With
+    ``whole`` there is nothing outside, and the node of the empty path is made
+    whatever it has below.
     """
-    nodes: list[dict] = []
-
-    def lay(low: int, high: int, at: int, compress: bool) -> int:
-        depth = _common(keys[low], keys[high - 1], at) if compress else at
-        node = {"first": keys[low], "start": at, "depth": depth, "kids": {}, "own": None}
-        nodes.append(node)
-        mine = len(nodes) - 1
-        i = low
-        if len(keys[low]) == depth:
-            node["own"] = low
-            i += 1
-        while i < high:
-            digit, j = keys[i][depth], i
-            while j < high and keys[j][depth] == digit:
-                j += 1
-            node["kids"][int(digit, 16)] = (i, j)
-            i = j
-        return mine
-
-    todo = [(lay(0, len(keys), start, start > 0))]
-    for mine in todo:
-        kids = nodes[mine]["kids"]
-        for digit, (i, j) in list(kids.items()):
-            kids[digit] = lay(i, j, nodes[mine]["depth"] + 1, True)
-            todo.append(kids[digit])
-    levels: dict[int, list[dict]] = {}
-    for node in nodes:
-        levels.setdefault(node["depth"], []).append(node)
-    for depth in sorted(levels, reverse=True):
-        level = levels[depth]
-        made = many([node_message({d: nodes[k]["wrapped"] for d, k in n["kids"].items()}, values[n["own"]] if n["own"] is not None else None, n["own"] is not None, null) for n in level])
-        paths = [n["first"][n["start"] : n["depth"]] for n in level]
-        wrapped = iter(many([path_bytes(p, n["start"]) + m for n, p, m in zip(level, paths, made, strict=True) if p]))
-        for n, p, m in zip(level, paths, made, strict=True):
-            n["core"], n["wrapped"] = m, next(wrapped) if p else m
-    top = nodes[0]
-    return top["first"], top["depth"], top["core"]
-
-
-def join_cores(parts: list[tuple[str, int, bytes]], shorts: list[tuple[str, bytes | None]], many, null: bytes) -> bytes:
-    """The root from the cores of shards of two nibbles and the keys that are shorter than that."""
-    one = lambda m: many([m])[0]
-    wrap = lambda first, a, b, core: one(path_bytes(first[a:b], a) + core) if b > a else core
-    if not parts and not shorts:
-        return null
-    values = dict(shorts)
-    children = {}
-    for digit in "0123456789abcdef":
-        mine = [p for p in parts if p[0][0] == digit]
-        value = digit in values
-        if not mine and not value:
-            continue
-        if len(mine) == 1 and not value:  # one subtree: its path begins right after the root's nibble
-            first, depth, core = mine[0]
-            children[int(digit, 16)] = wrap(first, 1, depth, core)
-            continue
-        inner = {int(first[1], 16): wrap(first, 2, depth, core) for first, depth, core in mine}
-        children[int(digit, 16)] = one(node_message(inner, values.get(digit), value, null))
-    return one(node_message(children, values.get(""), "" in values, null))
+    made: list[Item] = []
+    passed: list[Item] = []
+    edge: list[tuple[int, int, list[Item]]] = []  # depth, first item, kids of the open nodes
+    for i, item in enumerate(items):
+        low = common(item.path, items[i + 1].path) if i + 1 < len(items) else (0 if whole else -1)
+        now, first = item, i
+        while edge and edge[-1][0] > low:
+            depth, start, kids = edge.pop()
+            if now is not None:
+                kids.append(now)
+            if whole or (start > 0 and low >= 0):
+                now, first = Item(kids[0].path[:depth], False, None, None, kids, 1 + max(k.height for k in kids)), start
+                made.append(now)
+            else:
+                passed += kids
+                now, first = None, start
+        if low < 0:
+            passed += [now] if now is not None else []
+        elif edge and edge[-1][0] == low:
+            if now is not None:
+                edge[-1][2].append(now)
+        else:
+            edge.append((low, first, [now] if now is not None else []))
+    if whole and items:
+        _, _, kids = edge.pop()
+        made.append(Item("", False, None, None, kids, 1 + max(k.height for k in kids)))
+    return made, passed
+
+
+def hash_nodes(nodes: list[Item], many: Callable) -> None:
+    """Cores of nodes and of the keys below them, a batch for each height."""
+    null = many([b""])[0]
+    keys = list({id(k): k for n in nodes for k in n.kids if k.leaf and k.core is None}.values())
+    hash_keys(keys, many, null)
+    levels: dict[int, list[Item]] = {}
+    for n in nodes:
+        levels.setdefault(n.height, []).append(n)
+    for height in sorted(levels):
+        level = levels[height]
+        below = [(k, len(n.path) + 1) for n in level for k in n.kids if len(k.path) > len(n.path) + 1]
+        wrapped = dict(zip(((id(k), at) for k, at in below), many([path_bytes(k.path[at:], at) + k.core for k, at in below]), strict=True))
+        messages = []
+        for n in level:
+            at = len(n.path)
+            own = next((k for k in n.kids if len(k.path) == at), None)
+            children = {int(k.path[at], 16): wrapped.get((id(k), at + 1), k.core) for k in n.kids if len(k.path) > at}
+            messages.append(node_message(children, own.value if own else None, own is not None, null))
+        for n, core in zip(level, many(messages), strict=True):
+            n.core = core
+
+
+def hash_keys(keys: list[Item], many: Callable, null: bytes) -> None:
+    for k, core in zip(keys, many([node_message({}, k.value, True, null) for k in keys]), strict=True):
+        k.core = core
 
 
 def root(entries: dict[bytes, bytes | None], hash_name: str = "keccak") -> bytes:
     """The root of a small map in plain Python; None is a tombstone."""
     many = HASHES[hash_name]
-    null = many([b""])[0]
-    if not entries:
-        return null
-    pairs = sorted((k.hex(), v) for k, v in entries.items())
-    return cores([k for k, _ in pairs], [v for _, v in pairs], 0, many, null)[2]
-
-
-def merkle_root(kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", by: list[str] = ()) -> DataFrame:
-    """(*by, root): the root of each group's map of binary keys; a null value is a tombstone."""
-    shards = shard_cores(kv, key, value, hash_name, by)
-    return fold_cores(shards, hash_name, by)
+    made, _ = branches([Item(k.hex(), True, None, v) for k, v in sorted(entries.items())], True)
+    hash_nodes(made, many)
+    return made[-1].core if made else many([b""])[0]
 
 
-_CORE = "shard string, first string, depth int, core binary, value binary, short boolean"
-_CHAIN = "array<struct<parent:string,at:int>>"
+def _items(rows: pa.Table) -> list[Item]:
+    return [Item(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("path", "leaf", "core", "value")), strict=True)]
 
 
-def _kinds(df: DataFrame, by: list[str]) -> str:
-    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+def _round(items: DataFrame, by: list[str], parts: int, hash_name: str) -> DataFrame:
+    """``_ROW``s of one round over ``items``; with one part, all nodes."""
+    kinds = [(c, items.schema[c].dataType) for c in by]
+    prefix = "".join(f"{c} {t.simpleString()}, " for c, t in kinds)
+    columns = [*by, "path", "node", "leaf", "core", "value", "kids"]
+    dealt = items.repartitionByRange(parts, *by, "path") if parts > 1 else items.coalesce(1)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = to_arrow_schema(items.sparkSession.createDataFrame([], prefix + _ROW).schema)
 
-def _split(now: DataFrame, by: list[str], crowd: int) -> tuple[DataFrame, int]:
-    """``now`` (*by, k, v, shard, chain) with crowded shards split where their keys part, and the number of splits on the way of any key.
-
-    ``chain`` holds the shards that a key's shard was split from, and the depth
-    of the node there. Each round reads the sizes of the shards of the last one.
-    """
-    common = F.aggregate(F.sequence(F.lit(1), F.least(F.length("low"), F.length("high"))), F.lit(0), lambda a, i: F.when(F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i), i).otherwise(a))
-    rounds = 0
-    while True:
-        start = F.coalesce(F.get("chain", F.size("chain") - 1)["at"] + 1, F.lit(SHARD))  # shorter ones are keys that end above
-        sizes = now.where(F.length("shard") >= start).groupBy(*by, "shard").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
-        many = materialize(sizes.where(F.col("n") > crowd).select(*by, F.col("shard").alias("parent"), common.alias("at")), "crowded")
-        if many.isEmpty():
-            return now, rounds
-        same = [F.col(f"now.{c}").eqNullSafe(F.col(f"many.{c}")) for c in by]
-        both = now.alias("now").join(many.alias("many"), reduce(lambda x, y: x & y, [*same, F.col("now.shard") == F.col("many.parent")]), "left")
-        hit = F.col("many.parent").isNotNull()
-        now = both.select(
-            *(F.col(f"now.{c}").alias(c) for c in by),
-            "k",
-            "v",
-            F.when(hit, F.substring(F.col("k"), F.lit(1), F.col("at") + 1)).otherwise(F.col("shard")).alias("shard"),
-            F.when(hit, F.concat("chain", F.array(F.struct("parent", "at")))).otherwise(F.col("chain")).alias("chain"),
-        )
-        rounds += 1
-
-
-def shard_cores(kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", by: list[str] = (), crowd: int = CROWD) -> DataFrame:
-    """(*by, shard, first, depth, core, value): a core per two leading nibbles; keys of under one byte carry their value instead."""
-    by = list(by)
-    nibbled = kv.select(*by, F.lower(F.hex(key)).alias("k"), F.col(value).cast("binary").alias("v")).withColumn("shard", F.substring("k", 1, SHARD)).withColumn("chain", F.expr(f"cast(array() as {_CHAIN})"))
-    dealt, rounds = _split(nibbled, by, crowd)
-    schema = f"{_kinds(kv, by)}{_CORE}, chain {_CHAIN}"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        many = HASHES[hash_name]
-        pdf = pdf.sort_values("k", kind="stable")
-        shard, keys, chain = pdf["shard"].iloc[0], pdf["k"].tolist(), [dict(c) if isinstance(c, dict) else c.asDict() for c in pdf["chain"].iloc[0]]
-        values = [None if v is None else bytes(v) for v in pdf["v"]]
-        head, start = {c: [pdf[c].iloc[0]] for c in by}, chain[-1]["at"] + 1 if chain else SHARD
-        if len(shard) < start:  # the key that ends above
-            return pd.DataFrame(head | {"shard": [shard], "first": [shard], "depth": [len(shard)], "core": [None], "value": [values[0]], "short": [True], "chain": [chain]})
-        first, depth, core = cores(keys, values, start, many, many([b""])[0])
-        return pd.DataFrame(head | {"shard": [shard], "first": [first], "depth": [depth], "core": [core], "value": [None], "short": [False], "chain": [chain]})
-
-    rows = dealt.groupBy(*by, "shard").applyInPandas(fold, schema)
-    for left in range(rounds, 0, -1):
-        deep = rows.where(F.size("chain") == left).withColumn("parent", F.element_at("chain", -1)["parent"])
-        rows = rows.where(F.size("chain") < left).unionByName(_join_parts(deep, by, schema, hash_name))
-    return rows.drop("chain")
-
-
-def _join_parts(deep: DataFrame, by: list[str], schema: str, hash_name: str) -> DataFrame:
-    """The cores of split shards from those of their parts: at most 17 rows a group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        many = HASHES[hash_name]
-        null = many([b""])[0]
-        rows = pdf.sort_values("shard").to_dict("records")
-        chain = [dict(c) if isinstance(c, dict) else c.asDict() for c in rows[0]["chain"]]
-        at = chain[-1]["at"]
-        children = {}
-        for r in rows:
-            if not r["short"]:
-                path, core = r["first"][at + 1 : int(r["depth"])], bytes(r["core"])
-                children[int(r["first"][at], 16)] = many([path_bytes(path, at + 1) + core])[0] if path else core
-        own = next((r for r in rows if r["short"]), None)
-        value = bytes(own["value"]) if own and own["value"] is not None else None
-        core = many([node_message(children, value, own is not None, null)])[0]
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"shard": [chain[-1]["parent"]], "first": [rows[0]["first"]], "depth": [at], "core": [core], "value": [None], "short": [False], "chain": [chain[:-1]]})
-
-    return deep.groupBy(*by, "parent").applyInPandas(fold, schema)
-
-
-def fold_cores(shards: DataFrame, hash_name: str = "keccak", by: list[str] = ()) -> DataFrame:
-    """(*by, root) from shard cores: at most 257 rows a group."""
-    schema = f"{_kinds(shards, by)}root binary"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         many = HASHES[hash_name]
-        rows = pdf.sort_values("shard").to_dict("records")
-        parts = [(r["first"], int(r["depth"]), bytes(r["core"])) for r in rows if not r["short"]]
-        shorts = [(r["shard"], None if r["value"] is None else bytes(r["value"])) for r in rows if r["short"]]
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"root": [join_cores(parts, shorts, many, many([b""])[0])]})
-
-    return shards.groupBy(*by, *([] if by else [F.lit(0).alias("all")])).applyInPandas(fold, schema)
-
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        found, groups = _items(rows), list(zip(*(rows.column(c).to_pylist() for c in by), strict=True)) if by else [()] * rows.num_rows
+        cuts = [0, *(i for i in range(1, len(found)) if groups[i] != groups[i - 1]), len(found)]
+        nodes: list[tuple[tuple, Item]] = []
+        passed: list[tuple[tuple, Item]] = []
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            # A group that does not touch the range's ends lies wholly within it.
+            made, rest = branches(found[a:b], parts == 1 or 0 < n < len(cuts) - 2)
+            nodes += [(groups[a], x) for x in made]
+            passed += [(groups[a], x) for x in rest]
+        hash_nodes([x for _, x in nodes], many)
+        hash_keys([x for _, x in passed if x.leaf and x.core is None], many, many([b""])[0])
+        out = [dict(zip(by, g, strict=True)) | x.row(node) for of, node in ((nodes, True), (passed, False)) for g, x in of]
+        for at in range(0, len(out), 5000):
+            yield pa.RecordBatch.from_pylist(out[at : at + 5000], schema)
+
+    return dealt.sortWithinPartitions(*by, "path").mapInArrow(run, prefix + _ROW).select(*columns)
+
+
+def build(items: DataFrame, hash_name: str = "keccak", by: list[str] = (), crowd: int | None = None) -> list[DataFrame]:
+    """Tables whose rows with ``node`` are all nodes over ``items`` (*by, path, leaf, core, value), for each group; paths of items are not repeated."""
+    by, tables, crowd = list(by), [], crowd or CROWD
+    count = items.count()
+    while count:
+        parts = -(-count // crowd)
+        made = materialize(_round(items, by, parts, hash_name), "nodes")
+        tables.append(made)
+        if parts == 1:
+            break
+        items = made.where("not node").select(*by, "path", "leaf", "core", "value")
+        before, count = count, items.count()
+        if count > before // 2:  # ranges of few items: take larger ones
+            crowd *= 2
+    return tables
+
+
+def key_items(kv: DataFrame, key: str = "key", value: str = "value", by: list[str] = ()) -> DataFrame:
+    """Items of a map of binary keys; a null value is a tombstone."""
+    return kv.select(*by, F.lower(F.hex(key)).alias("path"), F.lit(True).alias("leaf"), F.lit(None).cast("binary").alias("core"), F.col(value).cast("binary").alias("value"))
+
+
+def merkle_root(kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", by: list[str] = (), crowd: int | None = None) -> DataFrame:
+    """(*by, root): the root of each group's map of binary keys; a null value is a tombstone. An empty map has no row."""
+    tables = build(key_items(kv, key, value, by), hash_name, by, crowd)
+    if not tables:
+        return kv.select(*by, F.lit(None).cast("binary").alias("root")).limit(0)
+    return reduce(DataFrame.unionByName, [t.where("node and path = ''").select(*by, F.col("core").alias("root")) for t in tables])
+
+
+class Index:
+    """All nodes of a map's trie, as a log of tables: the root without reading the map, and changes at the cost of their paths.
+
+    ``write`` puts a table of ``NODE`` rows (path, core, kids, at) into storage
+    and returns it read back. A row without kids says that its path is no node
+    any more; of several rows of a path that with the greatest ``at`` counts.
+    """
 
-def update_cores(cached: DataFrame, kv: DataFrame, changed: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak") -> DataFrame:
-    """Shard cores after ``changed`` keys: only shards with a changed key are made anew from ``kv``; all others are kept."""
-    dirty = changed.select(F.substring(F.lower(F.hex(key)), 1, SHARD).alias("shard")).distinct()
-    mine = kv.withColumn("shard", F.substring(F.lower(F.hex(key)), 1, SHARD)).join(dirty, "shard", "left_semi").drop("shard")
-    return cached.join(dirty, "shard", "left_anti").unionByName(shard_cores(mine, key, value, hash_name))
+    def __init__(self, spark: SparkSession, hash_name: str = "keccak", tables: list[DataFrame] = (), at: int = 0, top: bytes | None = None, write: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.hash_name, self.tables, self.at = spark, hash_name, list(tables), at
+        self.write = write or (lambda df: materialize(df, "index"))
+        self.root = top or HASHES[hash_name]([b""])[0]
+
+    @classmethod
+    def of(cls, kv: DataFrame, key: str = "key", value: str = "value", hash_name: str = "keccak", write: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+        index = cls(kv.sparkSession, hash_name, write=write)
+        index._add(key_items(kv, key, value), None)
+        return index
+
+    @property
+    def rows(self) -> DataFrame:
+        """Every row of the log."""
+        return reduce(DataFrame.unionByName, self.tables)
+
+    def nodes(self) -> DataFrame:
+        """(path, core, kids, at) of the nodes as they are."""
+        if len(self.tables) == 1:
+            return self.tables[0].where(F.col("kids").isNotNull())
+        last = self.rows.groupBy("path").agg(F.max_by(F.struct("core", "kids"), "at").alias("n"), F.max("at").alias("at"))
+        return last.select("path", "n.*", "at").where(F.col("kids").isNotNull())
+
+    def _add(self, items: DataFrame, gone: DataFrame | None) -> int:
+        """Puts the nodes over ``items`` into the log and takes out the paths of ``gone`` that are none of them; the number of new nodes."""
+        made = build(items, self.hash_name)
+        fresh = [t.where("node").select("path", "core", "kids") for t in made]
+        self.root = HASHES[self.hash_name]([b""])[0]
+        if made:
+            self.root = bytes(made[-1].where("node and path = ''").first()["core"])
+        rows = fresh
+        if gone is not None:
+            left = gone if not fresh else gone.join(reduce(DataFrame.unionByName, fresh).select("path"), "path", "left_anti")
+            rows = [*fresh, left.select("path", F.lit(None).cast("binary").alias("core"), F.lit(None).cast(dict(self._schema())["kids"]).alias("kids"))]
+        if rows:
+            self.tables.append(self.write(reduce(DataFrame.unionByName, rows).withColumn("at", F.lit(self.at))))
+            self.at += 1
+        return sum(t.count() for t in fresh)
+
+    def _schema(self):
+        return [(f.name, f.dataType) for f in self.spark.createDataFrame([], NODE).schema]
+
+    def update(self, changed: DataFrame, key: str = "key", value: str = "value", gone: str | None = None) -> int:
+        """Changes keys (one row each): new values, null for tombstones, or, where ``gone`` is true, no key any more. The number of nodes hashed anew."""
+        removed = F.lit(False) if gone is None else F.coalesce(F.col(gone), F.lit(False))
+        asked = materialize(key_items(changed.withColumn("gone", removed), key, value, ["gone"]), "changed")
+        if asked.isEmpty():
+            return 0
+        items = asked.where("not gone").drop("gone")
+        if not self.tables:
+            return self._add(items, None)
+        sizes = sorted(r["n"] for r in self.rows.select(F.length("path").alias("n")).distinct().collect())  # at most one a nibble of the longest key
+        wanted = asked.select(F.explode(F.expr(f"transform(filter(array({', '.join(map(str, sizes))}), n -> n <= length(path)), n -> substring(path, 1, n))")).alias("path")).distinct()
+        hit = self.rows.join(wanted, "path", "left_semi")
+        last = hit.groupBy("path").agg(F.max_by("kids", "at").alias("kids")).where(F.col("kids").isNotNull())
+        dirty = materialize(last, "dirty")
+        kids = dirty.select(F.explode("kids").alias("kid")).select("kid.*")
+        still = kids.where("not leaf").join(dirty.select("path"), "path", "left_anti").unionByName(kids.where("leaf").join(asked.select("path"), "path", "left_anti"))
+        hashed = self._add(still.select("path", "leaf", "core", "value").unionByName(items), dirty.select("path"))
+        if len(self.tables) > MOST_TABLES:
+            self.compact()
+        return hashed
+
+    def compact(self) -> None:
+        """One table in the place of the log."""
+        self.tables = [self.write(self.nodes().repartitionByRange("path").sortWithinPartitions("path"))]
 
 
 def state_root(snapshot: bytes, intermediate: bytes, delta: bytes) -> bytes:

@@ -52,16 +52,62 @@ def test_distributed_root(spark):
     assert merkle.root({}) == EMPTY
 
 
-def test_crowded_shards(spark):
-    """Keys with a long common prefix, and keys that are prefixes of others, are split into parts with the same root."""
-    r = random.Random(4)
-    entries = {b"\0\0\1" + r.randbytes(r.choice([0, 1, 2, 2, 3])): r.randbytes(3) for _ in range(150)} | {b"\0": b"a", b"\0\0": b"b", b"": b"c", b"\xab\xcd": None}
-    kv = spark.createDataFrame(list(entries.items()), "key binary, value binary")
-    shards = merkle.shard_cores(kv, crowd=30)
-    assert bytes(merkle.fold_cores(shards).first()["root"]) == merkle.root(entries)
-    twice = kv.withColumn("map", F.lit(1)).unionByName(kv.limit(60).withColumn("map", F.lit(2)))
-    found = {x["map"]: bytes(x["root"]) for x in merkle.fold_cores(merkle.shard_cores(twice, by=["map"], crowd=30), by=["map"]).collect()}
-    assert found[1] == merkle.root(entries) and found[1] != found[2]
+def prefixed(r: random.Random, n: int) -> dict:
+    """Keys with a long common prefix, keys that are prefixes of others, and tombstones."""
+    keys_of = lambda: b"\0\0\1" * r.choice([0, 1, 7]) + bytes(r.choice([0, 1, 17, 18, 255]) for _ in range(r.choice([0, 1, 2, 3, 3, 4])))
+    return {keys_of(): r.randbytes(3) if r.random() < 0.8 else None for _ in range(n)}
+
+
+def table_of(spark, entries):
+    return spark.createDataFrame(list(entries.items()), "key binary, value binary")
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 40, 1000])
+def test_ranges_of_any_size(spark, crowd):
+    """Maps cut into ranges of any number of keys have the same root, group by group."""
+    r = random.Random(crowd)
+    maps = {i: prefixed(r, n) for i, n in enumerate((0, 1, 2, 150, 60))}
+    kv = spark.createDataFrame([(i, k, v) for i, m in maps.items() for k, v in m.items()], "map int, key binary, value binary")
+    found = {x["map"]: bytes(x["root"]) for x in merkle.merkle_root(kv, by=["map"], crowd=crowd).collect()}
+    assert found == {i: merkle.root(m) for i, m in maps.items() if m}
+    assert bytes(merkle.merkle_root(kv.where("map = 3"), crowd=crowd).first()["root"]) == merkle.root(maps[3])
+    assert merkle.merkle_root(kv.where("map = 0")).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [5, 1000])
+def test_index_follows_changes(spark, monkeypatch, crowd):
+    """New values, tombstones, new and removed keys, that split and join paths: the root of the index is the cold one, and its nodes are those of a new index."""
+    monkeypatch.setattr(merkle, "CROWD", crowd)
+    monkeypatch.setattr(merkle, "MOST_TABLES", 1)
+    r = random.Random(crowd)
+    now = prefixed(r, 80)
+    index = merkle.Index.of(table_of(spark, now))
+    for step in range(3):
+        change = prefixed(r, 25)
+        gone = r.sample(sorted(now), 20 if step < 2 else len(now))
+        rows = [(k, v, False) for k, v in change.items() if k not in gone] + [(k, None, True) for k in gone] + [(b"never there", None, True)]
+        if step == 2:
+            rows = [x for x in rows if x[2]]
+        index.update(spark.createDataFrame(rows, "key binary, value binary, gone boolean"), gone="gone")
+        now = {k: v for k, v in now.items() if k not in gone} | {k: v for k, v, g in rows if not g}
+        assert index.root == merkle.root(now)
+        nodes = lambda i: {x["path"]: (bytes(x["core"]), sorted(k["path"] for k in x["kids"])) for x in i.nodes().collect()}
+        assert nodes(index) == (nodes(merkle.Index.of(table_of(spark, now))) if now else {})
+    assert index.root == EMPTY and index.update(table_of(spark, {})) == 0
+    index.update(table_of(spark, {b"a": b"b"}))
+    assert index.root == merkle.root({b"a": b"b"})
+
+
+def test_index_hashes_paths_only(spark):
+    """1 % changes of a map make 1 % times the depth of nodes anew, not all."""
+    kv = spark.range(20000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value"))
+    index = merkle.Index.of(kv)
+    some = kv.where(F.crc32("key") % 1000 == 0)
+    n, nodes = some.count(), index.nodes().count()
+    hashed = index.update(some.withColumn("value", F.lit(b"new")))
+    assert 0 < n < 40 and hashed <= 5 * n < nodes / 10
+    after = kv.join(some.select("key", F.lit(b"new").alias("fresh")), "key", "left").select("key", F.coalesce("fresh", "value").alias("value"))
+    assert index.root == bytes(merkle.merkle_root(after).first()["root"])
 
 
 def test_key_shapes(spark):
@@ -180,3 +226,34 @@ def test_set_order_does_not_matter(spark):
         state.set(ops(spark, batch))
         roots.add(state.commit().state_root_hash)
     assert len(roots) == 1
+
+
+def sizes(folder):
+    """Bytes of all data files by table."""
+    return {p.name: sum(f.stat().st_size for f in p.glob("*.parquet")) for p in folder.iterdir()}
+
+
+def test_versions_are_manifests(spark, tmp_path):
+    """A commit writes tables of its own changes; a dead job's tables and old versions go; a load goes on from the last whole version."""
+    store = ParquetStore(f"file://{tmp_path}/s", keep=2)
+    manager = StateManager(spark, store, 3)
+    r = random.Random(3)
+    values = {n: r.randbytes(400) for n in range(1, 200)}
+    manager.set(ops(spark, [account(n, v) for n, v in values.items()]))
+    manager.commit()
+    first = sizes(tmp_path / "s/tables")
+    manager.set(ops(spark, [account(1, b"new"), account(2, b"")]))
+    second = manager.commit()
+    added = {t: n for t, n in sizes(tmp_path / "s/tables").items() if t not in first}
+    assert sum(added.values()) < sum(first.values()) / 10 and set(first) <= set(sizes(tmp_path / "s/tables"))
+    manager.set(ops(spark, [account(3, b"never saved")]))  # the job dies here
+    again = StateManager(spark, store, 3)
+    assert again.height == 2 and again.state.cold_roots()[layers.DELTA] == second.delta_root == again.layers[layers.DELTA].root()
+    again.delete_all_by_prefix("account", bytes([5]) * 20)
+    for _ in range(5):  # over two boundaries
+        again.commit()
+        assert again.state.cold_roots() == {n: x.root() for n, x in again.layers.items()}
+    named = {store._name(t) for x in again.layers.values() for t in (*x.tables, *x.index.tables)}
+    assert named <= set(sizes(tmp_path / "s/tables")) and len(list((tmp_path / "s/versions").iterdir())) == 2
+    wanted = spark.createDataFrame([("account", bytes([n]) * 20, None, "native") for n in (1, 2, 3, 5)], "kind string, address binary, suffix binary, space string")
+    assert sorted(bytes(x["value"]) for x in again.get(wanted).collect()) == sorted([values[3], b"new"])
