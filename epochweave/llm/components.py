@@ -81,15 +81,15 @@ SALTS = 32
 
 
 def least_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, component_id) of ``nodes`` (node, least): the least of all ``least`` of a node's component in ``roots`` (node, root), its own without one.
+    """(node, root, component_id) of ``nodes`` (node, least): the least of all ``least`` of a node's component in ``roots`` (node, root); a node without links is its own root.
 
     By component: partial minima, and salted keys where its nodes look theirs up.
     """
     linked = nodes.join(roots, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", salts)
-    named = linked.join(lowest, ["root", "salt"]).select("node", "component_id")
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(lowest, ["root", "salt"]).select("node", "root", "component_id")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def sorted_overlap(x: np.ndarray, y: np.ndarray) -> int:

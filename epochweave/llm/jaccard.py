@@ -16,8 +16,8 @@ cluster of more than ``BLOCK`` members is cut into parts that are searched
 first; then only members outside its largest component meet all others.
 
 Nulls: null texts and texts without words have empty sets and link with
-nothing; a null id keeps its row with a null component unless a copy has an
-id. Repeated rows are copies. Empty tables give empty results.
+nothing; a null id keeps its row with a null component unless a linked row has
+an id. Repeated rows are copies. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from epochweave.llm import anchors as A
 from epochweave.llm import kernels as k
-from epochweave.llm.components import Forest, components, sorted_overlap, stars
+from epochweave.llm.components import Forest, components, least_ids, sorted_overlap, stars
 from epochweave.llm.names import unused
 from epochweave.session import discard, materialize
 
@@ -39,8 +39,6 @@ WORDS, PERCENT = 5, 75
 BINS = 1 << 14
 BLOCK = 4096
 LEAF, FAN, FEW = 16, 8, 6
-#: Parts in which the texts of a component look up their least id.
-SALTS = 32
 
 
 def shingle_sets(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -374,9 +372,8 @@ def _links(blobs: DataFrame, percent: int, exact: bool = True) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id): ``node`` is the text's hash, ``component_id`` the least id reachable by links."""
-    spark = docs.sparkSession
-    n = A.buckets(spark)
+    """(doc_id, node, n_shingles, component_id, root): ``node`` is the text's hash, ``component_id`` the least id reachable by links, ``root`` the least text hash."""
+    n = A.buckets_for(docs)
     noded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     survey = materialize(_survey(noded, words), "survey")
     crowd = np.zeros(BINS, np.int64)
@@ -393,27 +390,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     roots = linked_roots(close, lambda tasks: _links(_members(homed, dealt(tasks), words, n), percent))
     discard(clusters)
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
-    # By text, then by component: partial minima, and salted keys where the texts of one component look theirs up.
     texts = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    linked = texts.join(roots, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", salts)
-    named = linked.join(lowest, ["root", "salt"]).select("node", "component_id")
     # Written, so that the last join is of two plain tables, whose crowded keys Spark may split.
-    components_of = materialize(texts.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "components")
+    components_of = materialize(least_ids(texts, roots), "components")
     joined = known.join(components_of, "node", "left")
-    return joined.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = F.col("n_shingles") == 0
+    return joined.select("doc_id", "node", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; unlinked and empty ones stay.
+    """``docs`` with one document of each component; unlinked and empty ones stay.
 
-    Repeated rows of the kept id and text stay together.
+    That of the least id stays, so one without an id goes if any other has one;
+    if none has, the text of the least hash stays. Repeated rows of the kept id
+    and text stay together.
     """
     gone_id, gone_node, node = unused(docs, "gone_id", "gone_node", "node")
-    found = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
+    stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("node") == F.col("root")))
+    found = near_duplicates(docs, words, percent).where((F.col("n_shingles") > 0) & ~stays).select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
     keyed = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(found, (F.col("doc_id") == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti").drop(node)
+    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti").drop(node)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

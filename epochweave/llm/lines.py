@@ -291,7 +291,7 @@ def _blocks(tasks, most: int = 1 << 20):
 
 def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, node, gone): the line numbers that go, for each document (id and text hash) that loses any."""
-    n = A.buckets(docs.sparkSession)
+    n = A.buckets_for(docs)
     noded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     clusters = materialize(_clusters(_bands(noded, least, chars, n)), "bands")
     texts = _texts(noded, least, n)

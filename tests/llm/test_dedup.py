@@ -196,3 +196,42 @@ def test_repeat_groups(spark, write):
         some, size = next((texts[d][a : a + n], n) for d, a, n in places)
         everywhere = {(d, i, size) for d, t in texts.items() for i in range(len(t) - size + 1) if t[i : i + size] == some}
         assert places <= everywhere
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize(("query", "plain"), [(jaccard.op2, brute.jaccard), (rlz.op7, brute.rlz)])
+def test_words_that_break_polynomial_hashes(spark, write, query, plain):
+    """Repetitive words of 1,024 letters and their complements are different words."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(34)]
+    rows = [(1, one), (2, other), (3, " ".join([one, *rest])), (4, " ".join([other, *rest])), (5, " ".join([one[:40], *rest])), (6, " ".join([other[:40], *rest]))]
+    check(query, plain, spark, write([document(*r) for r in rows]), rows)
+
+
+def test_one_of_each_group_without_ids(spark, write):
+    """Copies without an id go where a linked document has one; else one text of the group stays, with its repeated rows."""
+    r = random.Random(17)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(60)) for _ in range(3)]
+    near = [t + " more" for t in texts]
+    rows = [(5, texts[0]), (None, texts[0]), (None, near[0]), (3, near[0]), (None, texts[1]), (None, near[1]), (None, texts[1]), (None, None), (None, ""), (8, texts[2])]
+    kept = jaccard.keep_one(spark.read.parquet(f"{write([document(*x) for x in rows])}/documents.parquet")).collect()
+    got = sorted(((x["doc_id"], x["text"]) for x in kept), key=repr)
+    assert [x for x in got if x[0] is not None] == [(3, near[0]), (8, texts[2])]
+    alone = [t for d, t in got if d is None]
+    assert {*alone} in ({None, "", texts[1]}, {None, "", near[1]}) and len(alone) == (4 if texts[1] in alone else 3)
+
+
+def test_windows_have_anchors_of_their_own():
+    """The anchor of a window does not hang on the slice that it is read in."""
+    import numpy as np
+
+    from epochweave.llm import kernels
+
+    values = np.random.default_rng(3).integers(0, 1 << 34, 5000, dtype=np.uint64) << np.uint64(30)
+    whole = kernels.window_minima(values, 28)
+    for a in (0, 7, 1000, 4000):
+        assert (kernels.window_minima(values[a : a + 900], 28) + a == whole[a : a + 873]).all()
