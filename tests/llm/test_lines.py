@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from epochweave.llm import lines
+from tests.llm import brute
 from tests.llm.conftest import document
 
 
@@ -45,3 +48,48 @@ def test_one_edited_word_in_short_lines(spark, write):
     got = left(spark, write, rows)
     assert sum(got[300 + i] == "" for i in range(300)) >= 294
     assert all(got[i] == rows[i][1] for i in [*range(300), *range(600, len(rows))])
+
+
+def edited(r, line: str, kind: str) -> str:
+    """``line`` after two or three edits of letters, or with a word more or less."""
+    out = list(line)
+    if kind == "word":
+        words = line.split()
+        i = r.randrange(len(words))
+        words[i : i + r.randint(0, 1)] = ["more"] * r.randint(0, 1)
+        return " ".join(words)
+    for _ in range(2 if kind == "two" else 3):
+        i = r.choice([i for i, c in enumerate(out) if c != " "])
+        out[i : i + r.choice([1, 1, 1, 0])] = r.choice(["x", "q", "xy", "z"])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kind", ["two", "three", "word"])
+@pytest.mark.parametrize(("low", "high"), [(40, 60), (60, 80), (80, 127)])
+def test_pairs_of_the_rule_become_candidates(kind, low, high):
+    """Of all pairs that link, 95 % share a key, whatever was edited."""
+    r = random.Random(low)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuv") for _ in range(r.choice([1, 2, 3, 3, 4, 5, 6, 7, 9])))
+    pairs = []
+    while len(pairs) < 400:
+        line = ""
+        while len(line) < low:
+            line = f"{line} {word()}".strip()
+        other = edited(r, line, kind)
+        if max(len(line), len(other)) < high and min(len(line), len(other)) >= 40 and line != other:
+            groups = brute.line_groups([line, other])
+            if groups.find(0) == groups.find(1):
+                pairs.append((line, other))
+    ids = [[(2 * i, a), (2 * i + 1, b)] for i, (a, b) in enumerate(pairs)]
+    flat = [x for p in ids for x in p]
+    found = [set() for _ in flat]
+    for node, key in zip(*(x.tolist() for x in lines.word_keys(flat)), strict=True):
+        found[node].add(key)
+    for width, bands, rows, factors, judged in ((lines.CHARS, lines.BANDS, lines.ROWS, lines._FACTORS, lambda x: len(x) >= lines.LONG), (lines.SHORT_CHARS, lines.SHORT_BANDS, lines.SHORT_ROWS, lines._SHORT_FACTORS, lambda x: True)):
+        mine = [x for x in flat if judged(x[1])]
+        if mine:
+            keys = lines.band_keys(*lines.shingles([x for _, x in mine], width, mixed=False), bands, rows, factors)
+            for (node, _), row in zip(mine, keys.tolist(), strict=True):
+                found[node] |= {(width, x) for x in row}
+    met = sum(bool(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs)))
+    assert met >= 0.95 * len(pairs), met / len(pairs)
