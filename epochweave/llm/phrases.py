@@ -47,7 +47,7 @@ from epochweave.session import discard, materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose lists are one row, or one home; and that a bucket of keys stands for.
-LISTED, HOME, BUCKET = 2 << 20, 16 << 20, 32 << 20
+LISTED, HOME, BUCKET = 1 << 20, 8 << 20, 32 << 20
 #: Parts in which a language's best phrases are found first.
 SALTS = 32
 #: Bytes that end a word, and those of them that end a piece.
@@ -58,7 +58,7 @@ _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
 
 LISTS, TALLY, WORDS, FOUND = range(4)
-LIST_COLUMNS = 8
+LIST_COLUMNS = 10
 ROW = "kind int, home bigint, bucket int, " + ", ".join(f"c{i} binary" for i in range(LIST_COLUMNS)) + ", lang string, phrase string, size int, f bigint"
 SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("bucket", pa.int32()), *((f"c{i}", pa.binary()) for i in range(LIST_COLUMNS)), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 TOLD = "home bigint, codes binary, spoken binary, times binary"
@@ -126,7 +126,7 @@ def tally_rows(home: int, codes: list[np.ndarray], counts: list[np.ndarray], n:
     bucket = (found % k.U64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    return [row(TALLY, home=home, bucket=int(bucket[m[0]]), c0=A.squeeze(found[m]), c1=A.squeeze(total[m].astype(np.uint32))) for m in np.split(order, cuts[1:]) if len(m)]
+    return [row(TALLY, home=home, bucket=int(bucket[m[0]]), c8=A.squeeze(found[m]), c9=A.squeeze(total[m].astype(np.uint32))) for m in np.split(order, cuts[1:]) if len(m)]
 
 
 def _listed(docs: DataFrame, n: int) -> DataFrame:
@@ -183,14 +183,15 @@ def _told(tallies: DataFrame, least: int) -> DataFrame:
     """``TOLD`` rows by home: its codes that are frequent over all homes, those that it is to spell out, and their frequencies."""
 
     def run(key, table):
-        codes = [A.expand(x.as_py()) for x in table.column("c0")]
+        codes = [A.expand(x.as_py()) for x in table.column("c8")]
         homes = np.repeat(np.asarray(table.column("home")), [len(x) for x in codes])
-        codes, times = np.concatenate(codes), np.concatenate([A.expand(x.as_py()) for x in table.column("c1")]).astype(np.int64)
+        codes, times = np.concatenate(codes), np.concatenate([A.expand(x.as_py()) for x in table.column("c9")]).astype(np.int64)
         order = np.lexsort((homes, codes))
         codes, homes, times = codes[order], homes[order], times[order]
         new = np.diff(codes, prepend=~codes[:1]) != 0
         group = np.cumsum(new) - 1
         total = np.add.reduceat(times, np.flatnonzero(new))[group]
+        pa.default_memory_pool().release_unused()
         mine = np.flatnonzero(total >= least)
         mine = mine[np.argsort(homes[mine], kind="stable")]
         out = []
@@ -200,7 +201,7 @@ def _told(tallies: DataFrame, least: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["home", "codes", "spoken", "times"])
 
-    return tallies.groupBy("bucket").applyInArrow(run, TOLD)
+    return tallies.select("home", "bucket", "c8", "c9").groupBy("bucket").applyInArrow(run, TOLD)
 
 
 def extend(size: int, code: np.ndarray, counts: np.ndarray, positions: np.ndarray, words: np.ndarray, word_counts: np.ndarray, postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,9 +312,10 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
             own.grow(size + 1)
             codes.append(own.phrases)
             counts.append(own.phrase_counts)
+            pa.default_memory_pool().release_unused()
         return rows_table(out + tally_rows(key[0].as_py(), codes, counts, n))
 
-    return state.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, ROW)
+    return state.select("home", "lang", *(f"c{i}" for i in range(8))).groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, ROW)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
