@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from epochweave.operators.packing import container_files, pack_containers
-from epochweave.sources import packets
+from epochweave.sources import packets, store
 
 # Fixed values of the format.
 MAGIC, VERSION = b"CFXPACK1", 1
@@ -73,6 +70,8 @@ def preferred(names: list[str]) -> list[str]:
 
 
 SCHEMA = f"start_epoch bigint, {packets.BLOCK}"
+#: Places of flag bytes: file, its group, the block's number there, the byte's place in the file (inflated, if compressed), the block's hash, the byte.
+SITES = "path string, start_epoch bigint, index int, at bigint, hash binary, flags int"
 
 
 def block_rows(start: int, payload: bytes, pos_from: int) -> Iterator[dict]:
@@ -86,20 +85,32 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     best = container_files(files.select("path"), suffix=rf"{re.escape(SUFFIX)}(\.zst)?")
     if best.isEmpty():
         raise FileNotFoundError("no container files")
-    return _groups(files.join(best.select("path"), "path", "left_semi"))
+    return file_groups(files.join(best.select("path"), "path", "left_semi")).drop("path")
 
 
-def _groups(files: DataFrame) -> DataFrame:
-    """(start_epoch, epochs, packet) of all groups of container files."""
+def file_groups(files: DataFrame) -> DataFrame:
+    """(path, start_epoch, epochs, packet) of all groups of container files (path, content)."""
 
     def groups(batches):
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = inflate(name, value.as_py())
                 for start, count, at, n in directory(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([count]), pa.array([data[at : at + n]], pa.binary())], ["start_epoch", "epochs", "packet"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([start]), pa.array([count]), pa.array([data[at : at + n]], pa.binary())], ["path", "start_epoch", "epochs", "packet"])
 
-    return files.select("path", "content").mapInArrow(groups, "start_epoch bigint, epochs bigint, packet binary")
+    return files.select("path", "content").mapInArrow(groups, "path string, start_epoch bigint, epochs bigint, packet binary")
+
+
+def group_spans(files: DataFrame) -> DataFrame:
+    """(path, start_epoch, epochs) of all groups of uncompressed container files (path, content), from their directories."""
+
+    def spans(batches):
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = directory(value.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([s for s, *_ in found], pa.int64()), pa.array([c for _, c, *_ in found], pa.int64())], ["path", "start_epoch", "epochs"])
+
+    return files.select("path", "content").mapInArrow(spans, "path string, start_epoch bigint, epochs bigint")
 
 
 def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
@@ -181,40 +192,64 @@ class GroupPartition(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """One partition per group: tasks seek to their packet through the directory. A compressed file is inflated once, by its own task."""
+    """One partition per group that may hold an epoch asked for, by options or by filters on ``epoch`` and ``start_epoch``.
+
+    Tasks read their packet alone, by its place in the directory; with
+    ``columns`` = ``flags``, its records alone, none of its transactions. A
+    compressed file is inflated once, by its own task.
+    """
 
     def __init__(self, options):
-        self.path, self.pos_from = options["path"], int(options["posFrom"])
+        self.path, self.flags = options["path"], options.get("columns") == "flags"
+        self.pos_from = 0 if self.flags else int(options["posFrom"])
         self.low, self.high = int(options.get("fromEpoch", 0)), int(options.get("toEpoch", 1 << 62))
+        self.starts, self.compressed = (0, 1 << 62), options.get("compressed", "true") == "true"
+
+    def pushFilters(self, filters):
+        """Bounds of epochs choose groups; every filter is also left to Spark, as a group has other epochs, too."""
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) in (("epoch",), ("start_epoch",)) and isinstance(value, int):
+                low = {GreaterThan: value + 1, GreaterThanOrEqual: value, EqualTo: value}.get(type(f), 0)
+                high = {LessThan: value, LessThanOrEqual: value + 1, EqualTo: value + 1}.get(type(f), 1 << 62)
+                if f.attribute == ("epoch",):
+                    self.low, self.high = max(self.low, low), min(self.high, high)
+                else:
+                    self.starts = max(self.starts[0], low), min(self.starts[1], high)
+            yield f
 
     def partitions(self):
+        sizes = dict(store.listed(self.path))
         out = []
-        for name in preferred(glob.glob(os.path.join(self.path, "*"))):
+        for name in preferred([x for x in sizes if self.compressed or not x.endswith(".zst")]):
             if name.endswith(".zst"):
                 out.append(GroupPartition(name))
                 continue
-            with open(name, "rb") as f:
-                head = f.read(HEADER)
-                head += f.read(ENTRY * int.from_bytes(head[12:16], "little"))
-            out += [GroupPartition(name, *e) for e in self._wanted(directory(head, os.path.getsize(name)))]
+            head = store.read(name, 0, HEADER)
+            head += store.read(name, HEADER, ENTRY * int.from_bytes(head[12:16], "little"))
+            out += [GroupPartition(name, *e) for e in self._wanted(directory(head, sizes[name]))]
         return out
 
     def _wanted(self, entries):
         """(start, offset, length) of the groups that hold any epoch asked for."""
-        return [(s, at, n) for s, c, at, n in entries if s < self.high and s + c > self.low]
+        return [(s, at, n) for s, c, at, n in entries if s < self.high and s + c > self.low and self.starts[0] <= s < self.starts[1]]
 
     def read(self, partition):
-        with open(partition.name, "rb") as f:
-            if partition.at < 0:
-                whole = inflate(partition.name, f.read())
-                groups = ((s, whole[at : at + n]) for s, at, n in self._wanted(directory(whole)))
-            else:
-                f.seek(partition.at)
-                groups = [(partition.start, f.read(partition.size))]
-        for start, payload in groups:
-            for r in block_rows(start, payload, self.pos_from):
-                r["base_reward"] = _decimal(r["base_reward"])
-                yield tuple(r.values())
+        if partition.at < 0:
+            whole = inflate(partition.name, store.read(partition.name))
+            for start, at, size in self._wanted(directory(whole)):
+                yield from self._rows(partition.name, start, at, lambda a, n, at=at: whole[at + a : at + a + n], size)
+        else:
+            yield from self._rows(partition.name, partition.start, partition.at, lambda a, n: store.read(partition.name, partition.at + a, n), partition.size)
+
+    def _rows(self, name, start, at, read, size):
+        if self.flags:
+            for i, (place, block, flags) in enumerate(packets.read_sites(read, size)):
+                yield name, start, i, at + place, block, flags
+            return
+        for r in block_rows(start, read(0, size), self.pos_from):
+            r["base_reward"] = _decimal(r["base_reward"])
+            yield tuple(r.values())
 
 
 class _Message(WriterCommitMessage):
@@ -226,41 +261,37 @@ class _Writer(DataSourceWriter):
     """Writes (name, content) rows as files: under other names first, renamed when the job commits."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path = path.rstrip("/")
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        done = []
-        for row in rows:
-            temporary = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
-            with open(temporary, "wb") as f:
-                f.write(row["content"])
-                f.flush()
-                os.fsync(f.fileno())
-            done.append((temporary, os.path.join(self.path, row["name"])))
-        return _Message(done)
+        return _Message([(store.write_aside(self.path, row["content"]), f"{self.path}/{row['name']}") for row in rows])
 
     def commit(self, messages):
         for m in messages:
             for temporary, final in m.files if m else ():
-                os.replace(temporary, final)
+                store.rename(temporary, final)
 
     def abort(self, messages):
         for m in messages:
             for temporary, _ in m.files if m else ():
-                if os.path.exists(temporary):
-                    os.unlink(temporary)
+                store.remove(temporary)
 
 
 class ContainerSource(DataSource):
-    """``spark.read.format("epochpack").option("posFrom", height).load(path)`` on a mounted folder; ``write`` takes (name, content)."""
+    """``spark.read.format("epochpack").option("posFrom", height).load(path)`` on a store that Arrow opens.
+
+    Blocks of all containers of a folder; with the option ``columns`` =
+    ``flags``, the place of each block's flag byte instead (``SITES``); with
+    ``compressed`` = ``false``, of uncompressed files alone.
+    ``write`` takes (name, content).
+    """
 
     @classmethod
     def name(cls):
         return "epochpack"
 
     def schema(self):
-        return SCHEMA
+        return SITES if self.options.get("columns") == "flags" else SCHEMA
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -269,7 +300,13 @@ class ContainerSource(DataSource):
         return _Writer(self.options["path"])
 
 
+#: A reader of a data source may only take filters where this is set.
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
 def register(spark: SparkSession) -> None:
+    """Makes the data source known to a session, and lets it take filters."""
+    spark.conf.set(_PUSHDOWN, "true")
     spark.dataSource.register(ContainerSource)
 
 

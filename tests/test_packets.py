@@ -3,7 +3,7 @@ import random
 import pytest
 
 from epochweave.functions.codec import rlp
-from epochweave.sources import containers, packets
+from epochweave.sources import containers, packets, rewrites
 
 A = [bytes([i]) * 20 for i in range(1, 6)]
 
@@ -100,3 +100,130 @@ def test_sources(spark, tmp_path):
     assert containers.transactions(through).count() == sum(len(b["transactions"]) for *_, bs in groups for b in bs)
     pruned = spark.read.format("epochpack").option("posFrom", 1000).option("fromEpoch", 1300).load(str(tmp_path))
     assert 0 < pruned.count() < 45
+
+
+def container_folder(spark, folder, seeds=range(5), per_file=2):
+    """Containers of a few groups of nine epochs each, and the blocks in them."""
+    groups = []
+    for i in seeds:
+        blocks = packet(i, 9, 1000)
+        for b in blocks:
+            b.update(height=b["height"] + 9 * i, epoch=b["epoch"] + 9 * i)
+        groups.append((1000 + 9 * i, 9, packets.encode(blocks, b"h" * 32, b"s" * 32, i), blocks))
+    table = spark.createDataFrame([(n // per_file, s, c, p) for n, (s, c, p, _) in enumerate(groups)], "job int, start_epoch bigint, epochs bigint, packet binary")
+    containers.register(spark)
+    containers.build_containers(table).write.format("epochpack").mode("append").save(str(folder))
+    return groups
+
+
+def test_compressed_containers_of_several_groups(spark, tmp_path):
+    import zstandard
+
+    groups = container_folder(spark, tmp_path, per_file=3)
+    for p in list(tmp_path.iterdir()):
+        (tmp_path / (p.name + ".zst")).write_bytes(zstandard.ZstdCompressor().compress(p.read_bytes()))
+        p.unlink()
+    got = spark.read.format("epochpack").option("posFrom", 1000).load(str(tmp_path))
+    assert sorted((r["start_epoch"], r["index"], bytes(r["hash"])) for r in got.collect()) == [(s, b["index"], b["hash"]) for s, _, _, bs in groups for b in bs]
+
+
+def test_filters_and_flags_read_little(spark, tmp_path, monkeypatch):
+    """Filters on epochs choose groups before anything is decoded; flags come from the records alone."""
+    groups = container_folder(spark, tmp_path)
+    load = lambda **o: spark.read.format("epochpack").options(posFrom=1000, **o).load(str(tmp_path))
+    some = load().where("epoch >= 1010 and epoch < 1020")
+    assert some.rdd.getNumPartitions() == 2 and load().rdd.getNumPartitions() == 5
+    assert sorted(bytes(r["hash"]) for r in some.collect()) == sorted(b["hash"] for *_, bs in groups for b in bs if 1010 <= b["epoch"] < 1020)
+    assert load().where("start_epoch = 1018").rdd.getNumPartitions() == 1
+    sites = load(columns="flags").collect()
+    assert sorted((bytes(r["hash"]), r["flags"] & 66) for r in sites) == sorted((b["hash"], b["flags"] & 66) for *_, bs in groups for b in bs)
+    for r in sites:
+        with open(r["path"], "rb") as f:
+            f.seek(r["at"])
+            assert f.read(1)[0] == r["flags"]
+    asked = []
+    packets.read_sites(lambda a, n: asked.append(n) or groups[3][2][a : a + n], len(groups[3][2]))
+    assert sum(asked) < len(groups[3][2]) / 2
+
+
+def test_flags_in_place(spark, tmp_path):
+    """Only files with a change are written, only flag bytes differ, a second run changes nothing."""
+    groups = container_folder(spark, tmp_path)
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    blocks = [b for *_, bs in groups for b in bs]
+    last = {b["hash"] for b in groups[4][3]}
+    paid = {b["hash"]: i % 3 for i, b in enumerate(blocks) if i % 4 and b["hash"] not in last} | {h: 5 for h in last}
+    rewards = spark.createDataFrame(list(paid.items()), "hash binary, total_reward bigint")
+    zero = {b["hash"] for b in blocks if not paid.get(b["hash"], 0)}
+    dry = rewrites.patch_zero_rewards(spark, str(tmp_path), rewards, dry_run=True)
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == before and dry["bytes_rewritten"] == 0
+    done = rewrites.patch_zero_rewards(spark, str(tmp_path), rewards)
+    after = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    changed = {n for n in before if before[n] != after[n]}
+    assert set(after) == set(before) and {r["name"] for r in done["changed_files"].collect()} == changed == {r["name"] for r in dry["changed_files"].collect()}
+    assert (done["files_scanned"], done["files_changed"], done["blocks_total"], done["blocks_flagged"]) == (3, 2, 45, len(zero)) and done["bytes_rewritten"] == sum(len(after[n]) for n in changed)
+    sites = spark.read.format("epochpack").option("columns", "flags").load(str(tmp_path)).collect()
+    was = {b["hash"]: b["flags"] & 64 for b in blocks}
+    assert all(bool(r["flags"] & 64) == (bytes(r["hash"]) in zero or bool(was[bytes(r["hash"])])) for r in sites)
+    places = {(r["path"].rsplit("/", 1)[-1], r["at"]) for r in sites}
+    assert all((n, i) in places for n in before for i, (x, y) in enumerate(zip(before[n], after[n], strict=True)) if x != y)
+    assert rewrites.patch_zero_rewards(spark, str(tmp_path), rewards)["files_changed"] == 0
+    ranged = rewrites.patch_zero_rewards(spark, str(tmp_path), rewards.limit(0), low=1018, high=1030)
+    assert ranged["files_scanned"] == 1 and ranged["blocks_total"] == 18
+    with pytest.raises(FileNotFoundError):
+        rewrites.patch_targets(spark, str(tmp_path), low=9999)
+
+
+def test_rewards_into_containers(spark, tmp_path):
+    """Events reach the pivots of their epochs; all else decodes as before, and files without events are not written."""
+    groups = container_folder(spark, tmp_path)
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    pivots = [b for *_, bs in groups for b in bs if b["flags"] & 2]
+    one, two = pivots[0], next(b for b in pivots if b["epoch"] >= groups[2][0])
+    account = lambda n: [{"address": A[n], "pos_identifier": bytes([n]) * 32, "reward": packets.wide(10**20 + n)}]
+    events = spark.createDataFrame([(one["epoch"], account(1)), (one["epoch"], account(2)), (two["epoch"], account(3)), (5, account(4))], f"epoch bigint, account_rewards {rewrites.REWARDS}")
+    dry = rewrites.inject_rewards(spark, str(tmp_path), events, 1000, dry_run=True)
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == before
+    report = {r["epoch"]: (r["before"], r["after"]) for r in rewrites.inject_rewards(spark, str(tmp_path), events, 1000, suffix="").collect()}
+    assert report == {r["epoch"]: (r["before"], r["after"]) for r in dry.collect()}
+    n = {b["epoch"]: len(b["pos_rewards"]) for b in (one, two)}
+    assert report == {one["epoch"]: (n[one["epoch"]], n[one["epoch"]] + 2), two["epoch"]: (n[two["epoch"]], n[two["epoch"]] + 1), 5: (None, None)}
+    after = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert set(after) == set(before) and sum(after[x] != before[x] for x in before) == 2
+    got = {bytes(r["hash"]): r.asDict(recursive=True) for r in spark.read.format("epochpack").option("posFrom", 1000).load(str(tmp_path)).collect()}
+    for b in (b for *_, bs in groups for b in bs):
+        added = {one["hash"]: [1, 2], two["hash"]: [3]}.get(b["hash"], [])
+        want = [*(x["execution_epoch_hash"] for x in b["pos_rewards"]), *[b["hash"]] * len(added)]
+        mine = got[b["hash"]]
+        assert [bytes(x["execution_epoch_hash"]) for x in mine["pos_rewards"]] == want and len(mine["transactions"]) == len(b["transactions"]) and len(mine["unlock_events"]) == len(b["unlock_events"])
+        assert [bytes(x["account_rewards"][0]["address"]) for x in mine["pos_rewards"][len(b["pos_rewards"]) :]] == [A[i] for i in added]
+    assert containers.verify_packets(containers.read_groups(spark, str(tmp_path))).where("problem is not null").count() == 0
+
+
+def test_damaged_packets_are_reported(spark):
+    """Random damage is a ValueError or none, never another error; a job over damaged packets ends."""
+    r = random.Random(12)
+    sound = [packets.encode(packet(s, 25, 1010), b"h" * 32, b"s" * 32, 1) for s in range(4)]
+    damaged = []
+    for _ in range(2000):
+        data = bytearray(r.choice(sound))
+        for _ in range(r.randint(1, 3)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        damaged.append(bytes(data))
+    problems = 0
+    for data in damaged:
+        try:
+            packets.verify(data)
+        except ValueError:
+            problems += 1
+    assert 200 < problems < 2000
+    table = spark.createDataFrame([(i, d) for i, d in enumerate(damaged[:400])], "start_epoch bigint, packet binary")
+    assert containers.verify_packets(table).count() == 400
+
+
+def test_references_point_back():
+    blocks = packet(3, 12, 10**9)
+    blocks[4]["transactions"] = [blocks[4]["transactions"][0] if blocks[4]["transactions"] else transaction(random.Random(1), blocks[4]["epoch"])] * 2
+    data = packets.encode(blocks, b"h" * 32, b"s" * 32, 0)
+    got = packets.decode(data, 10**9)[1]
+    assert all(x is None or x["block_index"] < b["index"] for b in got for x in b["transaction_refs"]) and len(got[4]["transactions"]) == 2
