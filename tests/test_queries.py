@@ -1,6 +1,6 @@
 import pytest
 
-from epochweave.plans import packet_queries, queries  # noqa: F401  both fill the registry
+from epochweave.plans import flow_queries, packet_queries, queries  # noqa: F401  all fill the registry
 from tests.conftest import SF, rows_of
 
 
