@@ -9,15 +9,17 @@ phrase of k words is merged, by position, with the postings of the words that
 stand k places further on, and, as every part of a frequent phrase is frequent,
 with the places where a frequent phrase of k words begins one further on.
 
-Lists stay at their home, some ``HOME`` bytes of text. Between two steps
-homes send the lengths of their lists by key; what is frequent comes back to
-the homes that have it, and one of them spells it out. All else is dropped,
-and so are words that no phrase needs any more. Languages are counted apart:
-a key is the hash of the language and the words. The statistics of frequent
-phrases are plain joins: of a phrase with the parts on both sides of each cut,
-and with the phrases that are one word longer and hold it. That is enough to
-find a longer phrase of any length, as all phrases between the two are as
-frequent as the longer one at least.
+Lists stay at their home, some ``HOME`` bytes of text. A step begins with the
+lengths of the lists one word further on, sent by key; what is frequent comes
+back to the homes that have it, and one of them spells it out. All else is
+dropped, and so are words that no phrase needs any more. Between two steps a
+home keeps the postings of words and the places where a frequent phrase begins:
+which one it is follows from the words there, so its list is made again from
+them. Languages are counted apart: a key is the hash of the language and the
+words. The statistics of frequent phrases are plain joins: of a phrase with the
+parts on both sides of each cut, and with the phrases that are one word longer
+and hold it. That is enough to find a longer phrase of any length, as all
+phrases between the two are as frequent as the longer one at least.
 
 Nulls: a null text has no words; a null language is ``und``, as is the
 language of this name. Repeated rows and rows without an id count as rows.
@@ -48,6 +50,8 @@ from epochweave.session import discard, materialize
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose lists are one row, or one home; and that a bucket of keys stands for.
 LISTED, HOME, BUCKET = 1 << 20, 8 << 20, 32 << 20
+#: Keys that a task holds before it sends their tallies.
+HELD = 2_000_000
 #: Parts in which a language's best phrases are found first.
 SALTS = 32
 #: Bytes that end a word, and those of them that end a piece.
@@ -57,10 +61,11 @@ _BREAK[list(BREAKS)] = True
 _BETWEEN = _BREAK.copy()
 _BETWEEN[list(SPACES)] = True
 
-LISTS, TALLY, WORDS, FOUND = range(4)
-LIST_COLUMNS = 10
-ROW = "kind int, home bigint, bucket int, " + ", ".join(f"c{i} binary" for i in range(LIST_COLUMNS)) + ", lang string, phrase string, size int, f bigint"
-SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("bucket", pa.int32()), *((f"c{i}", pa.binary()) for i in range(LIST_COLUMNS)), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+LISTS, WORDS, FOUND = range(3)
+LIST_COLUMNS = 6
+ROW = "kind int, home bigint, " + ", ".join(f"c{i} binary" for i in range(LIST_COLUMNS)) + ", lang string, phrase string, size int, f bigint"
+SCHEMA = pa.schema([("kind", pa.int32()), ("home", pa.int64()), *((f"c{i}", pa.binary()) for i in range(LIST_COLUMNS)), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+TALLY = "home bigint, bucket int, codes binary, counts binary"
 TOLD = "home bigint, codes binary, spoken binary, times binary"
 
 
@@ -116,34 +121,20 @@ def language_code(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode(), seed=1)
 
 
-def tally_rows(home: int, codes: list[np.ndarray], counts: list[np.ndarray], n: int) -> list[dict]:
-    """A home's codes and their numbers, dealt to buckets."""
-    if not codes:
-        return []
-    every, times = np.concatenate(codes), np.concatenate(counts)
-    found, of = np.unique(every, return_inverse=True)
-    total = np.bincount(of, weights=times, minlength=len(found)).astype(np.int64)
-    bucket = (found % k.U64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    return [row(TALLY, home=home, bucket=int(bucket[m[0]]), c8=A.squeeze(found[m]), c9=A.squeeze(total[m].astype(np.uint32))) for m in np.split(order, cuts[1:]) if len(m)]
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Ascending codes, as steps."""
+    return A.squeeze(np.diff(codes, prepend=np.uint64(0)))
 
 
-def _listed(docs: DataFrame, n: int) -> DataFrame:
-    """``ROW``s: the word lists of all texts, their lengths by key, the words of each language."""
+def unpack_codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(A.expand(blob), dtype=np.uint64)
 
-    def run(batches):
-        task, sub, held = TaskContext.get().partitionId(), 0, 0
-        codes, counts, words = [], [], {}
-        home = lambda: task << 20 | sub
 
-        def ended():
-            rows = tally_rows(home(), codes, counts, n) + [row(WORDS, home=home(), lang=x, f=c) for x, c in words.items()]
-            codes.clear()
-            counts.clear()
-            words.clear()
-            return rows_table(rows).to_batches()
+def _listed(docs: DataFrame) -> DataFrame:
+    """``ROW``s: the word lists of all texts, and the words of each language."""
 
+    def run(batches):
+        task, sub, held, words = TaskContext.get().partitionId(), 0, 0, {}
         for batch in batches:
             for part, data, offsets in k.slices(batch, "text", LISTED):
                 data = k.lowered(data)
@@ -158,34 +149,59 @@ def _listed(docs: DataFrame, n: int) -> DataFrame:
                 tags = np.array([language_code(x) for x in names], np.uint64)
                 for x, c in zip(names, np.diff(bounds).tolist(), strict=True):
                     words[x] = words.get(x, 0) + c
-                code = k.mix(k.word_hashes(data, starts, ends) + tags[of])
-                found, times, positions, order = lists(code, places)
+                _, times, positions, order = lists(k.mix(k.word_hashes(data, starts, ends) + tags[of]), places)
                 some = order[np.cumsum(times) - times]  # one occurrence of each word
                 size = (ends - starts)[some]
                 text = data[np.repeat(starts[some], size) + steps(size)]
                 different = sorted(set(names))
                 lang = np.array([different.index(x) for x in names], np.uint32)[of[some]]
-                none = np.zeros(0, np.int64)
-                own = Lists(different, text, size, lang, times, positions, none, none, none)
-                yield from rows_table([own.row(home())]).to_batches()
-                codes.append(found)
-                counts.append(times)
+                yield from rows_table([Lists(different, text, size, lang, times, positions, places).row(task << 20 | sub)]).to_batches()
                 held += len(data)
                 if held > HOME:
-                    yield from ended()
                     sub, held = sub + 1, 0
-        yield from ended()
+        yield from rows_table([row(WORDS, lang=x, f=c) for x, c in words.items()]).to_batches()
 
     return docs.select("lang", "text").mapInArrow(run, ROW)
 
 
+def _tallied(state: DataFrame, size: int, n: int) -> DataFrame:
+    """``TALLY`` rows: each home's phrases of ``size`` words by key, and the lengths of their lists, dealt to buckets."""
+
+    def sent(home: int, codes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        found, of = np.unique(np.concatenate(codes), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate(counts), minlength=len(found)).astype(np.uint32)
+        bucket = (found % k.U64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        parts = [m for m in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(m)]
+        pa.default_memory_pool().release_unused()
+        return pa.RecordBatch.from_arrays([pa.array([home] * len(parts), pa.int64()), pa.array([int(bucket[m[0]]) for m in parts], pa.int32()), pa.array([pack_codes(found[m]) for m in parts], pa.binary()), pa.array([A.squeeze(total[m]) for m in parts], pa.binary())], ["home", "bucket", "codes", "counts"])
+
+    def run(batches):
+        home, held, codes, counts = None, 0, [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if codes and (r["home"] != home or held > HELD):
+                    yield sent(home, codes, counts)
+                    codes, counts, held = [], [], 0
+                home = r["home"]
+                found, times, _, _ = lists(*Lists.of(r).grown(size))
+                codes.append(found)
+                counts.append(times)
+                held += len(found)
+        if codes:
+            yield sent(home, codes, counts)
+
+    return state.select(*_STATE).mapInArrow(run, TALLY)
+
+
 def _told(tallies: DataFrame, least: int) -> DataFrame:
     """``TOLD`` rows by home: its codes that are frequent over all homes, those that it is to spell out, and their frequencies."""
 
     def run(key, table):
-        codes = [A.expand(x.as_py()) for x in table.column("c8")]
+        codes = [unpack_codes(x.as_py()) for x in table.column("codes")]
         homes = np.repeat(np.asarray(table.column("home")), [len(x) for x in codes])
-        codes, times = np.concatenate(codes), np.concatenate([A.expand(x.as_py()) for x in table.column("c9")]).astype(np.int64)
+        codes, times = np.concatenate(codes), np.concatenate([A.expand(x.as_py()) for x in table.column("counts")]).astype(np.int64)
         order = np.lexsort((homes, codes))
         codes, homes, times = codes[order], homes[order], times[order]
         new = np.diff(codes, prepend=~codes[:1]) != 0
@@ -201,21 +217,15 @@ def _told(tallies: DataFrame, least: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["home", "codes", "spoken", "times"])
 
-    return tallies.select("home", "bucket", "c8", "c9").groupBy("bucket").applyInArrow(run, TOLD)
+    return tallies.groupBy("bucket").applyInArrow(run, TOLD)
 
 
-def extend(size: int, code: np.ndarray, counts: np.ndarray, positions: np.ndarray, words: np.ndarray, word_counts: np.ndarray, postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, begins ascending) of the places where a phrase of ``size`` words, by its lists, goes on with a word, by its postings."""
-    begin, of = by_position(counts, positions)
-    at, word = by_position(word_counts, postings)
-    next_word = met(at, begin + size)
-    goes = (next_word >= 0) & (met(begin, begin + 1) >= 0)
-    return k.mix(code[of[goes]] * k.U64(0x9E3779B97F4A7C15) + k.mix(words[word[next_word[goes]]] + k.U64(size))), begin[goes]
+_STATE = ["home", "lang", *(f"c{i}" for i in range(LIST_COLUMNS))]
 
 
 @dataclass
 class Lists:
-    """The lists of a row: words (bytes one after the other, lengths, languages, postings), and phrases that begin somewhere among them."""
+    """The lists of a row: words (bytes one after the other, lengths, languages, postings), and the places where frequent phrases begin."""
 
     names: list[str]
     text: np.ndarray
@@ -223,18 +233,16 @@ class Lists:
     lang: np.ndarray
     counts: np.ndarray
     postings: np.ndarray
-    phrases: np.ndarray
-    phrase_counts: np.ndarray
     begins: np.ndarray
 
     @classmethod
     def of(cls, r: dict) -> Lists:
-        counts, own = A.expand(r["c0"]).astype(np.int64), A.expand(r["c5"]).astype(np.int64)
-        return cls(json.loads(r["lang"]), A.expand(r["c2"]), A.expand(r["c3"]).astype(np.int64), A.expand(r["c4"]).astype(np.int64), counts, unpack_lists(r["c1"], counts), A.expand(r["c6"]), own, unpack_lists(r["c7"], own))
+        counts = A.expand(r["c0"]).astype(np.int64)
+        return cls(json.loads(r["lang"]), A.expand(r["c2"]), A.expand(r["c3"]).astype(np.int64), A.expand(r["c4"]).astype(np.int64), counts, unpack_lists(r["c1"], counts), np.cumsum(A.expand(r["c5"]), dtype=np.int64))
 
     def row(self, home: int) -> dict:
         narrow = lambda x: A.squeeze(x.astype(np.uint32))
-        return row(LISTS, home=home, c0=narrow(self.counts), c1=pack_lists(self.postings, self.counts), c2=A.squeeze(self.text), c3=narrow(self.lengths), c4=narrow(self.lang), c5=narrow(self.phrase_counts), c6=A.squeeze(self.phrases), c7=pack_lists(self.begins, self.phrase_counts), lang=json.dumps(self.names))
+        return row(LISTS, home=home, c0=narrow(self.counts), c1=pack_lists(self.postings, self.counts), c2=A.squeeze(self.text), c3=narrow(self.lengths), c4=narrow(self.lang), c5=narrow(np.diff(self.begins, prepend=0)), lang=json.dumps(self.names))
 
     def codes(self) -> np.ndarray:
         """The key of each word."""
@@ -242,50 +250,41 @@ class Lists:
         own = np.array([language_code(x) for x in self.names], np.uint64)
         return k.mix(k.word_hashes(self.text, ends - self.lengths, ends) + own[self.lang])
 
-    def keep(self, stands: np.ndarray) -> None:
-        """Words that ``stands`` marks stay."""
+    def grown(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, ascending places) of the phrases of ``size`` words: where one of a word less begins, and another one after it, and the postings have its last word."""
+        at, word = by_position(self.counts, self.postings)
+        begins = self.begins
+        if size > 1:
+            begins = begins[(met(begins, begins + 1) >= 0) & (met(at, begins + size - 1) >= 0)]
+        of_word = self.codes()
+        keys = of_word[word[met(at, begins)]]
+        for i in range(1, size):
+            keys = k.mix(keys * k.U64(0x9E3779B97F4A7C15) + k.mix(of_word[word[met(at, begins + i)]] + k.U64(i)))
+        return keys, begins
+
+    def only(self, begins: np.ndarray, size: int) -> None:
+        """Phrases that begin at ``begins`` stay, and the postings that lie in them."""
+        self.begins = begins
+        covered = np.unique((begins[:, None] + np.arange(size)).ravel())
+        hit = met(covered, self.postings) >= 0
+        self.counts = np.bincount(np.repeat(np.arange(len(self.counts)), self.counts)[hit], minlength=len(self.counts))
+        self.postings = self.postings[hit]
+        stands = self.counts > 0
         cut = (np.cumsum(self.lengths) - self.lengths)[stands]
         self.text = self.text[np.repeat(cut, self.lengths[stands]) + steps(self.lengths[stands])]
-        self.postings = self.postings[np.repeat(stands, self.counts)]
         self.lengths, self.lang, self.counts = self.lengths[stands], self.lang[stands], self.counts[stands]
 
-    def grow(self, size: int) -> None:
-        """The phrases of ``size`` words that begin where those of one word less do, or, for 1, the words."""
-        if size == 1:
-            self.phrases, self.phrase_counts, self.begins = self.codes(), self.counts, self.postings
-        else:
-            longer, begin = extend(size - 1, self.phrases, self.phrase_counts, self.begins, self.codes(), self.counts, self.postings)
-            self.phrases, self.phrase_counts, self.begins, _ = lists(longer, begin)
-
-    def only(self, frequent: np.ndarray, size: int) -> None:
-        """Phrases that are frequent stay, and the postings that lie in them."""
-        stays = met(frequent, self.phrases) >= 0
-        self.begins = self.begins[np.repeat(stays, self.phrase_counts)]
-        self.phrases, self.phrase_counts = self.phrases[stays], self.phrase_counts[stays]
-        covered = np.unique((self.begins[:, None] + np.arange(size)).ravel())
-        hit = met(covered, self.postings) >= 0
-        of = np.repeat(np.arange(len(self.counts)), self.counts)[hit]
-        whole = np.bincount(of, minlength=len(self.counts))
-        self.postings = self.postings[hit]
-        stands = whole > 0
-        self.counts = whole
-        self.keep(stands)
-
-    def spelt(self, some: np.ndarray, size: int) -> list[tuple[str, str]]:
-        """(language, words) of the phrases ``some``, from the first place of each."""
+    def spelt(self, places: np.ndarray, size: int) -> list[tuple[str, str]]:
+        """(language, words) of the phrases that begin at ``places``."""
         at, word = by_position(self.counts, self.postings)
-        first = (np.cumsum(self.phrase_counts) - self.phrase_counts)[some]
-        ids = word[met(at, (self.begins[first][:, None] + np.arange(size)).ravel())].reshape(-1, size).tolist()
+        ids = word[met(at, (places[:, None] + np.arange(size)).ravel())].reshape(-1, size).tolist()
         ends, raw = np.cumsum(self.lengths).tolist(), self.text.tobytes()
         word_of = lambda i: raw[ends[i] - int(self.lengths[i]) : ends[i]].decode("utf-8", "replace")
         return [(self.names[self.lang[x[0]]], " ".join(map(word_of, x))) for x in ids]
 
 
-def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) -> DataFrame:
-    """``ROW``s from the lists of phrases of one word less and what is frequent at ``size`` words: its phrases, spelt out, its lists, and the lengths of those one word further on.
-
-    What is not known to be frequent yet is made again from the lists before, and not kept.
-    """
+def _grown(state: DataFrame, told: DataFrame, size: int, last: bool) -> DataFrame:
+    """``ROW``s of the frequent phrases of ``size`` words, from the lists of one word less: spelt out, and the lists to go on with."""
 
     def run(key, left, right):
         unpacked = lambda c: np.concatenate([A.expand(x.as_py()) for x in right.column(c)]) if right.num_rows else np.zeros(0, np.uint64)
@@ -293,42 +292,43 @@ def _grown(state: DataFrame, told: DataFrame, size: int, last: bool, n: int) ->
         spoken, times = unpacked("spoken"), unpacked("times")
         order = np.argsort(spoken)
         spoken, times, said = spoken[order], times[order], np.zeros(len(spoken), bool)
-        out, codes, counts = [], [], []
+        out = []
         for batch in left.to_batches(1) if len(frequent) else ():
             own = Lists.of(batch.to_pylist()[0])
-            own.grow(size)
-            own.only(frequent, size)
-            if not len(own.phrases):
+            keys, begins = own.grown(size)
+            stays = met(frequent, keys) >= 0
+            keys, begins = keys[stays], begins[stays]
+            if not len(begins):
                 continue
-            speaks = met(spoken, own.phrases)
+            own.only(begins, size)
+            found, counts, places, _ = lists(keys, begins)
+            speaks = met(spoken, found)
             fresh = np.flatnonzero(speaks >= 0)
             fresh = fresh[~said[speaks[fresh]]]
             if len(fresh):
                 said[speaks[fresh]] = True
-                out += [row(FOUND, lang=x, phrase=p, size=size, f=f) for (x, p), f in zip(own.spelt(fresh, size), times[speaks[fresh]].tolist(), strict=True)]
-            if last:
-                continue
-            out.append(own.row(key[0].as_py()))
-            own.grow(size + 1)
-            codes.append(own.phrases)
-            counts.append(own.phrase_counts)
+                first = places[(np.cumsum(counts) - counts)[fresh]]
+                out += [row(FOUND, lang=x, phrase=p, size=size, f=f) for (x, p), f in zip(own.spelt(first, size), times[speaks[fresh]].tolist(), strict=True)]
+            if not last:
+                out.append(own.row(key[0].as_py()))
             pa.default_memory_pool().release_unused()
-        return rows_table(out + tally_rows(key[0].as_py(), codes, counts, n))
+        return rows_table(out)
 
-    return state.select("home", "lang", *(f"c{i}" for i in range(8))).groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, ROW)
+    return state.select(*_STATE).groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, ROW)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of up to ``longest`` words with a frequency of ``least`` or more, and (lang, n), the words of each language."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(A.buckets(docs.sparkSession), -(-size // BUCKET))
-    now = materialize(_listed(docs, n), "lists")
+    now = materialize(_listed(docs), "lists")
     words = materialize(now.where(f"kind = {WORDS}").groupBy("lang").agg(F.sum("f").alias("n")), "words")
     found = []
     for size in range(1, longest + 1):
-        told = _told(now.where(f"kind = {TALLY}"), least)
-        last, now = now, materialize(_grown(now.where(f"kind = {LISTS}"), told, size, size == longest, n), "lists")
-        discard(last)
+        state = now.where(f"kind = {LISTS}")
+        told = materialize(_told(_tallied(state, size, n), least), "told")
+        last, now = now, materialize(_grown(state, told, size, size == longest), "lists")
+        discard(last, told)
         found.append(materialize(now.where(f"kind = {FOUND}").select("lang", "phrase", "size", "f"), "phrases"))
     discard(now)
     return reduce(DataFrame.unionByName, found), words
