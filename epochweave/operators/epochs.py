@@ -98,16 +98,18 @@ def range_join(intervals: DataFrame, points: DataFrame, low: str, high: str, poi
     return spread.join(points.withColumn("__b", F.floor(F.col(point) / width)), "__b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__b")
 
 
-def contiguity_violations(groups: DataFrame, start: str, count: str) -> DataFrame:
+def contiguity_violations(groups: DataFrame, start: str, count: str, resume: int = 0) -> DataFrame:
     """Groups that do not start where the one before ends.
 
     The end is looked up by an equi-join on the previous group's end, so no
     global window is needed: a group is in order if some group ends at its
-    start, or if it is the first of all.
+    start, or if it is the first of all. After a checkpoint at height
+    ``resume``, other than 0, the first one must start right behind it.
     """
     ends = groups.select((F.col(start) + F.col(count)).alias("__end")).distinct()
     first = groups.agg(F.min(start).alias("__first"))
-    return groups.join(ends, F.col(start) == F.col("__end"), "left_anti").crossJoin(F.broadcast(first)).where(F.col(start) > F.col("__first")).drop("__first")
+    alone = groups.join(ends, F.col(start) == F.col("__end"), "left_anti").crossJoin(F.broadcast(first))
+    return alone.where((F.col(start) > F.col("__first")) | (F.col(start) != resume + 1) if resume else F.col(start) > F.col("__first")).drop("__first")
 
 
 def missing_epochs(epochs: DataFrame, low: int, high: int, epoch: str = "epoch") -> DataFrame:

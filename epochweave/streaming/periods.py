@@ -45,6 +45,41 @@ def rotate_stream(ops: DataFrame, period: int) -> DataFrame:
     return ops.groupBy("key").transformWithStateInPandas(PeriodState(period), OUT, "Update", "None")
 
 
+class NextEpoch(StatefulProcessor):
+    """The epoch that a job's next group must start at; groups that start elsewhere are reported."""
+
+    def __init__(self, resume: int):
+        self.resume = resume
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.expected = handle.getValueState("expected", "epoch bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.expected.get()
+        expected = known[0] if known else (self.resume + 1 if self.resume else None)
+        found = []
+        pdf = pd.concat(list(rows)).sort_values("start_epoch", kind="stable")
+        for start, count in zip(pdf["start_epoch"].tolist(), pdf["epochs"].tolist(), strict=True):
+            if expected is not None and start != expected:
+                found.append((key[0], int(start), int(expected)))
+            expected = start + count
+        self.expected.update((int(expected),))
+        yield pd.DataFrame(found, columns=["job", "start_epoch", "expected"])
+
+    def close(self) -> None:
+        pass
+
+
+def contiguity_stream(groups: DataFrame, resume: int = 0) -> DataFrame:
+    """(job, start_epoch, expected) of the groups of a stream of (job, start_epoch, epochs) that do not start where the one before of their job ends.
+
+    After a checkpoint at height ``resume``, other than 0, the first group of a
+    job must start right behind it. The groups of a batch are taken in order;
+    the next one is expected behind the last, whether that was in place or not.
+    """
+    return groups.groupBy("job").transformWithStateInPandas(NextEpoch(resume), "job string, start_epoch bigint, expected bigint", "Append", "None")
+
+
 def commit_batches(manager: StateManager, each: Callable | None = None):
     """A ``foreachBatch`` sink: every micro-batch of operations is one write and one commit.
 

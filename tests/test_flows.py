@@ -4,6 +4,7 @@ import time
 import pytest
 
 from epochweave import cli
+from epochweave.functions.codec import rlp
 from epochweave.functions.keccak import EMPTY
 from epochweave.plans.extract import Chain, extract_blocks, packet_heads
 from epochweave.sources import containers, packets
@@ -105,3 +106,60 @@ def test_micro_batches_commit_once(spark):
     sink(batch, 0)
     sink(batch.limit(0), 1)
     assert [i for i, _ in roots] == [0, 1] and manager.height == 2 and roots[0][1] == roots[1][1] != EMPTY
+
+
+def test_commands_that_rewrite(spark, tmp_path, capsys):
+    """Blocks first and packets later are the same containers; flags and rewards go into them; raw rewards are shown."""
+    config = tmp_path / "chain.toml"
+    config.write_text("pos_reference_enable_height = 6\n")
+    for name, df in landed(spark).items():
+        df.write.parquet(f"{tmp_path}/tables/{name}")
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    cli.main(["extract", f"{tmp_path}/tables", "--config", str(config), "--group", "6", "--output", one])
+    cli.main(["extract-blocks-raw", f"{tmp_path}/tables", "--config", str(config), "--group", "6", "--end", "12", "--output", f"{tmp_path}/raw"])
+    cli.main(["encode-blocks", f"{tmp_path}/raw", "--output", two])
+    files = lambda folder: {n: open(f"{folder}/{n}", "rb").read() for n in os.listdir(folder)}
+    assert files(one) == files(two) != {}
+    rewards = spark.createDataFrame([(H(i), i % 5) for i in range(30)], "hash binary, total_reward bigint")
+    rewards.write.parquet(f"{tmp_path}/rewards")
+    capsys.readouterr()
+    cli.main(["patch", one, f"{tmp_path}/rewards"])
+    assert "'blocks_flagged': 12" in capsys.readouterr().out and files(one) != files(two)
+    cli.main(["patch", one, f"{tmp_path}/rewards"])
+    assert "'files_changed': 0" in capsys.readouterr().out
+    spark.createDataFrame([(3, [(bytes(20), H(1), H(9))])], "epoch bigint, account_rewards array<struct<address:binary,pos_identifier:binary,reward:binary>>").write.parquet(f"{tmp_path}/events")
+    cli.main(["inject", one, f"{tmp_path}/events", "--pos-from", "6"])
+    assert "|3    |" in capsys.readouterr().out and sum(n.endswith(".patched") for n in os.listdir(one)) == 1
+    cli.main(["bench-decode", one, "--pos-from", "6"])
+    assert "'load_seconds'" in capsys.readouterr().out
+    raw = [((7).to_bytes(8, "big"), rlp([[[bytes(20), H(1), 300]], H(5)])), (b"short", rlp([[], H(6)])), ((8).to_bytes(8, "big"), b"\xff")]
+    spark.createDataFrame(raw, "key binary, value binary").write.parquet(f"{tmp_path}/records")
+    cli.main(["dump", f"{tmp_path}/records", "--output", f"{tmp_path}/json"])
+    (row,) = spark.read.json(f"{tmp_path}/json").collect()
+    assert row["pos_epoch"] == 7 and row["account_rewards"][0]["reward"] == "0x" + (300).to_bytes(32, "big").hex()
+    with pytest.raises(SystemExit, match="no entry"):
+        cli.main(["dump", f"{tmp_path}/records", "--epoch", "9"])
+
+
+def test_resume_and_gaps(spark, tmp_path):
+    """Groups must go on where the last one ended, in a table and in a stream, behind a checkpoint if there is one."""
+    from epochweave.operators.epochs import contiguity_violations
+
+    groups = spark.createDataFrame([(1, 10), (11, 10), (31, 5)], "start bigint, n bigint")
+    seen = lambda resume: sorted(r["start"] for r in contiguity_violations(groups, "start", "n", resume).collect())
+    assert seen(0) == [31] and seen(5) == [1, 31] and seen(30) == [1, 31]
+    assert sorted(r["start"] for r in contiguity_violations(groups.where("start > 1"), "start", "n", 10).collect()) == [31]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, schema = f"{tmp_path}/in", "job string, start_epoch bigint, epochs bigint"
+    os.makedirs(source)
+    query = periods.contiguity_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), 10).writeStream.outputMode("append").format("memory").queryName("gaps").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        for i, rows in enumerate([[("a", 11, 5), ("b", 12, 3)], [("a", 21, 5), ("a", 16, 5)], [("a", 30, 1), ("b", 15, 1)]]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/x{i}")
+            part = next(f for f in os.listdir(f"{tmp_path}/x{i}") if f.endswith(".parquet"))
+            os.rename(f"{tmp_path}/x{i}/{part}", f"{source}/{i}.parquet")
+            query.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.table("gaps").collect())
+    finally:
+        query.stop()
+    assert got == [("a", 30, 26), ("b", 12, 11)]

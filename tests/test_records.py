@@ -1,6 +1,7 @@
 import pytest
 
-from epochweave.sources import containers, packets, records
+from epochweave.functions.codec import rlp
+from epochweave.sources import containers, ingest, packets, records
 from tests.test_packets import packet
 
 
@@ -40,3 +41,29 @@ def test_shards_and_roundtrip(spark, tmp_path):
     assert sorted((r["start_epoch"], r["end_epoch"]) for r in back.collect()) == [(0, 7), (1000, 1007), (2000, 2007)]
     assert all(r["equal"] for r in records.roundtrip(back, 1000).collect())
     assert not any(r["equal"] for r in records.roundtrip(back, 1 << 62).collect())  # without its PoS views a packet does not come back
+
+
+def test_raw_headers(spark):
+    """A stored header with its proof-of-work hash has its reference one place further on; read the wrong way it is an error, not another reference."""
+    field = lambda n: bytes([n]) * 32
+    body = [field(1), 77, 1234, b"a" * 20, field(2), field(3), field(4), field(5), 2, 10**15, 1, 30_000_000, [field(6), field(7)], 1 << 255]
+    records_of = lambda with_hash, ref: rlp([*body, *([field(9)] if with_hash else []), [ref] if ref else [], [], b"custom"])
+    for with_hash in (True, False):
+        raw = spark.createDataFrame([(b"x", records_of(with_hash, field(8))), (b"y", records_of(with_hash, None))], "hash binary, value binary")
+        x, y = sorted(ingest.headers(raw, pow_hash=with_hash).collect(), key=lambda r: bytes(r["hash"]))
+        assert bytes(x["pos_ref"]) == field(8) and y["pos_ref"] is None and x["height"] == 77 and x["adaptive"] and int.from_bytes(x["nonce"], "big") == 1 << 255 and len(x["referee_hashes"]) == 2
+        assert (x["pow_hash"] and bytes(x["pow_hash"])) == (field(9) if with_hash else None) and [bytes(v) for v in x["rest"]] == [b"custom"]
+    with pytest.raises(ValueError, match="no list"):
+        ingest.header(records_of(True, field(8)), pow_hash=False)
+    with pytest.raises(Exception, match="cannot be read"):
+        ingest.headers(spark.createDataFrame([(b"x", b"\xc1\x01")], "hash binary, value binary")).collect()
+
+
+def test_bcs_records(spark):
+    layout = [("hash_of", "bytes"), ("miner", "option:fixed:4"), ("epoch", "u64"), ("skipped", "bool")]
+    value = lambda miner: b"\x03abc" + (b"\1" + miner if miner else b"\0") + (9).to_bytes(8, "little") + b"\1"
+    raw = spark.createDataFrame([(b"x", value(b"mine")), (b"y", value(None))], "hash binary, value binary")
+    assert sorted((bytes(r["hash"]), bytes(r["hash_of"]), r["miner"] and bytes(r["miner"]), r["epoch"], r["skipped"]) for r in ingest.bcs_records(raw, layout).collect()) == [(b"x", b"abc", b"mine", 9, True), (b"y", b"abc", None, 9, True)]
+    for bad in (value(None)[:-1], value(None) + b"x", b"\xff" * 12, value(None)[:-1] + b"\2"):
+        with pytest.raises(ValueError):
+            ingest.bcs(bad, layout)
