@@ -6,8 +6,13 @@ conversion record with the page's text; both name the response in
 WARC-Refers-To, repeat its target, date and payload digest, and carry block
 digests of their own. Record ids derive from the contents, so reruns agree.
 
-Nulls: a null URL or body is empty; a null page id is kept. Repeated rows give
-equal records with equal ids. Empty tables give empty results. Pages of any
+Responses of other writers are read by their HTTP heads: chunked transfer,
+gzip, deflate and zstd contents, and the character set that the head or the
+page names. A body in an encoding that is not known here has metadata and an
+empty text.
+
+Nulls: a null URL or body is empty; a null page id is kept; a null or empty
+response has no derivatives. Repeated rows give equal records with equal ids. Empty tables give empty results. Pages of any
 length and form are read in linear time; a worker holds one at a time. Only
 page_id (a whole number), url and html are read, so other columns cannot
 clash. A record that breaks the format, or fails its digest, raises ValueError
@@ -22,9 +27,11 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +42,10 @@ _BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section
 _TAG = re.compile(r"<[^<>]*>")
 _TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title", re.I)
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))", re.I)
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
+#: Bytes of a page in which it may name its character set.
+NAMED_WITHIN = 1024
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -55,6 +65,57 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{clean}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def named(line: str) -> tuple[str, str]:
+    """Name and value of a header line."""
+    name, _, value = line.partition(":")
+    return name.strip(), value.strip()
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body that was sent in chunks; what follows a broken chunk is left out."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at : max(end, at)].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size == 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def content(http: dict[str, str], body: bytes) -> bytes | None:
+    """The body without its content encodings, or None if one is not known or broken."""
+    for name in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",") if x.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(31).decompress(body)
+            elif name == "deflate":
+                body = zlib.decompressobj(15 if body[:1] and body[0] & 15 == 8 else -15).decompress(body)
+            elif name == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif name != "identity":
+                return None
+        except (zlib.error, zstandard.ZstdError):
+            return None
+    return body
+
+
+def decoded(http: dict[str, str], body: bytes) -> str:
+    """A page as text, by the character set of the HTTP head, or else the one that the page names, or else UTF-8."""
+    for place in (http.get("content-type", "").encode("latin-1", "replace"), body[:NAMED_WITHIN]):
+        found = _CHARSET.search(place)
+        if found:
+            try:
+                return body.decode(found.group(1).decode(), "replace")
+            except LookupError:
+                continue
+    return body.decode("utf-8", "replace")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, digests checked."""
     at = 0
@@ -63,7 +124,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[at:end].decode().split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/1."):
             raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        headers = dict(named(x) for x in lines[1:])
         size = int(headers["Content-Length"])
         block = data[end + 4 : end + 4 + size]
         if len(block) < size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
@@ -95,20 +156,25 @@ def plain_text(page: str) -> str:
 
 def derivatives(stored: bytes) -> tuple[bytes, bytes]:
     """The metadata and the conversion record of a response record."""
-    headers, block = next(parse(stored))
+    headers, block = next(parse(stored), ({}, b""))
     if headers.get("WARC-Type") != "response":
         raise ValueError("not a response")
-    http, _, body = block.partition(b"\r\n\r\n")
-    if headers.get("WARC-Payload-Digest", digest(body)) != digest(body):
+    head, _, body = block.partition(b"\r\n\r\n")
+    lines = [named(x) for x in head.decode("latin-1").split("\r\n")[1:] if ":" in x]
+    http = {name.lower(): value for name, value in lines}
+    payload = unchunked(body) if "chunked" in http.get("transfer-encoding", "").lower() else body
+    given = headers.get("WARC-Payload-Digest")
+    if given is not None and given.startswith("sha1:") and given not in (digest(body), digest(payload)):
         raise ValueError("a payload fails its digest")
-    page = body.decode("utf-8", "replace")
+    raw = content(http, payload)
+    page = decoded(http, raw) if raw is not None else ""
     lang = _LANG.search(page)
-    links = [entities.unescape(a or b) for a, b in _LINK.findall(page)]
+    links = [entities.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
     fields = [("title", title_of(page)), ("languages-html", lang.group(1) if lang else ""), ("n-outlinks", str(len(links)))]
     fields += [("outlink", " ".join(x.split())) for x in links]
-    fields += [(f"http-{name.lower()}", value) for name, value in (x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if ": " in x)]
+    fields += [(f"http-{name.lower()}", value) for name, value in lines]
     source = headers["WARC-Record-ID"]
-    shared = {"WARC-Date": headers["WARC-Date"], "WARC-Target-URI": headers.get("WARC-Target-URI", ""), "WARC-Refers-To": source, "WARC-Payload-Digest": digest(body)}
+    shared = {"WARC-Date": headers["WARC-Date"], "WARC-Target-URI": headers.get("WARC-Target-URI", ""), "WARC-Refers-To": source, "WARC-Payload-Digest": given or digest(body)}
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = plain_text(page).encode()
     first = record("metadata", {"WARC-Record-ID": record_id("metadata", source.encode(), meta), **shared, "Content-Type": "application/warc-fields"}, meta)
@@ -130,14 +196,14 @@ def to_responses(pages: DataFrame) -> DataFrame:
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """(page_id, metadata, conversion): the gzipped derivatives of each gzipped response; each is a whole member of a .warc.gz file."""
+    """(page_id, metadata, conversion): the gzipped derivatives of each gzipped response; each is a whole member of a .warc.gz file. Null or empty responses have nulls."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                both = [derivatives(gzip.decompress(r.as_py())) for r in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([gzip.compress(x[i], 1, mtime=0) for x in both], pa.binary()) for i in (0, 1))], ["page_id", "metadata", "conversion"])
+                both = [derivatives(gzip.decompress(r)) if r else None for r in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x and gzip.compress(x[i], 1, mtime=0) for x in both], pa.binary()) for i in (0, 1))], ["page_id", "metadata", "conversion"])
 
     return responses.select("page_id", "response").mapInArrow(run, "page_id bigint, metadata binary, conversion binary")
 
