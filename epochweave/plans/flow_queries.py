@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.functions import codec
-from epochweave.plans.packet_queries import NEVER, _encoded
-from epochweave.plans.queries import query
-from epochweave.session import shared_dir, table
+from epochweave.functions.codec import rlp
+from epochweave.plans.extract import Chain, extract_blocks, packet_heads
+from epochweave.plans.packet_queries import NEVER, _blocks, _encoded
+from epochweave.plans.queries import PACKET, query
+from epochweave.session import materialize, shared_dir, table
 from epochweave.sources import containers, rewrites
 from epochweave.state import merkle
 from epochweave.state.manager import ParquetStore, StateManager
@@ -145,3 +147,89 @@ def merkle_index_customers(spark, d):
     index = merkle.Index.of(old.unionByName(more), hash_name="sha256")
     index.update(more.withColumn("gone", F.lit(True)).unionByName(kv.where(odd | (F.crc32("key") % 7 == 0)).withColumn("gone", F.lit(False))), gone="gone")
     return spark.createDataFrame([(index.root.hex(),)], "root string")
+
+
+def _landed(spark, d) -> dict[str, DataFrame]:
+    """Landed tables from events (blocks, epochs of ten with the last as pivot, clicks left out of execution), orders (rewards) and customers (unlocks)."""
+    e, o, c = table(spark, d, "events"), table(spark, d, "orders"), table(spark, d, "customer")
+    wide = lambda x: codec.big_endian32(x.cast("long"))
+    i, epoch = F.col("event_id"), F.floor(F.col("event_id") / 10)
+    clicked = (F.col("event_type") == "click") & (i % 10 != 9)
+    sets = e.groupBy(epoch.alias("epoch")).agg(F.array_sort(F.collect_list(F.when(~clicked, wide(i)))).alias("executed"), F.array_sort(F.collect_list(F.when(clicked, wide(i)))).alias("skipped"))
+    last = e.groupBy().agg(F.max(epoch).alias("last")).select(F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 20))).alias("k"))
+    address, zero = F.unhex(F.lpad(F.hex("user_id"), 40, "0")), wide(F.lit(0))
+    headers = e.select(wide(i).alias("hash"), epoch.alias("height"), (i % 2 == 0).alias("adaptive"), address.alias("author"), F.unix_timestamp("ts").alias("timestamp"), wide(F.col("user_id")).alias("difficulty"), F.lit(30_000_000).cast("long").alias("gas_limit"), F.lit(0).cast("long").alias("base_price_core"), F.lit(0).cast("long").alias("base_price_espace"), (i % 3).alias("blame"), zero.alias("deferred_state_root"), zero.alias("deferred_receipts_root"), zero.alias("deferred_logs_bloom_hash"), wide(F.floor(epoch / 20)).alias("pos_ref"))
+    return {
+        "epochs": sets.select("epoch", wide(F.col("epoch") * 10 + 9).alias("pivot_hash"), "executed", "skipped"),
+        "headers": headers,
+        "bodies": _blocks(spark, d).where("transactions is not null").select("hash", "transactions"),
+        "rewards": o.select(wide(F.col("o_orderkey")).alias("hash"), (F.col("o_custkey") % 3).alias("total_reward"), (F.col("o_custkey") * 1000).alias("base_reward")),
+        "committed": last.select(wide(F.col("k")).alias("pos_ref"), wide(F.greatest(F.col("k") * 20 - 20, F.lit(0)) * 10 + 9).alias("pivot_decision"), (F.col("k") + 100).alias("view"), (F.col("k") * 30).alias("version")),
+        "pos_rewards": o.select(wide(F.col("o_orderkey")).alias("execution_hash"), F.col("o_orderkey").alias("pos_epoch"), F.array(F.struct(F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), wide(F.col("o_orderkey")).alias("pos_identifier"), wide(F.col("o_custkey")).alias("reward"))).alias("account_rewards")),
+        "unlocks": c.select(F.col("c_custkey").alias("version"), wide(F.col("c_custkey")).alias("identifier"), F.col("c_custkey").alias("unlocked")),
+        "contexts": e.where("event_id % 10 = 9").select(wide(i).alias("hash"), (epoch * 10 + 7).alias("start_block_number")),
+    }
+
+
+_EXTRACTED = """WITH b AS (SELECT event_id, event_id // 10 AS epoch, event_id % 10 = 9 AS is_pivot, event_type, CASE WHEN event_id // 10 >= 40 THEN event_id // 10 // 20 END AS k, event_id // 2000 AS packet FROM events),
+p AS (SELECT epoch, k * 30 AS version, lag(k * 30) OVER (ORDER BY epoch) AS before FROM b WHERE is_pivot),
+u AS (SELECT epoch, count(c_custkey)::INTEGER AS n FROM p LEFT JOIN customer ON c_custkey >= before AND c_custkey < version GROUP BY 1)
+SELECT packet, (row_number() OVER (PARTITION BY packet ORDER BY b.epoch, CASE WHEN is_pivot THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END, event_id) - 1)::INTEGER AS index, lpad(to_hex(event_id), 64, '0') AS hash, b.epoch,
+((CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN is_pivot THEN 2 ELSE 0 END) + (CASE WHEN is_pivot AND b.epoch % 5 = 0 THEN 4 ELSE 0 END) + (CASE WHEN event_type = 'click' AND NOT is_pivot THEN 32 ELSE 0 END) + (CASE WHEN coalesce(o_custkey % 3, 0) = 0 THEN 64 ELSE 0 END)
+  {payload})::INTEGER AS flags,
+coalesce(o_custkey * 1000, 0)::BIGINT AS base_reward, CASE WHEN k IS NULL THEN 0 ELSE greatest(0, b.epoch - greatest(k * 20 - 20, 0)) END::BIGINT AS finalized_epoch, k + 100 AS pos_view,
+(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::INTEGER AS n_txs, (CASE WHEN is_pivot AND o_orderkey IS NOT NULL THEN 1 ELSE 0 END)::INTEGER AS n_rewards, (CASE WHEN is_pivot THEN coalesce(u.n, 0) ELSE 0 END)::INTEGER AS n_unlocks
+FROM b LEFT JOIN orders ON o_orderkey = event_id LEFT JOIN u ON u.epoch = b.epoch"""
+
+
+def _extracted(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    tables = _landed(spark, d)
+    high = tables["epochs"].agg(F.max("epoch")).first()[0] + 1
+    return extract_blocks(tables, Chain(pos_reference_enable_height=40), 0, high, 200), tables
+
+
+def _shown(blocks: DataFrame, packet) -> DataFrame:
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return blocks.select(packet.alias("packet"), "index", F.hex("hash").alias("hash"), "epoch", F.col("flags").bitwiseAND(~codec.FLAG_TX_COMPRESSED).alias("flags"), F.col("base_reward").cast("long").alias("base_reward"), "finalized_epoch", "pos_view", size("transactions").alias("n_txs"), size("pos_rewards").alias("n_rewards"), size("unlock_events").alias("n_unlocks"))
+
+
+@query(_EXTRACTED.format(payload=""))
+def extracted_blocks(spark, d):
+    """The whole extraction over landed tables: order, flags, rewards, decided pivots, PoS rewards and unlocks."""
+    return _shown(_extracted(spark, d)[0], F.col("packet"))
+
+
+@query(_EXTRACTED.format(payload="+ (CASE WHEN event_type = 'purchase' OR (is_pivot AND (o_orderkey IS NOT NULL OR coalesce(u.n, 0) > 0)) THEN 8 ELSE 0 END)"))
+def extracted_packets(spark, d):
+    """The same blocks after they were encoded to packets, with their heads from the epoch contexts, and decoded again."""
+    blocks, tables = _extracted(spark, d)
+    whole = materialize(blocks, "extracted")
+    packed = materialize(containers.encode_packets(whole, "packet", packet_heads(whole, tables)), "packets")
+    return _shown(containers.decode_packets(packed, 40), F.floor(F.col("start_epoch") / 200))
+
+
+_TYPES = {0: ("native", 0), 1: ("native", 1), 2: ("native", 2), 3: ("ethereum", 0), 4: ("ethereum", 1), 5: ("ethereum", 2), 6: ("ethereum", 4)}
+
+
+@query("""SELECT event_id // 10 AS epoch, CASE WHEN event_id % 7 < 3 THEN 'native' ELSE 'ethereum' END AS space, [0, 1, 2, 0, 1, 2, 4][event_id % 7 + 1]::INTEGER AS type_id, event_id AS nonce, lpad(to_hex(20 + event_id % 3), 64, '0') AS gas_price,
+CASE WHEN event_id % 7 IN (2, 5, 6) THEN lpad(to_hex(5 + event_id % 2), 64, '0') END AS priority_price, event_id % 7 NOT IN (0, 3) AS has_access, event_id % 7 = 6 AS has_authorization, CASE WHEN event_id % 7 < 3 THEN event_id % 50 END AS storage_limit, CASE WHEN event_id % 4 = 0 AND event_id % 7 < 6 THEN 'create' ELSE 'call' END AS action FROM events""")
+def transaction_kinds(spark, d):
+    """Transactions of all seven kinds of both spaces, one in each block, written to packets and read back."""
+    i = F.col("event_id")
+    e = table(spark, d, "events").select(F.floor(i / PACKET).alias("packet"), F.floor(i / 10).alias("epoch"), (i % PACKET).cast("int").alias("index"), codec.big_endian32(i).alias("hash"), "event_id", "user_id", F.element_at(F.create_map(*(x for k, (s, t) in _TYPES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("space"), F.lit(t).alias("type_id"))))), (i % 7).cast("int")).alias("kind"))
+    native, kind = F.col("kind.space") == "native", F.col("kind.type_id")
+    listed = lambda test, items: F.when(test, F.lit(rlp(items)))
+    create = (i % 4 == 0) & (i % 7 < 6)
+    address = F.unhex(F.lpad(F.hex("user_id"), 40, "0"))
+    tx = F.struct(
+        F.col("kind.space").alias("space"), kind.alias("type_id"), address.alias("sender"), i.alias("nonce"), codec.big_endian32(F.lit(20) + i % 3).alias("gas_price"), F.when(kind.isin(2, 4), codec.big_endian32(F.lit(5) + i % 2)).alias("priority_price"), F.lit(21000).cast("long").alias("gas"),
+        F.when(create, "create").otherwise("call").alias("action"), F.when(~create, address).alias("to"), codec.big_endian32(i).alias("value"), F.when(native, i % 50).alias("storage_limit"), F.when(native, F.floor(i / 10)).alias("epoch_height"), F.lit(b"").alias("data"),
+        listed(kind > 0, [[b"a" * 20, [b"k" * 32]]]).alias("access_list_rlp"), listed(kind == 4, [[b"\1", b"a" * 20]]).alias("authorization_list_rlp"),
+    )
+    plain = _blocks(spark, d).drop("transactions")
+    blocks = plain.join(e.select("packet", "index", F.array(tx).alias("transactions")), ["packet", "index"])
+    zero = codec.big_endian32(F.lit(0).cast("long"))
+    heads = plain.select("packet").distinct().select("packet", zero.alias("prev_last_hash"), zero.alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
+    packed = materialize(containers.encode_packets(blocks, "packet", heads), "packets")
+    t = containers.transactions(containers.decode_packets(packed, NEVER))
+    return t.select("epoch", "space", "type_id", "nonce", F.hex("gas_price").alias("gas_price"), F.hex("priority_price").alias("priority_price"), F.col("access_list_rlp").isNotNull().alias("has_access"), F.col("authorization_list_rlp").isNotNull().alias("has_authorization"), "storage_limit", "action")
