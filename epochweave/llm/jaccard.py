@@ -299,13 +299,35 @@ def member_blobs(rows: list[tuple], sets: list[np.ndarray], n: int) -> pa.Table:
     return pa.Table.from_batches(list(A.deal(group, [(leader, A.squeeze), ((one << 32) | two, A.squeeze), (side.astype(np.int8), A.squeeze), (node, A.squeeze), ((size << 32) | length, A.squeeze), (np.arange(len(rows)), flat)])), A.BLOB_SCHEMA)
 
 
-def _texts(docs: DataFrame, n: int) -> DataFrame:
-    """(node, text, bucket): each text at most once from a task."""
+#: Words of 64 bits that tell which nodes a search may want.
+MARKS = 1 << 18
+
+
+def marks(tasks: DataFrame) -> np.ndarray:
+    """A bit for every node of ``tasks``, shared by nodes that end alike: at most ``MARKS`` rows are collected, however many nodes there are."""
+    node = F.col("node")
+    words = tasks.groupBy(F.shiftright(node, 6).bitwiseAND(MARKS - 1).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), node.bitwiseAND(63).cast("int"))).alias("bits"))
+    out = np.zeros(MARKS, np.uint64)
+    for r in words.collect():
+        out[r["word"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    return out
+
+
+def marked(nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which nodes may be among those that ``bits`` were made of; all that are, are."""
+    some = nodes.view(np.uint64)
+    return (bits[((some >> k.U64(6)) & k.U64(MARKS - 1)).astype(np.int64)] >> (some & k.U64(63)) & k.U64(1)).astype(bool)
+
+
+def _texts(docs: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
+    """(node, text, bucket): the texts that may be wanted, each at most once from a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            fresh = [i for i, x in enumerate(batch.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+            hit = np.flatnonzero(marked(np.asarray(batch.column(0)), bits)).tolist()
+            nodes = batch.column(0).to_pylist()
+            fresh = [i for i in hit if nodes[i] not in seen and not seen.add(nodes[i])]
             yield batch.take(pa.array(fresh, pa.int64()))
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -381,13 +403,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         crowd[r["a"]] = r["n"]
     crowd = np.where(crowd > 2 * np.median(crowd), crowd, 0)
     clusters = materialize(_clusters(_filed(noded, crowd, words, percent, n), percent), "clusters")
-    # One row of each text goes on: copies are dropped within each task before texts are sent anywhere.
-    homed = _texts(noded, n)
+    # One row of each text that a search wants goes on: copies are dropped within each task before texts are sent anywhere.
+    homed = lambda tasks: _texts(noded, n, marks(tasks))
     # Signatures first: what may link makes clusters that do not overlap, so each whole set travels once.
     dealt = lambda tasks: tasks.withColumn("bucket", _bucket("node", n))
-    hopeful = linked_roots(clusters, lambda tasks: _links(_members(homed, dealt(tasks), words, n, signatures=True), percent, exact=False))
+    hopeful = linked_roots(clusters, lambda tasks: _links(_members(homed(tasks), dealt(tasks), words, n, signatures=True), percent, exact=False))
     close = hopeful.select(F.col("root").alias("leader"), "node")
-    roots = linked_roots(close, lambda tasks: _links(_members(homed, dealt(tasks), words, n), percent))
+    roots = linked_roots(close, lambda tasks: _links(_members(homed(tasks), dealt(tasks), words, n), percent))
     discard(clusters)
     known = survey.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     texts = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -112,11 +112,15 @@ def fresh_lines(batches, least: int):
         yield found
 
 
-def _texts(docs: DataFrame, least: int, n: int) -> DataFrame:
-    """Blobs by line: line ids, byte lengths, bytes."""
+def _texts(docs: DataFrame, least: int, n: int, bits: np.ndarray) -> DataFrame:
+    """Blobs by line of the lines that may be wanted: line ids, byte lengths, bytes."""
 
     def run(batches):
         for found in fresh_lines(batches, least):
+            hit = J.marked(np.fromiter(found, np.int64, len(found)), bits).tolist()
+            found = {i: x for (i, x), wanted in zip(found.items(), hit, strict=True) if wanted}
+            if not found:
+                continue
             ids, raw = np.fromiter(found, np.int64, len(found)), [x.encode() for x in found.values()]
             size = np.fromiter(map(len, raw), np.int32, len(raw))
             yield from A.deal(_home(ids, n), [(ids, A.squeeze), (size, A.squeeze), (np.arange(len(raw)), lambda m, raw=raw: A.squeeze(np.frombuffer(b"".join(raw[i] for i in m), np.uint8)))])
@@ -319,8 +323,8 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, chars: int = CHARS, perce
     n = A.buckets_for(docs)
     noded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     clusters = materialize(_clusters(_bands(noded, least, chars, n)), "bands")
-    texts = _texts(noded, least, n)
-    roots = J.linked_roots(clusters, lambda tasks: _links(_members(texts, tasks.withColumn("bucket", F.pmod("node", F.lit(n)).cast("int")), n), chars, percent))
+    texts = lambda tasks: _texts(noded, least, n, J.marks(tasks))
+    roots = J.linked_roots(clusters, lambda tasks: _links(_members(texts(tasks), tasks.withColumn("bucket", F.pmod("node", F.lit(n)).cast("int")), n), chars, percent))
     discard(clusters)
     seen = materialize(_occurrences(noded), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "line_no")
