@@ -35,10 +35,11 @@ def test_edge_cases_and_empty_tables(spark, write, name, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
         rows = query(spark, write(EDGES)).collect()
-        ids = sorted(str(r["doc_id"]) for r in rows)
-        assert set(ids) == {"1", "2", "3", "4", "5", "None"}
-        if name != "op10_best_fit_packing":
-            assert len(ids) == len(EDGES)
+        if name != "op11_phrase_collocations":  # phrases, not documents
+            ids = sorted(str(r["doc_id"]) for r in rows)
+            assert set(ids) == {"1", "2", "3", "4", "5", "None"}
+            if name != "op10_best_fit_packing":
+                assert len(ids) == len(EDGES)
         assert all(v >= 0 for r in rows for c, v in r.asDict().items() if isinstance(v, int) and c.startswith(("n_", "size", "taken", "length")))
         assert query(spark, write([])).count() == 0
     finally:
