@@ -90,15 +90,15 @@ def lists(codes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pack_lists(positions: np.ndarray, counts: np.ndarray) -> bytes:
-    """Positions as steps, the first of each list from 0."""
+    """Positions as steps, the first of each list from 0; all lowest bytes first, then the next ones, as the higher ones are mostly zero."""
     gaps = np.diff(positions, prepend=0)
     first = np.cumsum(counts) - counts
     gaps[first] = positions[first]
-    return A.squeeze(gaps.astype(np.uint32))
+    return A.squeeze(np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())
 
 
 def unpack_lists(blob: bytes, counts: np.ndarray) -> np.ndarray:
-    gaps = A.expand(blob).astype(np.int64)
+    gaps = np.ascontiguousarray(A.expand(blob).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
     total = np.cumsum(gaps)
     first = np.cumsum(counts) - counts
     return total - np.repeat(total[first] - gaps[first], counts) if len(gaps) else gaps
