@@ -2,11 +2,13 @@
 
 What a stage returns must be written before the next stage is called, as
 ``run`` does: the next stage deletes the intermediate tables of those before
-it, but for any that its ``docs`` still reads.
+it, but for any that its ``docs`` still reads. Each thread has tables of its
+own, so pipelines that run side by side do not meet.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -16,7 +18,12 @@ from epochweave.llm import jaccard, lines, mixing, packing, quality
 from epochweave.session import materialize, release, scope, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_tables: list[str] = []
+_made = threading.local()
+
+
+def _tables() -> list[str]:
+    """The folders that this thread's stages have made and not deleted yet."""
+    return _made.__dict__.setdefault("tables", [])
 
 
 def _tidy(stage: Stage) -> Stage:
@@ -24,8 +31,8 @@ def _tidy(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _tables, docs)
-        with scope(_tables):
+        release(spark, _tables(), docs)
+        with scope(_tables()):
             return stage(spark, docs, sf_dir)
 
     return run

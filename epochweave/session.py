@@ -7,12 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Files of a shuffle go as soon as the query that made it has ended, instead of when the driver collects its garbage.
 _BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_open: list[list[str]] = []
+#: The lists of ``scope`` that are open in this thread.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "epochweave") -> SparkSession:
@@ -70,7 +72,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/epochweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with brief_shuffles(spark):
         df.write.parquet(path)
-    for tables in _open:
+    for tables in _open.get():
         tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
@@ -102,12 +104,12 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope(tables: list[str]) -> Iterator[None]:
-    """Collects in ``tables`` the folders of all intermediate tables made inside."""
-    _open.append(tables)
+    """Collects in ``tables`` the folders of all intermediate tables that this thread makes inside."""
+    before = _open.set((*_open.get(), tables))
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(before)
 
 
 def release(spark: SparkSession, tables: list[str], reads: DataFrame | None = None) -> None:

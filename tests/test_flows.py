@@ -163,3 +163,21 @@ def test_resume_and_gaps(spark, tmp_path):
     finally:
         query.stop()
     assert got == [("a", 30, 26), ("b", 12, 11)]
+
+
+def test_scopes_of_threads_do_not_meet(spark):
+    """Tables that another thread makes are not in this one's scope, and a scope inside has its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from epochweave.session import materialize, release, scope
+
+    mine, inner = [], []
+    with scope(mine), ThreadPoolExecutor(1) as pool:
+        one = materialize(spark.range(3))
+        pool.submit(lambda: materialize(spark.range(4))).result()
+        with scope(inner):
+            two = materialize(spark.range(5))
+    materialize(spark.range(6))
+    assert mine == [one.scratch, two.scratch] and inner == [two.scratch]
+    release(spark, mine, two.where("id > 1"))
+    assert mine == [two.scratch] and two.count() == 5
