@@ -375,7 +375,7 @@ def test_pipeline_stages(spark, duck, tmp_path):
     packed = staged("best_fit_packing").collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert bag((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == bag(brute.pieces(rows(docs), tokenizer))
-    assert not corpus_pipeline._tables or all("pieces" in t or "targets" in t for t in corpus_pipeline._tables)
+    assert all("pieces" in t or "targets" in t for t in corpus_pipeline._tables())
 
 
 def test_pipeline_on_nulls_and_nothing(spark, write):
