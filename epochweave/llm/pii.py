@@ -30,7 +30,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, combinations, groupby
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -293,9 +293,12 @@ class Field:
         self.pairs[before, 0] += rate
 
     def plain_words_are_other(self) -> bool:
-        """Whether a plain word that no cue stands near is other in every best segmentation, whatever its neighbours are."""
+        """Whether a plain word that no cue stands near is other in every best segmentation, whatever its neighbours are.
+
+        A plain word is up to 15 letters, so of the tests of values it may pass those for both cases and for prefixes only.
+        """
         ok = True
-        for more in ((), ("trimmed",)):
+        for more in chain.from_iterable(combinations(("trimmed", "both cases", "prefix"), n) for n in range(4)):
             s = self.spans[[_NUMBER[f] for f in ("bias", "words1", "plain", "digits0", *more)]].sum(axis=0)
             through = self.pairs[:, :, None] + s[None, :, None] + self.pairs[None, :, :]  # before, own, after
             ok &= bool((through[:, :1, :] > through[:, 1:, :].max(axis=1, keepdims=True)).all())

@@ -3,11 +3,11 @@
 The corpus is the reference, indexed in blocks: a block holds the distinct
 pieces of documents under some anchor keys (``anchors``), so that equal
 passages meet in one block wherever they stand, and its suffix array tells for
-each place the longest match that the block has elsewhere. A document goes to
-a block by the pieces that its anchors name, and these are factored greedily:
-from each place the longest match is taken, and at its end the parse steps
-back to the first window that reaches over the factor's boundary, so that no
-window is missed between two factors. Factors of at least ``window`` words are
+each place the longest match that the block has elsewhere. The pieces that a
+document's anchors name go to their blocks and are factored greedily there, so
+a factor ends with its piece at the latest: from each place the longest match
+is taken, and at its end the parse steps back to the first window that reaches
+over the factor's boundary, so that no window is missed between two factors. Factors of at least ``window`` words are
 repeats; all else are literals. A piece that the corpus holds more than once is
 matched by its other occurrences. Each piece is parsed once, and its factors
 hold for all documents that have it.
