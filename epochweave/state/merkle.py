@@ -44,7 +44,6 @@ def _sha_many(messages: list[bytes]) -> list[bytes]:
 
 
 HASHES = {"keccak": keccak_many, "sha256": _sha_many}
-KID = pa.struct([("path", pa.string()), ("leaf", pa.bool_()), ("core", pa.binary()), ("value", pa.binary())])
 _KID = "path string, leaf boolean, core binary, value binary"
 _ROW = f"path string, node boolean, leaf boolean, core binary, value binary, kids array<struct<{_KID.replace(' ', ':').replace(',:', ',')}>>"
 NODE = f"path string, core binary, kids array<struct<{_KID.replace(' ', ':').replace(',:', ',')}>>, at int"
