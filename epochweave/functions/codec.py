@@ -38,14 +38,10 @@ def uleb_length(v: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(v), "^0+", "")) / 7)).cast("int")
 
 
-def bit_length(v: Column) -> Column:
-    return F.length(F.regexp_replace(F.bin(v), "^0+", ""))
-
-
 def qc5e_length(v: Column, known: dict[int, int]) -> Column:
-    """Bytes of a quick-coded value: one if ``known`` (code to value) has it, else 5, 6 or 7."""
+    """Bytes of a quick-coded value (a non-negative long or whole decimal): one if ``known`` (code to value) has it, else 5, 6 or 7; null where 54 bits do not hold it."""
     enum = F.coalesce(v.isin(list(known.values())), F.lit(False))
-    return F.when(enum, 1).when(bit_length(v) <= 38, 5).when(bit_length(v) <= 46, 6).when(bit_length(v) <= 54, 7)
+    return F.when(enum, 1).when(v < 0, F.lit(None)).when(v < 1 << 38, 5).when(v < 1 << 46, 6).when(v < 1 << 54, 7)
 
 
 def gas_limit_code(v: Column) -> Column:

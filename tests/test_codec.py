@@ -66,3 +66,18 @@ def test_columns(spark):
     assert rows[0]["h"] == "ABCDEF01" + "0" * 56 and [r["a"] for r in rows] == [0, 128, 128]
     df = spark.createDataFrame([("abc", True), ("abc", False), ("ab", True), ("", True)], "p string, odd boolean")
     assert [r[0].hex() for r in df.select(codec.packed_nibbles(F.col("p"), F.col("odd"))).collect()] == ["0abc", "abc0", "0ab0", ""]
+
+
+KEYS = [0, 1, 3, 4, 6502, 6503, 26_000, 27_000, 416_127, 416_129, 899_999, 2_097_151, 2_097_152, 8_999_999, 10**11 - 1]
+
+
+def test_quick_code_lengths_of_wide_numbers(spark, tmp_path):
+    """A thousand cubes of keys of larger tables pass 64 bits."""
+    from epochweave.plans import queries
+
+    size = lambda v: 1 if v in codec.GAS_LIMITS.values() else next((5 + m for m in range(3) if not v >> 38 + 8 * m), None)
+    edges = [(1 << n) + d for n in (38, 46, 54, 62) for d in (-1, 0)] + [0, 30_000_000]
+    df = spark.createDataFrame([(v,) for v in edges], "v bigint")
+    assert [r[0] for r in df.select(codec.qc5e_length(F.col("v"), codec.GAS_LIMITS)).collect()] == [size(v) for v in edges]
+    spark.createDataFrame([(k,) for k in KEYS], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert dict(tuple(r) for r in queries.qc5e_length(spark, str(tmp_path)).collect()) == {k: size(30_000_000 if k % 3 == 0 else 1000 * k**3) for k in KEYS}
