@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ def unzigzag(u: Column) -> Column:
 
 
 def uleb_length(v: Column) -> Column:
-    """Bytes of a non-negative long in groups of 7 bits."""
-    return F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(v), "^0+", "")) / 7)).cast("int")
+    """Bytes of a non-negative long, or whole decimal, in groups of 7 bits; 10 at most, as values have 64 bits."""
+    longer = [F.when(v >= F.lit(Decimal(1 << 63) if n == 9 else 1 << 7 * n), n + 1) for n in range(1, 10)]
+    return F.greatest(F.lit(1), F.when(v < 0, 10), *longer)
 
 
 def qc5e_length(v: Column, known: dict[int, int]) -> Column:

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -81,3 +83,16 @@ def test_quick_code_lengths_of_wide_numbers(spark, tmp_path):
     assert [r[0] for r in df.select(codec.qc5e_length(F.col("v"), codec.GAS_LIMITS)).collect()] == [size(v) for v in edges]
     spark.createDataFrame([(k,) for k in KEYS], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     assert dict(tuple(r) for r in queries.qc5e_length(spark, str(tmp_path)).collect()) == {k: size(30_000_000 if k % 3 == 0 else 1000 * k**3) for k in KEYS}
+
+
+def test_uleb_lengths_of_wide_numbers(spark, tmp_path):
+    """Cubes of keys of larger tables pass 64 bits."""
+    from epochweave.plans import queries
+
+    edges = [v for n in range(7, 57, 7) for v in ((1 << n) - 1, 1 << n)] + [0, 1, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in edges], "v bigint")
+    for column in (F.col("v"), F.col("v").cast("decimal(38,0)")):
+        assert [r[0] for r in df.select(codec.uleb_length(column)).collect()] == [max(1, -(-v.bit_length() // 7)) for v in edges]
+    assert df.limit(1).select(codec.uleb_length(F.lit(Decimal(1 << 63)))).first()[0] == 10
+    spark.createDataFrame([(k,) for k in KEYS], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert dict(tuple(r) for r in queries.uleb_length(spark, str(tmp_path)).collect()) == {k: min(9, max(1, -(-(k**3).bit_length() // 7))) for k in KEYS}
