@@ -122,6 +122,11 @@ def big_endian32(v: Column) -> Column:
     return F.unhex(F.lpad(F.concat(F.hex(high.cast("long")), F.lpad(F.hex(low.cast("long")), 15, "0")), 64, "0"))
 
 
+def long32(v: Column) -> Column:
+    """A non-negative long as 32 bytes, big-endian: ``big_endian32`` without decimals."""
+    return F.unhex(F.lpad(F.hex(v.cast("long")), 64, "0"))
+
+
 def padded_hash(prefix: Column) -> Column:
     """A 4-byte hash prefix, zero-filled to 32 bytes."""
     return F.unhex(F.rpad(F.hex(prefix), 64, "0"))
@@ -141,6 +146,8 @@ def put_uleb(out: bytearray, v: int) -> None:
 
 def read_uleb(data: bytes, at: int) -> tuple[int, int]:
     """(value, next position); at most 10 bytes."""
+    if at < len(data) and data[at] < 128:
+        return data[at], at + 1
     value = 0
     for i in range(10):
         if at + i >= len(data):
@@ -195,20 +202,34 @@ def read_qc5e(data: bytes, at: int) -> tuple[int | None, int | None, int]:
 def rlp(item) -> bytes:
     """Bytes, non-negative ints and nested lists."""
     if isinstance(item, list | tuple):
-        body = b"".join(map(rlp, item))
-        return _rlp_head(len(body), 0xC0) + body
+        return rlp_list([rlp(x) for x in item])
     if isinstance(item, int):
-        item = item.to_bytes((item.bit_length() + 7) // 8, "big")
-    return bytes(item) if len(item) == 1 and item[0] < 128 else _rlp_head(len(item), 0x80) + bytes(item)
+        return _SMALL[item] if 0 <= item < 128 else _rlp_bytes(item.to_bytes((item.bit_length() + 7) // 8, "big"))
+    return _rlp_bytes(item)
+
+
+def rlp_list(encoded: list[bytes]) -> bytes:
+    """A list of items that are encoded already."""
+    body = b"".join(encoded)
+    return (_LISTS[len(body)] if len(body) < 56 else _rlp_head(len(body), 0xC0)) + body
+
+
+def _rlp_bytes(item: bytes) -> bytes:
+    n = len(item)
+    if n == 1 and item[0] < 128:
+        return bytes(item)
+    return (_STRINGS[n] if n < 56 else _rlp_head(n, 0x80)) + item
 
 
 def _rlp_head(n: int, base: int) -> bytes:
-    if n < 56:
-        return bytes([base + n])
     size = n.to_bytes((n.bit_length() + 7) // 8, "big")
     return bytes([base + 55 + len(size)]) + size
 
 
+_STRINGS, _LISTS = [bytes([0x80 + n]) for n in range(56)], [bytes([0xC0 + n]) for n in range(56)]
+_SMALL = [bytes([n or 0x80]) for n in range(128)]
+
+
 def read_rlp(data: bytes, at: int = 0):
     """(item, next position): lists stay lists, all else is bytes."""
     head = data[at]
@@ -226,8 +247,19 @@ def read_rlp(data: bytes, at: int = 0):
         return data[start:end], end
     out = []
     while start < end:
-        item, start = read_rlp(data, start)
-        out.append(item)
+        head = data[start]
+        if head < 128:  # one byte, and then a short string: most items of a list
+            out.append(data[start : start + 1])
+            start += 1
+        elif head < 0xB8:
+            stop = start + head - 0x7F
+            if stop > len(data):
+                raise ValueError("an item ends too early")
+            out.append(data[start + 1 : stop])
+            start = stop
+        else:
+            item, start = read_rlp(data, start)
+            out.append(item)
     return out, end
 
 

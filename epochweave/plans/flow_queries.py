@@ -14,7 +14,7 @@ from epochweave.functions import codec
 from epochweave.functions.codec import rlp
 from epochweave.plans.extract import Chain, extract_blocks, packet_heads
 from epochweave.plans.packet_queries import NEVER, _blocks, _encoded
-from epochweave.plans.queries import PACKET, query
+from epochweave.plans.queries import query
 from epochweave.session import materialize, shared_dir, table
 from epochweave.sources import containers, rewrites
 from epochweave.state import merkle
@@ -36,7 +36,7 @@ def _containers(spark, d) -> str:
 
 def _rewards(spark, d) -> DataFrame:
     """Orders as block rewards: every third customer's are zero, and blocks without an order have none."""
-    return table(spark, d, "orders").select(codec.big_endian32(F.col("o_orderkey")).alias("hash"), (F.col("o_custkey") % 3).alias("total_reward"))
+    return table(spark, d, "orders").select(codec.long32(F.col("o_orderkey")).alias("hash"), (F.col("o_custkey") % 3).alias("total_reward"))
 
 
 _ZERO = "SELECT event_id, coalesce(o_custkey % 3, 0) = 0 AS zero FROM events LEFT JOIN orders ON o_orderkey = event_id"
@@ -69,7 +69,7 @@ def rewards_in_files(spark, d):
     """Reward events injected into the pivots of their epochs, in containers written anew, and read back under the pivots' hashes."""
     path = _containers(spark, d)
     o = table(spark, d, "orders")
-    account = F.struct(F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), codec.big_endian32(F.col("o_orderkey")).alias("pos_identifier"), codec.big_endian32(F.col("o_custkey")).alias("reward"))
+    account = F.struct(F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), codec.long32(F.col("o_orderkey")).alias("pos_identifier"), codec.long32(F.col("o_custkey")).alias("reward"))
     events = o.select(F.floor(F.col("o_orderkey") / 4).alias("epoch"), F.array(account).alias("account_rewards"))
     rewrites.inject_rewards(spark, path, events, NEVER, suffix="").count()
     back = spark.read.format("epochpack").option("posFrom", NEVER).load(path).where(F.size("pos_rewards") > 0)
@@ -152,7 +152,7 @@ def merkle_index_customers(spark, d):
 def _landed(spark, d) -> dict[str, DataFrame]:
     """Landed tables from events (blocks, epochs of ten with the last as pivot, clicks left out of execution), orders (rewards) and customers (unlocks)."""
     e, o, c = table(spark, d, "events"), table(spark, d, "orders"), table(spark, d, "customer")
-    wide = lambda x: codec.big_endian32(x.cast("long"))
+    wide = codec.long32
     i, epoch = F.col("event_id"), F.floor(F.col("event_id") / 10)
     clicked = (F.col("event_type") == "click") & (i % 10 != 9)
     sets = e.groupBy(epoch.alias("epoch")).agg(F.array_sort(F.collect_list(F.when(~clicked, wide(i)))).alias("executed"), F.array_sort(F.collect_list(F.when(clicked, wide(i)))).alias("skipped"))
@@ -216,20 +216,19 @@ CASE WHEN event_id % 7 IN (2, 5, 6) THEN lpad(to_hex(5 + event_id % 2), 64, '0')
 def transaction_kinds(spark, d):
     """Transactions of all seven kinds of both spaces, one in each block, written to packets and read back."""
     i = F.col("event_id")
-    e = table(spark, d, "events").select(F.floor(i / PACKET).alias("packet"), F.floor(i / 10).alias("epoch"), (i % PACKET).cast("int").alias("index"), codec.big_endian32(i).alias("hash"), "event_id", "user_id", F.element_at(F.create_map(*(x for k, (s, t) in _TYPES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("space"), F.lit(t).alias("type_id"))))), (i % 7).cast("int")).alias("kind"))
-    native, kind = F.col("kind.space") == "native", F.col("kind.type_id")
+    space, kind = (F.element_at(F.array(*(F.lit(v) for v in x)), (i % 7 + 1).cast("int")) for x in zip(*_TYPES.values(), strict=True))
+    native = space == "native"
     listed = lambda test, items: F.when(test, F.lit(rlp(items)))
     create = (i % 4 == 0) & (i % 7 < 6)
     address = F.unhex(F.lpad(F.hex("user_id"), 40, "0"))
     tx = F.struct(
-        F.col("kind.space").alias("space"), kind.alias("type_id"), address.alias("sender"), i.alias("nonce"), codec.big_endian32(F.lit(20) + i % 3).alias("gas_price"), F.when(kind.isin(2, 4), codec.big_endian32(F.lit(5) + i % 2)).alias("priority_price"), F.lit(21000).cast("long").alias("gas"),
-        F.when(create, "create").otherwise("call").alias("action"), F.when(~create, address).alias("to"), codec.big_endian32(i).alias("value"), F.when(native, i % 50).alias("storage_limit"), F.when(native, F.floor(i / 10)).alias("epoch_height"), F.lit(b"").alias("data"),
+        space.alias("space"), kind.alias("type_id"), address.alias("sender"), i.alias("nonce"), codec.long32(F.lit(20) + i % 3).alias("gas_price"), F.when(kind.isin(2, 4), codec.long32(F.lit(5) + i % 2)).alias("priority_price"), F.lit(21000).cast("long").alias("gas"),
+        F.when(create, "create").otherwise("call").alias("action"), F.when(~create, address).alias("to"), codec.long32(i).alias("value"), F.when(native, i % 50).alias("storage_limit"), F.when(native, F.floor(i / 10)).alias("epoch_height"), F.lit(b"").alias("data"),
         listed(kind > 0, [[b"a" * 20, [b"k" * 32]]]).alias("access_list_rlp"), listed(kind == 4, [[b"\1", b"a" * 20]]).alias("authorization_list_rlp"),
     )
-    plain = _blocks(spark, d).drop("transactions")
-    blocks = plain.join(e.select("packet", "index", F.array(tx).alias("transactions")), ["packet", "index"])
-    zero = codec.big_endian32(F.lit(0).cast("long"))
-    heads = plain.select("packet").distinct().select("packet", zero.alias("prev_last_hash"), zero.alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
+    blocks = _blocks(spark, d, F.array(tx))
+    zero = codec.long32(F.lit(0))
+    heads = blocks.select("packet").distinct().select("packet", zero.alias("prev_last_hash"), zero.alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
     packed = materialize(containers.encode_packets(blocks, "packet", heads), "packets")
     t = containers.transactions(containers.decode_packets(packed, NEVER))
     return t.select("epoch", "space", "type_id", "nonce", F.hex("gas_price").alias("gas_price"), F.hex("priority_price").alias("priority_price"), F.col("access_list_rlp").isNotNull().alias("has_access"), F.col("authorization_list_rlp").isNotNull().alias("has_authorization"), "storage_limit", "action")

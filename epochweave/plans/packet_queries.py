@@ -119,32 +119,32 @@ def packet_heads(spark, d):
     return heads.select("packet", F.hex("prev_last_hash").alias("prev_last_hash"), F.hex("prev_last_deferred_state_root").alias("prev_last_deferred_state_root"), "first_block_number")
 
 
-def _blocks(spark, d) -> DataFrame:
-    """Whole block rows from events."""
+def _blocks(spark, d, transactions: F.Column | None = None) -> DataFrame:
+    """Whole block rows from events; ``transactions`` of their columns take the place of the purchases'."""
     e = table(spark, d, "events")
     epoch, pivot = F.floor(F.col("event_id") / 10), F.col("event_id") % 10 == 9
     address = F.unhex(F.lpad(F.hex("user_id"), 40, "0"))
     nothing = F.lit(None).cast("binary")
     tx = F.struct(
-        F.when(F.col("event_id") % 2 == 0, "native").otherwise("ethereum").alias("space"), F.lit(0).alias("type_id"), address.alias("sender"), F.col("event_id").alias("nonce"), codec.big_endian32(F.lit(20) + F.col("event_id") % 3).alias("gas_price"),
-        nothing.alias("priority_price"), F.lit(21000).cast("long").alias("gas"), F.lit("call").alias("action"), address.alias("to"), codec.big_endian32(F.round(F.col("value") * 100).cast("long")).alias("value"),
+        F.when(F.col("event_id") % 2 == 0, "native").otherwise("ethereum").alias("space"), F.lit(0).alias("type_id"), address.alias("sender"), F.col("event_id").alias("nonce"), codec.long32(F.lit(20) + F.col("event_id") % 3).alias("gas_price"),
+        nothing.alias("priority_price"), F.lit(21000).cast("long").alias("gas"), F.lit("call").alias("action"), address.alias("to"), codec.long32(F.round(F.col("value") * 100).cast("long")).alias("value"),
         F.when(F.col("event_id") % 2 == 0, F.lit(64)).cast("long").alias("storage_limit"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("event_id") / 20)).alias("epoch_height"), F.encode("props", "UTF-8").alias("data"), nothing.alias("access_list_rlp"), nothing.alias("authorization_list_rlp"),
     )
     flags = F.when(pivot, codec.FLAG_PIVOT).otherwise(0) + F.when(F.col("event_type") == "error", codec.FLAG_SKIPPED_EXECUTION).otherwise(0)
-    zero = codec.big_endian32(F.lit(0).cast("long"))
+    zero = codec.long32(F.lit(0).cast("long"))
     return e.select(
-        F.floor(F.col("event_id") / PACKET).alias("packet"), epoch.alias("epoch"), (F.col("event_id") % PACKET).cast("int").alias("index"), codec.big_endian32(F.col("event_id")).alias("hash"),
+        F.floor(F.col("event_id") / PACKET).alias("packet"), epoch.alias("epoch"), (F.col("event_id") % PACKET).cast("int").alias("index"), codec.long32(F.col("event_id")).alias("hash"),
         zero.alias("deferred_state_root"), zero.alias("deferred_receipts_root"), zero.alias("deferred_logs_bloom_hash"), flags.cast("int").alias("flags"), address.alias("author"),
-        F.unix_timestamp("ts").alias("timestamp"), codec.big_endian32(F.col("user_id")).alias("difficulty"), F.when(F.col("event_id") % 2 == 0, 30_000_000).otherwise(F.col("event_id")).cast("long").alias("gas_limit"),
+        F.unix_timestamp("ts").alias("timestamp"), codec.long32(F.col("user_id")).alias("difficulty"), F.when(F.col("event_id") % 2 == 0, 30_000_000).otherwise(F.col("event_id")).cast("long").alias("gas_limit"),
         F.lit(0).cast("long").alias("base_price_core"), F.lit(codec.ESPACE_PRICE).cast("long").alias("base_price_espace"), epoch.alias("height"), (F.col("event_id") % 3).alias("blame"), F.lit(1).cast("long").alias("finalized_epoch"),
-        (F.col("event_id") * 1_000_003).cast("decimal(26,0)").alias("base_reward"), F.lit(None).cast("long").alias("pos_view"), F.when(F.col("event_type") == "purchase", F.array(tx)).alias("transactions"),
+        (F.col("event_id") * 1_000_003).cast("decimal(26,0)").alias("base_reward"), F.lit(None).cast("long").alias("pos_view"), (F.when(F.col("event_type") == "purchase", F.array(tx)) if transactions is None else transactions).alias("transactions"),
     )
 
 
 def _encoded(spark, d) -> DataFrame:
     blocks = _blocks(spark, d)
     first = blocks.groupBy("packet").agg(F.min("epoch").alias("epoch"))
-    nothing = codec.big_endian32(F.lit(0).cast("long"))
+    nothing = codec.long32(F.lit(0).cast("long"))
     heads = first.select("packet", nothing.alias("prev_last_hash"), nothing.alias("prev_last_deferred_state_root"), (F.col("epoch") * 10).alias("first_block_number"))
     return materialize(containers.encode_packets(blocks, "packet", heads), "packets")
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from epochweave.operators.packing import container_files, pack_containers
 from epochweave.sources import packets, store
@@ -20,6 +22,8 @@ SUFFIX, SHARD_SUFFIX = ".cfxpack", ".cfxpkt"
 EPOCHS = 2000
 #: Payload bytes after which a container is closed.
 TARGET = 104_857_600
+#: Groups that are each a partition of their own when read; of more, neighbours of so many bytes are read by one task.
+ALONE, TOGETHER = 128, 8 << 20
 
 
 def pack(groups: list[tuple[int, int, bytes]]) -> bytes:
@@ -74,9 +78,12 @@ SCHEMA = f"start_epoch bigint, {packets.BLOCK}"
 SITES = "path string, start_epoch bigint, index int, at bigint, hash binary, flags int"
 
 
-def block_rows(start: int, payload: bytes, pos_from: int) -> Iterator[dict]:
-    for b in packets.decode(payload, pos_from)[1]:
-        yield {"start_epoch": start} | b
+def block_batch(start: int, payload: bytes, pos_from: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The block rows of a packet."""
+    rows = packets.decode(payload, pos_from)[1]
+    for r in rows:
+        r["start_epoch"], r["base_reward"] = start, Decimal(r["base_reward"])
+    return pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
@@ -121,25 +128,16 @@ def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
 def decode_packets(groups: DataFrame, pos_from: int) -> DataFrame:
     """Block rows of (start_epoch, packet) rows; packets are dealt out first, so one large file feeds many tasks."""
     schema = groups.sparkSession.createDataFrame([], SCHEMA).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [r | {"base_reward": _decimal(r["base_reward"])} for r in block_rows(start, value.as_py(), pos_from)]
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                yield block_batch(start, value.as_py(), pos_from, arrow)
 
     return groups.select("start_epoch", "packet").repartition("start_epoch").mapInArrow(run, schema)
 
 
-def _decimal(v):
-    from decimal import Decimal
-
-    return Decimal(v)
-
-
 def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame:
     """(start_epoch, epochs, n_blocks, packet) of each group of block rows (with the columns of ``packets.BLOCK``).
 
@@ -149,7 +147,7 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
     schema = "start_epoch bigint, epochs bigint, n_blocks bigint, packet binary"
 
     def run(key, left, right):
-        rows = sorted(left.to_pylist(), key=lambda r: r["index"])
+        rows = sorted(packets.rows(left), key=lambda r: r["index"])
         head = right.to_pylist()[0]
         if not rows:
             return pa.Table.from_pylist([], pa.schema([("start_epoch", pa.int64()), ("epochs", pa.int64()), ("n_blocks", pa.int64()), ("packet", pa.binary())]))
@@ -185,21 +183,23 @@ def build_containers(groups: DataFrame, job: str = "job", target: int = TARGET,
 
 
 class GroupPartition(InputPartition):
-    """One group of a container, or, without a place in it, a whole compressed file."""
+    """Groups (start epoch, place, length) of a container, or, without any, a whole compressed file."""
 
-    def __init__(self, name: str, start: int = 0, at: int = -1, size: int = 0):
-        self.name, self.start, self.at, self.size = name, start, at, size
+    def __init__(self, name: str, groups: list[tuple[int, int, int]] = ()):
+        self.name, self.groups = name, list(groups)
 
 
 class _Reader(DataSourceReader):
     """One partition per group that may hold an epoch asked for, by options or by filters on ``epoch`` and ``start_epoch``.
 
-    Tasks read their packet alone, by its place in the directory; with
-    ``columns`` = ``flags``, its records alone, none of its transactions. A
-    compressed file is inflated once, by its own task.
+    Beyond ``ALONE`` groups, a partition has neighbours of a file of up to
+    ``TOGETHER`` bytes. Tasks read a packet at a time, by its place in the
+    directory; with ``columns`` = ``flags``, its records alone, none of its
+    transactions. A compressed file is inflated once, by its own task.
     """
 
-    def __init__(self, options):
+    def __init__(self, options, schema):
+        self.arrow = to_arrow_schema(schema)
         self.path, self.flags = options["path"], options.get("columns") == "flags"
         self.pos_from = 0 if self.flags else int(options["posFrom"])
         self.low, self.high = int(options.get("fromEpoch", 0)), int(options.get("toEpoch", 1 << 62))
@@ -220,14 +220,23 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         sizes = dict(store.listed(self.path))
-        out = []
+        out, found = [], []
         for name in preferred([x for x in sizes if self.compressed or not x.endswith(".zst")]):
             if name.endswith(".zst"):
                 out.append(GroupPartition(name))
                 continue
             head = store.read(name, 0, HEADER)
             head += store.read(name, HEADER, ENTRY * int.from_bytes(head[12:16], "little"))
-            out += [GroupPartition(name, *e) for e in self._wanted(directory(head, sizes[name]))]
+            found.append((name, self._wanted(directory(head, sizes[name]))))
+        most = TOGETHER if sum(len(groups) for _, groups in found) > ALONE else 0
+        for name, groups in found:
+            mine, size = None, 0
+            for g in groups:
+                size += g[2]
+                if mine is None or size > most:
+                    mine, size = GroupPartition(name), g[2]
+                    out.append(mine)
+                mine.groups.append(g)
         return out
 
     def _wanted(self, entries):
@@ -235,21 +244,23 @@ class _Reader(DataSourceReader):
         return [(s, at, n) for s, c, at, n in entries if s < self.high and s + c > self.low and self.starts[0] <= s < self.starts[1]]
 
     def read(self, partition):
-        if partition.at < 0:
-            whole = inflate(partition.name, store.read(partition.name))
+        name = partition.name
+        if not partition.groups:
+            whole = inflate(name, store.read(name))
             for start, at, size in self._wanted(directory(whole)):
-                yield from self._rows(partition.name, start, at, lambda a, n, at=at: whole[at + a : at + a + n], size)
-        else:
-            yield from self._rows(partition.name, partition.start, partition.at, lambda a, n: store.read(partition.name, partition.at + a, n), partition.size)
+                yield self._batch(name, start, at, lambda a, n, at=at: whole[at + a : at + a + n], size)
+        for start, at, size in partition.groups:
+            yield self._batch(name, start, at, lambda a, n, at=at: store.read(name, at + a, n), size)
 
-    def _rows(self, name, start, at, read, size):
-        if self.flags:
-            for i, (place, block, flags) in enumerate(packets.read_sites(read, size)):
-                yield name, start, i, at + place, block, flags
-            return
-        for r in block_rows(start, read(0, size), self.pos_from):
-            r["base_reward"] = _decimal(r["base_reward"])
-            yield tuple(r.values())
+    def _batch(self, name, start, at, read, size) -> pa.RecordBatch:
+        if not self.flags:
+            return block_batch(start, read(0, size), self.pos_from, self.arrow)
+        first, heads = packets.read_heads(read, size)
+        n, width = heads.shape
+        places = at + first + packets.FLAG_AT + width * np.arange(n, dtype=np.int64)
+        hashes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(32 * np.arange(n + 1, dtype=np.int32)), pa.py_buffer(heads[:, :32].tobytes())])
+        flags = pa.array(heads[:, packets.FLAG_AT].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.full(n, start, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(places), hashes, flags], self.arrow.names)
 
 
 class _Message(WriterCommitMessage):
@@ -294,7 +305,7 @@ class ContainerSource(DataSource):
         return SITES if self.options.get("columns") == "flags" else SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _Reader(self.options, schema)
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])
