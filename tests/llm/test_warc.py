@@ -68,3 +68,14 @@ def test_missing_responses(spark):
     assert len(got) == 4 and got[1]["metadata"] is got[2]["conversion"] is None
     for i in (3, None):
         assert next(warc.parse(gzip.decompress(got[i]["conversion"])))[1].decode().startswith("Schöne Grüße")
+
+
+def test_digests_and_blanks_are_the_plain_ones():
+    import base64
+    import hashlib
+    import re
+
+    for data in (b"", b"a", b"page" * 1000, bytes(range(256))):
+        assert warc.digest(data) == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    for text in ("a b", "a  b", "a\tb", " \t a \r\n  b\f\v", "", " ", "a \xa0 b"):
+        assert warc._BLANKS.sub(" ", text) == re.sub(r"[ \t\r\f\v]+", " ", text)
