@@ -227,3 +227,33 @@ def test_references_point_back():
     data = packets.encode(blocks, b"h" * 32, b"s" * 32, 0)
     got = packets.decode(data, 10**9)[1]
     assert all(x is None or x["block_index"] < b["index"] for b in got for x in b["transaction_refs"]) and len(got[4]["transactions"]) == 2
+
+
+def test_columns_become_the_same_values():
+    """Nested columns by whole fields, with nulls at any level, slices and nothing at all."""
+    import pyarrow as pa
+
+    tx = pa.struct([("a", pa.binary()), ("n", pa.int64()), ("s", pa.string())])
+    kinds = pa.schema([("i", pa.int32()), ("b", pa.binary()), ("t", pa.list_(tx)), ("d", pa.decimal128(26, 0)), ("r", pa.list_(pa.struct([("x", pa.list_(tx)), ("h", pa.binary())])))])
+    one = {"a": b"\0" * 20, "n": 1 << 62, "s": "call"}
+    lists = [[one, {"a": None, "n": None, "s": None}, None], None, [], [one]]
+    rows = [{"i": None if i == 2 else i, "b": [b"", b"ab", None][i % 3], "t": x, "d": None, "r": None if i else [{"x": x, "h": b"h"}, None]} for i, x in enumerate(lists)]
+    table = pa.Table.from_pylist(rows, kinds)
+    for part in (table, table.slice(1, 2), table.slice(3), table.slice(0, 0), kinds.empty_table(), pa.concat_tables([table, table])):
+        assert packets.rows(part) == part.to_pylist()
+
+
+def test_many_groups_share_tasks(spark, tmp_path, monkeypatch):
+    """Beyond some number of groups, neighbours of a file are read together, each still once and alone in memory."""
+    groups = container_folder(spark, tmp_path, per_file=3)
+    schema = containers.ContainerSource({}).schema()
+    from pyspark.sql.types import StructType
+
+    kinds = spark.createDataFrame([], schema).schema
+    assert isinstance(kinds, StructType)
+    monkeypatch.setattr(containers, "ALONE", 2)
+    reader = containers._Reader({"path": str(tmp_path), "posFrom": "1000"}, kinds)
+    parts = reader.partitions()
+    assert len(parts) == len({p.name for p in parts}) < len(groups)
+    got = [(r["start_epoch"], r["index"], r["hash"]) for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted(got) == sorted((s, b["index"], b["hash"]) for s, _, _, bs in groups for b in bs)
