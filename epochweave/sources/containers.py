@@ -80,10 +80,13 @@ SITES = "path string, start_epoch bigint, index int, at bigint, hash binary, fla
 
 def block_batch(start: int, payload: bytes, pos_from: int, schema: pa.Schema) -> pa.RecordBatch:
     """The block rows of a packet."""
-    rows = packets.decode(payload, pos_from)[1]
-    for r in rows:
-        r["start_epoch"], r["base_reward"] = start, Decimal(r["base_reward"])
-    return pa.RecordBatch.from_pylist(rows, schema)
+    c = packets.decode_columns(payload, pos_from)[1]
+    c["start_epoch"] = [start] * len(c["index"])
+    if max(c["base_reward"], default=0) >> 63:
+        c["base_reward"] = [Decimal(v) for v in c["base_reward"]]
+    long = lambda f: pa.types.is_decimal(f.type) and c[f.name] and isinstance(c[f.name][0], int)
+    arrays = [pa.array(c[f.name], pa.int64()).cast(f.type) if long(f) else pa.array(c[f.name], f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
@@ -147,17 +150,14 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
     schema = "start_epoch bigint, epochs bigint, n_blocks bigint, packet binary"
 
     def run(key, left, right):
-        rows = sorted(packets.rows(left), key=lambda r: r["index"])
         head = right.to_pylist()[0]
-        if not rows:
+        if not left.num_rows:
             return pa.Table.from_pylist([], pa.schema([("start_epoch", pa.int64()), ("epochs", pa.int64()), ("n_blocks", pa.int64()), ("packet", pa.binary())]))
-        for r in rows:
-            for c in ("transactions", "transaction_refs", "pos_rewards", "unlock_events"):
-                r[c] = r.get(c) or []
-        data = packets.encode(rows, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], packets.pos_lookup(rows))
+        c = packets.of_table(left)
+        data = packets.encode_columns(c, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], packets.pos_lookup(c))
         packets.verify(data)
-        epochs = {r["epoch"] for r in rows}
-        return pa.Table.from_pylist([{"start_epoch": min(epochs), "epochs": len(epochs), "n_blocks": len(rows), "packet": data}])
+        epochs = set(c["epoch"])
+        return pa.Table.from_pylist([{"start_epoch": min(epochs), "epochs": len(epochs), "n_blocks": left.num_rows, "packet": data}])
 
     # Columns of its own, so that both sides may come from one table.
     heads = heads.select(*(F.col(c).alias(c) for c in heads.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochweave.functions.codec import FLAG_ZERO_TOTAL_REWARD, FLAGS
+from epochweave.functions.codec import FLAG_ZERO_TOTAL_REWARD
 from epochweave.operators.epochs import range_join
 from epochweave.session import materialize
 from epochweave.sources import containers, packets
@@ -86,25 +86,12 @@ def patch_zero_rewards(spark: SparkSession, path: str, rewards: DataFrame, low:
 def injected(packet: bytes, events: list[dict], pos_from: int) -> tuple[bytes, dict[int, tuple[int, int]]]:
     """A packet whose pivots have the reward events of their epochs appended, each under the pivot's own hash, and {epoch: (events before, after)}.
 
-    The new packet is decoded again and must be the old one but for these events.
+    The new packet is read again and must be the old one but for these events.
     """
-    head, blocks = packets.decode(packet, pos_from)
     more: dict[int, list] = {}
     for e in events:
         more.setdefault(e["epoch"], []).append(e["account_rewards"])
-    counts = {}
-    for b in blocks:
-        if b["flags"] & FLAGS["pivot"] and b["epoch"] in more:
-            before = len(b["pos_rewards"])
-            b["pos_rewards"] = b["pos_rewards"] + [{"account_rewards": x, "execution_epoch_hash": b["hash"]} for x in more[b["epoch"]]]
-            counts[b["epoch"]] = (before, len(b["pos_rewards"]))
-    if not counts:
-        return packet, counts
-    out = packets.encode(blocks, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], head["pos_entries"], head)
-    payload = lambda rows: [{k: v for k, v in b.items() if k != "flags"} for b in rows]  # noqa: E731  the flag that says that there are items may change
-    if payload(packets.decode(out, pos_from)[1]) != payload(blocks):
-        raise ValueError("an encoded packet does not decode to its blocks")
-    return out, counts
+    return packets.append_rewards(packet, more, pos_from)
 
 
 def inject_rewards(spark: SparkSession, path: str, events: DataFrame, pos_from: int, low: int | None = None, high: int | None = None, suffix: str = ".patched", dry_run: bool = False) -> DataFrame:

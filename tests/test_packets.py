@@ -257,3 +257,44 @@ def test_many_groups_share_tasks(spark, tmp_path, monkeypatch):
     assert len(parts) == len({p.name for p in parts}) < len(groups)
     got = [(r["start_epoch"], r["index"], r["hash"]) for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
     assert sorted(got) == sorted((s, b["index"], b["hash"]) for s, _, _, bs in groups for b in bs)
+
+
+def test_rewards_leave_other_payloads_alone(monkeypatch):
+    """Only payloads of pivots with events are decoded and made anew; the packet is what encoding all blocks again makes."""
+    blocks = packet(5, 40, 1010)
+    data = packets.encode(blocks, b"h" * 32, b"s" * 32, 7)
+    pivots = [b for b in blocks if b["flags"] & 2]
+    more = [[{"address": A[i], "pos_identifier": b"p" * 32, "reward": bytes([9])}] for i in range(3)]
+    events = [{"epoch": pivots[k]["epoch"], "account_rewards": x} for k, x in zip((0, 0, 2), more, strict=True)] + [{"epoch": 5, "account_rewards": more[0]}]
+    whole = []
+    monkeypatch.setattr(packets, "_read_items", lambda *a: whole.append(a))
+    out, counts = rewrites.injected(data, events, 1010)
+    monkeypatch.undo()
+    assert not whole and counts == {pivots[k]["epoch"]: (len(pivots[k]["pos_rewards"]), len(pivots[k]["pos_rewards"]) + n) for k, n in ((0, 2), (2, 1))}
+    head, got = packets.decode(data, 1010)
+    for e in events:
+        for b in got:
+            if b["flags"] & 2 and b["epoch"] == e["epoch"]:
+                b["pos_rewards"] = [*b["pos_rewards"], {"account_rewards": e["account_rewards"], "execution_epoch_hash": b["hash"]}]
+    assert out == packets.encode(got, b"h" * 32, b"s" * 32, 7, head["pos_entries"], head)
+    assert rewrites.injected(data, events[3:], 1010) == (data, {})
+
+
+def test_packets_of_columns(spark):
+    """A table in any order of rows gives the packet of its blocks; numbers at the ends of their ranges."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(spark.createDataFrame([], packets.BLOCK).schema)
+    for most in (0, (1 << 62) - 1, 1 << 62, (1 << 80) - 1):
+        blocks = packet(6, 30, 1010)
+        for i, b in enumerate(blocks):
+            b |= {"base_reward": most if i == 3 else i, "gas_limit": (1 << 54) - 1 if i == 4 else b["gas_limit"], "blame": (1 << 63) - 1 if i == 5 else 127 + i % 2, "base_price_core": (1 << 38) - i % 2}
+        table = pa.Table.from_pylist(blocks, kinds).take(list(range(29, -1, -1)))
+        data = packets.encode_columns(packets.of_table(table), b"h" * 32, b"s" * 32, 0)
+        assert data == packets.encode(blocks, b"h" * 32, b"s" * 32, 0)
+        for b, g in zip(blocks, packets.decode(data, 1010)[1], strict=True):
+            assert all(b[k] == g[k] for k in ("base_reward", "gas_limit", "blame", "base_price_core", "pos_view", "hash"))
+    for change in ({"blame": -1}, {"gas_limit": 1 << 54}, {"base_reward": 1 << 86}, {"finalized_epoch": 1 << 64}):
+        with pytest.raises(ValueError):
+            packets.encode([blocks[0] | change, *blocks[1:]], b"h" * 32, b"s" * 32, 0)
