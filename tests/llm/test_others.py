@@ -385,3 +385,23 @@ def test_pipeline_on_nulls_and_nothing(spark, write):
         folder = write(rows)
         packed = corpus_pipeline.run(spark, folder)
         assert packed.count() <= len(rows) * 60 and "sequence_id" in packed.columns
+
+
+def test_words_of_letters_are_tokenised_by_the_model(monkeypatch):
+    """New words of letters need no whole encoding; the store keeps a bounded number of words, and those of late; odd texts are as a whole."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    store, asked = packing.WordStore(path), []
+    texts = ["Zéro maison, fenêtre.\nPorte Straße ÀÖØÞ öøÿ zqxj", "a\n\nb c", "\na b", "a　b c", "ª º × ÷ ı ŉx don't x1 ça£ l'été 漢字"]
+    whole = [store.ids(t) for t in texts]
+    inner = store.ids
+    monkeypatch.setattr(store, "ids", lambda text: asked.append(text) or inner(text))
+    assert store.encode(texts[0]) == whole[0] and set(asked) == {"Zéro", ",", "."}
+    assert [store.encode(t) for t in texts] == whole
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    small = packing.WordStore(path)
+    for i in range(100):
+        word = "word" + "abcdefghij"[i % 10] * (1 + i // 10)
+        assert small.encode(f"x the {word}, of") == small.ids(f"x the {word}, of")
+        assert len(small) + len(small.old) <= 26 and ("the" in small or "the" in small.old)
