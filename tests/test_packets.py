@@ -298,3 +298,16 @@ def test_packets_of_columns(spark):
     for change in ({"blame": -1}, {"gas_limit": 1 << 54}, {"base_reward": 1 << 86}, {"finalized_epoch": 1 << 64}):
         with pytest.raises(ValueError):
             packets.encode([blocks[0] | change, *blocks[1:]], b"h" * 32, b"s" * 32, 0)
+
+
+def test_block_rows_come_from_columns(spark, monkeypatch):
+    """Packets become rows without a dict a block; base rewards may be wider than a long."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(spark.createDataFrame([], containers.SCHEMA).schema)
+    monkeypatch.setattr(packets, "decode", None)
+    for most in (1 << 79, 9):
+        blocks = [b | {"base_reward": min(b["base_reward"], most)} for b in packet(7, 20, 1010)]
+        got = containers.block_batch(1000, packets.encode(blocks, b"h" * 32, b"s" * 32, 0), 1010, kinds).to_pylist()
+        names = ("epoch", "index", "hash", "author", "difficulty", "base_reward", "pos_view", "transactions", "pos_rewards", "unlock_events")
+        assert [[g[k] for k in names] for g in got] == [[b[k] for k in names] for b in blocks] and {g["start_epoch"] for g in got} == {1000}
