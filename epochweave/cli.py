@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epochweave.operators import checks
 from epochweave.operators.epochs import contiguity_violations, missing_epochs
-from epochweave.plans.extract import Chain, extract_blocks, packet_heads
+from epochweave.plans.extract import Chain, extract_blocks, grouped_epochs, packet_heads
 from epochweave.session import materialize
 from epochweave.sources import containers, ingest, records, rewrites
 
@@ -38,7 +38,9 @@ def extract(args) -> None:
     if lost:
         raise SystemExit(f"epoch {lost['epoch']} is missing")
     blocks = extract_blocks(tables, chain, args.start, high, args.group)
-    packed = materialize(containers.encode_packets(blocks, "packet", packet_heads(blocks, tables)), "packets")
+    heads = packet_heads(grouped_epochs(tables, args.start, high, args.group), tables)
+    heads = materialize(heads, "heads")
+    packed = materialize(containers.encode_packets(blocks, "packet", heads, heads.count()), "packets")
     jobs = packed.withColumn("job", F.floor((F.col("start_epoch") - args.start) / args.group / max(1, args.groups_per_job)))
     if args.shards:
         records.shard_files(packed).write.format("epochpack").mode("append").save(args.output)

@@ -124,7 +124,17 @@ def big_endian32(v: Column) -> Column:
 
 def long32(v: Column) -> Column:
     """A non-negative long as 32 bytes, big-endian: ``big_endian32`` without decimals."""
-    return F.unhex(F.lpad(F.hex(v.cast("long")), 64, "0"))
+    return _long_bytes(v, 32)
+
+
+def long20(v: Column) -> Column:
+    """A non-negative long as the 20 bytes of an address, big-endian."""
+    return _long_bytes(v, 20)
+
+
+def _long_bytes(v: Column, n: int) -> Column:
+    # Filled up as bytes: as hex digits it takes five times as long.
+    return F.lpad(F.unhex(F.hex(v.cast("long"))), F.lit(n), F.lit(b"\0"))
 
 
 def padded_hash(prefix: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from epochweave.functions.codec import block_flags
 from epochweave.operators import epochs
+from epochweave.session import materialize
 from epochweave.sources.containers import EPOCHS
 
 
@@ -47,29 +48,45 @@ def extract_blocks(tables: dict[str, DataFrame], chain: Chain, low: int, high: i
 
     Missing headers are an error, missing bodies are empty, missing rewards are zero.
     """
-    chosen = tables["epochs"].where((F.col("epoch") >= low) & (F.col("epoch") < high)).withColumn("pivot_hash", required("pivot_hash", "a pivot")).withColumn("executed", required("executed", "an executed set"))
-    order = epochs.ordered_blocks(chosen).withColumn("skipped_block", F.col("class") == 1).withColumn("is_pivot", F.col("class") == 2)
-    headers = tables["headers"].withColumn("__known", F.lit(True))
-    b = order.join(headers, "hash", "left").withColumn("height", F.when(F.col("__known").isNull(), F.raise_error(F.lit("a header is missing")).cast("long")).otherwise(F.col("height"))).drop("__known")
+    chosen = grouped_epochs(tables, low, high, group).withColumn("pivot_hash", required("pivot_hash", "a pivot")).withColumn("executed", required("executed", "an executed set"))
+    headers = _referenced(tables, chain)
+    order = epochs.placed_blocks(chosen).withColumn("is_pivot", F.col("class") == 2)
+    b = order.join(headers.withColumn("__known", F.lit(True)), "hash", "left")
     b = b.join(tables["bodies"], "hash", "left").join(tables["rewards"], "hash", "left")
-    b = b.withColumn("flags", block_flags(F.col("adaptive"), F.col("is_pivot"), F.col("height"), chain.evm_transaction_block_ratio, F.col("skipped_block"), F.col("total_reward")))
-    b = b.withColumn("base_reward", F.coalesce("base_reward", F.lit(0)).cast("decimal(26,0)"))
-    b = b.withColumn("pos_ref", epochs.effective_reference(F.col("height"), F.col("pos_ref"), chain.pos_reference_enable_height))
-    known = tables["committed"].select(F.col("pos_ref").alias("__ref")).distinct()
-    b = b.join(known, F.col("pos_ref") == F.col("__ref"), "left")
-    lost = F.col("pos_ref").isNotNull() & F.col("__ref").isNull()
-    b = b.withColumn("pos_ref", F.when(lost, F.raise_error(F.lit("a committed block is missing")).cast("binary")).otherwise(F.col("pos_ref"))).drop("__ref")
-    b = epochs.finalized_offset(b, tables["committed"].select("pos_ref", "pivot_decision"), tables["headers"]).withColumnRenamed("finalized_offset", "finalized_epoch")
-    b = b.join(tables["committed"].select("pos_ref", F.col("view").alias("pos_view"), F.col("version")), "pos_ref", "left")
-    b = b.withColumn("packet", F.floor((F.col("epoch") - low) / group))
-    b = b.withColumn("__order", F.struct("epoch", "class", "pos"))
-    b = epochs.number_blocks(b, F.lit(0), "__order").withColumn("index", F.col("block_number").cast("int")).drop("block_number", "__order")
-    b = _with_unlocks(_with_pos_rewards(b, tables["pos_rewards"]), tables["unlocks"])
-    return b.drop("class", "pos", "skipped_block", "is_pivot", "adaptive", "version")
+    pivots = chosen.select("packet", "epoch", F.col("pivot_hash").alias("hash")).join(headers.select("hash", "version"), "hash", "left")
+    pivots = materialize(pivots, "pivots")
+    b = b.join(_pos_rewards(pivots, tables["pos_rewards"]), "hash", "left").join(_unlocks(pivots, tables["unlocks"]), "hash", "left")
+    lost = lambda test, kind, what, c: F.when(test, F.raise_error(F.lit(what)).cast(kind)).otherwise(F.col(c))
+    b = b.withColumn("height", lost(F.col("__known").isNull(), "long", "a header is missing", "height"))
+    b = b.withColumn("pos_ref", lost(F.col("pos_ref").isNotNull() & F.col("committed").isNull(), "binary", "a committed block is missing", "pos_ref"))
+    return b.select(
+        *("packet", "index", "epoch", "hash", "height", "author", "timestamp", "difficulty", "gas_limit", "base_price_core", "base_price_espace", "blame"),
+        *("deferred_state_root", "deferred_receipts_root", "deferred_logs_bloom_hash", "pos_ref", "pos_view", "transactions", "total_reward", "pos_rewards"),
+        F.coalesce("base_reward", F.lit(0)).cast("decimal(26,0)").alias("base_reward"),
+        block_flags(F.col("adaptive"), F.col("is_pivot"), F.col("height"), chain.evm_transaction_block_ratio, F.col("class") == 1, F.col("total_reward")).alias("flags"),
+        epochs.offset_since(F.col("epoch"), F.col("pos_ref"), F.col("decided_height")).alias("finalized_epoch"),
+        F.when(F.col("is_pivot"), F.col("unlock_events")).alias("unlock_events"),
+    )
+
+
+def grouped_epochs(tables: dict[str, DataFrame], low: int, high: int, group: int = EPOCHS) -> DataFrame:
+    """The epochs [low, high) with the number of their group."""
+    return tables["epochs"].where((F.col("epoch") >= low) & (F.col("epoch") < high)).withColumn("packet", F.floor((F.col("epoch") - low) / group))
+
+
+def _referenced(tables: dict[str, DataFrame], chain: Chain) -> DataFrame:
+    """Headers with their effective reference and what it leads to: whether it is committed, the height of the pivot that it decided, view and version.
+
+    References are few, one to many blocks: resolved first, they are a small table that the headers meet once.
+    """
+    committed = tables["committed"].select("pos_ref", "pivot_decision", F.col("view").alias("pos_view"), "version", F.lit(True).alias("committed"))
+    resolved = materialize(epochs.decided_heights(committed, tables["headers"]).drop("pivot_decision"), "references")
+    headers = tables["headers"].withColumn("pos_ref", epochs.effective_reference(F.col("height"), F.col("pos_ref"), chain.pos_reference_enable_height))
+    return headers.join(resolved, "pos_ref", "left")
 
 
 def packet_heads(blocks: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(packet, prev_last_hash, prev_last_deferred_state_root, first_block_number): what stands before each group.
+    """(packet, prev_last_hash, prev_last_deferred_state_root, first_block_number): what stands before each group of blocks, or of epochs.
 
     The pivot of the epoch before (of epoch 0 for the first) and its header,
     and the start number in the context of the group's first pivot, from
@@ -85,20 +102,17 @@ def packet_heads(blocks: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return heads.select("packet", whole("prev_last_hash", "binary", "the previous pivot"), whole("prev_last_deferred_state_root", "binary", "the previous pivot's header"), whole("first_block_number", "long", "the first pivot's epoch context"))
 
 
-def _with_pos_rewards(b: DataFrame, rewards: DataFrame) -> DataFrame:
-    """PoS reward events of executed pivots; of several for one hash the last PoS epoch wins."""
+def _pos_rewards(pivots: DataFrame, rewards: DataFrame) -> DataFrame:
+    """(hash, pos_rewards): reward events of executed pivots; of several for one hash the last PoS epoch wins."""
     events = rewards.select(F.col("execution_hash").alias("hash"), "pos_epoch", "account_rewards")
-    found = epochs.attach_rewards(b.where("is_pivot").select("hash"), events, "hash", "pos_epoch").where("account_rewards is not null")
-    event = F.array(F.struct(F.col("account_rewards"), F.col("hash").alias("execution_epoch_hash")))
-    return b.join(found.select("hash", event.alias("pos_rewards")), "hash", "left")
+    found = epochs.attach_rewards(pivots.select("hash"), events, "hash", "pos_epoch").where("account_rewards is not null")
+    return found.select("hash", F.array(F.struct(F.col("account_rewards"), F.col("hash").alias("execution_epoch_hash"))).alias("pos_rewards"))
 
 
-def _with_unlocks(b: DataFrame, unlocks: DataFrame, width: int = 64) -> DataFrame:
-    """Unlocks between the PoS versions of consecutive pivots, on the later one."""
-    pivots = b.where("is_pivot").select("packet", "epoch", "version")
+def _unlocks(pivots: DataFrame, unlocks: DataFrame, width: int = 64) -> DataFrame:
+    """(hash, unlock_events): unlocks between the PoS versions of consecutive pivots, for the later one."""
     carried = epochs.last_of_previous(pivots, "version", "epoch", "packet")
     spans = epochs.previous_values(pivots, "version", "epoch", "packet", carried).where("version is not null and previous_version < version")
     joined = epochs.range_join(spans, unlocks.withColumnRenamed("version", "unlock_version"), "previous_version", "version", "unlock_version", width)
-    lists = joined.groupBy("epoch").agg(F.transform(F.sort_array(F.collect_list(F.struct("unlock_version", "identifier", "unlocked"))), lambda x: F.struct(x["identifier"].alias("identifier"), x["unlocked"].alias("unlocked"))).alias("unlock_events"))
-    out = b.join(lists, "epoch", "left")
-    return out.withColumn("unlock_events", F.when(F.col("is_pivot"), F.col("unlock_events")))
+    listed = F.sort_array(F.collect_list(F.struct("unlock_version", "identifier", "unlocked")))
+    return joined.groupBy("hash").agg(F.transform(listed, lambda x: F.struct(x["identifier"].alias("identifier"), x["unlocked"].alias("unlocked"))).alias("unlock_events"))

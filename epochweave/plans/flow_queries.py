@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from epochweave.functions import codec
 from epochweave.functions.codec import rlp
-from epochweave.plans.extract import Chain, extract_blocks, packet_heads
+from epochweave.plans.extract import Chain, extract_blocks, grouped_epochs, packet_heads
 from epochweave.plans.packet_queries import NEVER, _blocks, _encoded
 from epochweave.plans.queries import query
 from epochweave.session import materialize, shared_dir, table
@@ -69,7 +69,7 @@ def rewards_in_files(spark, d):
     """Reward events injected into the pivots of their epochs, in containers written anew, and read back under the pivots' hashes."""
     path = _containers(spark, d)
     o = table(spark, d, "orders")
-    account = F.struct(F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), codec.long32(F.col("o_orderkey")).alias("pos_identifier"), codec.long32(F.col("o_custkey")).alias("reward"))
+    account = F.struct(codec.long20(F.col("o_custkey")).alias("address"), codec.long32(F.col("o_orderkey")).alias("pos_identifier"), codec.long32(F.col("o_custkey")).alias("reward"))
     events = o.select(F.floor(F.col("o_orderkey") / 4).alias("epoch"), F.array(account).alias("account_rewards"))
     rewrites.inject_rewards(spark, path, events, NEVER, suffix="").count()
     back = spark.read.format("epochpack").option("posFrom", NEVER).load(path).where(F.size("pos_rewards") > 0)
@@ -90,7 +90,7 @@ def state_over_periods(spark, d):
     o = table(spark, d, "orders")
     for status in _STATUS:
         value = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(b"")).otherwise(F.encode("o_orderpriority", "UTF-8"))
-        ops = o.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("seq"), F.lit("account").alias("kind"), F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), F.lit(None).cast("binary").alias("suffix"), F.lit("native").alias("space"), value.alias("value"))
+        ops = o.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("seq"), F.lit("account").alias("kind"), codec.long20(F.col("o_custkey")).alias("address"), F.lit(None).cast("binary").alias("suffix"), F.lit("native").alias("space"), value.alias("value"))
         manager.set(ops)
         manager.commit()
     again = StateManager(spark, store, period=2)
@@ -157,7 +157,7 @@ def _landed(spark, d) -> dict[str, DataFrame]:
     clicked = (F.col("event_type") == "click") & (i % 10 != 9)
     sets = e.groupBy(epoch.alias("epoch")).agg(F.array_sort(F.collect_list(F.when(~clicked, wide(i)))).alias("executed"), F.array_sort(F.collect_list(F.when(clicked, wide(i)))).alias("skipped"))
     last = e.groupBy().agg(F.max(epoch).alias("last")).select(F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 20))).alias("k"))
-    address, zero = F.unhex(F.lpad(F.hex("user_id"), 40, "0")), wide(F.lit(0))
+    address, zero = codec.long20(F.col("user_id")), wide(F.lit(0))
     headers = e.select(wide(i).alias("hash"), epoch.alias("height"), (i % 2 == 0).alias("adaptive"), address.alias("author"), F.unix_timestamp("ts").alias("timestamp"), wide(F.col("user_id")).alias("difficulty"), F.lit(30_000_000).cast("long").alias("gas_limit"), F.lit(0).cast("long").alias("base_price_core"), F.lit(0).cast("long").alias("base_price_espace"), (i % 3).alias("blame"), zero.alias("deferred_state_root"), zero.alias("deferred_receipts_root"), zero.alias("deferred_logs_bloom_hash"), wide(F.floor(epoch / 20)).alias("pos_ref"))
     return {
         "epochs": sets.select("epoch", wide(F.col("epoch") * 10 + 9).alias("pivot_hash"), "executed", "skipped"),
@@ -165,7 +165,7 @@ def _landed(spark, d) -> dict[str, DataFrame]:
         "bodies": _blocks(spark, d).where("transactions is not null").select("hash", "transactions"),
         "rewards": o.select(wide(F.col("o_orderkey")).alias("hash"), (F.col("o_custkey") % 3).alias("total_reward"), (F.col("o_custkey") * 1000).alias("base_reward")),
         "committed": last.select(wide(F.col("k")).alias("pos_ref"), wide(F.greatest(F.col("k") * 20 - 20, F.lit(0)) * 10 + 9).alias("pivot_decision"), (F.col("k") + 100).alias("view"), (F.col("k") * 30).alias("version")),
-        "pos_rewards": o.select(wide(F.col("o_orderkey")).alias("execution_hash"), F.col("o_orderkey").alias("pos_epoch"), F.array(F.struct(F.unhex(F.lpad(F.hex("o_custkey"), 40, "0")).alias("address"), wide(F.col("o_orderkey")).alias("pos_identifier"), wide(F.col("o_custkey")).alias("reward"))).alias("account_rewards")),
+        "pos_rewards": o.select(wide(F.col("o_orderkey")).alias("execution_hash"), F.col("o_orderkey").alias("pos_epoch"), F.array(F.struct(codec.long20(F.col("o_custkey")).alias("address"), wide(F.col("o_orderkey")).alias("pos_identifier"), wide(F.col("o_custkey")).alias("reward"))).alias("account_rewards")),
         "unlocks": c.select(F.col("c_custkey").alias("version"), wide(F.col("c_custkey")).alias("identifier"), F.col("c_custkey").alias("unlocked")),
         "contexts": e.where("event_id % 10 = 9").select(wide(i).alias("hash"), (epoch * 10 + 7).alias("start_block_number")),
     }
@@ -182,10 +182,12 @@ coalesce(o_custkey * 1000, 0)::BIGINT AS base_reward, CASE WHEN k IS NULL THEN 0
 FROM b LEFT JOIN orders ON o_orderkey = event_id LEFT JOIN u ON u.epoch = b.epoch"""
 
 
-def _extracted(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _extracted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all epochs, and the heads of their packets."""
     tables = _landed(spark, d)
-    high = tables["epochs"].agg(F.max("epoch")).first()[0] + 1
-    return extract_blocks(tables, Chain(pos_reference_enable_height=40), 0, high, 200), tables
+    high = tables["headers"].agg(F.max("height")).first()[0] + 1
+    heads = packet_heads(grouped_epochs(tables, 0, high, 200), tables)
+    return extract_blocks(tables, Chain(pos_reference_enable_height=40), 0, high, 200), heads
 
 
 def _shown(blocks: DataFrame, packet) -> DataFrame:
@@ -202,10 +204,11 @@ def extracted_blocks(spark, d):
 @query(_EXTRACTED.format(payload="+ (CASE WHEN event_type = 'purchase' OR (is_pivot AND (o_orderkey IS NOT NULL OR coalesce(u.n, 0) > 0)) THEN 8 ELSE 0 END)"))
 def extracted_packets(spark, d):
     """The same blocks after they were encoded to packets, with their heads from the epoch contexts, and decoded again."""
-    blocks, tables = _extracted(spark, d)
-    whole = materialize(blocks, "extracted")
-    packed = materialize(containers.encode_packets(whole, "packet", packet_heads(whole, tables)), "packets")
-    return _shown(containers.decode_packets(packed, 40), F.floor(F.col("start_epoch") / 200))
+    blocks, heads = _extracted(spark, d)
+    heads = materialize(heads, "heads")
+    n = heads.count()
+    packed = materialize(containers.encode_packets(blocks, "packet", heads, n), "packets")
+    return _shown(containers.decode_packets(packed, 40, n), F.floor(F.col("start_epoch") / 200))
 
 
 _TYPES = {0: ("native", 0), 1: ("native", 1), 2: ("native", 2), 3: ("ethereum", 0), 4: ("ethereum", 1), 5: ("ethereum", 2), 6: ("ethereum", 4)}
@@ -220,7 +223,7 @@ def transaction_kinds(spark, d):
     native = space == "native"
     listed = lambda test, items: F.when(test, F.lit(rlp(items)))
     create = (i % 4 == 0) & (i % 7 < 6)
-    address = F.unhex(F.lpad(F.hex("user_id"), 40, "0"))
+    address = codec.long20(F.col("user_id"))
     tx = F.struct(
         space.alias("space"), kind.alias("type_id"), address.alias("sender"), i.alias("nonce"), codec.long32(F.lit(20) + i % 3).alias("gas_price"), F.when(kind.isin(2, 4), codec.long32(F.lit(5) + i % 2)).alias("priority_price"), F.lit(21000).cast("long").alias("gas"),
         F.when(create, "create").otherwise("call").alias("action"), F.when(~create, address).alias("to"), codec.long32(i).alias("value"), F.when(native, i % 50).alias("storage_limit"), F.when(native, F.floor(i / 10)).alias("epoch_height"), F.lit(b"").alias("data"),

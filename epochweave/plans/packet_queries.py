@@ -123,7 +123,7 @@ def _blocks(spark, d, transactions: F.Column | None = None) -> DataFrame:
     """Whole block rows from events; ``transactions`` of their columns take the place of the purchases'."""
     e = table(spark, d, "events")
     epoch, pivot = F.floor(F.col("event_id") / 10), F.col("event_id") % 10 == 9
-    address = F.unhex(F.lpad(F.hex("user_id"), 40, "0"))
+    address = codec.long20(F.col("user_id"))
     nothing = F.lit(None).cast("binary")
     tx = F.struct(
         F.when(F.col("event_id") % 2 == 0, "native").otherwise("ethereum").alias("space"), F.lit(0).alias("type_id"), address.alias("sender"), F.col("event_id").alias("nonce"), codec.long32(F.lit(20) + F.col("event_id") % 3).alias("gas_price"),

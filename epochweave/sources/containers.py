@@ -24,6 +24,8 @@ EPOCHS = 2000
 TARGET = 104_857_600
 #: Groups that are each a partition of their own when read; of more, neighbours of so many bytes are read by one task.
 ALONE, TOGETHER = 128, 8 << 20
+#: Packets that a task encodes or decodes, where their number is known.
+PER_TASK = 16
 
 
 def pack(groups: list[tuple[int, int, bytes]]) -> bytes:
@@ -128,24 +130,31 @@ def read_containers(spark: SparkSession, path: str, pos_from: int) -> DataFrame:
     return decode_packets(read_groups(spark, path), pos_from)
 
 
-def decode_packets(groups: DataFrame, pos_from: int) -> DataFrame:
-    """Block rows of (start_epoch, packet) rows; packets are dealt out first, so one large file feeds many tasks."""
+def _dealt(df: DataFrame, key: str, n_packets: int | None) -> DataFrame:
+    """``df`` by key, in tasks of some ``PER_TASK`` packets if their number is known: by bytes alone, Spark makes few tasks, and packets take long for their bytes."""
+    return df.repartition(key) if n_packets is None else df.repartition(max(1, -(-n_packets // PER_TASK)), key)
+
+
+def decode_packets(groups: DataFrame, pos_from: int, n_packets: int | None = None) -> DataFrame:
+    """Block rows of (start_epoch, packet) rows; packets are dealt out first, so one large file feeds many tasks. ``n_packets`` is their number, if it is known."""
     schema = groups.sparkSession.createDataFrame([], SCHEMA).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield block_batch(start, value.as_py(), pos_from, arrow)
+                with packets.uncollected():
+                    out = block_batch(start, value.as_py(), pos_from, arrow)
+                yield out
 
-    return groups.select("start_epoch", "packet").repartition("start_epoch").mapInArrow(run, schema)
+    return _dealt(groups.select("start_epoch", "packet"), "start_epoch", n_packets).mapInArrow(run, schema)
 
 
-def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame:
+def encode_packets(blocks: DataFrame, group: str, heads: DataFrame, n_packets: int | None = None) -> DataFrame:
     """(start_epoch, epochs, n_blocks, packet) of each group of block rows (with the columns of ``packets.BLOCK``).
 
     ``heads`` is (group, prev_last_hash, prev_last_deferred_state_root, first_block_number). A group is a bounded number of epochs.
-    Where the blocks have a column pos_ref, its values and their views make up the packet's PoS lookup table.
+    Where the blocks have a column pos_ref, its values and their views make up the packet's PoS lookup table. ``n_packets`` is the number of groups, if it is known.
     """
     schema = "start_epoch bigint, epochs bigint, n_blocks bigint, packet binary"
 
@@ -153,15 +162,16 @@ def encode_packets(blocks: DataFrame, group: str, heads: DataFrame) -> DataFrame
         head = right.to_pylist()[0]
         if not left.num_rows:
             return pa.Table.from_pylist([], pa.schema([("start_epoch", pa.int64()), ("epochs", pa.int64()), ("n_blocks", pa.int64()), ("packet", pa.binary())]))
-        c = packets.of_table(left)
-        data = packets.encode_columns(c, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], packets.pos_lookup(c))
-        packets.verify(data)
+        with packets.uncollected():
+            c = packets.of_table(left)
+            data = packets.encode_columns(c, head["prev_last_hash"], head["prev_last_deferred_state_root"], head["first_block_number"], packets.pos_lookup(c))
+            packets.verify(data)
         epochs = set(c["epoch"])
         return pa.Table.from_pylist([{"start_epoch": min(epochs), "epochs": len(epochs), "n_blocks": left.num_rows, "packet": data}])
 
     # Columns of its own, so that both sides may come from one table.
     heads = heads.select(*(F.col(c).alias(c) for c in heads.columns))
-    return blocks.groupBy(group).cogroup(heads.groupBy(group)).applyInArrow(run, schema)
+    return (blocks if n_packets is None else _dealt(blocks, group, n_packets)).groupBy(group).cogroup(heads.groupBy(group)).applyInArrow(run, schema)
 
 
 def build_containers(groups: DataFrame, job: str = "job", target: int = TARGET, prefix: str = "epochs") -> DataFrame:

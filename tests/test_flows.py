@@ -2,11 +2,13 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from epochweave import cli
 from epochweave.functions.codec import rlp
 from epochweave.functions.keccak import EMPTY
-from epochweave.plans.extract import Chain, extract_blocks, packet_heads
+from epochweave.operators import epochs
+from epochweave.plans.extract import Chain, extract_blocks, grouped_epochs, packet_heads
 from epochweave.sources import containers, packets
 from epochweave.state.manager import MemoryStore, StateManager
 from epochweave.streaming import periods
@@ -53,6 +55,44 @@ def test_extraction_to_packets(spark, tmp_path):
     assert len(back) == 36 and {(r["hash"], r["epoch"], r["flags"], r["pos_view"]) for r in back} == {(r["hash"], r["epoch"], r["flags"] | (8 if r["pos_rewards"] or r["unlock_events"] else 0), r["pos_view"]) for r in got.values()}
 
 
+def test_extraction_deals_blocks_once(spark):
+    """Headers meet the resolved references, and then all tables meet under the hash: no wide row is dealt again by packet, epoch or another hash."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = extract_blocks(landed(spark), Chain(pos_reference_enable_height=6), 0, N, 6)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide, todo = [], [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "author#" in node.output().mkString(" "):
+            wide.append(node.outputPartitioning().toString().split("#")[0])
+    assert sorted(wide) == ["hashpartitioning(hash", "hashpartitioning(pos_ref"]
+
+
+def test_places_are_those_of_ordered_blocks(spark):
+    """One pass over the epochs numbers blocks as sorting them does, with pivots among the executed ones or not, and sets that are empty or not there."""
+    rows = [(e, H(9 * e), [H(9 * e + i) for i in range(e % 3, e % 4)], [None, [], [H(9 * e + 7), H(9 * e + 8)]][e % 3], e // 5) for e in range(20)]
+    sets = spark.createDataFrame(rows, "epoch bigint, pivot_hash binary, executed array<binary>, skipped array<binary>, packet bigint")
+    order = epochs.ordered_blocks(sets).withColumn("packet", F.floor(F.col("epoch") / 5)).withColumn("order", F.struct("epoch", "class", "pos"))
+    want = epochs.number_blocks(order, F.lit(0), "order").select("packet", "epoch", "class", "block_number", "hash").collect()
+    got = epochs.placed_blocks(sets).collect()
+    assert len(got) > 30 and sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_packets_are_dealt_by_their_number(spark, monkeypatch):
+    """However few bytes packets have, tasks get no more than some of them, and the rows are the same."""
+    monkeypatch.setattr(containers, "PER_TASK", 2)
+    tables = landed(spark)
+    blocks, heads = extract_blocks(tables, Chain(pos_reference_enable_height=6), 0, N, 1).cache(), packet_heads(grouped_epochs(tables, 0, N, 1), tables)
+    assert sorted(map(str, heads.collect())) == sorted(map(str, packet_heads(blocks, tables).collect()))
+    packed = containers.encode_packets(blocks, "packet", heads, N)
+    back = containers.decode_packets(packed, 6, N)
+    assert packed.rdd.getNumPartitions() == back.rdd.getNumPartitions() == N // 2
+    assert sorted(map(str, back.collect())) == sorted(map(str, containers.decode_packets(containers.encode_packets(blocks, "packet", heads), 6).collect()))
+
+
 def test_commands(spark, tmp_path, capsys):
     """Tables to containers and shards by the command line, then verify, inspect, round trip and replay of both."""
     config = tmp_path / "chain.toml"
