@@ -232,6 +232,8 @@ def transaction_kinds(spark, d):
     blocks = _blocks(spark, d, F.array(tx))
     zero = codec.long32(F.lit(0))
     heads = blocks.select("packet").distinct().select("packet", zero.alias("prev_last_hash"), zero.alias("prev_last_deferred_state_root"), F.lit(0).cast("long").alias("first_block_number"))
-    packed = materialize(containers.encode_packets(blocks, "packet", heads), "packets")
-    t = containers.transactions(containers.decode_packets(packed, NEVER))
+    heads = materialize(heads, "heads")
+    n = heads.count()
+    packed = materialize(containers.encode_packets(blocks, "packet", heads, n), "packets")
+    t = containers.transactions(containers.decode_packets(packed, NEVER, n))
     return t.select("epoch", "space", "type_id", "nonce", F.hex("gas_price").alias("gas_price"), F.hex("priority_price").alias("priority_price"), F.col("access_list_rlp").isNotNull().alias("has_access"), F.col("authorization_list_rlp").isNotNull().alias("has_authorization"), "storage_limit", "action")

@@ -145,8 +145,8 @@ def _encoded(spark, d) -> DataFrame:
     blocks = _blocks(spark, d)
     first = blocks.groupBy("packet").agg(F.min("epoch").alias("epoch"))
     nothing = codec.long32(F.lit(0).cast("long"))
-    heads = first.select("packet", nothing.alias("prev_last_hash"), nothing.alias("prev_last_deferred_state_root"), (F.col("epoch") * 10).alias("first_block_number"))
-    return materialize(containers.encode_packets(blocks, "packet", heads), "packets")
+    heads = materialize(first.select("packet", nothing.alias("prev_last_hash"), nothing.alias("prev_last_deferred_state_root"), (F.col("epoch") * 10).alias("first_block_number")), "heads")
+    return materialize(containers.encode_packets(blocks, "packet", heads, heads.count()), "packets")
 
 
 def _first_bytes(c: str) -> F.Column:
