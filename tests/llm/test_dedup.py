@@ -235,3 +235,55 @@ def test_windows_have_anchors_of_their_own():
     whole = kernels.window_minima(values, 28)
     for a in (0, 7, 1000, 4000):
         assert (kernels.window_minima(values[a : a + 900], 28) + a == whole[a : a + 873]).all()
+
+
+def test_shared_passages_are_not_filed(spark, write, monkeypatch):
+    """Passages that an eighth of all documents share bring nobody together, long as the documents are; near copies still meet."""
+    r = random.Random(23)
+    passages = [[f"p{r.randrange(400)}" for _ in range(60)] for _ in range(8)]
+    rows = []
+    for d in range(1000):
+        own = [f"w{r.randrange(20000)}" for _ in range(2500)]
+        at = r.randrange(2500)
+        rows.append((d, " ".join([*own[:at], *passages[d % 8], *own[at:]])))
+    near = {2000 + d: d for d in range(0, 1000, 100)}
+    rows += [(c, rows[d][1] + " and more") for c, d in near.items()]
+    found, clusters = [], jaccard._clusters
+
+    def kept(*args):
+        found.extend(tuple(x) for x in clusters(*args).collect())
+        return spark.createDataFrame(found, "leader bigint, node bigint")
+
+    monkeypatch.setattr(jaccard, "_clusters", kept)
+    got = jaccard.op2(spark, write([document(*x) for x in rows])).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {d: near.get(d, d) for d, _ in rows}
+    assert 2 * len(near) <= len(found) < 100
+
+
+def test_rarest_items_of_rows():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = r.integers(0, 9, 12)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        levels = r.choice(4, bounds[-1], p=[0.5, 0.2, 0.2, 0.1]).astype(np.uint8)
+        most = r.integers(0, sizes + 1)
+        want = {i for a, b, m in zip(bounds, bounds[1:], most, strict=False) for i in sorted(range(a, b), key=lambda i: (levels[i], i))[:m]}
+        got = jaccard.rarest(levels, bounds, most).tolist()
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_word_hashes_by_their_definition():
+    import numpy as np
+    import xxhash
+
+    from epochweave.llm import kernels
+
+    words = [bytes([97 + i % 26]) * n for i, n in enumerate((1, 2, 3, 47, 48, 49, 300, 2, 48, 1))]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = kernels.words(data, np.array([0, len(data)]))
+    sums = [sum(int(kernels._TABLES[i << 8 | c]) for i, c in enumerate(w[: kernels.TABLED])) + len(w) for w in words]
+    want = [xxhash.xxh3_64_intdigest(w) if len(w) > kernels.TABLED else int(kernels.mix(np.array([x & (1 << 64) - 1], np.uint64))[0]) for w, x in zip(words, sums, strict=True)]
+    assert kernels.word_hashes(data, starts, ends).tolist() == want
+    assert not len(kernels.word_hashes(data, starts[:0], ends[:0]))
