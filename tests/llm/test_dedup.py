@@ -287,3 +287,34 @@ def test_word_hashes_by_their_definition():
     want = [xxhash.xxh3_64_intdigest(w) if len(w) > kernels.TABLED else int(kernels.mix(np.array([x & (1 << 64) - 1], np.uint64))[0]) for w, x in zip(words, sums, strict=True)]
     assert kernels.word_hashes(data, starts, ends).tolist() == want
     assert not len(kernels.word_hashes(data, starts[:0], ends[:0]))
+
+
+def test_signatures_of_few_sets_need_no_tree(monkeypatch):
+    """Candidates of a small cluster are found without trees, by signatures as wide as they are: all that link, and none that trees rule out."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+
+    def joined(pairs):
+        forest = components.Forest()
+        for i, j in pairs:
+            forest.join(i, j)
+        return forest
+
+    cases = []
+    for _ in range(300):
+        base = r.integers(0, 1 << 63, int(r.choice([20, 120, 130, 140])), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[: len(base) - r.integers(0, len(base) // 2)], r.integers(0, 1 << 63, r.integers(0, 30), dtype=np.uint64)])) for _ in range(r.integers(2, 7))]
+        maps = [jaccard.bitmaps([x], jaccard.signature_width(len(x)))[0] for x in sets]
+        sides = np.zeros(len(sets), np.int8) if r.random() < 0.5 else np.arange(len(sets), dtype=np.int8) % 2
+        links = [(i, j) for j in range(len(sets)) for i in range(j) if (sides[i] != sides[j] or not sides.any()) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+        args = (maps, np.array(list(map(len, sets))), sides, list(range(len(sets))), 75)
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "FEW", 0)
+            cases.append((args, links, joined(jaccard.candidate_pairs(*args))))
+    assert len({len(m) for (maps, *_), *_ in cases for m in maps}) > 1 and sum(len(x) for _, x, _ in cases) > 100
+    monkeypatch.setattr(jaccard, "Tree", None)
+    for args, links, trees in cases:
+        pairs = jaccard.candidate_pairs(*args)
+        few = joined(pairs)
+        assert all(few.find(i) == few.find(j) for i, j in links) and all(trees.find(i) == trees.find(j) for i, j in pairs)
